@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language_id, mixing, packing, token_store
+from lodestone.llm import fingerprints, language_id, media, mixing, near_duplicates, packing, quality, repeats, token_store, toxicity
 from lodestone.session import table
 
 
@@ -17,17 +17,45 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.query(_documents(spark, sf_dir))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.query(_documents(spark, sf_dir))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.query(_documents(spark, sf_dir))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.query(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(_documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_store, op7_source_mixing, op9_language_id)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.query(_documents(spark, sf_dir))
+
+
+_ALL = (op1_best_fit_packing, op2_near_duplicates, op3_media_columns, op4_fingerprints, op5_token_store, op6_toxicity, op7_source_mixing, op8_quality, op9_language_id, op10_repeats)
+QUERIES = {f.__name__: f for f in _ALL}
+
+#: None of the contracts can be put in SQL (tokenizers, trained models, sketches, shuffles by hash); tests
+#: hold each query against a brute-force version, an exact round trip or held-out labels.
 ORACLES: dict[str, str] = {}
