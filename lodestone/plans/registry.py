@@ -13,7 +13,7 @@ from lodestone.sources.entities import with_sql
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("select", "joins", "aggregates", "ranking", "paging", "scalars", "retrieval")
+MODULES = ("select", "joins", "aggregates", "ranking", "paging", "scalars", "retrieval", "state", "events", "refinement", "surfaces")
 
 
 def query(entities: str = "", oracle: str | None = None) -> Callable[[Query], Query]:
