@@ -94,19 +94,29 @@ def candidates(new: DataFrame, old: DataFrame, tags: DataFrame, k: int = 50) ->
 
 
 def titles_mentioned(pages: DataFrame, shortest: int = 4) -> DataFrame:
-    """J-19. (source_id, target_id): pages whose text has another page's title, found by word runs.
+    """J-19. (source_id, target_id): pages whose text has another page's title, whatever the case.
 
-    Each title and text is cut into runs of the titles' numbers of words, and equal runs are joined;
-    ``contains`` then decides. So no page is compared with all titles. A title counts for its first page.
+    A title's inner words (its first and last may stand inside longer words) are looked for among the
+    runs of words of all texts by an equi-join, those of titles of one or two words by their first
+    characters; ``contains`` then decides. So no page is compared with all titles. A title counts for its
+    first page.
     """
-    words = r"[\p{L}\p{N}]+"
+    words = F.lit(r"[\p{L}\p{N}]+")
     titles = pages.where(F.length("title") >= shortest).groupBy("title").agg(F.min("page_id").alias("target_id"))
-    titles = titles.withColumn("w", F.regexp_extract_all(F.lower("title"), F.lit(words), F.lit(0))).withColumn("n", F.least(F.size("w"), F.lit(3))).where("n > 0")
-    titles = titles.withColumn("run", F.array_join(F.slice("w", 1, F.col("n")), " "))
-    runs = pages.select(F.col("page_id").alias("source_id"), "content", F.regexp_extract_all(F.lower("content"), F.lit(words), F.lit(0)).alias("w"))
-    each = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))))
-    near = runs.select("source_id", each.alias("run")).join(titles.select("run", "title", "target_id"), "run").where("source_id <> target_id").select("source_id", "target_id", "title").distinct()
-    return near.join(pages.select(F.col("page_id").alias("source_id"), "content"), "source_id").where(F.contains(F.lower("content"), F.lower("title"))).select("source_id", "target_id")
+    titles = titles.withColumn("w", F.regexp_extract_all(F.lower("title"), words, F.lit(0)))
+    inner = titles.where(F.size("w") > 2).withColumn("run", F.array_join(F.slice("w", 2, F.least(F.size("w") - 2, F.lit(3))), " "))
+    begin = titles.where(F.size("w") <= 2).withColumn("run", F.substring(F.lower("title"), 1, shortest))
+    texts = pages.select(F.col("page_id").alias("source_id"), F.lower("content").alias("low"), F.regexp_extract_all(F.lower("content"), words, F.lit(0)).alias("w"))
+
+    def runs(n: int | Column) -> Column:
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    letters = F.when(F.size("c") >= shortest, F.transform(F.sequence(F.lit(1), F.size("c") - shortest + 1), lambda i: F.array_join(F.slice("c", i, F.lit(shortest)), ""))).otherwise(F.array().cast("array<string>"))
+    near = texts.select("source_id", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("run")).join(inner, "run")
+    if not begin.isEmpty():
+        near = near.unionByName(texts.withColumn("c", F.split("low", "")).select("source_id", F.explode(F.array_distinct(letters)).alias("run")).join(begin, "run"))
+    near = near.where("source_id <> target_id").select("source_id", "target_id", "title").distinct()
+    return near.join(texts.select("source_id", "low"), "source_id").where(F.contains("low", F.lower("title"))).select("source_id", "target_id")
 
 
 def pages_sharing_tags(pages: DataFrame, most: int = 15) -> DataFrame:
