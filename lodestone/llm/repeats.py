@@ -5,7 +5,8 @@ least of its 69 hashes (the leftmost, on ties), which depends on the window's by
 windows have equal triggers at equal offsets wherever they stand. Consecutive windows with the same
 trigger place are a phrase: the bytes from the first window's start to the last one's end. The
 parse of the corpus is its phrases in order of document and place; the dictionary is its distinct
-phrases. Two windows can be equal only if their phrases have the same trigger hash.
+phrases. Two windows can be equal only if their phrases have the same trigger hash, and the same 34 bytes before
+or after the trigger, of which a short hash travels too.
 
 Order. Phrases meet by trigger hash. Of equal phrases all but the first in the parse are repeated
 whole, which settles nearly all of a highly repetitive text from two hashes a phrase, without its
@@ -49,9 +50,14 @@ HOT = 4096
 HELD = 1 << 20
 NO_ID = np.iinfo(np.int64).min
 
-#: Packed notes. key: trigger hash; phrase: hash of a phrase; at: its start; ahead, more: bytes from there to the
-#: trigger and to the last window's start.
-PHRASES = (("key", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("ahead", "u1"), ("more", "u1"))
+#: A window of 100 bytes has its 32 trigger bytes and SIDE more on their left or on their right.
+SIDE = (LENGTH - TRIGGER) // 2
+#: Hashes of keys and phrases travel with 48 bits; packing drops the empty bytes.
+BITS_48 = np.uint64((1 << 48) - 1)
+#: Packed notes. key: trigger hash; phrase: hash of a phrase; left, right: hashes of the trigger with SIDE bytes on
+#: that side, 0 if no window of the phrase has them; at: its start; ahead, more: bytes from there to the trigger and
+#: to the last window's start. Phrases are equal if key, phrase, left and right are, 128 bits together.
+PHRASES = (("key", "<u8"), ("phrase", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("ahead", "u1"), ("more", "u1"))
 #: kind 0: bytes from start to end are repeated. 1, 2: the phrase there is asked for, as one or (2) by window.
 NOTES = (("doc", "<i8"), ("tie", "<i4"), ("start", "<u4"), ("end", "<u4"), ("ahead", "u1"), ("kind", "u1"))
 STRINGS = (("key", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("more", "u1"))
@@ -135,14 +141,19 @@ def parse(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Columns, tk.S
     at, place, more = start[first], owner[first], start[last] - start[first]
     phrase = spans(at, at + more + LENGTH) ^ tk.mix((place - at).astype(np.uint64) * np.uint64(128) + more.astype(np.uint64))
     row = np.searchsorted(offs, at, "right") - 1
-    return row, {"key": x[place], "phrase": phrase, "at": at, "ahead": place - at, "more": more}, spans
+    ahead = place - at
+    left = np.where(ahead >= SIDE, 1 + spans(np.maximum(place - SIDE, 0), place + TRIGGER) % np.uint64(65535), np.uint64(0))
+    right = np.where(ahead - more <= SIDE, 1 + spans(place, np.minimum(place + TRIGGER + SIDE, len(data))) % np.uint64(65535), np.uint64(0))
+    return row, {"key": x[place] & BITS_48, "phrase": phrase & BITS_48, "left": left, "right": right, "at": at, "ahead": ahead, "more": more}, spans
 
 
 def _firsts(c: Columns) -> tuple[Columns, np.ndarray]:
     """Phrases sorted by key, phrase and place in the parse; which are the first of their equals."""
-    c = take(c, np.lexsort((c["at"], c["tie"], c["doc"], c["phrase"], c["key"])))
+    c = take(c, np.lexsort((c["at"], c["tie"], c["doc"], c["right"], c["left"], c["phrase"], c["key"])))
     first = np.ones(len(c["key"]), bool)
-    first[1:] = (c["key"][1:] != c["key"][:-1]) | (c["phrase"][1:] != c["phrase"][:-1])
+    first[1:] = False
+    for k in ("key", "phrase", "left", "right"):
+        first[1:] |= c[k][1:] != c[k][:-1]
     # equals of the same row, as repeated rows have them, are not repeats of each other
     again = np.zeros(len(first), bool)
     again[1:] = ~first[1:] & (c["at"][1:] == c["at"][:-1]) & (c["doc"][1:] == c["doc"][:-1]) & (c["tie"][1:] == c["tie"][:-1])
@@ -223,16 +234,28 @@ def _by_part(batches, columns: tuple[str, ...]):
 
 
 def _meet_task(parts: int):
-    """Equal phrases: notes of repeats, and requests for the phrases whose triggers have several."""
+    """Equal phrases: notes of repeats, and requests for the phrases whose triggers have several.
+
+    Notes that the parse made already pass through, so the parse is shuffled and not written.
+    """
 
     def run(batches):
-        for _, rows in _by_part(batches, ("payload",)):
-            c, first = _firsts(gather(PHRASES, (r[0] for r in rows)))
+        for part, rows in _by_part(batches, ("kind", "payload")):
+            passing = [p for kind, p in rows if kind == TO_TEXTS]
+            if passing:
+                yield pa.RecordBatch.from_arrays([pa.array([TO_TEXTS] * len(passing), pa.int32()), pa.array([part] * len(passing), pa.int32()), pa.array(passing, pa.binary())], schema=PACKED)
+            phrases = [p for kind, p in rows if kind == TO_PHRASES]
+            if not phrases:
+                continue
+            c, first = _firsts(gather(PHRASES, phrases))
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
-            _, at, n = np.unique(c["key"], return_inverse=True, return_counts=True)
-            asked = take(c, np.flatnonzero(n[at] > 1))
-            kind = np.where(n[at][n[at] > 1] > HOT, 2, 1)
+            n = np.zeros(len(c["key"]), np.int64)
+            for side in ("left", "right"):  # phrases that share a window share a side
+                _, at, own = np.unique((c["key"] << np.uint64(16)) | c[side].astype(np.uint64), return_inverse=True, return_counts=True)
+                n = np.maximum(n, np.where(c[side] > 0, own[at], 0))
+            asked = take(c, np.flatnonzero(n > 1))
+            kind = np.where(n[n > 1] > HOT, 2, 1)
             wanted = {"doc": asked["doc"], "tie": asked["tie"], "start": asked["at"], "end": asked["at"].astype(np.int64) + asked["more"] + LENGTH, "ahead": asked["ahead"], "kind": kind}
             notes = _merge([again, wanted], NOTES)
             yield from _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts)
@@ -294,14 +317,14 @@ def _strings(raw: bytes, asked: Columns) -> tuple[Columns, bytes]:
     spans = tk.Spans(np.frombuffer(raw, np.uint8))
     at, end = asked["start"].astype(np.int64), asked["end"].astype(np.int64)
     place = at + asked["ahead"]
-    key = spans(place, place + TRIGGER)
+    key = spans(place, place + TRIGGER) & BITS_48
     more = end - at - LENGTH
     single = asked["kind"] == 2
     if single.any():
         n = more[single] + 1
         starts = np.repeat(at[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at, more = np.concatenate([at[~single], starts]), np.concatenate([more[~single], np.zeros(len(starts), np.int64)])
-        key = np.concatenate([key[~single], spans(starts, starts + LENGTH)])
+        key = np.concatenate([key[~single], spans(starts, starts + LENGTH) & BITS_48])
     body = b"".join(raw[a : a + m + LENGTH] for a, m in zip(at.tolist(), more.tolist(), strict=True))
     n = len(at)
     return {"key": key, "doc": np.full(n, asked["doc"][0]), "tie": np.full(n, asked["tie"][0]), "at": at, "more": more}, body
@@ -456,11 +479,10 @@ def removal(docs: DataFrame, whole_text: bool) -> DataFrame:
         blank = notes.select(F.lit(0).alias("kind"), "part", *nulls, "payload")
         both = bodies.select(F.lit(1).alias("kind"), "part", "doc", "tie", "row", "text", "payload").unionByName(blank)
         both = to_parts(both).sortWithinPartitions("part", "kind")
-        return materialize(both.mapInArrow(_text_task(parts, whole_text), result_sql), name)
+        return materialize(both.mapInArrow(_text_task(parts, whole_text), result_sql), name, "zstd")
 
-    parsed = materialize(texts.select("doc", "tie", "text").mapInArrow(_parse_task(parts), PACKED_SQL), "parse", "uncompressed")
-    met = to_parts(parsed.where(F.col("kind") == TO_PHRASES)).sortWithinPartitions("part").mapInArrow(_meet_task(parts), PACKED_SQL)
-    notes = parsed.where(F.col("kind") == TO_TEXTS).unionByName(met).select("part", "payload")
+    parsed = texts.select("doc", "tie", "text").mapInArrow(_parse_task(parts), PACKED_SQL)
+    notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(parts), PACKED_SQL).select("part", "payload")
     first = with_notes(texts.withColumn("part", held_at("doc")).withColumn("payload", F.lit(None).cast("binary")), notes, "texts")
     again = to_parts(first.where(F.col("kind") == STRING).select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(parts), PACKED_SQL)
     second = with_notes(first.where(F.col("kind") == OPEN), again.select("part", "payload"), "open")
