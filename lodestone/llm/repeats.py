@@ -17,7 +17,7 @@ corpus order for just those suffixes that can tie.
 
 Scale. Phrases are dealt to tasks by trigger hash as packed arrays, about 22 bytes for 35 bytes of
 text; each task first settles repeats inside its own part of the corpus, so a passage that stands in
-a third of all texts reaches a reducer once from each task. A trigger with more than ``HOT`` distinct
+a third of all texts reaches a reducer once from each task. A trigger with more than ``hot`` distinct
 phrases sends single windows, dealt by their own hash, instead of phrases. Texts are shuffled once
 to meet their notes, and only those with shared triggers a second time.
 
@@ -233,7 +233,7 @@ def _by_part(batches, columns: tuple[str, ...]):
         yield current, rows
 
 
-def _meet_task(parts: int):
+def _meet_task(parts: int, hot: int):
     """Equal phrases: notes of repeats, and requests for the phrases whose triggers have several.
 
     Notes that the parse made already pass through, so the parse is shuffled and not written.
@@ -255,7 +255,7 @@ def _meet_task(parts: int):
                 _, at, own = np.unique((c["key"] << np.uint64(16)) | c[side].astype(np.uint64), return_inverse=True, return_counts=True)
                 n = np.maximum(n, np.where(c[side] > 0, own[at], 0))
             asked = take(c, np.flatnonzero(n > 1))
-            kind = np.where(n[n > 1] > HOT, 2, 1)
+            kind = np.where(n[n > 1] > hot, 2, 1)
             wanted = {"doc": asked["doc"], "tie": asked["tie"], "start": asked["at"], "end": asked["at"].astype(np.int64) + asked["more"] + LENGTH, "ahead": asked["ahead"], "kind": kind}
             notes = _merge([again, wanted], NOTES)
             yield from _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts)
@@ -457,7 +457,7 @@ def repeated_windows(c: Columns, data: np.ndarray, begin: np.ndarray) -> Columns
     return {"doc": d, "tie": t, "start": p, "end": p + LENGTH, "ahead": zero, "kind": zero}
 
 
-def removal(docs: DataFrame, whole_text: bool) -> DataFrame:
+def removal(docs: DataFrame, whole_text: bool, hot: int = HOT) -> DataFrame:
     """(row, text, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
     ``row`` has the columns other than the text; ``text`` is what is left, if ``whole_text``.
@@ -482,7 +482,7 @@ def removal(docs: DataFrame, whole_text: bool) -> DataFrame:
         return materialize(both.mapInArrow(_text_task(parts, whole_text), result_sql), name, "zstd")
 
     parsed = texts.select("doc", "tie", "text").mapInArrow(_parse_task(parts), PACKED_SQL)
-    notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(parts), PACKED_SQL).select("part", "payload")
+    notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(parts, hot), PACKED_SQL).select("part", "payload")
     first = with_notes(texts.withColumn("part", held_at("doc")).withColumn("payload", F.lit(None).cast("binary")), notes, "texts")
     again = to_parts(first.where(F.col("kind") == STRING).select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(parts), PACKED_SQL)
     second = with_notes(first.where(F.col("kind") == OPEN), again.select("part", "payload"), "open")

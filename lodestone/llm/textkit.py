@@ -117,9 +117,9 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndar
     np.cumsum(n, out=first[1:])
     left = first[row + 1] - np.arange(len(row))  # words of the row from here on
     got = word.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(word))):
         more = np.zeros_like(word)
-        more[: len(word) - k] = word[k:]
+        more[:-k] = word[k:]
         got = np.where(left > k, mix(got * np.uint64(POLY) + more), got)
     keep = (left >= size) | (np.arange(len(row)) == first[row])
     return row[keep], got[keep]
