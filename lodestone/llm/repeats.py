@@ -304,7 +304,7 @@ class _Notes:
         new = np.ones(len(c["doc"]), bool)
         new[1:] = (self.c["doc"][1:] != self.c["doc"][:-1]) | (self.c["tie"][1:] != self.c["tie"][:-1])
         at = np.flatnonzero(new)
-        to = np.append(at[1:], len(new))
+        to = np.append(at, len(new))[1:]
         self.places = {(d, t): (a, b) for d, t, a, b in zip(self.c["doc"][at].tolist(), self.c["tie"][at].tolist(), at.tolist(), to.tolist(), strict=True)}
 
     def of(self, doc: int, tie: int) -> Columns:
