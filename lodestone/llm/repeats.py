@@ -17,8 +17,8 @@ corpus order for just those suffixes that can tie.
 
 Scale. Phrases are dealt to tasks by trigger hash as packed arrays, about 22 bytes for 35 bytes of
 text; each task first settles repeats inside its own part of the corpus, so a passage that stands in
-a third of all texts reaches a reducer once from each task. A trigger with more than ``hot`` distinct
-phrases sends single windows, dealt by their own hash, instead of phrases. Texts are shuffled once
+a third of all texts reaches a reducer once from each task. A trigger of which more than ``hot`` distinct
+phrases are asked for sends all of them as single windows, dealt by their own hash, instead of phrases. Texts are shuffled once
 to meet their notes, and only those with shared triggers a second time.
 
 Defined results: null text is empty; texts are compared as UTF-8 bytes; rows that repeat a
@@ -255,7 +255,9 @@ def _meet_task(parts: int, hot: int):
                 _, at, own = np.unique((c["key"] << np.uint64(16)) | c[side].astype(np.uint64), return_inverse=True, return_counts=True)
                 n = np.maximum(n, np.where(c[side] > 0, own[at], 0))
             asked = take(c, np.flatnonzero(n > 1))
-            kind = np.where(n[n > 1] > hot, 2, 1)
+            # one kind for all phrases of a trigger, or those that share a window would not meet
+            _, at, own = np.unique(asked["key"], return_inverse=True, return_counts=True)
+            kind = np.where(own[at] > hot, 2, 1)
             wanted = {"doc": asked["doc"], "tie": asked["tie"], "start": asked["at"], "end": asked["at"].astype(np.int64) + asked["more"] + LENGTH, "ahead": asked["ahead"], "kind": kind}
             notes = _merge([again, wanted], NOTES)
             yield from _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts)

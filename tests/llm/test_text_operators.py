@@ -358,6 +358,22 @@ def test_repeats_equal_brute_force(spark, seed, hot):
     assert {r[0]: tuple(r)[1:] for r in got} == brute_repeats([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("spread", [1, 32])
+@pytest.mark.parametrize("hot", [2, 3])
+def test_trigger_with_a_hot_and_a_small_side(spark, hot, spread):
+    """Many texts share what precedes a core, and two share what follows it, of which one is of the many."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for _ in range(30):
+        before, core, after = some(80), some(60), some(80)
+        texts = [before + core + some(80) for _ in range(6)] + [before + core + after, some(80) + core + after]
+        rows += [(len(rows) + k, x, "en", "a") for k, x in enumerate(rng.sample(texts, len(texts)))]
+    docs = documents(spark, rows).repartition(spread, "doc_id")
+    got = repeats.removal(docs.select("doc_id", "text"), False, hot).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute_repeats([r[:2] for r in rows])
+
+
 def test_removal_keeps_columns_and_rows(odd, empty):
     got = repeats.remove(odd)
     assert got.columns == odd.columns
