@@ -18,8 +18,11 @@ corpus order for just those suffixes that can tie.
 Scale. Phrases are dealt to tasks by trigger hash as packed arrays, about 22 bytes for 35 bytes of
 text; each task first settles repeats inside its own part of the corpus, so a passage that stands in
 a third of all texts reaches a reducer once from each task. A trigger of which more than ``hot`` distinct
-phrases are asked for sends all of them as single windows, dealt by their own hash, instead of phrases. Texts are shuffled once
-to meet their notes, and only those with shared triggers a second time.
+phrases are asked for sends all of them as single windows, dealt by their own hash, instead of phrases;
+of equal windows in about 8 MB a task sends the earliest only and notes the others. If a side of a
+trigger has more than ``hot / 8`` phrases among those that a task holds, it asks for that trigger's phrases
+by window at once and sends a mark in their place, which makes all others of the trigger go by window
+too. Texts are shuffled once to meet their notes, and only those with shared triggers a second time.
 
 Defined results: null text is empty; texts are compared as UTF-8 bytes; rows that repeat a
 ``doc_id`` are ordered by a hash of their text, and rows equal in both are judged as if each were
@@ -46,6 +49,8 @@ LENGTH = 100
 TRIGGER = 32
 #: Distinct phrases of one trigger that are compared in one task.
 HOT = 4096
+#: A side with more than hot / LOCAL distinct phrases among those that a task holds makes its trigger hot.
+LOCAL = 8
 #: Phrases that a task holds before it sends them on.
 HELD = 1 << 20
 NO_ID = np.iinfo(np.int64).min
@@ -165,6 +170,24 @@ def _repeated(c: Columns) -> Columns:
     return {"doc": c["doc"], "tie": c["tie"], "start": c["at"], "end": c["at"].astype(np.int64) + c["more"] + LENGTH, "ahead": np.zeros(len(c["doc"]), np.uint8), "kind": np.zeros(len(c["doc"]), np.uint8)}
 
 
+def _asked(c: Columns, kind) -> Columns:
+    return {"doc": c["doc"], "tie": c["tie"], "start": c["at"], "end": c["at"].astype(np.int64) + c["more"] + LENGTH, "ahead": c["ahead"], "kind": np.broadcast_to(kind, len(c["doc"]))}
+
+
+def _alike(c: Columns) -> np.ndarray:
+    """For each phrase, how many have its trigger and a side of it; phrases that share a window share a side."""
+    n = np.zeros(len(c["key"]), np.int64)
+    for side in ("left", "right"):
+        _, at, own = np.unique((c["key"] << np.uint64(16)) | c[side].astype(np.uint64), return_inverse=True, return_counts=True)
+        n = np.maximum(n, np.where(c[side] > 0, own[at], 0))
+    return n
+
+
+def _marks(keys: np.ndarray) -> Columns:
+    """Rows among the phrases that say that a trigger is hot: those without both sides, of which a phrase has one."""
+    return {name: keys if name == "key" else np.zeros(len(keys), kind) for name, kind in PHRASES}
+
+
 PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "kind int, part int, payload binary"
 TO_PHRASES, TO_TEXTS = 0, 1
@@ -190,7 +213,7 @@ def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column("doc").fill_null(NO_ID).to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
 
 
-def _parse_task(parts: int):
+def _parse_task(parts: int, hot: int):
     def run(batches):
         held: list[Columns] = []
         count = 0
@@ -200,6 +223,11 @@ def _parse_task(parts: int):
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
             c = take(c, np.lexsort((c["at"], c["tie"], c["doc"])))
+            marks = np.unique(c["key"][_alike(c) > max(hot // LOCAL, 1)])
+            if len(marks):
+                marked = np.isin(c["key"], marks)
+                again = _merge([again, _asked(take(c, np.flatnonzero(marked)), 2)], NOTES)
+                c = _merge([take(c, np.flatnonzero(~marked)), _marks(marks)], PHRASES)
             yield from _dealt(TO_PHRASES, PHRASES, c, c["key"], parts)
             yield from _dealt(TO_TEXTS, NOTES, again, again["doc"].view(np.uint64), parts)
 
@@ -250,16 +278,13 @@ def _meet_task(parts: int, hot: int):
             c, first = _firsts(gather(PHRASES, phrases))
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
-            n = np.zeros(len(c["key"]), np.int64)
-            for side in ("left", "right"):  # phrases that share a window share a side
-                _, at, own = np.unique((c["key"] << np.uint64(16)) | c[side].astype(np.uint64), return_inverse=True, return_counts=True)
-                n = np.maximum(n, np.where(c[side] > 0, own[at], 0))
-            asked = take(c, np.flatnonzero(n > 1))
+            mark = (c["left"] == 0) & (c["right"] == 0)
+            marked = np.isin(c["key"], c["key"][mark])
+            asked = take(c, np.flatnonzero(~mark & (marked | (_alike(c) > 1))))
             # one kind for all phrases of a trigger, or those that share a window would not meet
             _, at, own = np.unique(asked["key"], return_inverse=True, return_counts=True)
-            kind = np.where(own[at] > hot, 2, 1)
-            wanted = {"doc": asked["doc"], "tie": asked["tie"], "start": asked["at"], "end": asked["at"].astype(np.int64) + asked["more"] + LENGTH, "ahead": asked["ahead"], "kind": kind}
-            notes = _merge([again, wanted], NOTES)
+            by_window = (own[at] > hot) | np.isin(asked["key"], c["key"][mark])
+            notes = _merge([again, _asked(asked, np.where(by_window, 2, 1))], NOTES)
             yield from _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts)
 
     return run
@@ -286,7 +311,7 @@ def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 RESULT = ("kind", "part", "doc", "tie", "row", "text", "payload", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 RESULT_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), None, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-DONE, OPEN, STRING = 0, 1, 2
+DONE, OPEN, STRING, NOTE = 0, 1, 2, 3
 
 
 def _result(n: int, row_type: pa.DataType, **columns) -> pa.RecordBatch:
@@ -332,11 +357,32 @@ def _strings(raw: bytes, asked: Columns) -> tuple[Columns, bytes]:
     return {"key": key, "doc": np.full(n, asked["doc"][0]), "tie": np.full(n, asked["tie"][0]), "at": at, "more": more}, body
 
 
+def _later(c: Columns, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which strings are single windows that stand earlier among the strings."""
+    single = np.flatnonzero(c["more"] == 0)
+    own = single[np.lexsort((c["at"][single], c["tie"][single], c["doc"][single], c["key"][single]))]
+    out = np.zeros(len(c["more"]), bool)
+    if len(own) > 1:
+        body = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begin[own]]
+        same = np.append(False, (c["key"][own][1:] == c["key"][own][:-1]) & (body[1:] == body[:-1]).all(1))
+        head = own[np.maximum.accumulate(np.where(~same, np.arange(len(own)), 0))]
+        # a window doesn't repeat itself, which repeated rows would make it seem to
+        out[own] = same & ((c["doc"][own] != c["doc"][head]) | (c["tie"][own] != c["tie"][head]) | (c["at"][own] != c["at"][head]))
+    return out
+
+
 def _send(strings: list[tuple[Columns, bytes]], row_type: pa.DataType, parts: int):
     c = _merge([x[0] for x in strings], STRINGS)
     data = np.frombuffer(b"".join(x[1] for x in strings), np.uint8)
     size = c["more"].astype(np.int64) + LENGTH
     begin = np.cumsum(size) - size
+    later = _later(c, data, begin)
+    if later.any():
+        notes = _repeated(take(c, np.flatnonzero(later)))
+        for b in _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts):
+            yield _result(b.num_rows, row_type, kind=[NOTE] * b.num_rows, part=b.column("part"), payload=b.column("payload"))
+        kept = np.flatnonzero(~later)
+        c, size, begin = take(c, kept), size[kept], begin[kept]
     where = deal(c["key"], parts)
     order = np.argsort(where, kind="stable")
     edge = np.searchsorted(where[order], np.arange(parts + 1))
@@ -483,11 +529,12 @@ def removal(docs: DataFrame, whole_text: bool, hot: int = HOT) -> DataFrame:
         both = to_parts(both).sortWithinPartitions("part", "kind")
         return materialize(both.mapInArrow(_text_task(parts, whole_text), result_sql), name, "zstd")
 
-    parsed = texts.select("doc", "tie", "text").mapInArrow(_parse_task(parts), PACKED_SQL)
+    parsed = texts.select("doc", "tie", "text").mapInArrow(_parse_task(parts, hot), PACKED_SQL)
     notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(parts, hot), PACKED_SQL).select("part", "payload")
     first = with_notes(texts.withColumn("part", held_at("doc")).withColumn("payload", F.lit(None).cast("binary")), notes, "texts")
     again = to_parts(first.where(F.col("kind") == STRING).select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(parts), PACKED_SQL)
-    second = with_notes(first.where(F.col("kind") == OPEN), again.select("part", "payload"), "open")
+    later = first.where(F.col("kind") == NOTE).select("part", "payload")
+    second = with_notes(first.where(F.col("kind") == OPEN), again.select("part", "payload").unionByName(later), "open")
     return first.where(F.col("kind") == DONE).unionByName(second.where(F.col("kind") == DONE)).select("row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

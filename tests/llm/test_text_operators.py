@@ -374,6 +374,37 @@ def test_trigger_with_a_hot_and_a_small_side(spark, hot, spread):
     assert {r[0]: tuple(r)[1:] for r in got} == brute_repeats([r[:2] for r in rows])
 
 
+def test_hot_windows_are_sent_once_a_task():
+    """What a task sends of an edge that many texts share doesn't grow with the texts."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = some(300)
+    texts = [some(120) + passage + some(120) for _ in range(200)]
+    rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(200), pa.int64()), "tie": pa.array([0] * 200, pa.int32()), "text": texts})
+    out = [r for b in repeats._parse_task(1, 64)([rows]) for r in b.to_pylist()]
+    phrases = repeats.gather(repeats.PHRASES, [r["payload"] for r in out if r["kind"] == repeats.TO_PHRASES])
+    assert max(repeats._alike(phrases)[(phrases["left"] > 0) | (phrases["right"] > 0)]) <= 8
+    notes = repeats.gather(repeats.NOTES, [r["payload"] for r in out if r["kind"] == repeats.TO_TEXTS])
+    strings = []
+    for k, x in enumerate(texts):
+        asked = repeats.take(notes, np.flatnonzero((notes["doc"] == k) & (notes["kind"] == 2)))
+        strings.append(repeats._strings(x.encode(), asked))
+    sent = [r for b in repeats._send(strings, pa.int64(), 4) for r in b.to_pylist()]
+    windows = []
+    for r in sent:
+        if r["kind"] == repeats.STRING:
+            c, data = repeats.unpack(repeats.STRINGS, r["payload"])
+            assert not c["more"].any()
+            windows += [w.tobytes() for w in data.reshape(-1, repeats.LENGTH)]
+    assert windows and len(windows) == len(set(windows))
+    held = {(k, a): raw[100 * i : 100 * i + 100] for k, (c, raw) in enumerate(strings) for i, a in enumerate(c["at"].tolist())}
+    later = repeats.gather(repeats.NOTES, [r["payload"] for r in sent if r["kind"] == repeats.NOTE])
+    earliest = {}
+    for (k, a), w in sorted(held.items()):
+        earliest.setdefault(w, (k, a))
+    assert set(zip(later["doc"].tolist(), later["start"].tolist(), strict=True)) == set(held) - set(earliest.values())
+
+
 def test_removal_keeps_columns_and_rows(odd, empty):
     got = repeats.remove(odd)
     assert got.columns == odd.columns
