@@ -172,6 +172,25 @@ def test_greedy_matches(spark):
     assert got == {(0, 1): pytest.approx(difflib.SequenceMatcher(None, a[0], b[1]).ratio()), (1, 0): pytest.approx(difflib.SequenceMatcher(None, a[1], b[0]).ratio())}
 
 
+def test_content_similarity_of_whole_texts_by_case(spark, sf):
+    from lodestone.plans import registry
+
+    cases = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        cases.setdefault((r["conv_id"] << 32) + r["turn"] // 4, []).append((r["turn"], r["text"] or ""))
+    expected = set()
+    for case, items in cases.items():
+        sims = [(evaluation.similarity(a, b), p, t) for p, a in items for t, b in items]
+        used_p, used_t = set(), set()
+        for s, p, t in sorted((x for x in sims if x[0] >= 0.6), key=lambda x: (-x[0], x[1], x[2])):
+            if p not in used_p and t not in used_t:
+                used_p.add(p)
+                used_t.add(t)
+                expected.add((case, p, t, s))
+    assert len(cases) > 10 and max(len(x) for items in cases.values() for _, x in items) > 60
+    assert {tuple(r) for r in registry.queries()["f12_content_similarity"](spark, sf).collect()} == expected
+
+
 def test_uuid5(spark):
     names = ["care:1", "", "é"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(T.uuid5(F.col("n")).alias("u")).collect()
