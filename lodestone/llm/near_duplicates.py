@@ -20,7 +20,8 @@ forest of its links, not all pairs.
 Defined results: null text is empty; empty texts are copies of each other; texts of fewer than five
 words have one shingle of all their words; rows that repeat a ``doc_id`` are in the class of their
 texts, and a ``doc_id`` with several texts gets a row for each; a null ``doc_id`` names a class only
-if all its ids are null; an empty table gives no rows; ``keep_one`` keeps all columns.
+if all its ids are null; classes are told apart by ``class_root``, the least digest of their texts, as unrelated
+texts may have null or equal ids; an empty table gives no rows; ``keep_one`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -273,7 +274,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, copy, class_id, class_size, first) of each row: ``first`` marks the row that stands for its class."""
+    """(doc_id, copy, root, class_id, class_size) of each row: ``root``, the least digest of the class's texts, tells classes apart whose ``class_id`` is null or equal."""
     spark = docs.sparkSession
     prepare(spark)
     counts, n = document_frequencies(docs)
@@ -286,28 +287,32 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = pairs.select("meeting", "copy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # one row of docs for each text that meets another
     where = pairs.join(texts.select("copy", "least_id"), "copy")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     bodies = docs.select(F.col("doc_id").cast("long").alias("least_id"), "text")
-    grouped = where.join(bodies, "least_id").where(F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("copy"))
+    by_id = where.join(bodies, "least_id").where(digest == F.col("copy")).select("meeting", "i", "j", "copy", "text")
+    # texts whose ids are all null
+    nameless = bodies.where(F.col("least_id").isNull()).select(digest.alias("copy"), "text").dropDuplicates(["copy"])
+    by_text = where.where(F.col("least_id").isNull()).select("meeting", "i", "j", "copy").join(nameless, "copy").select("meeting", "i", "j", "copy", "text")
     parts = partitions(docs)
-    grouped = grouped.select("meeting", "i", "j", "copy", "text").repartition(parts, "meeting", "i", "j").sortWithinPartitions("meeting", "i", "j", "copy")
+    grouped = by_id.unionByName(by_text).repartition(parts, "meeting", "i", "j").sortWithinPartitions("meeting", "i", "j", "copy")
     links = _verify(grouped, idf, least)
     roots = components(links)
 
     linked = texts.join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     whole = linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = linked.join(whole, "root").select("copy", "least_id", "class_id", "class_size")
-    return signed.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "class_id", "class_size")
+    named = linked.join(whole, "root").select("copy", "root", "class_id", "class_size")
+    return signed.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "root", "class_id", "class_size")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size) of each row of ``docs``."""
-    return classes(docs).select("doc_id", "class_id", "class_size")
+    """(doc_id, class_id, class_size, class_root) of each row of ``docs``; ``class_root`` tells classes apart of equal or null ``class_id``."""
+    return classes(docs).select("doc_id", "class_id", "class_size", F.col("root").alias("class_root"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the least ``doc_id`` of their class, one row each."""
+    """The row of ``docs`` with the least ``doc_id`` of each class, one of those without an id if all are."""
     found = classes(docs, least)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "class_id", "copy").groupBy("class_id").agg(F.min("copy").alias("copy"))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("class_id").alias("class_id"), F.min("copy").alias("copy"))
     names = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("copy"))
     kept = rows.alias("a").join(stays.alias("b"), (F.col("a.copy") == F.col("b.copy")) & F.col("a.id").eqNullSafe(F.col("b.class_id")), "left_semi")

@@ -322,6 +322,23 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_duplicates.query(empty).count() == near_duplicates.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_of_null_and_reused_ids(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    near = text(300)
+    alone, others = [text(60), text(60)], [text(60), text(60)]
+    nulls = [*alone, near, near + " end", near + " other", near]
+    docs = documents(spark, [(None, t, "en", "a") for t in nulls] + [(5, t, "en", "a") for t in others])
+    got = near_duplicates.query(docs).collect()
+    assert sorted(r["class_size"] for r in got) == [1, 1, 1, 1, 4, 4, 4, 4]
+    assert len({r["class_root"] for r in got}) == 5
+    kept = [(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(docs).collect()]
+    assert len(kept) == 5
+    assert {t for i, t in kept if i is None} >= set(alone) and len([t for i, t in kept if i is None and t.startswith(near)]) == 1
+    assert sorted(t for i, t in kept if i == 5) == sorted(others)
+
+
 # repeated passages
 
 
