@@ -1,13 +1,12 @@
 """Queries of sections G, S and X."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from lodestone.operators import statistics as A
 from lodestone.operators import surfaces as G
 from lodestone.plans.registry import query
-from lodestone.session import shared_dir
+from lodestone.session import working_path
 from lodestone.sources import entities as E
 from lodestone.sources import stores as S
 from lodestone.sources.entities import AS_OF
@@ -89,7 +88,7 @@ def g08_health(spark, sf):
 
 
 def _folder(spark, name):
-    return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    return working_path(spark, name)
 
 
 @query("memories memory_tags", "SELECT 'memories' AS entity, count(*) AS n FROM memories UNION ALL SELECT 'memory_tags', count(*) FROM memory_tags UNION ALL SELECT 'none', 0")

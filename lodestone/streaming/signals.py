@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.text import uuid5
 from lodestone.operators.selection import moment
-from lodestone.session import shared_dir
+from lodestone.session import working_path
 
 DAYS = {"anomaly": 30, "heartbeat": 7, "care": 7}
 
@@ -101,7 +100,7 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
 def drained(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """T-15, T-16. Run a stream over all there is and return what it wrote."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/lodestone-stream-{name}-{uuid.uuid4().hex}"
+    base = working_path(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
 
     def keep(batch: DataFrame, n: int) -> None:
