@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Odd multipliers of the polynomial and of the finaliser.
 POLY = 0x9E3779B97F4A7C15
@@ -40,8 +41,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: Longest range whose polynomial hash stands for it: modulo 2**64, regular ranges of a thousand bytes can collide.
+LONGEST = 64
+
+
 class Spans:
-    """Hashes of any byte range of a batch in constant time, from one prefix polynomial."""
+    """Hashes of any byte range of a batch in constant time, from one prefix polynomial.
+
+    They address tables and cut texts; whoever takes equal hashes of long ranges for equal ranges has to
+    compare the ranges (``names`` is for that).
+    """
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
@@ -102,6 +111,14 @@ def row_counts(row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, minlength=n).astype(np.int64)
 
 
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each range that tells ranges of any length apart."""
+    out = Spans(data)(start, end)
+    for k in np.flatnonzero(end - start > LONGEST).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
 def shingles(data: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each run of ``size`` consecutive words, ASCII letters in lower case.
 
@@ -111,7 +128,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndar
     start, end, row = words(low, offs)
     if not len(start):
         return row, np.empty(0, np.uint64)
-    word = Spans(low)(start, end)
+    word = names(low, start, end)
     n = row_counts(row, len(offs) - 1)
     first = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=first[1:])

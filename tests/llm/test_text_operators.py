@@ -1,5 +1,6 @@
 """Operators on whole texts against brute force, exact round trips and held-out labels."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -43,6 +44,9 @@ def empty(odd):
     return odd.where("false")
 
 
+library = functools.cache(Tokenizer.from_file)
+
+
 def plain(df):
     return [r.asDict() for r in df.collect()]
 
@@ -55,7 +59,7 @@ def plain(df):
 @given(texts=st.lists(st.lists(st.sampled_from(LETTERS), max_size=25).map("".join), max_size=8))
 def test_unit_ids_are_those_of_the_library(path, keep, texts):
     ids, offs = tokens.encoder(path, keep).encode(*tk.buffers(pa.array(texts, pa.string())))
-    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)] if texts else []
+    want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)] if texts else []
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(offs.tolist())] == want
 
 
@@ -112,25 +116,89 @@ def test_packing_nothing(empty):
     assert packing.query(empty, BYTE).count() == 0
 
 
-def test_perfect_hash_is_minimal_and_round_trips():
-    keys = tk.mix(np.arange(5000, dtype=np.uint64))
+def mirrored(k):
+    """Two words of 2**k letters whose polynomial hashes modulo 2**64 are equal for k >= 10."""
+    x = "a"
+    for _ in range(k):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize(("path", "keep"), [(BYTE, True), (WORD, False)])
+@pytest.mark.parametrize("k", [10, 11])
+def test_units_are_known_by_their_characters(spark, tmp_path, path, keep, k):
+    one, two = mirrored(k)
+    spans = tk.Spans(np.frombuffer((one + two).encode(), np.uint8))
+    assert spans(np.array([0]), np.array([2**k])) == spans(np.array([2**k]), np.array([2 ** (k + 1)]))  # the case is real
+    texts = [one, two, f"{two} x {one}", two]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] != want[1]
+    e = tokens.Encoder(path, keep)
+    for batch in (texts, texts[::-1], texts):
+        ids, offs = e.encode(*tk.buffers(pa.array(batch)))
+        got = [ids[a:b].tolist() for a, b in itertools.pairwise(offs.tolist())]
+        assert got == (want if batch is texts or batch == texts else want[::-1])
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).coalesce(1)
+    packed = {r["doc_id"]: r["ids_crc32"] for r in packing.query(docs, path).collect() if r["piece"] == 0}
+    assert packed == {i: crc([*x, 0]) for i, x in enumerate(want)}
+    if not keep:  # the store takes tokens without white space
+        token_store.write(docs, str(tmp_path / "s"), path)
+        stored = {r["doc_id"]: r["ids_crc32"] for r in token_store.read(spark, str(tmp_path / "s")).collect()}
+        assert stored == {i: crc([*x, 1]) for i, x in enumerate(want)}
+
+
+def test_more_units_than_slots(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOT_BITS", 3)
+    text = " ".join(f"w{k}" for k in range(500))
+    ids, _ = tokens.Encoder(BYTE, True).encode(*tk.buffers(pa.array([text])))
+    assert ids.tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_make_different_shingles():
+    one, two = mirrored(11)
+    _, value = tk.shingles(*tk.buffers(pa.array([one, two, one])))
+    assert value[0] == value[2] != value[1]
+
+
+@pytest.mark.parametrize("n", [1, 7, 5000])
+def test_perfect_hash_is_minimal_and_round_trips(n):
+    keys = tk.mix(np.arange(n, dtype=np.uint64))
     made = token_store.PerfectHash.build(keys)
     again = token_store.PerfectHash.from_bytes(made.to_bytes())
-    assert sorted(again.slots(keys).tolist()) == list(range(5000))
+    assert sorted(again.slots(keys).tolist()) == list(range(n))
+    assert (again.slots(keys[:1]) == again.slots(keys)[:1]).all()
+    with pytest.raises(ValueError, match="repeat"):
+        token_store.PerfectHash.build(np.append(keys, keys[0]))
 
 
-def test_token_store_round_trip(spark, odd, tmp_path):
+def test_width_holds_every_id():
+    assert token_store.id_width(WORD, 1) == 2
+    assert token_store.id_width(WORD, 1 << 16) == 4
+
+
+@pytest.mark.parametrize("bucket", [1 << 14, 4])
+def test_token_store_round_trip(spark, odd, tmp_path, monkeypatch, bucket):
+    monkeypatch.setattr(token_store, "BUCKET_KEYS", bucket)
     path = str(tmp_path / "store")
-    token_store.write(odd, path, WORD, shard_ids=50)
+    more = [(5, f"another text {k} of the same id", "en", "a") for k in range(20)] + [(None, f"another text {k} without id", "en", "a") for k in range(20)]
+    docs = odd.select("doc_id", "text").union(documents(spark, more).select("doc_id", "text"))
+    token_store.write(docs, path, WORD, shard_ids=50)
     rows = sorted(plain(token_store.read(spark, path)), key=lambda r: r["start"])
-    assert [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in odd.collect()), key=lambda x: (x is not None, x))
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert [r["doc_id"] for r in rows] == sorted((i for i, _ in texts), key=lambda x: (x is not None, x))
     t = Tokenizer.from_file(WORD)
-    want = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in odd.collect()}
+    want = [(i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in texts]
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    key = lambda x: (x[0] is not None, *x)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows), key=key) == sorted(((i, len(x), crc(x)) for i, x in want), key=key)
     start = 0
     for r in rows:
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(want[r["doc_id"]]), zlib.crc32(np.array(want[r["doc_id"]], "<u4").tobytes()))
+        assert r["start"] == start
         start += r["n_tokens"]
-    assert token_store.lookup(spark, path, [3, 6, 1000]) == {3: want[3], 6: want[6], 1000: None}
+    asked = spark.createDataFrame([(k,) for k in (3, 5, 6, 6, 7, 1000, -8, None)] + [(k,) for k in range(2000, 4000)], "doc_id long")
+    got = sorted(((r["doc_id"], r["ids"]) for r in token_store.lookup(asked, path).collect()), key=lambda x: (str(x[0]), x[1]))
+    assert got == sorted(((i, x) for i, x in want if i in (3, 5, 6, 7, None)), key=lambda x: (str(x[0]), x[1]))
 
 
 def test_empty_token_store(spark, empty, tmp_path):
