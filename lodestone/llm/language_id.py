@@ -2,17 +2,23 @@
 
 Each language has a variable-order byte context tree (orders 0 to 3) with counts from a bounded
 labelled sample. The counts are frozen; a symbol that a context has not seen costs the context's
-escape (method C: distinct symbols over total plus distinct) and goes on to the shorter context,
-down to a uniform order -1. A text's code length under each tree is exact, and its language is the
-one with the shortest.
+escape (method C: distinct symbols over total plus distinct) and goes on to the shorter context, down
+to a uniform order -1 of 8 bits; a context that the language has not seen costs nothing. A text's code
+length under each tree is exact, and its language is the one with the shortest.
 
-The trees of all languages are compiled into one table: a row for every context that any language
-has, holding each symbol's cost in every language. Scoring a batch of texts is then two array
-lookups per byte, and the table has a fixed bound (``max_contexts`` x ``max_symbols`` x languages).
+The trees of up to ``GROUP`` languages are compiled together: for every string of one to four bytes that
+any of them has seen, the whole cost of its last byte after the others in each language, escapes
+included, and for every context its escapes. Scoring finds the longest known string at each byte and
+adds the escapes of the longer contexts before it. Nothing is pruned or rounded.
+
+Bounds. At most ``cells`` texts of each language are learned from, and at most ``most_languages``
+languages, beyond which ``fit`` refuses; so is a model of more than ``most_bytes``, as it is sent to
+every worker.
 
 Defined results: null text or one without a letter gives ``und`` with score 0; equal code lengths
 give the language whose name sorts first; with nothing to learn from every text is ``und``;
-repeated rows are scored alike; further columns of ``docs`` are left out of the result.
+repeated rows are scored alike, and learned from once; further columns of ``docs`` are left out of the
+result.
 """
 
 from __future__ import annotations
@@ -29,27 +35,62 @@ from lodestone.llm.common import batch, crc_of_id, prepare
 
 UNDETERMINED = "und"
 ORDER = 3
-#: Costs are stored in 1/512 bit.
-SCALE = 512
+#: Languages whose costs stand in one table.
+GROUP = 8
+#: Costs that are held at once while a text is scored.
+HELD = 4_000_000
+#: Bits that the uniform code is behind by, as a rival of the languages.
+RIVAL = 16.0
 
 #: Case and digits carry no language.
 FOLD = tk.LOWER.copy()
 FOLD[48:58] = 48
 
 
+@dataclass
+class Trees:
+    """The compiled trees of some languages. ``costs`` and ``escapes`` are in bits, a column for each language."""
+
+    strings: list[tk.Numbered]  # of 1 to ORDER + 1 bytes
+    costs: list[np.ndarray]
+    contexts: list[tk.Numbered]  # of 0 to ORDER bytes
+    escapes: list[np.ndarray]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.costs, *self.escapes)) + sum(x.keys.nbytes + x.slots.nbytes for x in (*self.strings, *self.contexts))
+
+    def spent(self, string: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of ORDER + 1 bytes."""
+        number = self.strings[ORDER].find(string)
+        out = self.costs[ORDER][number]
+        left = np.flatnonzero(number < 0)
+        out[left] = 0
+        for order in range(ORDER, -1, -1):  # the strings that this order doesn't know
+            context = (string[left] >> 8) & ((1 << 8 * order) - 1)
+            known = self.contexts[order].find(context)
+            out[left] += np.where((known >= 0)[:, None], self.escapes[order][known], 0.0)
+            if order:
+                number = self.strings[order - 1].find(string[left] & ((1 << 8 * order) - 1))
+                out[left[number >= 0]] += self.costs[order - 1][number[number >= 0]]
+                left = left[number < 0]
+        out[left] += 8.0
+        return out
+
+
 @dataclass
 class PpmModel:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    context: np.ndarray  # three preceding symbols -> row of cost
-    cost: np.ndarray  # (contexts, symbols, languages) in 1/SCALE bit
+    groups: list[Trees]
 
 
-def _sample(docs: DataFrame, learn: Column, cells: int) -> DataFrame:
+def _sample(docs: DataFrame, learn: Column, cells: int, most_languages: int) -> DataFrame:
     """At most ``cells`` labelled texts of each language: the least hash in each cell of hashes."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    languages = known.select("lang").distinct().limit(most_languages + 1).count()
+    if languages > most_languages:
+        raise ValueError(f"more than most_languages={most_languages} languages")
     least = known.groupBy("lang", F.pmod("h", F.lit(cells)).alias("cell")).agg(F.min("h").alias("h"))
-    return known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "text")
+    return known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def _gram_counts(batches):
@@ -74,86 +115,84 @@ def _gram_counts(batches):
                         yield batch(schema, lang=[lang] * len(got), len=np.full(len(got), length, np.int32), gram=got, n=n.astype(np.int64))
 
 
-def fit(docs: DataFrame, learn: Column, cells: int = 256, max_symbols: int = 128, max_contexts: int = 16384) -> PpmModel | None:
-    """Learn from rows where ``learn`` holds. The labelled sample has at most ``cells`` texts a language."""
+def _compiled(lang: np.ndarray, length: np.ndarray, gram: np.ndarray, n: np.ndarray, n_languages: int) -> Trees:
+    """``lang`` numbers the languages; a gram is ``length`` bytes, the last one lowest."""
+    strings, costs, contexts, escapes = [], [], [], []
+    for order in range(ORDER + 1):
+        at = length == order + 1
+        keys, row = np.unique(gram[at], return_inverse=True)
+        count = np.zeros((len(keys), n_languages))
+        count[row, lang[at]] = n[at]
+        before, context = np.unique(keys >> 8, return_inverse=True)
+        total, kinds = np.zeros((len(before), n_languages)), np.zeros((len(before), n_languages))
+        np.add.at(total, context, count)
+        np.add.at(kinds, context, count > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
+            direct = np.log2((total + kinds)[context]) - np.log2(count)
+        # a string without its oldest byte has been seen wherever the string has
+        shorter = costs[-1][strings[-1].find(keys & ((1 << 8 * order) - 1))] if order else np.full((len(keys), n_languages), 8.0)
+        strings.append(tk.Numbered(keys))
+        costs.append(np.where(count > 0, direct, escape[context] + shorter))
+        contexts.append(tk.Numbered(before))
+        escapes.append(escape)
+    return Trees(strings, costs, contexts, escapes)
+
+
+def fit(docs: DataFrame, learn: Column, cells: int = 256, most_languages: int = 64, most_bytes: int = 512 << 20) -> PpmModel | None:
+    """Learn from rows where ``learn`` holds: at most ``cells`` texts a language."""
     prepare(docs.sparkSession)
-    grams = _sample(docs, learn, cells).mapInArrow(_gram_counts, "lang string, len int, gram long, n long")
+    grams = _sample(docs, learn, cells, most_languages).mapInArrow(_gram_counts, "lang string, len int, gram long, n long")
     rows = grams.groupBy("lang", "len", "gram").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:
         return None
     languages = sorted(rows["lang"].unique())
     lang = np.searchsorted(languages, rows["lang"].to_numpy(object).astype(str))
     length, gram, n = rows["len"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy()
-
-    seen = np.zeros(256, np.int64)
-    np.add.at(seen, gram[length == 1], n[length == 1])
-    common = np.argsort(-seen, kind="stable")[: min(max_symbols - 1, int((seen > 0).sum()))]
-    symbol = np.full(256, len(common), np.uint8)  # the last symbol stands for all other bytes
-    symbol[common] = np.arange(len(common))
-    a = len(common) + 1
-    coded = [symbol[(gram >> (8 * k)) & 255].astype(np.int64) for k in range(ORDER + 1)]  # 0: the byte itself, then back
-
-    context = np.zeros(a**ORDER, np.int32)
-    tables: list[np.ndarray] = []
-    shorter_cost = np.full((1, a, len(languages)), np.log2(256.0))  # order -1
-    shorter_keys = np.zeros(1, np.int64)
-    offset = 0
-    for order in range(ORDER + 1):
-        at = length == order + 1
-        code = np.zeros(int(at.sum()), np.int64)
-        for k in range(1, order + 1):
-            code = code * a + coded[k][at]
-        keys = np.unique(code)
-        if order == ORDER and len(keys) > max_contexts:
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, np.searchsorted(keys, code), n[at])
-            keys = np.sort(keys[np.argsort(-total, kind="stable")[:max_contexts]])
-        own = np.searchsorted(keys, code)
-        own[own == len(keys)] = 0
-        ok = keys[own] == code
-        count = np.zeros((len(keys), a, len(languages)), np.float32)
-        np.add.at(count, (own[ok], coded[0][at][ok], lang[at][ok]), n[at][ok])
-        # a context without its oldest byte has been seen wherever the context has
-        base = shorter_cost[np.searchsorted(shorter_keys, keys // a) if order else np.zeros(1, np.int64)]
-        sums = count.sum(1, keepdims=True)
-        kinds = (count > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            direct = -np.log2(count / (sums + kinds))
-            escaped = -np.log2(kinds / (sums + kinds)) + base
-        table = np.where(count > 0, direct, np.where(sums > 0, escaped, base)).astype(np.float32)
-        tables.append(np.minimum(np.rint(table * SCALE), 32767).astype(np.int16))
-        # all longer contexts that end like this one point here until a longer one replaces them
-        context.reshape(-1, a ** (ORDER - order))[keys] = (offset + np.arange(len(keys)))[:, None]
-        offset += len(keys)
-        shorter_cost, shorter_keys = table, keys
-    return PpmModel(languages, symbol, context, np.concatenate(tables))
+    groups = []
+    for first in range(0, len(languages), GROUP):
+        own = (lang >= first) & (lang < first + GROUP)
+        groups.append(_compiled(lang[own] - first, length[own], gram[own], n[own], min(GROUP, len(languages) - first)))
+    if (size := sum(g.nbytes() for g in groups)) > most_bytes:
+        raise ValueError(f"the model has {size} bytes, more than most_bytes={most_bytes}: learn from fewer cells")
+    return PpmModel(languages, groups)
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Bits of each text under each language."""
-    a = model.cost.shape[1]
+    """Bits of each text under each language; a text starts after blanks."""
     out = np.zeros((len(offs) - 1, len(model.languages)))
     if not len(data):
         return out
-    sym = model.symbol[FOLD[data]].astype(np.int32)
-    blank = int(model.symbol[32])
-    back = np.zeros(len(sym), np.int32)
-    starts = offs[:-1][np.diff(offs) > 0]
+    string = FOLD[data].astype(np.int64)
+    codes, starts = string.copy(), offs[:-1][np.diff(offs) > 0]
     for k in range(1, ORDER + 1):
-        old = np.empty_like(sym)
-        old[:k], old[k:] = blank, sym[:-k] if len(sym) > k else sym[:0]
-        for j in range(k):  # a text starts after blanks
+        old = np.full_like(codes, 32)
+        old[k:] = codes[: len(codes) - k]
+        for j in range(k):
             near = starts + j
-            old[near[near < len(sym)]] = blank
-        back = back * a + old
-    spent = model.cost.reshape(-1, len(model.languages))[model.context[back].astype(np.int64) * a + sym]
-    filled = np.flatnonzero(np.diff(offs) > 0)
-    out[filled] = np.add.reduceat(spent, offs[filled], axis=0, dtype=np.int64) / SCALE
+            old[near[near < len(codes)]] = 32
+        string |= old << (8 * k)
+    step = HELD // min(GROUP, len(model.languages))
+    for lo in range(0, len(data), step):
+        hi = min(lo + step, len(data))
+        row = np.arange(np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left"))
+        row = row[offs[row + 1] > offs[row]]
+        at = np.maximum(offs[row], lo) - lo
+        for k, trees in enumerate(model.groups):
+            out[row, k * GROUP : k * GROUP + GROUP] += np.add.reduceat(trees.spent(string[lo:hi]), at, axis=0)
     return out
 
 
+def posterior(bits: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """Of the best language of each text, under equal priors of all, against a uniform code of 8 bits a byte too."""
+    best = bits.min(1)
+    rivals = np.exp2(-(bits - best[:, None])).sum(1)
+    with np.errstate(over="ignore"):
+        return 1 / (rivals + np.exp2(np.minimum(best - (8.0 * n_bytes + RIVAL), 1000)))
+
+
 def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
-    """(doc_id, lang_pred, score): the score is the posterior of the language under equal priors."""
+    """(doc_id, lang_pred, score): the score is the ``posterior`` of the language."""
     spark = docs.sparkSession
     prepare(spark)
     shape = "doc_id long, lang_pred string, score double"
@@ -169,11 +208,11 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
         names = np.array([*m.languages, UNDETERMINED], object)
         for whole in batches:
             for part in tk.slices(whole, "text"):
-                bits = code_lengths(m, *tk.buffers(part.column("text")))
+                data, offs = tk.buffers(part.column("text"))
+                bits = code_lengths(m, data, offs)
                 letter = part.column("letter").to_numpy(zero_copy_only=False)
                 best = bits.argmin(1)
-                worse = np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
-                yield batch(schema, doc_id=part.column("doc_id"), lang_pred=names[np.where(letter, best, len(m.languages))], score=np.where(letter, 1 / worse, 0.0))
+                yield batch(schema, doc_id=part.column("doc_id"), lang_pred=names[np.where(letter, best, len(m.languages))], score=np.where(letter, posterior(bits, np.diff(offs)), 0.0))
 
     return texts.mapInArrow(score, shape)
 
@@ -186,8 +225,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def gate(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Keep the documents whose language is determined with a posterior of at least ``least``.
+    """Keep the documents whose language is determined with a ``posterior`` of at least ``least``.
 
+    Texts that no learned language codes better than 8 bits a byte, as those of another script, go.
     Every row is judged by itself and passes with all its columns; repeated rows stay repeated.
     """
     spark = docs.sparkSession
@@ -201,8 +241,7 @@ def gate(docs: DataFrame, least: float = 0.5) -> DataFrame:
         m = held.value
         for whole in batches:
             for part in tk.slices(whole, "text"):
-                bits = code_lengths(m, *tk.buffers(part.column("text")))
-                worse = np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
-                yield part.filter(pa.array(1 / worse >= least))
+                data, offs = tk.buffers(part.column("text"))
+                yield part.filter(pa.array(posterior(code_lengths(m, data, offs), np.diff(offs)) >= least))
 
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(keep, docs.schema)

@@ -156,3 +156,35 @@ def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
     """Rows of small integers as rows of bytes, ``bits`` each, most significant first."""
     out = (values[..., None] >> np.arange(bits - 1, -1, -1).astype(values.dtype)) & 1
     return np.packbits(out.reshape(len(values), -1).astype(np.uint8), axis=1)
+
+
+class Numbered:
+    """The numbers of distinct 64-bit keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.int64)
+        self.bits = max(4, (3 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        number = np.arange(len(keys), dtype=np.int32)
+        home = self._home(self.keys)
+        while len(number):
+            free = self.slots[home] < 0
+            self.slots[home[free]] = number[free]
+            left = self.slots[home] != number
+            home, number = (home[left] + 1) & (len(self.slots) - 1), number[left]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(POLY)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        home = self._home(keys)
+        number = self.slots[home]
+        off = np.flatnonzero((number >= 0) & (self.keys[number] != keys))
+        while len(off):
+            home[off] = (home[off] + 1) & (len(self.slots) - 1)
+            number[off] = self.slots[home[off]]
+            off = off[(number[off] >= 0) & (self.keys[number[off]] != keys[off])]
+        return number

@@ -2,8 +2,10 @@
 
 import functools
 import hashlib
+import io
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -224,7 +226,32 @@ def test_netpbm_kinds():
     assert media.decode(b"P6\n1 1\n255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
 
 
-@pytest.mark.parametrize("raw", [b"", b"P7\n", b"GIF89a", b"P5\n9 9\n255\n1", b"BM", b"P5\n1 1\n70000\n12"])
+def bmp(width, height, depth, colours, palette, rows):
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(palette) + len(rows), 0, 0, 54 + len(palette))
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, depth, 0, len(rows), 0, 0, colours, 0) + palette + rows
+
+
+def test_bmp_kinds():
+    red, blue = bytes((0, 0, 255, 0)), bytes((255, 0, 0, 0))
+    assert media.decode(bmp(2, 1, 1, 2, red + blue, bytes([0b01000000, 0, 0, 0]))).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    assert media.decode(bmp(2, 1, 4, 2, red + blue, bytes([0x10, 0, 0, 0]))).tolist() == [[[0, 0, 255], [255, 0, 0]]]
+    assert media.decode(bmp(1, -2, 24, 0, b"", bytes([1, 2, 3, 0, 4, 5, 6, 0]))).tolist() == [[[3, 2, 1]], [[6, 5, 4]]]
+
+
+BROKEN = [
+    b"", b"P7\n", b"GIF89a", b"P5\n9 9\n255\n1", b"BM", b"P5\n1 1\n70000\n12", b"P5 " + b"9" * 400 + b" 9 255\n", b"P2 99999999 99999999 255\n1", b"P2 2 1 9 3 300", b"P2 1 1 255 -4",
+    b"P3 1 1 255 1 2 x", b"P5 2 1 3\n\x01\x09", bmp(2, 1, 8, 2, bytes(8), bytes([0, 2, 0, 0])), bmp(2, 1, 8, 1 << 30, bytes(8), bytes(4)), bmp(2**31 - 1, -(2**31), 24, 0, b"", b""),
+]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([b"P1 ", b"P2 3 2 9 ", b"P3 1 1 9 ", b"P4 9 2 ", b"P5 2 2 255 ", b"P6 1 1 99 ", bmp(3, 2, 8, 2, bytes(8), bytes(8))]), st.binary(max_size=80), st.integers(0, 60))
+def test_any_bytes_are_described(head, tail, cut):
+    for raw in (head + tail, head[:cut] + tail, head[:cut] + tail + head[cut:]):
+        assert len(media.described(raw)) == 4
+
+
+@pytest.mark.parametrize("raw", BROKEN)
 def test_broken_files_are_refused(raw):
     with pytest.raises(ValueError, match="."):
         media.decode(raw)
@@ -248,9 +275,14 @@ def test_media_digest(odd):
     for r in got:
         n, payload = want[r["doc_id"]]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        stored = media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        encode = media.ENCODERS[r["media_format"]]
+        stored = encode(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        tile = media.npy_tile(media.decode(stored))
+        assert (r["tile_crc32"], r["mean_brightness"]) == (zlib.crc32(tile), np.load(io.BytesIO(tile)).mean())
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert len({r["feature"] for r in got if r["doc_id"] in (3, 4)}) == 1
+    assert {r["media_format"] for r in got} == {"pgm", "bmp"}
+    assert media.query(odd.where("false")).count() == 0
 
 
 def test_media_features_of_broken_images_are_null(spark):
@@ -548,41 +580,68 @@ def test_language_is_predicted(spark, sf):
     assert {r["doc_id"] for r in held} == {r["doc_id"] for r in joined if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
 
 
-def test_code_lengths_are_those_of_the_tree(spark):
-    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("abab abba", "x"), ("cdcd dccd", "y")] * 12)]
-    model = language_id.fit(documents(spark, rows), F.lit(True))
-    text = "abad cz"
-    got = language_id.code_lengths(model, *tk.buffers(pa.array([text, ""])))
-    data = {"x": "abab abba", "y": "cdcd dccd"}
-    for k, lang in enumerate(model.languages):
-        grams = {}
-        for n in range(1, 5):
-            for i in range(len(data[lang]) - n + 1):
-                key = data[lang][i : i + n]
-                grams.setdefault(key[:-1], {}).setdefault(key[-1], 0)
-                grams[key[:-1]][key[-1]] += 12
-        known_contexts = {c for lang2 in data.values() for n in range(4) for i in range(len(lang2) - n) for c in [lang2[i : i + n]]}
-        alphabet = set("".join(data.values()))
-        bits = 0.0
-        for i, s in enumerate(text):
-            context = ("   " + text[:i])[-3:]
-            context = "".join(c if c in alphabet else "\0" for c in context)
-            while context not in known_contexts:
-                context = context[1:]
-            while True:
-                seen = grams.get(context, {})
+def tree_bits(texts, text):
+    """Bits of a text, byte by byte, under a context tree of some texts."""
+    grams = {}
+    for t in texts:
+        for n in range(4):
+            for i in range(n, len(t)):
+                seen = grams.setdefault(t[i - n : i], {})
+                seen[t[i]] = seen.get(t[i], 0) + 1
+    bits = 0.0
+    for i, s in enumerate(text):
+        context = (b"   " + text[:i])[-3:]
+        while True:
+            if seen := grams.get(context):
                 total = sum(seen.values()) + len(seen)
                 if s in seen:
                     bits -= np.log2(seen[s] / total)
                     break
-                if seen:
-                    bits -= np.log2(len(seen) / total)
-                if not context:
-                    bits += 8
-                    break
-                context = context[1:]
-        assert got[0, k] == pytest.approx(bits, abs=0.1)
-    assert got[1].tolist() == [0.0, 0.0]
+                bits -= np.log2(len(seen) / total)
+            if not context:
+                bits += 8
+                break
+            context = context[1:]
+    return bits
+
+
+@pytest.mark.parametrize("n_languages", [2, 11])
+def test_code_lengths_are_those_of_the_tree(spark, monkeypatch, n_languages):
+    rng = random.Random(4)
+    learned = {}
+    for k in range(n_languages):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzéßñ世界 ", 9) + [" "]
+        learned[f"l{k:02}"] = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 400))) for _ in range(12)]
+    rows = [(i, t, lang, "s") for i, (lang, t) in enumerate((lang, t) for lang, ts in learned.items() for t in ts)]
+    model = language_id.fit(documents(spark, rows), F.lit(True), cells=1 << 20)
+    assert model.languages == sorted(learned)
+    texts = ["abad cz", "", "q", "\u0416\u0436 unseen \x01", *[t for ts in learned.values() for t in ts[:3]], "ab 12 AB " * 50]
+    monkeypatch.setattr(language_id, "HELD", 1000)  # texts are longer than what is held at once
+    got = language_id.code_lengths(model, *tk.buffers(pa.array(texts)))
+    fold = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+    for k, lang in enumerate(model.languages):
+        want = [tree_bits([t.encode().translate(fold) for t in learned[lang]], x.encode().translate(fold)) for x in texts]
+        assert got[:, k] == pytest.approx(want, abs=1e-6)
+
+
+def test_language_sample_is_bounded(spark):
+    same = [(None, f"text number {k % 700} without id", "en", "s") for k in range(3000)] + [(7, "one text again", "en", "s")] * 500
+    got = language_id._sample(documents(spark, same), F.lit(True), 512, 4).collect()
+    assert 300 < len(got) <= 512 and len({r["text"] for r in got}) == len(got)
+    many = documents(spark, [(k, "text", f"l{k}", "s") for k in range(9)])
+    with pytest.raises(ValueError, match="most_languages"):
+        language_id.fit(many, F.lit(True), most_languages=8)
+    with pytest.raises(ValueError, match="most_bytes"):
+        language_id.fit(many, F.lit(True), most_bytes=10)
+
+
+def test_gate_refuses_texts_of_no_learned_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(2)
+    other = ["".join(chr(rng.randint(0x10A0, 0x10FF)) for _ in range(200)) for _ in range(5)]
+    more = spark.createDataFrame([(10_000 + k, t, None) for k, t in enumerate(other)], docs.schema)
+    kept = {r["doc_id"] for r in language_id.gate(docs.union(more)).collect()}
+    assert not kept & set(range(10_000, 10_005)) and len(kept) > 0.98 * docs.count()
 
 
 def test_language_of_odd_rows(odd, empty):
