@@ -37,6 +37,8 @@ UNDETERMINED = "und"
 ORDER = 3
 #: Languages whose costs stand in one table.
 GROUP = 8
+#: Tasks that count the strings of the sample, which is bounded: fewer tasks give fewer counts to add up.
+SAMPLE_TASKS = 8
 #: Costs that are held at once while a text is scored.
 HELD = 4_000_000
 #: Bits that the uniform code is behind by, as a rival of the languages.
@@ -90,7 +92,8 @@ def _sample(docs: DataFrame, learn: Column, cells: int, most_languages: int) ->
     if languages > most_languages:
         raise ValueError(f"more than most_languages={most_languages} languages")
     least = known.groupBy("lang", F.pmod("h", F.lit(cells)).alias("cell")).agg(F.min("h").alias("h"))
-    return known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    taken = known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    return taken.coalesce(SAMPLE_TASKS)
 
 
 def _gram_counts(batches):
