@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.containment import mentions
 
-def containments(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", run: int = 6) -> DataFrame:
-    """(item_id, doc_id): documents whose text contains an item's text.
 
-    An item's first run of words that fits is looked for among the documents' runs by an equi-join, and
-    only documents that have it are compared; so no item meets every document.
-    """
-    probe = items.select(item, F.col("text").alias("needle"), F.split("text", " ").alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(run)))
-    whole = probe.where("n < 1").select(item, "needle")
-    probe = probe.where("n >= 1").withColumn("probe", F.concat_ws(" ", F.slice("w", 2, F.col("n")))).select(item, "needle", "n", "probe")  # its first word may follow other text
-    lengths = [r["n"] for r in probe.select("n").distinct().collect()]  # at most ``run`` numbers
-    runs = docs.select(doc, F.split("text", " ").alias("w"))
-    # white space other than single blanks joins words; the probe has the same
-
-    def keys(n: int) -> Column:
-        all_runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, F.lit(n)))))
-        return F.when(F.size("w") >= n, all_runs).otherwise(F.array().cast("array<long>"))
-
-    each = [keys(n) for n in lengths]
-    keyed = probe.withColumn("key", F.xxhash64("probe"))
-    if each:
-        found = runs.select(doc, F.explode(F.array_distinct(F.concat(*each))).alias("key")).join(F.broadcast(keyed.select(item, "key")), "key").select(item, doc).distinct()
-        near = found.join(docs.select(doc, "text"), doc).join(keyed.select(item, "needle"), item).where(F.contains("text", "needle")).select(item, doc)
-    else:
-        near = docs.select(F.lit(None).cast(items.schema[item].dataType).alias(item), doc).where(F.lit(False))
-    # items of fewer than three words are too short to probe by
-    short = docs.select(doc, "text").join(F.broadcast(whole), F.contains("text", "needle")).select(item, doc)
-    return near.unionByName(short)
+def containments(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id") -> DataFrame:
+    """(item_id, doc_id): documents whose text contains an item's text; no item meets every document (``mentions``)."""
+    found = mentions(docs.select(F.col(doc).alias("text_id"), "text"), items.select(F.col("text").alias("needle")))
+    return found.join(items.select(item, F.col("text").alias("needle")), "needle").select(item, F.col("text_id").alias(doc))
 
 
 def ndcg(rankings: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -49,6 +28,20 @@ def ndcg(rankings: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return both.select("query", F.round(F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal), 4).alias("ndcg"))
 
 
+def evaluated(query_fn: Callable[[DataFrame], DataFrame], queries: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """X-03. (query, ndcg, recall) of any search that is passed in.
+
+    ``query_fn`` turns distinct (query) rows into rankings (query, id, rank from 1); it may be any
+    DataFrame program. Recall is the share of the relevant ids among the k best, 1 with nothing relevant.
+    """
+    asked = queries.select("query").distinct()
+    rankings, wanted = query_fn(asked), relevant.join(asked, "query", "left_semi").select("query", "id").distinct()
+    hits = rankings.where(F.col("rank") <= k).join(wanted, ["query", "id"]).groupBy("query").agg(F.count("*").alias("hits"))
+    n = wanted.groupBy("query").agg(F.count("*").alias("n"))
+    recall = asked.join(n, "query", "left").join(hits, "query", "left").select("query", F.round(F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("hits", F.lit(0)) / F.col("n")), 4).alias("recall"))
+    return recall.join(ndcg(rankings, wanted, k), "query", "left").select("query", F.coalesce("ndcg", F.when(F.col("recall") == 1, 1.0).otherwise(0.0)).alias("ndcg"), "recall")
+
+
 def best_constant(rankings_of, relevant: DataFrame, grid: Sequence[int], k: int = 10) -> DataFrame:
     """V-20, U-10. (k, mean ndcg) of each constant of fusion, the best first, ties to the smaller."""
     parts = [ndcg(rankings_of(c), relevant, k).agg(F.avg("ndcg").alias("mean")).select(F.lit(c).alias("k"), "mean") for c in grid]

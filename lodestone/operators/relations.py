@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.containment import mentions
+
 
 def tagged(memories: DataFrame, tags: DataFrame, dimensions: Sequence[str], match: str = "any") -> DataFrame:
     """J-01, J-02, J-03. Memories with any or all of the dimensions; semi-joins, so rows never multiply."""
@@ -71,12 +73,15 @@ def dangling(sources: DataFrame, files: DataFrame) -> DataFrame:
 def superseded(new: DataFrame, old: DataFrame, tags: DataFrame) -> DataFrame:
     """J-17. (old_id, new_id): old memories that share a dimension with a new one and mention its subject.
 
-    The equality on dimensions comes first, so the text condition sees only pairs that share one.
-    Of several new memories the one of least id wins, and none of the new ones is superseded.
+    Which old memories mention which subject is found first, by equi-joins on words; the dimension then
+    picks among the new memories of that subject, of which the least id of each dimension is enough.
+    None of the new ones is superseded.
     """
-    a = new.select(F.col("memory_id").alias("new_id"), "subject").join(tags.withColumnRenamed("memory_id", "new_id"), "new_id")
-    b = old.join(new.select("memory_id"), "memory_id", "left_anti").select(F.col("memory_id").alias("old_id"), "content").join(tags.withColumnRenamed("memory_id", "old_id"), "old_id")
-    hit = a.join(b, "dimension_id").where(F.contains(F.lower("content"), F.lower("subject")))
+    fresh = new.select(F.col("memory_id").alias("new_id"), F.lower("subject").alias("needle"))
+    least = fresh.join(tags.withColumnRenamed("memory_id", "new_id"), "new_id").groupBy("dimension_id", "needle").agg(F.min("new_id").alias("new_id"))
+    texts = old.join(new.select("memory_id"), "memory_id", "left_anti").select(F.col("memory_id").alias("text_id"), F.lower("content").alias("text"))
+    said = mentions(texts, fresh.select("needle")).withColumnRenamed("text_id", "old_id")
+    hit = said.join(tags.withColumnRenamed("memory_id", "old_id"), "old_id").join(least, ["dimension_id", "needle"])
     return hit.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
 
 
@@ -96,27 +101,12 @@ def candidates(new: DataFrame, old: DataFrame, tags: DataFrame, k: int = 50) ->
 def titles_mentioned(pages: DataFrame, shortest: int = 4) -> DataFrame:
     """J-19. (source_id, target_id): pages whose text has another page's title, whatever the case.
 
-    A title's inner words (its first and last may stand inside longer words) are looked for among the
-    runs of words of all texts by an equi-join, those of titles of one or two words by their first
-    characters; ``contains`` then decides. So no page is compared with all titles. A title counts for its
-    first page.
+    No page is compared with all titles (``mentions``). A title counts for its first page.
     """
-    words = F.lit(r"[\p{L}\p{N}]+")
-    titles = pages.where(F.length("title") >= shortest).groupBy("title").agg(F.min("page_id").alias("target_id"))
-    titles = titles.withColumn("w", F.regexp_extract_all(F.lower("title"), words, F.lit(0)))
-    inner = titles.where(F.size("w") > 2).withColumn("run", F.array_join(F.slice("w", 2, F.least(F.size("w") - 2, F.lit(3))), " "))
-    begin = titles.where(F.size("w") <= 2).withColumn("run", F.substring(F.lower("title"), 1, shortest))
-    texts = pages.select(F.col("page_id").alias("source_id"), F.lower("content").alias("low"), F.regexp_extract_all(F.lower("content"), words, F.lit(0)).alias("w"))
-
-    def runs(n: int | Column) -> Column:
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-    letters = F.when(F.size("c") >= shortest, F.transform(F.sequence(F.lit(1), F.size("c") - shortest + 1), lambda i: F.array_join(F.slice("c", i, F.lit(shortest)), ""))).otherwise(F.array().cast("array<string>"))
-    near = texts.select("source_id", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("run")).join(inner, "run")
-    if not begin.isEmpty():
-        near = near.unionByName(texts.withColumn("c", F.split("low", "")).select("source_id", F.explode(F.array_distinct(letters)).alias("run")).join(begin, "run"))
-    near = near.where("source_id <> target_id").select("source_id", "target_id", "title").distinct()
-    return near.join(texts.select("source_id", "low"), "source_id").where(F.contains("low", F.lower("title"))).select("source_id", "target_id")
+    titles = pages.where(F.length("title") >= shortest).groupBy("title").agg(F.min("page_id").alias("target_id")).withColumn("needle", F.lower("title"))
+    texts = pages.select(F.col("page_id").alias("text_id"), F.lower("content").alias("text"))
+    found = mentions(texts, titles.select("needle")).join(titles, "needle").where("text_id <> target_id")
+    return found.select(F.col("text_id").alias("source_id"), "target_id")
 
 
 def pages_sharing_tags(pages: DataFrame, most: int = 15) -> DataFrame:
@@ -145,10 +135,17 @@ def archive_chain(archive: DataFrame, start: str) -> DataFrame:
 
 
 def after(events: DataFrame, cursors: DataFrame) -> DataFrame:
-    """J-24. (subscriber_id, event…): events past each subscriber's (time, id) cursor."""
-    c = F.broadcast(cursors.select("subscriber_id", "last_ts", "last_id"))
+    """J-24. (subscriber_id, event…): events past each subscriber's (time, id) cursor.
+
+    A cursor stands for every day from its own to the last event's, so both sides meet by day and no event
+    is compared with subscribers who don't get it, but for those of its own day.
+    """
+    span = events.agg(F.min(F.to_date("ts")).alias("_lo"), F.max(F.to_date("ts")).alias("_hi"))  # one row
+    since = F.greatest(F.coalesce(F.to_date("last_ts"), F.col("_lo")), F.col("_lo"))
+    days = cursors.select("subscriber_id", "last_ts", "last_id").crossJoin(F.broadcast(span)).withColumn("_since", since).where("_since <= _hi")
+    days = days.withColumn("_day", F.explode(F.sequence("_since", "_hi"))).drop("_since", "_lo", "_hi")
     past = F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts")) | ((F.col("ts") == F.col("last_ts")) & (F.col("event_id") > F.col("last_id")))
-    return events.join(c, past).drop("last_ts", "last_id")
+    return events.withColumn("_day", F.to_date("ts")).join(days, "_day").where(past).drop("last_ts", "last_id", "_day")
 
 
 def both_forms(files: DataFrame) -> DataFrame:

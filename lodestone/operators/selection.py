@@ -227,18 +227,37 @@ def schema_errors(data: dict, schema: dict[str, str]) -> list[str]:
 
 
 def allowed_models(models: DataFrame, denied: DataFrame) -> DataFrame:
-    """P-29. Models whose name starts with no denied prefix."""
-    return models.join(F.broadcast(denied), F.col("model").startswith(F.col("prefix")), "left_anti")
+    """P-29. Models whose name starts with no denied prefix; a name meets the prefixes by its own beginnings."""
+    names = models.select("model").where("model IS NOT NULL").distinct()
+    starts = F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: F.substring("model", F.lit(1), n))
+    hit = names.select("model", F.explode(starts).alias("prefix")).join(denied.select("prefix"), "prefix", "left_semi")
+    return models.join(hit.select("model").distinct(), "model", "left_anti")
+
+
+#: Fixed value: tokens that an item of a section counts for.
+ITEM_TOKENS = 30
+SORTS = ("updated_at", "priority", "created_at", "occurred_at")
 
 
 def template_errors(template: dict, dimensions: Iterable[str]) -> list[str]:
-    """P-30. Unknown dimensions, limits outside 1 to 50, no positive token budget."""
-    known, out = set(dimensions), []
+    """P-30. What is wrong with a template: dimensions, limits, order, match and the token budget of its sections."""
+    known, out, total = set(dimensions), [], 0
+    own = template.get("memory_types")
+    out += [f"memory_types {d}" for d in own or [] if d not in known]
     for section in template.get("sections", []):
         q = section.get("query", {})
-        out += [f"dimension {d}" for d in q.get("dimensions", []) if d not in known]
-        if not 1 <= int(q.get("limit", 10)) <= 50:
-            out.append(f"limit {q['limit']}")
-    if int(template.get("token_budget", 1)) <= 0:
+        out += [f"dimension {d}" for d in q.get("dimensions", []) if d not in known or (own is not None and d not in own)]
+        limit = int(q.get("limit", 10))
+        total += limit
+        if not 1 <= limit <= 50:
+            out.append(f"limit {limit}")
+        if q.get("match", "all") not in ("all", "any"):
+            out.append(f"match {q['match']}")
+        if q.get("sort") and q["sort"] not in SORTS:
+            out.append(f"sort {q['sort']}")
+        if not 0 <= int(q.get("priority_min", 0)) <= 100:
+            out.append(f"priority_min {q['priority_min']}")
+    budget = template.get("token_budget")
+    if budget is not None and (int(budget) <= 0 or total * ITEM_TOKENS > int(budget)):
         out.append("token_budget")
     return out

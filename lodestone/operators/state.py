@@ -142,7 +142,7 @@ def pages_superseded(pages: DataFrame) -> DataFrame:
 
 def checked_links(links: DataFrame, kinds: DataFrame) -> DataFrame:
     """D-20. Links of known kinds, each once; the highest confidence counts."""
-    return links.join(F.broadcast(kinds), "rel_type", "left_semi").groupBy("source_id", "target_id", "rel_type").agg(F.max("confidence").alias("confidence"))
+    return links.join(kinds, "rel_type", "left_semi").groupBy("source_id", "target_id", "rel_type").agg(F.max("confidence").alias("confidence"))
 
 
 def recovered_tasks(tasks: DataFrame) -> DataFrame:

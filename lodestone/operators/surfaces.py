@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import yaml
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,40 @@ def section(memories: DataFrame, tags: DataFrame, dimensions: Sequence[str], vel
     return selection.limit_then_filter(found, [F.desc(order), F.asc("memory_id")], limit, F.col("priority") >= priority_min)
 
 
+def load_template(texts: Mapping[str, str], name: str, dimensions: Sequence[str], default_budget: int = 700) -> dict:
+    """G-04. A template in YAML over the one that it extends, checked.
+
+    ``texts`` holds the YAML of each template by name. A template may extend one that extends none; its
+    sections replace those of the same title and follow them otherwise.
+    """
+    own = yaml.safe_load(texts[name])
+    if own.get("name") != name:
+        raise ValueError(f"template {name} calls itself {own.get('name')}")
+    if base_name := own.get("extends"):
+        if base_name not in texts:
+            raise ValueError(f"template {name} extends {base_name}, which there isn't")
+        base = yaml.safe_load(texts[base_name])
+        if base.get("extends"):
+            raise ValueError(f"template {name} extends {base_name}, which extends another")
+        own = base | {k: v for k, v in own.items() if v is not None} | {"sections": paging.merged_sections(base.get("sections") or [], own.get("sections") or [])}
+    own.setdefault("token_budget", default_budget)
+    if not own.get("memory_types") or not own.get("sections"):
+        raise ValueError(f"template {name} has no memory_types or no sections")
+    if found := selection.template_errors(own, dimensions):
+        raise ValueError(f"template {name}: {', '.join(found)}")
+    return own
+
+
+def template_sections(memories: DataFrame, tags: DataFrame, template: dict, velocities: dict[str, str], as_of: str) -> list[tuple[str, DataFrame]]:
+    """G-03, G-04. (title, rows) of each section of a template, as its query says."""
+    out = []
+    for s in template["sections"]:
+        q = s["query"]
+        rows = section(memories, tags, q["dimensions"], velocities, as_of, q.get("match", "all"), True, q.get("time_window"), int(q.get("priority_min", 0)), q.get("sort"), int(q.get("limit", 10)))
+        out.append((s["title"], rows))
+    return out
+
+
 def blocks(sections: Sequence[tuple[str, DataFrame]], as_of: str, order: str = "updated_at") -> DataFrame:
     """G-02, W-03. (section, title, rank, memory_id, content, relative_time) of all sections, without repeats."""
     parts = None

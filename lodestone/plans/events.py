@@ -118,6 +118,25 @@ def t17_incremental_refine(spark, sf):
     return fresh.groupBy("file_id").agg(F.count("*").alias("fresh"), F.max("seq").alias("next_cursor"))
 
 
+@query("messages raw_files", "SELECT file_id, count(*) AS items, max(seq) AS last_refined_seq FROM messages JOIN raw_files USING (file_id) WHERE seq > last_refined_seq GROUP BY 1")
+def t18_refine_on_append(spark, sf):
+    """Messages are appended in several files, some of them twice; each is refined once, from its file's cursor on."""
+    from lodestone.operators import refinement as L
+    from lodestone.plans.refinement import DYNAMIC, echo
+    from lodestone.session import working_path
+
+    folder, m = working_path(spark, "appended"), E.messages(spark, sf)
+    for part in (m.where("seq <= 2"), m.where("seq > 1 AND seq <= 5"), m.where("seq > 5")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = S.messages_stream(spark, folder, "file_id string, seq int, role string, content string", 1)
+
+    def refine(fresh):
+        return L.extracted(L.answers(fresh.select("file_id", F.concat_ws(" ", F.lit("said:"), "content").alias("prompt")), echo), DYNAMIC)
+
+    done = S.refined_on_append(stream, "refine", E.raw_files(spark, sf).select("file_id", "last_refined_seq"), refine)
+    return done.groupBy("file_id").agg(F.sum("items").alias("items"), F.max("last_refined_seq").alias("last_refined_seq"))
+
+
 @query()
 def t19_token_bucket(spark, sf):
     """A wait depends on the waits before, so no SQL; tests compare it with a loop."""

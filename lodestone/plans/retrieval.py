@@ -208,9 +208,18 @@ def v19_ndcg(spark, sf):
     return evaluation.ndcg(*_rankings(spark, sf))
 
 
-@query()
+GRID = (5, 10, 30, 60, 90)
+IDEAL = "(SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= (SELECT count(*) FROM memories WHERE priority >= 50))"
+POINTS = " UNION ALL ".join(
+    f"""SELECT {c} AS k, round((SELECT coalesce(sum(1 / log2(rank + 1)), 0) FROM (SELECT memory_id, row_number() OVER (ORDER BY rrf DESC, pb NULLS LAST, pv NULLS LAST, memory_id) AS rank FROM ({FUSED.format(c=c)}))
+    WHERE rank <= 10 AND memory_id IN (SELECT memory_id FROM memories WHERE priority >= 50)) / {IDEAL}, 4) AS mean"""
+    for c in GRID
+)
+
+
+@query("memories memory_vectors", f"WITH {routes_sql(30)} {POINTS}")
 def v20_fusion_grid(spark, sf):
-    """A grid of fused rankings; each point is v08 and v19, which have oracles."""
+    """The mean NDCG of fused rankings for each constant of fusion."""
     routes = _routes(spark, sf, 30)
     relevant = E.memories(spark, sf).where("priority >= 50").select(F.lit("q").alias("query"), F.col("memory_id").alias("id"))
 
@@ -219,7 +228,21 @@ def v20_fusion_grid(spark, sf):
         order = [F.desc("rrf"), F.col("_bm25").asc_nulls_last(), F.col("_vector").asc_nulls_last(), F.asc("memory_id")]
         return evaluation.ranked(fused, *order).select(F.lit("q").alias("query"), F.col("memory_id").alias("id"), "rank")
 
-    return evaluation.best_constant(rankings, relevant, [5, 10, 30, 60, 90])
+    return evaluation.best_constant(rankings, relevant, GRID)
+
+
+@query("memories memory_tags", f"""
+    WITH qs AS (SELECT DISTINCT dimension_id AS query FROM memory_tags), r AS (SELECT * FROM ({RANKED}) WHERE query <> 'focus'), g AS ({RELEVANT}), h AS (SELECT query, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN g USING (query, id) WHERE rank <= 20 GROUP BY 1),
+    n AS (SELECT query, n, (SELECT sum(1 / log2(k + 1)) FROM range(1, 21) t(k) WHERE k <= n) AS ideal FROM (SELECT query, count(*) AS n FROM g GROUP BY 1))
+    SELECT query, round(CASE WHEN n IS NULL THEN 1 ELSE coalesce(dcg, 0) / ideal END, 4) AS ndcg, round(CASE WHEN n IS NULL THEN 1 ELSE coalesce(hits, 0) / n END, 4) AS recall FROM qs LEFT JOIN n USING (query) LEFT JOIN h USING (query)""")
+def x03_query_function(spark, sf):
+    """A search that is passed in: the memories of a dimension by priority, and nothing for one of them."""
+    rankings, relevant = _rankings(spark, sf)
+
+    def search(queries):
+        return rankings.join(queries.where("query <> 'focus'"), "query", "left_semi")
+
+    return evaluation.evaluated(search, rankings, relevant, 20)
 
 
 @query("memories memory_tags", f"WITH {NDCG}, s AS (SELECT round(CASE WHEN ideal IS NULL THEN 1 ELSE coalesce(dcg, 0) / ideal END, 4) AS ndcg FROM q LEFT JOIN i USING (query) LEFT JOIN d USING (query)) SELECT CASE WHEN count(*) = 0 THEN 'no_queries' WHEN max(ndcg) - min(ndcg) < 1e-6 THEN 'no_discrimination' ELSE 'discriminates' END AS conclusion FROM s")

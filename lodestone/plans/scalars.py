@@ -30,10 +30,12 @@ def f04_query_terms(spark, sf):
     return spark.createDataFrame([(t,) for t in fulltext.query_terms("The AND, x1 the!")], "term string")
 
 
-@query("", "SELECT * FROM (VALUES ('the Daemon gateway runs'), ('daemons run'), ('gateway daemon')) AS t(query)")
+@query("", r"""SELECT p_partkey, CASE WHEN q <> p_name THEN q ELSE p_name END AS query FROM (SELECT *, CASE WHEN regexp_matches(r, '\bred\b', 'i') OR NOT regexp_matches(r, '\bpink\b', 'i') THEN r ELSE regexp_replace(r, '\b(pink)\b', '\1 red', 'gi') END AS q
+    FROM (SELECT *, CASE WHEN regexp_matches(p_name, '\bblue\b', 'i') THEN p_name ELSE regexp_replace(p_name, '\b(navy|azure)\b', '\1 blue', 'gi') END AS r FROM (
+    SELECT p_partkey, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Navy' WHEN 1 THEN ' navyblue' WHEN 2 THEN ' PINK' ELSE ' azure' END) AS p_name FROM part)))""")
 def f05_alias_terms(spark, sf):
-    aliases = {"daemon": "gateway"}
-    return spark.createDataFrame([(T.add_canonical_terms(q, aliases),) for q in ("the Daemon runs", "daemons run", "gateway daemon")], "query string")
+    word = F.element_at(F.array(F.lit(" Navy"), F.lit(" navyblue"), F.lit(" PINK"), F.lit(" azure")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return E.table(spark, sf, "part").select("p_partkey", T.with_canonical_terms(F.concat("p_name", word), {"navy": "blue", "azure": "blue", "pink": "red"}).alias("query"))
 
 
 @query("memories", r"SELECT memory_id, trim(regexp_replace(content, '\s+', ' ', 'g')) AS content FROM memories")
@@ -51,9 +53,9 @@ def f08_truncate(spark, sf):
     return E.memories(spark, sf).select("memory_id", T.truncated(F.col("content"), 300).alias("content"))
 
 
-@query("memories", f"SELECT memory_id, regexp_replace(content, '{T.SECRETS}', '<REDACTED>', 'g') AS content FROM memories")
+@query("", r"SELECT doc_id, regexp_replace(text, '(sk-|ark-|ghp_)[A-Za-z0-9-]{12,}', '<REDACTED>', 'g') AS text FROM documents")
 def f09_redact(spark, sf):
-    return E.memories(spark, sf).select("memory_id", T.redacted("content").alias("content"))
+    return E.table(spark, sf, "documents").select("doc_id", T.redacted("text", (*T.SECRET_PREFIXES, "ghp_")).alias("text"))
 
 
 @query("", "SELECT p_partkey, lower(trim(p_name)) AS name FROM part")

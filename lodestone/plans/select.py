@@ -173,10 +173,14 @@ def p27_quality_rules(spark, sf):
     return E.memories(spark, sf).select("memory_id", F.array_join(P.quality_rules(F.col("content"), 500, 4000), ",").alias("failed"))
 
 
-@query("", "SELECT event_id FROM events WHERE json_extract(props, '$.k') IS NULL OR json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT')")
+@query("", "SELECT event_id FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('[', props, ']') WHEN 2 THEN replace(props, ':', ': \"x') ELSE replace(props, '\"k\"', '\"other\"') END AS p FROM events) WHERE NOT coalesce(CASE WHEN json_valid(p) THEN json_type(p) = 'OBJECT' AND json_type(p, '$.k') IN ('BIGINT', 'UBIGINT') END, false)")
 def p28_schema_errors(spark, sf):
-    got = F.from_json("props", "k long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return E.table(spark, sf, "events").select("event_id", got.alias("p")).where(F.col("p").isNull() | F.col("p.k").isNull() | F.col("p._bad").isNotNull()).select("event_id")
+    """Events whose properties, some of them spoilt here, have no whole number ``k``."""
+    k = F.col("event_id") % 4
+    spoilt = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("["), "props", F.lit("]"))).when(k == 2, F.replace("props", F.lit(":"), F.lit(': "x'))).otherwise(F.replace("props", F.lit('"k"'), F.lit('"other"')))
+    rows = E.table(spark, sf, "events").select("event_id", spoilt.alias("p"))
+    got = F.from_json("p", "k long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.select("event_id", got.alias("g"), F.startswith(F.trim("p"), F.lit("{")).alias("object")).where(~F.coalesce(F.col("object") & F.col("g.k").isNotNull() & F.col("g._bad").isNull(), F.lit(False))).select("event_id")
 
 
 @query("", "SELECT p_partkey FROM part WHERE NOT (starts_with(p_type, 'ECONOMY') OR starts_with(p_type, 'SMALL'))")

@@ -50,6 +50,26 @@ def g03_inject_stats(spark, sf):
     return G.block_stats(_blocks(spark, sf), 2)
 
 
+TEMPLATES = {
+    "base": "{name: base, memory_types: [status, focus, identity, skills], token_budget: 2000, sections: [{title: now, query: {dimensions: [status], limit: 3}}, {title: who, query: {dimensions: [identity, skills], match: any, priority_min: 30, limit: 12}}]}",
+    "mine": "{name: mine, extends: base, sections: [{title: now, query: {dimensions: [status, focus], match: any, limit: 20}}, {title: best, query: {dimensions: [skills], sort: priority, limit: 9}}]}",
+}
+
+
+def _section_sql(title: str, dims: str, order: str, limit: int, least: int = 0) -> str:
+    found = f"SELECT * FROM memories WHERE {LIVE} AND memory_id IN (SELECT memory_id FROM memory_tags WHERE dimension_id IN ({dims})) ORDER BY {order} DESC, memory_id LIMIT {limit}"
+    return f"SELECT '{title}' AS section, memory_id FROM ({found}) WHERE priority >= {least}"
+
+
+@query("memories memory_tags", " UNION ALL ".join((_section_sql("now", "'status', 'focus'", "updated_at", 20), _section_sql("who", "'identity', 'skills'", "priority", 12, 30), _section_sql("best", "'skills'", "priority", 9))))
+def g04_template(spark, sf):
+    """A template that extends another, read, checked, and run section by section."""
+    template = G.load_template(TEMPLATES, "mine", E.DIMENSION_IDS)
+    sections = G.template_sections(E.memories(spark, sf), E.memory_tags(spark, sf), template, VELOCITY, AS_OF)
+    parts = [rows.select(F.lit(title).alias("section"), "memory_id") for title, rows in sections]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 NODES = """s AS (SELECT scene_id, (SELECT count(*) FROM scene_memories m WHERE m.scene_id = x.scene_id) AS size FROM scenes x WHERE status = 'active' ORDER BY heat DESC, scene_id LIMIT 200),
     p AS (SELECT page_id FROM wiki_pages WHERE status = 'active' ORDER BY updated_at DESC, page_id LIMIT 200), m AS (SELECT memory_id FROM memories WHERE status = 'active' ORDER BY priority DESC, memory_id LIMIT 3000),
     nodes AS (SELECT concat('s', scene_id) AS id, 'scene' AS kind, size FROM s UNION ALL SELECT concat('w', page_id), 'wiki', 1 FROM p UNION ALL SELECT concat('m', memory_id), 'memory', 1 FROM m)"""
@@ -108,24 +128,32 @@ def s02_row_by_key(spark, sf):
 
 
 def _sessions(spark, sf):
-    said = E.messages(spark, sf).withColumn("role", F.when(F.col("role") == "system", "tool").otherwise(F.col("role")))
-    return said.withColumn("timestamp", F.concat(F.lit("2024-03-01T00:00:"), F.lpad("seq", 2, "0"), F.lit("Z"))).withColumn("tool_name", F.when(F.col("role") == "tool", "sh"))
+    """Messages with times, some of them from tools."""
+    tool = (F.col("role") == "assistant") & (F.col("seq") % 3 == 0)
+    said = E.messages(spark, sf).withColumns({"role": F.when(tool, "tool").otherwise(F.col("role")), "tool_name": F.when(tool & (F.col("seq") % 2 == 0), "sh")})
+    return said.withColumn("timestamp", F.concat(F.lit("2024-03-01T00:00:"), F.lpad("seq", 2, "0"), F.lit("Z")))
+
+
+TOOL = "role = 'assistant' AND seq % 3 = 0"
+PARSED = f"""SELECT file_id, seq, concat('2024-03-01T00:00:', lpad(CAST(seq AS VARCHAR), 2, '0'), 'Z') AS timestamp, CASE WHEN {TOOL} THEN 'tool' ELSE role END AS role,
+    regexp_replace(regexp_replace(content, '^\n+', ''), '\n+$', '') AS content, CASE WHEN {TOOL} AND seq % 2 = 0 THEN 'sh' END AS tool_name FROM messages"""
 
 
-@query("messages", "SELECT file_id, seq, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role, trim(content) AS content, CASE role WHEN 'system' THEN 'sh' END AS tool_name FROM messages")
+@query("messages", PARSED)
 def s03_session_files(spark, sf):
-    """A round trip: messages are written as session files and parsed again."""
+    """A round trip: messages are written as session files and parsed again, every role and tool as it was."""
     folder = _folder(spark, "sessions")
     S.session_text(_sessions(spark, sf)).select("text").repartition(8).write.text(folder, lineSep="\u0001\n")
-    files = spark.read.option("lineSep", "\u0001\n").text(folder)
-    parsed = files.select(S.front_matter("value", "session_key").alias("file_id"), F.inline(S.parse_session("value")))
-    return parsed.select("file_id", "seq", "role", F.trim("content").alias("content"), "tool_name")
+    files = spark.read.option("lineSep", "\u0001\n").text(folder).where(S.session_fault("value").isNull())
+    return files.select(S.front_matter("value", "file_id").alias("file_id"), F.inline(S.parse_session("value")))
 
 
-@query("messages", "SELECT file_id, count(*) AS n, min(seq) AS first_seq FROM messages GROUP BY 1")
+@query("messages", PARSED)
 def s04_parse_body(spark, sf):
-    parsed = S.session_text(_sessions(spark, sf)).select("file_id", F.explode(S.parse_session("text")).alias("m"))
-    return parsed.groupBy("file_id").agg(F.count("*").alias("n"), F.min("m.seq").alias("first_seq"))
+    """Blocks alone, as they are appended to a file."""
+    blocks = _sessions(spark, sf).select("file_id", "seq", S.message_block(F.lit(False)).alias("block"))
+    bodies = blocks.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "block")))["block"], "").alias("text"))
+    return bodies.select("file_id", F.inline(S.parse_body("text")))
 
 
 @query("messages", "SELECT source_type, count(*) AS n FROM messages, (VALUES ('session'), ('upload')) AS t(source_type) GROUP BY 1")
@@ -136,11 +164,12 @@ def s05_write_and_append(spark, sf):
     return spark.read.parquet(folder).groupBy("source_type").agg(F.count("*").alias("n"))
 
 
-@query("messages", "SELECT file_id, CASE CAST(file_id AS INT) % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'no front matter' END AS fault FROM messages GROUP BY 1")
+@query("messages", """SELECT file_id, CASE CAST(file_id AS INT) % 5 WHEN 0 THEN 'no front matter' WHEN 1 THEN 'front matter isn''t closed' WHEN 2 THEN 'no file_id or session_key'
+    WHEN 3 THEN 'unknown format_version' END AS fault FROM messages GROUP BY 1""")
 def s08_session_fault(spark, sf):
-    k = F.col("file_id").cast("int") % 3
-    texts = S.session_text(_sessions(spark, sf)).withColumn("text", F.when(k == 0, "").when(k == 1, F.substring("text", 5, 1 << 30)).otherwise(F.col("text")))
-    return texts.select("file_id", S.session_fault("text").alias("fault"))
+    k, text = F.col("file_id").cast("int") % 5, F.col("text")
+    broken = F.when(k == 0, F.substring(text, 5, 1 << 30)).when(k == 1, F.substring(text, 1, 40)).when(k == 2, F.replace(text, F.lit("session_key"), F.lit("key"))).when(k == 3, F.replace(text, F.lit("format_version: 1"), F.lit("format_version: 2"))).otherwise(text)
+    return S.session_text(_sessions(spark, sf)).select("file_id", S.session_fault(broken).alias("fault"))
 
 
 @query("", "SELECT kind, fault, count(*) AS n FROM (SELECT 'url' AS kind, NULL AS fault FROM pages UNION ALL SELECT 'file', CASE WHEN item_id % 2 = 0 THEN NULL ELSE 'unsupported pdf' END FROM benchmark UNION ALL SELECT 'text', NULL FROM benchmark) GROUP BY 1, 2")
@@ -262,3 +291,13 @@ def x01_custom_rule(spark, sf):
     spark.udf.register("no_marks", lambda s: "%%%" not in (s or ""), "boolean")
     E.memories(spark, sf).createOrReplaceTempView("lodestone_memories")
     return spark.sql("SELECT memory_id, length(content) >= 500 AND no_marks(content) AS ok FROM lodestone_memories")
+
+
+@query("memories", "SELECT memory_id, CASE WHEN CAST(memory_id AS INT) % 2 = 0 THEN length(content) ELSE 2 * length(content) END AS first, CAST(memory_id AS INT) % 2 = 0 AS was_cached FROM memories")
+def x02_embedding_cache_hook(spark, sf):
+    """A producer fills what the cache lacks; here vectors of a text's length, twice that if newly produced."""
+    m = E.memories(spark, sf).select("memory_id", "content")
+    cache = m.where("int(memory_id) % 2 = 0").select(F.sha2(F.concat_ws("|", "memory_id", "content"), 256).alias("content_key"), F.lit("m").alias("model"), F.array(F.length("content").cast("float")).alias("embedding"), F.lit(1).alias("dims"))
+    texts = m.withColumn("size", F.length("content")).withColumn("content", F.concat_ws("|", "memory_id", "content"))
+    filled, _ = S.filled_vectors(texts, cache, "m", 1, lambda s: s.map(lambda t: [2.0 * (len(t) - t.index("|") - 1)]))
+    return filled.select("memory_id", F.col("embedding")[0].cast("long").alias("first"), "was_cached")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import html_title, to_markdown
 
-MESSAGE_HEAD = r"(?m)^# (\S+) (user|assistant|tool)(?: \(([^)]*)\))?\n"
+#: Fixed values of session files: the version of their format, a message's head, and the line that names a tool.
+FORMAT_VERSION = 1
+MESSAGE_HEAD = r"(?mdU)^#{1,2}\s+(\S+)\s+(user|assistant|tool|system)\s*$"
+TOOL_LINE = r"(?dU)\A\*\*tool\*\*:\s*(\S+)"
+FRONT = r"(?sd)\A---[ \t\r]*\n(.*?\n)??[ \t]*---[ \t\r]*(?:\n|\z)"
 
 
 def open_store(spark: SparkSession, folder: str, tables: dict[str, str]) -> dict[str, DataFrame]:
@@ -32,41 +37,70 @@ def row_of(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
-def parse_session(text: Column | str) -> Column:
-    """S-03, S-04. array<struct<seq, timestamp, role, content, tool_name>> of a session file's text."""
+def parse_body(text: Column | str) -> Column:
+    """S-04. array<struct<seq, timestamp, role, content, tool_name>> of messages: each begins at a head, with one # or two.
+
+    What stands before the first head is no message. A tool's first line may name it. Contents lose
+    the empty lines around them and nothing else.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    body = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
-    heads = F.regexp_extract_all(body, F.lit(MESSAGE_HEAD), F.lit(0))
-    parts = F.slice(F.split(body, MESSAGE_HEAD), 2, F.greatest(F.size(heads), F.lit(0)))
+    heads = F.regexp_extract_all(text, F.lit(MESSAGE_HEAD), F.lit(0))
+    parts = F.slice(F.split(text, MESSAGE_HEAD), 2, F.greatest(F.size(heads), F.lit(0)))
+
+    def bare(part: Column) -> Column:
+        return F.regexp_replace(part, r"\A\n+|\n+\z", "")
 
     def message(part: Column, i: Column) -> Column:
-        head = F.element_at(heads, i + 1)
-        tool = F.regexp_extract(head, r"\(([^)]*)\)", 1)
-        return F.struct((i + 1).cast("int").alias("seq"), F.regexp_extract(head, r"^# (\S+)", 1).alias("timestamp"), F.regexp_extract(head, r"^# \S+ (\w+)", 1).alias("role"), F.trim(F.regexp_replace(part, r"^\n+|\n+$", "")).alias("content"), F.when(tool != "", tool).alias("tool_name"))
+        head, said = F.element_at(heads, i + 1), bare(part)
+        role = F.regexp_extract(head, MESSAGE_HEAD, 2)
+        tool = F.when(role == "tool", F.nullif(F.regexp_extract(said, TOOL_LINE, 1), F.lit("")))
+        rest = F.when(F.contains(said, F.lit("\n")), bare(F.regexp_replace(said, r"\A[^\n]*\n", ""))).otherwise("")
+        return F.struct((i + 1).cast("int").alias("seq"), F.regexp_extract(head, MESSAGE_HEAD, 1).alias("timestamp"), role.alias("role"), F.when(tool.isNull(), said).otherwise(rest).alias("content"), tool.alias("tool_name"))
 
     return F.transform(parts, message)
 
 
+def parse_session(text: Column | str) -> Column:
+    """S-03. The messages of a session file's text, after its front matter."""
+    return parse_body(F.regexp_replace(text, FRONT, ""))
+
+
 def front_matter(text: Column | str, name: str) -> Column:
-    head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
-    found = F.regexp_extract(head, rf"(?m)^{name}: *(.*)$", 1)
-    return F.when(found != "", F.trim(found))
+    """A field of the front matter without quotes, null if it isn't there."""
+    found = F.regexp_extract(F.regexp_extract(text, FRONT, 1), rf"(?md)^{name}:[ \t]*(.*?)[ \t\r]*$", 1)
+    return F.nullif(F.regexp_replace(found, r"^'(.*)'$|^\"(.*)\"$", "$1$2"), F.lit(""))
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """S-03, S-14. (file_id, session_key, seq, timestamp, role, content, tool_name) of a folder of session files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
-    files = files.withColumn("file_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1))
-    return files.select("file_id", front_matter("value", "session_key").alias("session_key"), F.inline(parse_session("value")))
+    """S-03, S-14. (file_id, session_key, seq, timestamp, role, content, tool_name) of a folder of session files.
+
+    Files that ``session_fault`` finds fault with are left out.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    files = files.where(session_fault("value").isNull())
+    return files.select(front_matter("value", "file_id").alias("file_id"), front_matter("value", "session_key").alias("session_key"), F.inline(parse_session("value")))
+
+
+def message_block(first: Column) -> Column:
+    """S-06. A message as a block; the first of a file has one #."""
+    tool = F.when(F.col("tool_name").isNotNull() & (F.col("role") == "tool"), F.concat(F.lit("**tool**: "), "tool_name", F.lit("\n\n"))).otherwise("")
+    end = F.when((F.col("content") == "") | F.endswith("content", F.lit("\n\n")), "").when(F.endswith("content", F.lit("\n")), "\n").otherwise("\n\n")
+    return F.concat(F.when(first, "# ").otherwise("## "), "timestamp", F.lit(" "), "role", F.lit("\n"), tool, "content", end)
 
 
 def session_text(messages: DataFrame) -> DataFrame:
-    """S-05, S-06. (file_id, text): each session's messages as a file."""
-    tool = F.when(F.col("tool_name").isNotNull(), F.concat(F.lit(" ("), F.col("tool_name"), F.lit(")"))).otherwise("") if "tool_name" in messages.columns else F.lit("")
-    block = F.concat(F.lit("# "), F.col("timestamp"), F.lit(" "), F.col("role"), tool, F.lit("\n"), F.col("content"), F.lit("\n\n"))
-    blocks = messages.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", block.alias("block"))))["block"].alias("blocks"))
-    head = F.concat(F.lit("---\nsession_key: "), F.col("file_id"), F.lit("\n---\n"))
-    return blocks.select("file_id", F.concat(head, F.array_join("blocks", "")).alias("text"))
+    """S-05, S-06. (file_id, text): each session's messages as a file.
+
+    ``session_key``, ``tool_name`` and ``started_at`` are taken where ``messages`` has them.
+    """
+    for name, other in (("tool_name", F.lit(None).cast("string")), ("session_key", F.col("file_id")), ("started_at", F.col("timestamp"))):
+        if name not in messages.columns:
+            messages = messages.withColumn(name, other)
+    first = F.col("seq") == F.min("seq").over(Window.partitionBy("file_id"))
+    blocks = messages.withColumn("block", F.struct("seq", message_block(first).alias("text")))
+    files = blocks.groupBy("file_id").agg(F.sort_array(F.collect_list("block"))["text"].alias("blocks"), F.min("session_key").alias("key"), F.min("started_at").cast("string").alias("at"))
+    head = F.concat(F.lit(f"---\nformat_version: {FORMAT_VERSION}\nfile_id: '"), "file_id", F.lit("'\nsession_key: '"), "key", F.lit("'\nsource_type: session\nstarted_at: '"), "at", F.lit("'\n---\n"))
+    return files.select("file_id", F.concat(head, F.array_join("blocks", "")).alias("text"))
 
 
 def write_sessions(messages: DataFrame, path: str, source_type: str = "session") -> None:
@@ -76,8 +110,14 @@ def write_sessions(messages: DataFrame, path: str, source_type: str = "session")
 
 def session_fault(text: Column | str) -> Column:
     """S-08. Why a session file can't be used, null if it can."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.when(F.coalesce(F.trim(text) == "", F.lit(True)), "empty").when(~text.startswith("---\n"), "no front matter").when(F.size(parse_session(text)) == 0, "no messages")
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    version = F.try_to_number(front_matter(text, "format_version"), F.lit("999999"))
+    return (
+        F.when(~text.rlike(r"(?d)\A---[ \t\r]*(\n|\z)"), "no front matter")
+        .when(~text.rlike(FRONT), "front matter isn't closed")
+        .when(front_matter(text, "file_id").isNull() | front_matter(text, "session_key").isNull(), "no file_id or session_key")
+        .when(F.coalesce(version != FORMAT_VERSION, F.lit(True)), "unknown format_version")
+    )
 
 
 def ingest(sources: DataFrame) -> DataFrame:
@@ -138,6 +178,25 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, model: str, dims: int) ->
     return texts.withColumn("content_key", F.sha2("content", 256)).join(own, "content_key", "left").drop("content_key")
 
 
+def filled_vectors(texts: DataFrame, cache: DataFrame, model: str, dims: int, producer: Callable[[pd.Series], pd.Series]) -> tuple[DataFrame, DataFrame]:
+    """X-02. (texts with vectors and ``was_cached``, rows for the cache): ``producer`` is asked for what the cache lacks.
+
+    It gets batches of distinct texts inside tasks and returns their vectors. The rows are a result to be
+    stored; until they are, asking again produces them again.
+    """
+    found = cached_vectors(texts, cache, model, dims)
+    wanted = found.where("embedding IS NULL AND content IS NOT NULL").select("content").distinct()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(embedding=producer(f["content"]))
+
+    made = wanted.mapInPandas(ask, "content string, embedding array<float>").select(F.sha2("content", 256).alias("content_key"), F.lit(model).alias("model"), "embedding", F.lit(dims).alias("dims"))
+    missing = found.where("embedding IS NULL").drop("embedding").withColumn("content_key", F.sha2("content", 256))
+    new = missing.join(made.select("content_key", "embedding"), "content_key", "left").drop("content_key").withColumn("was_cached", F.lit(False))
+    return found.where("embedding IS NOT NULL").withColumn("was_cached", F.lit(True)).unionByName(new), made
+
+
 def snapshot(tables: dict[str, DataFrame], folder: str, version: str) -> None:
     """S-21, S-25. A version of a store; readers name the version they want."""
     for name, df in tables.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -89,24 +90,27 @@ def care_events(memories: DataFrame, tags: DataFrame, as_of: str, moods: list[st
     return out.withColumn("event_id", uuid5(F.concat_ws(":", "type", "key")))
 
 
-def events_stream(spark: SparkSession, path: str) -> DataFrame:
-    """T-06, T-18. A stream of the events in a folder; new files are new events."""
+def events_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """T-06. A stream of the events in a folder; new files are new events."""
     schema = spark.read.parquet(path).schema
     glob = f"{path[:-1]}[{path[-1]}]"  # a pattern may stand for a file, a plain path only for a folder
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(glob)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
     return rows.select("event_id", F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """T-15, T-16. Run a stream over all there is and return what it wrote."""
+def drained(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """T-15, T-16. Run a stream over all there is and return what it wrote; ``each`` turns a batch into what is written.
+
+    A batch that is repeated after a failure replaces what it wrote before.
+    """
     spark = stream.sparkSession
     base = working_path(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+        (batch if each is None else each(batch, n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    (writer.foreachBatch(each or keep)).start().awaitTermination()
+    writer.foreachBatch(keep).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
@@ -121,21 +125,75 @@ def unique_events(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def with_suppression(stream: DataFrame, seconds: int = 1800) -> DataFrame:
-    """T-01 as a stream: whether an event follows one of its type and source within the time, across batches."""
+def kept_times(times: list[int], width: int) -> list[int]:
+    """Those of sorted times that tell for any later time whether one of them is at most ``width`` before it: two a width."""
+    out: list[int] = []
+    for t in times:
+        while len(out) > 1 and t - out[-2] <= width:
+            out.pop()
+        out.append(t)
+    return out
+
+
+def with_suppression(stream: DataFrame, seconds: int = 1800, late: str = "1 day") -> DataFrame:
+    """T-01 as a stream: whether an event follows one of its type and source within the time, across batches.
+
+    An event is judged by what has come by then, in order of time within a batch. One that comes late is judged by
+    the events before its own time, and doesn't change hints that were given; later than ``late`` behind the
+    latest it is left out by the watermark. A key's state is a few times, and goes when the watermark has passed them.
+    """
+    width = seconds * 1_000_000
 
     def mark(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        us = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
         hints = []
-        for t in us:
-            hints.append(last is not None and 0 <= t - last <= seconds * 1_000_000)
-            last = t
-        state.update((last,))
+        for t in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
+            at = bisect.bisect_right(known, t)
+            hints.append(at > 0 and t - known[at - 1] <= width)
+            known.insert(at, t)
+            if len(known) > 64:
+                known = kept_times(known, width)
+        passed = state.getCurrentWatermarkMs()
+        known = [t for t in kept_times(known, width) if t + width >= passed * 1000] or known[-1:]
+        state.update((known,))
+        state.setTimeoutTimestamp(max(known[-1] // 1000 + seconds * 1000, passed) + 1)
         yield pd.DataFrame({"event_id": rows["event_id"], "suppress_hint": hints})
 
-    return stream.groupBy("type", "source").applyInPandasWithState(mark, "event_id long, suppress_hint boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.withWatermark("ts", late).groupBy("type", "source")
+    return keyed.applyInPandasWithState(mark, "event_id long, suppress_hint boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def messages_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:
+    """T-18. A stream of the messages that are appended to a folder of Parquet files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def refined_on_append(stream: DataFrame, name: str, cursors: DataFrame, refine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """T-18. (file_id, items, last_refined_seq) of each batch: ``refine`` gets the messages past their file's cursor.
+
+    Cursors start from ``cursors`` (file_id, last_refined_seq) and move with the batches that were written, so a
+    message that comes again is not refined again.
+    """
+    spark = stream.sparkSession
+    folder = working_path(spark, f"cursors-{name}")
+    shape = "file_id string, last_refined_seq int"
+    cursors.select("file_id", F.col("last_refined_seq").cast("int").alias("last_refined_seq")).write.parquet(f"{folder}/batch=-1")
+
+    def each(batch: DataFrame, n: int) -> DataFrame:
+        before = spark.read.schema(f"{shape}, batch int").parquet(folder).where(F.col("batch") < n)
+        known = before.groupBy("file_id").agg(F.max("last_refined_seq").alias("last_refined_seq"))
+        fresh = batch.join(known, "file_id", "left").where(F.col("seq") > F.coalesce("last_refined_seq", F.lit(0))).drop("last_refined_seq").dropDuplicates(["file_id", "seq"])
+        moved = fresh.groupBy("file_id").agg(F.max("seq").cast("int").alias("last_refined_seq"))
+        items = refine(fresh).groupBy("file_id").agg(F.count("*").alias("items"))
+        done = moved.join(items, "file_id", "left").select("file_id", F.coalesce("items", F.lit(0)).alias("items"), "last_refined_seq")
+        done.select("file_id", "last_refined_seq").write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        return done
+
+    return drained(stream, name, each=each)
 
 
 def tokens_left(times: list[float], rate: float, burst: float) -> list[float]:

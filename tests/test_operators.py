@@ -1,15 +1,20 @@
 """Edge cases and sequential operators against plain loops."""
 
+import datetime
 import difflib
+import math
+import random
 import sqlite3
+import time
 import unicodedata
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, fulltext, ranking, relations, retrieval, selection, vectors
+from lodestone.operators import containment, evaluation, fulltext, ranking, relations, retrieval, selection, surfaces, vectors
 from lodestone.operators import paging as O
 from lodestone.operators import state as D
 from lodestone.sources import stores
@@ -212,14 +217,42 @@ def test_markdown():
     assert T.markdown(page) == "T & U\n## A b\n\none\n\ntwo <\n\n- [L](/x)"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (None, ""), ("plain &amp; simple", "plain & simple"), ("<h1>A<br>b</h1>c", "# Ab\nc"), ("<h2><a href='/x'>in</a> heading</h2>", "## in heading"), ("<a>no target</a>", "no target"), ("<a href=/y> <b>B</b> </a>", "[B](/y)"),
+        ("a<style>p{}</style><noscript><p>n</p></noscript>b", "ab"), ("<ul><li>one<li>two</ul>", "- one\n- two"), ("<table><tr><td>1</td></tr></table>2", "1\n\n2"), ("<h3>never ends", "never ends"), ("x<p></p><p></p><p></p>y", "x\n\ny"), ("<H1>Up</H1>", "# Up"),
+    ],
+)
+def test_markdown_of_small_pages(page, want):
+    assert T.markdown(page) == want
+
+
+def test_page_title():
+    assert T.page_title("<title> A &lt; B </title><title>other</title>") == "A < B"
+    assert T.page_title("<p>none</p>") is None
+
+
 def test_double_encoded_tags(spark):
     rows = [('["a","b"]',), ('"[\\"a\\"]"',), ("x",), (None,)]
     assert [r["t"] for r in spark.createDataFrame(rows, "s string").select(T.tag_list("s").alias("t")).collect()] == [["a", "b"], ["a"], [], []]
 
 
-def test_secrets(spark):
-    got = spark.createDataFrame([("my api_key: abc123 and sk-aaaaaaaaaaaaaaaaaaaa",)], "s string").select(T.redacted("s").alias("s")).first()["s"]
-    assert got == "my <REDACTED> and <REDACTED>"
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("key sk-aaaaaaaaaaaaaaaaaaaa and ark-0123456789-ab.", "key <REDACTED> and <REDACTED>."),
+        ("API_KEY=sk-short, token = abc123, api_key: name", "API_KEY=sk-short, token = abc123, api_key: name"),
+        ("own_0123456789abcdef", "own_0123456789abcdef"),
+    ],
+)
+def test_secrets(spark, text, want):
+    assert spark.createDataFrame([(text,)], "s string").select(T.redacted("s").alias("s")).first()["s"] == want
+
+
+def test_secrets_of_an_installation(spark):
+    df = spark.createDataFrame([("own_0123456789abcdef sk-012345678901",)], "s string")
+    assert df.select(T.redacted("s", (*T.SECRET_PREFIXES, "own_")).alias("s")).first()["s"] == "<REDACTED> <REDACTED>"
 
 
 def test_relative_time_of_the_future_is_null(spark):
@@ -246,11 +279,196 @@ def test_page_rejects_unknown_sort(memories):
         O.page(memories, "content", ("priority",), "memory_id")
 
 
+SESSION = """---
+format_version: 1
+file_id: 6f1a
+session_key: 'agent:main'
+agent_id: null
+started_at: '2024-03-01T00:00:00Z'
+---
+# 2024-03-01T00:00:00Z user
+hello
+# 1 line in it
+
+## 2024-03-01T00:00:01Z system
+
+  indented, and kept
+
+## 2024-03-01T00:00:02Z tool
+**tool**: sh
+
+out 1
+
+out 2
+
+## 2024-03-01T00:00:03Z tool
+no name here
+
+## 2024-03-01T00:00:04Z assistant
+"""
+
+
 def test_session_parse(spark):
-    text = "---\nsession_key: s1\n---\n# 2024 user\nhello\n# 1 line in it\n\n# 2025 tool (sh)\nout\n"
-    row = spark.createDataFrame([(text,)], "v string").select(stores.parse_session("v").alias("m"), stores.front_matter("v", "session_key").alias("k")).first()
-    assert row["k"] == "s1"
-    assert [(m["seq"], m["role"], m["content"], m["tool_name"]) for m in row["m"]] == [(1, "user", "hello\n# 1 line in it", None), (2, "tool", "out", "sh")]
+    body = SESSION.split("---\n", 2)[2]
+    row = spark.createDataFrame([(SESSION, body)], "v string, b string").select(stores.parse_session("v").alias("m"), stores.parse_body("b").alias("b"), stores.front_matter("v", "session_key").alias("k"), stores.session_fault("v").alias("f")).first()
+    assert row["k"] == "agent:main" and row["f"] is None
+    want = [
+        (1, "2024-03-01T00:00:00Z", "user", "hello\n# 1 line in it", None),
+        (2, "2024-03-01T00:00:01Z", "system", "  indented, and kept", None),
+        (3, "2024-03-01T00:00:02Z", "tool", "out 1\n\nout 2", "sh"),
+        (4, "2024-03-01T00:00:03Z", "tool", "no name here", None),
+        (5, "2024-03-01T00:00:04Z", "assistant", "", None),
+    ]
+    for messages in (row["m"], row["b"]):
+        assert [(m["seq"], m["timestamp"], m["role"], m["content"], m["tool_name"]) for m in messages] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "fault"),
+    [
+        (None, "no front matter"), ("", "no front matter"), ("# 2024 user\nhi\n", "no front matter"), ("---\nfile_id: a\n", "front matter isn't closed"), ("---", "front matter isn't closed"),
+        ("---\nfile_id: a\nformat_version: 1\n---\n", "no file_id or session_key"), ("---\nsession_key: a\nformat_version: 1\n---\n", "no file_id or session_key"),
+        ("---\nfile_id: a\nsession_key: b\n---\n", "unknown format_version"), ("---\nfile_id: a\nsession_key: b\nformat_version: 2\n---\n", "unknown format_version"), ("---\nfile_id: a\nsession_key: b\nformat_version: x\n---\n", "unknown format_version"),
+        ("---\nfile_id: a\nsession_key: b\nformat_version: 1\n---\n", None),
+    ],
+)
+def test_session_faults(spark, text, fault):
+    assert spark.createDataFrame([(text,)], "v string").select(stores.session_fault("v").alias("f")).first()["f"] == fault
+
+
+def test_session_folder(spark, tmp_path):
+    (tmp_path / "sessions").mkdir()
+    (tmp_path / "sessions" / "6f1a.md").write_text(SESSION)
+    (tmp_path / "broken.md").write_text("# 2024 user\nhi\n")
+    got = stores.read_sessions(spark, str(tmp_path)).collect()
+    assert {(r["file_id"], r["session_key"]) for r in got} == {("6f1a", "agent:main")} and len(got) == 5
+
+
+def test_session_files_are_read_as_written(spark):
+    rows = [("a", 1, "t1", "user", "x\n\n", None), ("a", 2, "t2", "tool", "  y", "sh"), ("a", 3, "t3", "system", "", None)]
+    said = spark.createDataFrame(rows, "file_id string, seq int, timestamp string, role string, content string, tool_name string")
+    text = stores.session_text(said)
+    assert text.select(stores.session_fault("text").alias("f")).first()["f"] is None
+    got = text.select(F.inline(stores.parse_session("text"))).collect()
+    assert [(r["seq"], r["timestamp"], r["role"], r["content"], r["tool_name"]) for r in got] == [(1, "t1", "user", "x", None), (2, "t2", "tool", "  y", "sh"), (3, "t3", "system", "", None)]
+
+
+def test_mentions_equal_a_nested_loop(spark):
+    rng = random.Random(3)
+    parts = ["ab", "abc", "b", "cab", "é", "世界", "-", "--", "?!", " ", "  ", ".", "x1"]
+    some = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    texts = [(k, some(rng.randint(0, 30))) for k in range(150)] + [(200, None), (201, "")]
+    needles = {some(rng.randint(1, 4)) for _ in range(40)} | {t[a : a + n] for _, t in texts[:150] for a, n in [(rng.randint(0, 9), rng.randint(0, 25))]} | {"", "zzz", "ab ab ab ab ab ab", "?", " "}
+    got = containment.mentions(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame([(n,) for n in [*needles, *needles]] + [(None,)], "needle string"))
+    want = sorted((i, n) for i, t in texts if t is not None for n in needles if n in t)
+    assert sorted(map(tuple, got.collect())) == want
+    none = spark.createDataFrame([], "needle string")
+    assert containment.mentions(spark.createDataFrame(texts, "text_id int, text string"), none).count() == 0
+
+
+def test_events_after_cursors(spark):
+    events = spark.createDataFrame([(k, f"2024-01-{1 + k // 5:02} 0{k % 5}:00:00") for k in range(40)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = [("none", None, None), ("early", "2020-01-01 00:00:00", 5), ("mid", "2024-01-03 02:00:00", 11), ("tie", "2024-01-03 02:00:00", 12), ("late", "2024-02-01 00:00:00", 0), ("last", "2024-01-08 04:00:00", 39)]
+    cursors = spark.createDataFrame(rows, "subscriber_id string, last_ts string, last_id long").withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    got = sorted((r["subscriber_id"], r["event_id"]) for r in relations.after(events, cursors).collect())
+    assert got == sorted([("none", k) for k in range(40)] + [("early", k) for k in range(40)] + [("mid", k) for k in range(12, 40)] + [("tie", k) for k in range(13, 40)])
+    assert relations.after(events.where("false"), cursors).count() == 0
+
+
+def test_denied_models(spark):
+    models = spark.createDataFrame([("gpt-x", 1), ("gpt-x", 2), ("abc", 3), (None, 4), ("", 5)], "model string, n int")
+    denied = lambda *p: spark.createDataFrame([(x,) for x in p], "prefix string")
+    assert sorted(r["n"] for r in selection.allowed_models(models, denied("gpt-", "abcd", None)).collect()) == [3, 4, 5]
+    assert sorted(r["n"] for r in selection.allowed_models(models, denied("")).collect()) == [4]
+
+
+def test_templates():
+    good = {"base": "{name: base, memory_types: [a, b], token_budget: 900, sections: [{title: x, query: {dimensions: [a], limit: 3}}]}", "own": "{name: own, extends: base, sections: [{title: y, query: {dimensions: [b]}}, {title: x, query: {dimensions: [a, b], limit: 4}}]}"}
+    got = surfaces.load_template(good, "own", ["a", "b"])
+    assert [(s["title"], s["query"].get("limit")) for s in got["sections"]] == [("x", 4), ("y", None)]
+    assert got["name"] == "own" and got["token_budget"] == 900 and got["memory_types"] == ["a", "b"]
+    for text, reason in (
+        ("{name: other}", "calls itself"), ("{name: t, extends: none}", "isn't"), ("{name: t, extends: own}", "extends another"), ("{name: t, memory_types: [a]}", "no sections"),
+        ("{name: t, memory_types: [c], sections: [{title: x, query: {dimensions: [c], limit: 1}}]}", "memory_types c"), ("{name: t, memory_types: [a], sections: [{title: x, query: {dimensions: [b], limit: 1}}]}", "dimension b"),
+        ("{name: t, extends: base, token_budget: 50}", "token_budget"), ("{name: t, extends: base, sections: [{title: x, query: {dimensions: [a], limit: 51}}]}", "limit 51"), ("{name: t, extends: base, sections: [{title: x, query: {dimensions: [a], match: some}}]}", "match some"),
+        ("{name: t, extends: base, sections: [{title: x, query: {dimensions: [a], sort: size}}]}", "sort size"), ("{name: t, extends: base, sections: [{title: x, query: {dimensions: [a], priority_min: 101}}]}", "priority_min 101"),
+    ):
+        with pytest.raises(ValueError, match=reason):
+            surfaces.load_template(good | {"t": text}, "t", ["a", "b"])
+
+
+def test_kept_times_answer_alike():
+    rng = random.Random(5)
+    for _ in range(50):
+        times = sorted(rng.randint(0, 200) for _ in range(rng.randint(1, 40)))
+        kept = signals.kept_times(times, 20)
+        assert set(kept) <= set(times) and len(kept) <= 2 * (200 // 20 + 1)
+        for t in range(230):
+            near = lambda ts, t=t: any(0 <= t - x <= 20 for x in ts)
+            assert near(kept) == near(times)
+
+
+def test_suppression_over_batches(spark, tmp_path):
+    """Several files, each a batch, with events that come late."""
+    rng = random.Random(7)
+    start, rows = datetime.datetime(2024, 1, 1), []
+    for k in range(240):
+        at = start + datetime.timedelta(minutes=10 * k - (rng.randint(0, 300) if rng.random() < 0.3 else 0))
+        rows.append((k, rng.choice("ab"), rng.randint(0, 1), at, 1.0))
+    for n in range(6):
+        part = spark.createDataFrame(rows[40 * n : 40 * n + 40], "event_id long, event_type string, user_id long, ts timestamp, value double")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    got = {r["event_id"]: r["suppress_hint"] for r in signals.drained(signals.with_suppression(signals.events_stream(spark, str(tmp_path / "in"), 1)), "test").collect()}
+    want, known = {}, {}
+    for n in range(6):
+        for i, kind, user, at, _ in sorted(rows[40 * n : 40 * n + 40], key=lambda r: (r[3], r[0])):
+            before = known.setdefault((kind, user), [])
+            want[i] = any(datetime.timedelta(0) <= at - t <= datetime.timedelta(seconds=1800) for t in before)
+            before.append(at)
+    assert got == want and any(want.values())
+
+
+def test_unique_events_over_batches(spark, tmp_path):
+    for n in range(3):
+        rows = [(k, "a", 1, datetime.datetime(2024, 1, 1, n), 1.0) for k in range(5 * n, 5 * n + 10)]
+        spark.createDataFrame([*rows, rows[0]], "event_id long, event_type string, user_id long, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = signals.drained(signals.unique_events(signals.events_stream(spark, str(tmp_path / "in"), 1)).select("event_id"), "unique-test")
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(20))
+
+
+def test_evaluation_of_a_search(spark):
+    relevant = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "c"), ("r", "c")], "query string, id string")
+    queries = spark.createDataFrame([("q",), ("r",), ("s",), ("q",)], "query string")
+    found = lambda q: q.where("query = 'q'").select("query", F.lit("b").alias("id"), F.lit(2).alias("rank"))
+    got = {r["query"]: (r["ndcg"], r["recall"]) for r in evaluation.evaluated(found, queries, relevant).collect()}
+    assert got == {"q": (round((1 / math.log2(3)) / (1 + 1 / math.log2(3)), 4), 0.5), "r": (0.0, 0.0), "s": (1.0, 1.0)}
+
+
+def test_shared_folder_needs_its_setting_on_a_cluster(spark, monkeypatch):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+    folder = session.shared_dir(spark)
+    kept = session.materialize(spark.range(3), "kept")
+    assert kept.count() == 3 and session.shared_dir(spark) == folder
+
+
+def test_clean_removes_what_was_written(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    monkeypatch.setitem(session._FOLDERS, spark.sparkContext.applicationId, str(tmp_path))
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
+    session.materialize(spark.range(3), "gone")
+    assert len(list(tmp_path.iterdir())) == 1
+    assert session.clean(spark) == 1 and not list(tmp_path.iterdir()) and session.clean(spark) == 0
+
+
+def test_null_contents_are_no_duplicates(spark):
+    df = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("c", "x", 1), ("d", "x", 2)], "memory_id string, content string, at int").withColumns({"updated_at": F.col("at"), "created_at": F.col("at")})
+    assert [(r["memory_id"], r["superseded_by"]) for r in ranking.keepers(df).collect()] == [("c", "d")]
 
 
 def test_empty_inputs(spark, memories):
@@ -261,7 +479,13 @@ def test_empty_inputs(spark, memories):
     assert vectors.similar_pairs(spark.createDataFrame([], "memory_id string, embedding array<float>"), 0.5).count() == 0
 
 
-def test_alias_terms():
-    assert T.add_canonical_terms("run  Daemon now", {"daemon": "gateway"}) == "run Daemon gateway now"
-    assert T.add_canonical_terms("daemonize  it", {"daemon": "gateway"}) == "daemonize  it"
-    assert T.add_canonical_terms("gateway daemon", {"daemon": "gateway"}) == "gateway daemon"
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("run  Daemon now", "run Daemon gateway now"), ("daemonize  it", "daemonize  it"), ("gateway daemon", "gateway daemon"), ("daemon-1 daemon", "daemon gateway-1 daemon gateway"),
+        ("the old proxy", "the old proxy gateway"), ("proxy daemon", "proxy daemon gateway"), ("c++ code", "c++ cpp$1 code"), ("x", "x y z"), (None, None), ("", ""),
+    ],
+)
+def test_alias_terms(spark, query, want):
+    aliases = {"daemon": "gateway", "OLD  proxy": "gateway", "c++": "cpp$1", "x": "y", "y": "z", "": "q", "q": " "}
+    assert spark.createDataFrame([(query,)], "q string").select(T.with_canonical_terms("q", aliases).alias("q")).first()["q"] == want
