@@ -5,24 +5,31 @@ least of its 69 hashes (the leftmost, on ties), which depends on the window's by
 windows have equal triggers at equal offsets wherever they stand. Consecutive windows with the same
 trigger place are a phrase: the bytes from the first window's start to the last one's end. The
 parse of the corpus is its phrases in order of document and place; the dictionary is its distinct
-phrases. Two windows can be equal only if their phrases have the same trigger hash, and the same 34 bytes before
-or after the trigger, of which a short hash travels too.
-
-Order. Phrases meet by trigger hash. Of equal phrases all but the first in the parse are repeated
-whole, which settles nearly all of a highly repetitive text from two hashes a phrase, without its
-bytes. Only where distinct phrases share a trigger are dictionary strings gathered (the first
-occurrence of each), their window suffixes sorted by content, and within a run of equal suffixes the
-order of the parse says which one is first: dictionary order and parse order together give the
-corpus order for just those suffixes that can tie.
-
-Scale. Phrases are dealt to tasks by trigger hash as packed arrays, about 22 bytes for 35 bytes of
+phrases, named by 96 bits of the SHA-256 of their bytes (the rolling hash only cuts and deals: it never
+decides that phrases are equal). Every window lies in one phrase, so two windows are equal only if their
+phrases have the same trigger, and share the 34 bytes before or after it.
+
+Order. The corpus order of 100-byte suffixes comes from two suffix arrays. ``parse_suffixes`` is that of the
+parse: phrases by trigger, name and place; a window ends within its phrase, so the order to the depth of
+one phrase decides, and of equal phrases all but the first are repeated whole. ``dictionary_suffixes`` is
+that of the dictionary: the windows of its strings sorted by content, equal ones under one rank.
+``corpus_order`` combines them: suffixes by rank, and within a rank by the place of their string's first
+occurrence in the parse, whose first is the only one that isn't repeated. Both arrays are kept by
+trigger, as suffixes of different triggers are never equal, and the dictionary's is not made for triggers with
+one string, whose suffixes have no equals in other strings, nor in their own, where each has its trigger at
+another offset.
+
+Scale. Phrases are dealt to tasks by trigger hash as packed arrays, about 28 bytes for 35 bytes of
 text; each task first settles repeats inside its own part of the corpus, so a passage that stands in
-a third of all texts reaches a reducer once from each task. A trigger of which more than ``hot`` distinct
-phrases are asked for sends all of them as single windows, dealt by their own hash, instead of phrases;
-of equal windows in about 8 MB a task sends the earliest only and notes the others. If a side of a
-trigger has more than ``hot / 8`` phrases among those that a task holds, it asks for that trigger's phrases
-by window at once and sends a mark in their place, which makes all others of the trigger go by window
-too. Texts are shuffled once to meet their notes, and only those with shared triggers a second time.
+a third of all texts reaches a reducer once from each task. A task packs for at most ``LEVEL`` parts; where there
+are more, packed rows go to groups of parts first and are dealt again inside them (``Dealing``), so
+their number grows with the parts times ``LEVEL`` and not with the square of the parts. A trigger of
+which more than ``hot`` distinct phrases are asked for sends all of them as single windows, dealt by their own
+hash, instead of phrases; of equal windows in about 8 MB a task sends the earliest only and notes the
+others. If a side of a trigger has more than ``hot / 8`` phrases among those that a task holds, it asks for that
+trigger's phrases by window at once and sends a mark in their place, which makes all others of the
+trigger go by window too. Texts are shuffled once to meet their notes, and only those with shared
+triggers a second time.
 
 Defined results: null text is empty; texts are compared as UTF-8 bytes; rows that repeat a
 ``doc_id`` are ordered by a hash of their text, and rows equal in both are judged as if each were
@@ -33,6 +40,7 @@ removed in part goes altogether, and further columns are kept, whatever their na
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,16 +61,18 @@ HOT = 4096
 LOCAL = 8
 #: Phrases that a task holds before it sends them on.
 HELD = 1 << 20
+#: Parts that a task packs rows for.
+LEVEL = 1024
 NO_ID = np.iinfo(np.int64).min
 
 #: A window of 100 bytes has its 32 trigger bytes and SIDE more on their left or on their right.
 SIDE = (LENGTH - TRIGGER) // 2
-#: Hashes of keys and phrases travel with 48 bits; packing drops the empty bytes.
+#: Hashes of keys travel with 48 bits; packing drops the empty bytes.
 BITS_48 = np.uint64((1 << 48) - 1)
-#: Packed notes. key: trigger hash; phrase: hash of a phrase; left, right: hashes of the trigger with SIDE bytes on
-#: that side, 0 if no window of the phrase has them; at: its start; ahead, more: bytes from there to the trigger and
-#: to the last window's start. Phrases are equal if key, phrase, left and right are, 128 bits together.
-PHRASES = (("key", "<u8"), ("phrase", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("ahead", "u1"), ("more", "u1"))
+#: Packed notes. key: trigger hash; name, name_low: of a phrase's bytes; left, right: hashes of the trigger with SIDE
+#: bytes on that side, 0 if no window of the phrase has them; at: its start; ahead, more: bytes from there to the trigger
+#: and to the last window's start.
+PHRASES = (("key", "<u8"), ("name", "<u8"), ("name_low", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("ahead", "u1"), ("more", "u1"))
 #: kind 0: bytes from start to end are repeated. 1, 2: the phrase there is asked for, as one or (2) by window.
 NOTES = (("doc", "<i8"), ("tie", "<i4"), ("start", "<u4"), ("end", "<u4"), ("ahead", "u1"), ("kind", "u1"))
 STRINGS = (("key", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("more", "u1"))
@@ -70,13 +80,18 @@ STRINGS = (("key", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("more
 Columns = dict[str, np.ndarray]
 
 
+_codecs: list = []
+
+
 def pack(kinds, columns: Columns, tail: bytes = b"") -> bytes:
+    if not _codecs:
+        _codecs.append(zstandard.ZstdCompressor(level=1))
     n = len(columns[kinds[0][0]])
     raw = [np.int64(n).tobytes()]
     for name, kind in kinds:
         x = np.ascontiguousarray(columns[name], kind)
         raw.append(x.view(np.uint8).reshape(n, x.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw) + tail)
+    return _codecs[0].compress(b"".join(raw) + tail)
 
 
 def unpack(kinds, payload: bytes) -> tuple[Columns, np.ndarray]:
@@ -98,8 +113,39 @@ def take(columns: Columns, at: np.ndarray) -> Columns:
     return {k: v[at] for k, v in columns.items()}
 
 
-def deal(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (tk.mix(keys) % np.uint64(parts)).astype(np.int64)
+@dataclass(frozen=True)
+class Dealing:
+    """The parts that keys are dealt to: ``groups`` of ``each`` consecutive parts."""
+
+    groups: int
+    each: int
+
+    @classmethod
+    def of(cls, parts: int, level: int = LEVEL) -> Dealing:
+        groups = min(parts, level)
+        return cls(groups, -(-parts // groups))
+
+    @property
+    def parts(self) -> int:
+        return self.groups * self.each
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return (tk.mix(keys) % np.uint64(self.parts)).astype(np.int64)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys go first: the part, if groups are single parts, else any one of the part's group, the same for these keys."""
+        part = self.part(keys)
+        if self.each == 1 or not len(keys):
+            return part
+        return part // self.each * self.each + int(tk.mix(keys[:1])[0] >> np.uint64(32)) % self.each
+
+
+def name_phrases(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the SHA-256 of each range."""
+    raw = memoryview(data.tobytes())
+    digests = b"".join([hashlib.sha256(raw[a:b]).digest()[:12] for a, b in zip(at.tolist(), end.tolist(), strict=True)])
+    words = np.frombuffer(digests, "<u4").reshape(-1, 3)
+    return words[:, 0].astype(np.uint64) | (words[:, 1].astype(np.uint64) << np.uint64(32)), words[:, 2].copy()
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -144,20 +190,20 @@ def parse(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Columns, tk.S
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     at, place, more = start[first], owner[first], start[last] - start[first]
-    phrase = spans(at, at + more + LENGTH) ^ tk.mix((place - at).astype(np.uint64) * np.uint64(128) + more.astype(np.uint64))
+    name, name_low = name_phrases(data, at, at + more + LENGTH)
     row = np.searchsorted(offs, at, "right") - 1
     ahead = place - at
     left = np.where(ahead >= SIDE, 1 + spans(np.maximum(place - SIDE, 0), place + TRIGGER) % np.uint64(65535), np.uint64(0))
     right = np.where(ahead - more <= SIDE, 1 + spans(place, np.minimum(place + TRIGGER + SIDE, len(data))) % np.uint64(65535), np.uint64(0))
-    return row, {"key": x[place] & BITS_48, "phrase": phrase & BITS_48, "left": left, "right": right, "at": at, "ahead": ahead, "more": more}, spans
+    return row, {"key": x[place] & BITS_48, "name": name, "name_low": name_low, "left": left, "right": right, "at": at, "ahead": ahead, "more": more}, spans
 
 
-def _firsts(c: Columns) -> tuple[Columns, np.ndarray]:
-    """Phrases sorted by key, phrase and place in the parse; which are the first of their equals."""
-    c = take(c, np.lexsort((c["at"], c["tie"], c["doc"], c["right"], c["left"], c["phrase"], c["key"])))
+def parse_suffixes(c: Columns) -> tuple[Columns, np.ndarray]:
+    """The suffix array of a part of the parse, to the depth of a phrase: phrases by trigger, name and place; which are the first of their equals."""
+    c = take(c, np.lexsort((c["at"], c["tie"], c["doc"], c["name_low"], c["name"], c["key"])))
     first = np.ones(len(c["key"]), bool)
     first[1:] = False
-    for k in ("key", "phrase", "left", "right"):
+    for k in ("key", "name", "name_low"):
         first[1:] |= c[k][1:] != c[k][:-1]
     # equals of the same row, as repeated rows have them, are not repeats of each other
     again = np.zeros(len(first), bool)
@@ -190,21 +236,56 @@ def _marks(keys: np.ndarray) -> Columns:
 
 PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "kind int, part int, payload binary"
-TO_PHRASES, TO_TEXTS = 0, 1
+#: What packed rows hold: phrases, notes, or strings with their bytes.
+TO_PHRASES, TO_TEXTS, STRING = 0, 1, 2
+#: Packed bytes that are dealt again at once.
+AGAIN_BYTES = 8 << 20
 
 
-def _dealt(kind: int, kinds, c: Columns, by: np.ndarray, parts: int):
-    """One packed row for each part that gets anything."""
-    where = deal(by, parts)
+def _dealt(kind: int, kinds, c: Columns, where: np.ndarray, bodies: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    """One packed row for each part of ``where`` that gets anything; ``bodies`` are (bytes, start, size) of each row's string."""
     order = np.argsort(where, kind="stable")
-    edge = np.searchsorted(where[order], np.arange(parts + 1))
-    found = [k for k in range(parts) if edge[k] < edge[k + 1]]
-    for k in range(0, len(found), 64):
-        own = found[k : k + 64]
-        payload = [pack(kinds, take(c, order[edge[p] : edge[p + 1]])) for p in own]
+    edge = np.append(np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
+    for k in range(0, len(edge) - 1, 64):
+        own, payload = [], []
+        for lo, hi in zip(edge[k : k + 64].tolist(), edge[k + 1 : k + 65].tolist(), strict=False):
+            at, body = order[lo:hi], b""
+            if bodies is not None:
+                data, start, size = bodies[0], bodies[1][at], bodies[2][at]
+                body = data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+            own.append(int(where[at[0]]))
+            payload.append(pack(kinds, take(c, at), body))
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(payload, pa.binary())], schema=PACKED)
 
 
+def _deal_again(dealing: Dealing):
+    """Packed rows of a group of parts, dealt to the parts."""
+
+    def flush(kind: int, held: list[bytes]):
+        if kind == STRING:
+            c, data, begin, size = _opened(held)
+            yield from _dealt(kind, STRINGS, c, dealing.part(c["key"]), (data, begin, size))
+        else:
+            kinds, by = (PHRASES, "key") if kind == TO_PHRASES else (NOTES, "doc")
+            c = gather(kinds, held)
+            yield from _dealt(kind, kinds, c, dealing.part(c[by].view(np.uint64)))
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        size: dict[int, int] = {}
+        for b in batches:
+            for kind, payload in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                held.setdefault(kind, []).append(payload)
+                size[kind] = size.get(kind, 0) + len(payload)
+                if size[kind] > AGAIN_BYTES:
+                    yield from flush(kind, held.pop(kind))
+                    size[kind] = 0
+        for kind, payloads in held.items():
+            yield from flush(kind, payloads)
+
+    return run
+
+
 def _merge(batches: list[Columns], kinds) -> Columns:
     return {name: np.concatenate([np.asarray(b[name]).astype(kind) for b in batches]) for name, kind in kinds}
 
@@ -213,13 +294,13 @@ def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column("doc").fill_null(NO_ID).to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
 
 
-def _parse_task(parts: int, hot: int):
+def _parse_task(dealing: Dealing, hot: int):
     def run(batches):
         held: list[Columns] = []
         count = 0
 
         def flush():
-            c, first = _firsts(_merge(held, PHRASES))
+            c, first = parse_suffixes(_merge(held, PHRASES))
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
             c = take(c, np.lexsort((c["at"], c["tie"], c["doc"])))
@@ -228,8 +309,8 @@ def _parse_task(parts: int, hot: int):
                 marked = np.isin(c["key"], marks)
                 again = _merge([again, _asked(take(c, np.flatnonzero(marked)), 2)], NOTES)
                 c = _merge([take(c, np.flatnonzero(~marked)), _marks(marks)], PHRASES)
-            yield from _dealt(TO_PHRASES, PHRASES, c, c["key"], parts)
-            yield from _dealt(TO_TEXTS, NOTES, again, again["doc"].view(np.uint64), parts)
+            yield from _dealt(TO_PHRASES, PHRASES, c, dealing.first(c["key"]))
+            yield from _dealt(TO_TEXTS, NOTES, again, dealing.first(again["doc"].view(np.uint64)))
 
         for whole in batches:
             for part in tk.slices(whole, "text", 1_000_000):
@@ -261,7 +342,7 @@ def _by_part(batches, columns: tuple[str, ...]):
         yield current, rows
 
 
-def _meet_task(parts: int, hot: int):
+def _meet_task(dealing: Dealing, hot: int):
     """Equal phrases: notes of repeats, and requests for the phrases whose triggers have several.
 
     Notes that the parse made already pass through, so the parse is shuffled and not written.
@@ -275,7 +356,7 @@ def _meet_task(parts: int, hot: int):
             phrases = [p for kind, p in rows if kind == TO_PHRASES]
             if not phrases:
                 continue
-            c, first = _firsts(gather(PHRASES, phrases))
+            c, first = parse_suffixes(gather(PHRASES, phrases))
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
             mark = (c["left"] == 0) & (c["right"] == 0)
@@ -285,7 +366,7 @@ def _meet_task(parts: int, hot: int):
             _, at, own = np.unique(asked["key"], return_inverse=True, return_counts=True)
             by_window = (own[at] > hot) | np.isin(asked["key"], c["key"][mark])
             notes = _merge([again, _asked(asked, np.where(by_window, 2, 1))], NOTES)
-            yield from _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts)
+            yield from _dealt(TO_TEXTS, NOTES, notes, dealing.first(notes["doc"].view(np.uint64)))
 
     return run
 
@@ -311,7 +392,8 @@ def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 RESULT = ("kind", "part", "doc", "tie", "row", "text", "payload", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 RESULT_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), None, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-DONE, OPEN, STRING, NOTE = 0, 1, 2, 3
+#: What a row of a result is, besides strings: a settled text, one that waits for its strings, or a note.
+DONE, OPEN, NOTE = 0, 1, 3
 
 
 def _result(n: int, row_type: pa.DataType, **columns) -> pa.RecordBatch:
@@ -371,27 +453,29 @@ def _later(c: Columns, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(strings: list[tuple[Columns, bytes]], row_type: pa.DataType, parts: int):
+def _opened(payloads: list[bytes]) -> tuple[Columns, np.ndarray, np.ndarray, np.ndarray]:
+    """(strings, their bytes, where each begins, its size) of packed rows."""
+    parts = [unpack(STRINGS, p) for p in payloads]
+    c = {name: np.concatenate([p[0][name] for p in parts]) for name, _ in STRINGS}
+    size = c["more"].astype(np.int64) + LENGTH
+    return c, np.concatenate([p[1] for p in parts]), np.cumsum(size) - size, size
+
+
+def _send(strings: list[tuple[Columns, bytes]], row_type: pa.DataType, dealing: Dealing):
     c = _merge([x[0] for x in strings], STRINGS)
     data = np.frombuffer(b"".join(x[1] for x in strings), np.uint8)
     size = c["more"].astype(np.int64) + LENGTH
     begin = np.cumsum(size) - size
     later = _later(c, data, begin)
+    rows = []
     if later.any():
         notes = _repeated(take(c, np.flatnonzero(later)))
-        for b in _dealt(TO_TEXTS, NOTES, notes, notes["doc"].view(np.uint64), parts):
-            yield _result(b.num_rows, row_type, kind=[NOTE] * b.num_rows, part=b.column("part"), payload=b.column("payload"))
+        rows += [(NOTE, b) for b in _dealt(TO_TEXTS, NOTES, notes, dealing.first(notes["doc"].view(np.uint64)))]
         kept = np.flatnonzero(~later)
         c, size, begin = take(c, kept), size[kept], begin[kept]
-    where = deal(c["key"], parts)
-    order = np.argsort(where, kind="stable")
-    edge = np.searchsorted(where[order], np.arange(parts + 1))
-    for p in range(parts):
-        at = order[edge[p] : edge[p + 1]]
-        if len(at):
-            n = size[at]
-            body = data[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            yield _result(1, row_type, kind=[STRING], part=[p], payload=[pack(STRINGS, take(c, at), body.tobytes())])
+    rows += [(STRING, b) for b in _dealt(STRING, STRINGS, c, dealing.first(c["key"]), (data, begin, size))]
+    for kind, b in rows:
+        yield _result(b.num_rows, row_type, kind=[kind] * b.num_rows, part=b.column("part"), payload=b.column("payload"))
 
 
 def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, strings: list, row_type: pa.DataType):
@@ -426,7 +510,7 @@ def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, s
             yield _result(len(at), row_type, **own)
 
 
-def _text_task(parts: int, whole_text: bool):
+def _text_task(dealing: Dealing, whole_text: bool):
     """Texts meet the notes of their part, which come before them."""
 
     def run(batches):
@@ -450,24 +534,20 @@ def _text_task(parts: int, whole_text: bool):
                             notes, payloads = _Notes(payloads), []
                         yield from _settle(texts, notes, part, whole_text, strings, row_type)
                         if sum(len(x[1]) for x in strings) > 8_000_000:
-                            yield from _send(strings, row_type, parts)
+                            yield from _send(strings, row_type, dealing)
                             strings.clear()
         if strings:
-            yield from _send(strings, row_type, parts)
+            yield from _send(strings, row_type, dealing)
 
     return run
 
 
-def _sort_task(parts: int):
-    """Sorts the window suffixes of the dictionary strings of each part; notes of all but the first of equal ones."""
+def _sort_task(dealing: Dealing):
+    """Orders the window suffixes of the dictionary strings of each part; notes of those that are repeated."""
 
     def run(batches):
         for _, rows in _by_part(batches, ("payload",)):
-            parts_ = [unpack(STRINGS, r[0]) for r in rows]
-            c = {name: np.concatenate([p[0][name] for p in parts_]) for name, _ in STRINGS}
-            data = np.concatenate([p[1] for p in parts_])
-            size = c["more"].astype(np.int64) + LENGTH
-            begin = np.cumsum(size) - size
+            c, data, begin, _ = _opened([r[0] for r in rows])
             order = np.lexsort((c["at"], c["tie"], c["doc"], c["key"]))
             windows = np.cumsum(c["more"][order].astype(np.int64) + 1)
             at = 0
@@ -477,42 +557,48 @@ def _sort_task(parts: int):
                 key = c["key"][order]
                 to = int(np.searchsorted(key, key[to - 1], "right"))
                 own = order[at:to]
-                again = repeated_windows(take(c, own), data, begin[own])
+                again = corpus_order(take(c, own), data, begin[own])
                 if len(again["doc"]):
-                    yield from _dealt(TO_TEXTS, NOTES, again, again["doc"].view(np.uint64), parts)
+                    yield from _dealt(TO_TEXTS, NOTES, again, dealing.first(again["doc"].view(np.uint64)))
                 at = to
 
     return run
 
 
-def repeated_windows(c: Columns, data: np.ndarray, begin: np.ndarray) -> Columns:
-    """Of the windows of some strings, those whose content stands earlier in the parse among them."""
-    n = c["more"].astype(np.int64) + 1
+def dictionary_suffixes(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of strings that begin at ``begin`` and have ``n`` windows each: (string, offset, rank), equal windows under one rank."""
     string = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = c["at"].astype(np.int64)[string] + inside
-    order = np.lexsort((place, c["tie"][string], c["doc"][string]))  # of the parse
-    suffix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[(begin[string] + inside)[order]]
-    ranked = np.argsort(np.ascontiguousarray(suffix).view(f"V{LENGTH}").reshape(-1), kind="stable")
-    same = np.zeros(len(ranked), bool)
-    same[1:] = (suffix[ranked[1:]] == suffix[ranked[:-1]]).all(1)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    suffix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begin[string] + offset]
+    order = np.argsort(np.ascontiguousarray(suffix).view(f"V{LENGTH}").reshape(-1), kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (suffix[order[1:]] != suffix[order[:-1]]).any(1)
+    return string[order], offset[order], np.cumsum(new) - 1
+
+
+def corpus_order(c: Columns, data: np.ndarray, begin: np.ndarray) -> Columns:
+    """Notes of the windows of dictionary strings that stand earlier: by rank in the dictionary, then by place in the parse, all but the first of a rank."""
+    string, offset, rank = dictionary_suffixes(data, begin, c["more"].astype(np.int64) + 1)
+    d, t, p = c["doc"][string], c["tie"][string], c["at"].astype(np.int64)[string] + offset
+    order = np.lexsort((p, t, d, rank))
+    d, t, p, rank = d[order], t[order], p[order], rank[order]
+    same = np.append(False, rank[1:] == rank[:-1]) if len(rank) else np.zeros(0, bool)
     # a window doesn't repeat itself, which repeated rows would make it seem to
-    d, t, p = c["doc"][string][order][ranked], c["tie"][string][order][ranked], place[order][ranked]
-    head = np.maximum.accumulate(np.where(~same, np.arange(len(ranked)), 0))
+    head = np.maximum.accumulate(np.where(~same, np.arange(len(rank)), 0))
     same &= (d != d[head]) | (t != t[head]) | (p != p[head])
     d, t, p = d[same], t[same], p[same]
     zero = np.zeros(len(d), np.uint8)
     return {"doc": d, "tie": t, "start": p, "end": p + LENGTH, "ahead": zero, "kind": zero}
 
 
-def removal(docs: DataFrame, whole_text: bool, hot: int = HOT) -> DataFrame:
+def removal(docs: DataFrame, whole_text: bool, hot: int = HOT, level: int = LEVEL) -> DataFrame:
     """(row, text, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
     ``row`` has the columns other than the text; ``text`` is what is left, if ``whole_text``.
     """
     prepare(docs.sparkSession)
-    parts = partitions(docs)
-    held_at = F.pandas_udf(lambda doc: pd.Series(deal(doc.fillna(NO_ID).to_numpy(np.int64).view(np.uint64), parts).astype(np.int32)), "int")
+    dealing = Dealing.of(partitions(docs), level)
+    held_at = F.pandas_udf(lambda doc: pd.Series(dealing.part(doc.fillna(NO_ID).to_numpy(np.int64).view(np.uint64)).astype(np.int32)), "int")
     text = F.coalesce(docs["text"], F.lit(""))
     others = F.struct(*[docs[c] for c in docs.columns if c != "text"])
     texts = docs.select(docs["doc_id"].cast("long").alias("doc"), F.hash(text).alias("tie"), others.alias("row"), text.alias("text"))
@@ -520,19 +606,26 @@ def removal(docs: DataFrame, whole_text: bool, hot: int = HOT) -> DataFrame:
     result_sql = f"kind int, part int, doc long, tie int, row {row_sql}, text string, payload binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def to_parts(df: DataFrame) -> DataFrame:
-        return df.repartitionById(parts, F.col("part"))
+        return df.repartitionById(dealing.parts, F.col("part"))
+
+    def dealt(packed: DataFrame) -> DataFrame:
+        """Packed rows in parts of their own or, where groups have several, in their group's, dealt again."""
+        if dealing.each == 1:
+            return packed
+        return to_parts(packed.select("kind", "part", "payload")).mapInArrow(_deal_again(dealing), PACKED_SQL)
 
     def with_notes(bodies: DataFrame, notes: DataFrame, name: str) -> DataFrame:
         nulls = [F.lit(None).cast(k).alias(c) for c, k in (("doc", "long"), ("tie", "int"), ("row", row_sql), ("text", "string"))]
-        blank = notes.select(F.lit(0).alias("kind"), "part", *nulls, "payload")
+        blank = dealt(notes.select(F.lit(TO_TEXTS).alias("kind"), "part", "payload")).select(F.lit(0).alias("kind"), "part", *nulls, "payload")
         both = bodies.select(F.lit(1).alias("kind"), "part", "doc", "tie", "row", "text", "payload").unionByName(blank)
         both = to_parts(both).sortWithinPartitions("part", "kind")
-        return materialize(both.mapInArrow(_text_task(parts, whole_text), result_sql), name, "zstd")
+        return materialize(both.mapInArrow(_text_task(dealing, whole_text), result_sql), name, "zstd")
 
-    parsed = texts.select("doc", "tie", "text").mapInArrow(_parse_task(parts, hot), PACKED_SQL)
-    notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(parts, hot), PACKED_SQL).select("part", "payload")
+    parsed = dealt(texts.select("doc", "tie", "text").mapInArrow(_parse_task(dealing, hot), PACKED_SQL))
+    notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(dealing, hot), PACKED_SQL).select("part", "payload")
     first = with_notes(texts.withColumn("part", held_at("doc")).withColumn("payload", F.lit(None).cast("binary")), notes, "texts")
-    again = to_parts(first.where(F.col("kind") == STRING).select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(parts), PACKED_SQL)
+    strings = dealt(first.where(F.col("kind") == STRING).select("kind", "part", "payload"))
+    again = to_parts(strings.select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(dealing), PACKED_SQL)
     later = first.where(F.col("kind") == NOTE).select("part", "payload")
     second = with_notes(first.where(F.col("kind") == OPEN), again.select("part", "payload").unionByName(later), "open")
     return first.where(F.col("kind") == DONE).unionByName(second.where(F.col("kind") == DONE)).select("row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -459,9 +459,9 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize(("hot", "level"), [(4096, 1024), (1, 1024), (4096, 3), (2, 1)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_equal_brute_force(spark, seed, hot):
+def test_repeats_equal_brute_force(spark, seed, hot, level):
     rng = random.Random(seed)
     letters = "abé \n" if seed == 1 else "abcdefghijklmnop "
     passages = ["".join(rng.choice(letters) for _ in range(rng.randint(60, 400))) for _ in range(6)]
@@ -471,10 +471,38 @@ def test_repeats_equal_brute_force(spark, seed, hot):
         rows.append((i, "".join(parts), "en", "a"))
     rows += [(100, "z" * 5000, "en", "a"), (101, "ab" * 300, "en", "a"), (102, None, "en", "a"), (103, "q" * 100, "en", "a"), (104, "q" * 99, "en", "a"), (105, "q" * 101, "en", "a")]
     docs = documents(spark, rows).repartition(5)
-    got = repeats.removal(docs.select("doc_id", "text"), False, hot).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = repeats.removal(docs.select("doc_id", "text"), False, hot, level).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert {r[0]: tuple(r)[1:] for r in got} == brute_repeats([r[:2] for r in rows])
 
 
+def test_dictionary_suffixes_are_sorted():
+    rng = random.Random(1)
+    strings = ["".join(rng.choice("ab") for _ in range(100 + rng.randint(0, 20))).encode() for _ in range(10)]
+    strings += [b"y" * 130, b"x" * 115, strings[3]]
+    data, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+    string, offset, rank = repeats.dictionary_suffixes(data, np.cumsum(size) - size, size - 99)
+    suffixes = [strings[i][k : k + 100] for i, k in zip(string.tolist(), offset.tolist(), strict=True)]
+    assert suffixes == sorted(x[k : k + 100] for x in strings for k in range(len(x) - 99))
+    assert rank.tolist() == [sorted(set(suffixes)).index(x) for x in suffixes]
+
+
+def test_phrases_are_named_by_their_bytes():
+    one, two = mirrored(10)
+    data = np.frombuffer((one + two + one).encode(), np.uint8)
+    high, low = repeats.name_phrases(data, np.array([0, 1024, 2048]), np.array([1024, 2048, 3072]))
+    want = [hashlib.sha256(x.encode()).digest()[:12] for x in (one, two, one)]
+    assert [int(h).to_bytes(8, "little") + int(x).to_bytes(4, "little") for h, x in zip(high, low, strict=True)] == want
+
+
+@pytest.mark.parametrize(("parts", "level"), [(1, 4), (4, 4), (5, 4), (100, 4), (102, 1024)])
+def test_dealing_reaches_every_part_by_its_group(parts, level):
+    dealing = repeats.Dealing.of(parts, level)
+    keys = tk.mix(np.arange(5000, dtype=np.uint64))
+    part, first = dealing.part(keys), dealing.first(keys)
+    assert dealing.parts >= parts and dealing.groups <= level and set(part.tolist()) == set(range(dealing.parts))
+    assert (first // dealing.each == part // dealing.each).all() and len(set(first.tolist())) == dealing.groups
+
+
 @pytest.mark.parametrize("spread", [1, 32])
 @pytest.mark.parametrize("hot", [2, 3])
 def test_trigger_with_a_hot_and_a_small_side(spark, hot, spread):
@@ -498,7 +526,7 @@ def test_hot_windows_are_sent_once_a_task():
     passage = some(300)
     texts = [some(120) + passage + some(120) for _ in range(200)]
     rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(200), pa.int64()), "tie": pa.array([0] * 200, pa.int32()), "text": texts})
-    out = [r for b in repeats._parse_task(1, 64)([rows]) for r in b.to_pylist()]
+    out = [r for b in repeats._parse_task(repeats.Dealing.of(1), 64)([rows]) for r in b.to_pylist()]
     phrases = repeats.gather(repeats.PHRASES, [r["payload"] for r in out if r["kind"] == repeats.TO_PHRASES])
     assert max(repeats._alike(phrases)[(phrases["left"] > 0) | (phrases["right"] > 0)]) <= 8
     notes = repeats.gather(repeats.NOTES, [r["payload"] for r in out if r["kind"] == repeats.TO_TEXTS])
@@ -506,7 +534,7 @@ def test_hot_windows_are_sent_once_a_task():
     for k, x in enumerate(texts):
         asked = repeats.take(notes, np.flatnonzero((notes["doc"] == k) & (notes["kind"] == 2)))
         strings.append(repeats._strings(x.encode(), asked))
-    sent = [r for b in repeats._send(strings, pa.int64(), 4) for r in b.to_pylist()]
+    sent = [r for b in repeats._send(strings, pa.int64(), repeats.Dealing.of(4)) for r in b.to_pylist()]
     windows = []
     for r in sent:
         if r["kind"] == repeats.STRING:
