@@ -1,9 +1,11 @@
 """Near-duplicate documents by consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of five-word shingles are counted over all documents in a sketch of 2**20
-   cells, so the inverse frequencies have one size however large the corpus is. Besides its own
-   documents a cell counts about ``shingles of all documents / 2**20`` others, a constant share of
-   the documents: common shingles keep their small weights, rare ones have nearly equal large ones.
+1. A five-word shingle of d among n documents has the inverse frequency 1 + ln((n + 1) / (d + 1)), at most
+   1 + ln(CEILING). So only shingles of more than one document in CEILING need their exact count, and there are
+   never more of them than CEILING times the shingles of an average document, however large the corpus is.
+   A sketch of 2**20 cells tells which shingles can be so frequent, and these are counted exactly, over all rows.
+   The ceiling bounds how much less the common shingles of a large group of near copies weigh than what is new
+   in each (README has figures); below it, nothing is approximate.
 2. Each distinct text is sampled by improved consistent weighted sampling: hash k keeps the shingle
    with the least a = c / exp(r (t - b + 1)), t = floor(ln w / r + b), under weights w = tf x idf.
    64 samples make 16 bands of 4; texts that agree in a band are candidates. Texts of similarity
@@ -13,9 +15,12 @@
 
 Copies: equal texts are one class before any sampling, so a text of thousands of copies is sampled
 and compared once. Bands in which the same set of texts meets are compared once. Sets of more than
-``BLOCK`` texts are split into blocks and every pair of blocks is compared in a task of its own, so
-no group has to fit into one task and no candidate pair is left out; a task returns a spanning
-forest of its links, not all pairs.
+``BLOCK`` texts are split into blocks. First each block is compared in itself, together with the ``HUBS`` texts that all
+blocks of the set share, which finds most classes with one row for each text. Then texts that are not in one
+class yet are compared between blocks: a class of at least ``BLOCK`` texts has blocks of its own, which are
+not compared with each other, and every other pair of blocks is, in a task of its own. So no group has to fit
+into one task, no candidate pair is left out but those in one class already, and n near copies cost about n rows
+instead of n * n / BLOCK; a task returns a spanning forest of its links, not all pairs.
 
 Defined results: null text is empty; empty texts are copies of each other; texts of fewer than five
 words have one shingle of all their words; rows that repeat a ``doc_id`` are in the class of their
@@ -26,9 +31,13 @@ texts may have null or equal ids; an empty table gives no rows; ``keep_one`` kee
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
@@ -38,64 +47,116 @@ from lodestone.session import materialize
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
+#: Shingles of fewer than one document in so many weigh alike.
+CEILING = 64
 CELL_BITS = 20
+#: Tasks that add up each piece of the sketch before one task adds these.
+LANES = 32
 #: The sketch travels in pieces of so many cells.
 PIECE = 1 << 14
 #: Rows of sampling variates; a shingle uses the row of its hash.
 VARIATE_BITS = 14
 BLOCK = 128
+HUBS = 4
 
 
 def _cell(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+@dataclass
+class Frequencies:
+    """Documents that have each frequent shingle, of ``n_docs``; ``values`` are sorted."""
+
+    n_docs: int
+    values: np.ndarray
+    counts: np.ndarray
+
+    def inverse(self, value: np.ndarray) -> np.ndarray:
+        """The inverse frequency of each shingle."""
+        out = np.full(len(value), 1 + np.log(CEILING), np.float32)
+        if len(self.values) and len(value):
+            at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
+            known = self.values[at] == value
+            out[known] = 1 + np.log(np.minimum((self.n_docs + 1) / (self.counts[at[known]] + 1), CEILING))
+        return out
+
+
+def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents with a shingle in each cell, number of documents), over all rows."""
-    prepare(docs.sparkSession)
-    schema = pa.schema([("piece", pa.int32()), ("n_docs", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("piece", pa.int32()), ("lane", pa.int32()), ("n_docs", pa.int64()), ("counts", pa.binary())])
+    kinds = "piece int, lane int, n_docs long, counts binary"
 
     def count(batches):
-        n, docs_ = np.zeros(1 << CELL_BITS, np.int32), 0
+        n, docs_ = np.zeros(1 << CELL_BITS, np.int64), 0
         for whole in batches:
             for part in tk.slices(whole, "text"):
-                row, value, _ = tk.elements(*tk.shingles(*tk.buffers(part.column("text"))))
-                n += np.bincount(_cell(value), minlength=1 << CELL_BITS).astype(np.int32)
+                _, value, _ = tk.elements(*tk.shingles(*tk.buffers(part.column("text"))))
+                n += np.bincount(_cell(value), minlength=1 << CELL_BITS)
                 docs_ += part.num_rows
         if docs_:
-            pieces = n.reshape(-1, PIECE)
-            for k, x in enumerate(pieces):
-                yield batch(schema, piece=[k], n_docs=[docs_ if k == 0 else 0], counts=[x.tobytes()])
+            lane = TaskContext.get().partitionId() % LANES
+            for k, x in enumerate(n.reshape(-1, PIECE)):
+                yield batch(schema, piece=[k], lane=[lane], n_docs=[docs_ if k == 0 else 0], counts=[zstandard.compress(x.tobytes(), 1)])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        n_docs: dict[int, int] = {}
+        sums: dict[tuple[int, int], list] = {}
         for b in batches:
-            for k, d, raw in zip(b.column("piece").to_pylist(), b.column("n_docs").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                own = sums.setdefault(k, np.zeros(PIECE, np.int64))
-                own += np.frombuffer(raw, np.int32)
-                n_docs[k] = n_docs.get(k, 0) + d
-        for k, x in sums.items():
-            yield batch(schema, piece=[k], n_docs=[n_docs[k]], counts=[x.tobytes()])
-
-    kinds = "piece int, n_docs long, counts binary"
-    summed = docs.select("text").mapInArrow(count, kinds).repartition("piece").mapInArrow(add, kinds)
+            for k, lane, d, raw in zip(*(b.column(c).to_pylist() for c in schema.names), strict=True):
+                own = sums.setdefault((k, lane), [0, np.zeros(PIECE, np.int64)])
+                own[0] += d
+                own[1] += np.frombuffer(zstandard.decompress(raw), np.int64)
+        for (k, _), (d, x) in sums.items():
+            yield batch(schema, piece=[k], lane=[0], n_docs=[d], counts=[zstandard.compress(x.tobytes(), 1)])
+
+    summed = docs.select("text").mapInArrow(count, kinds).repartition("piece", "lane").mapInArrow(add, kinds).repartition("piece").mapInArrow(add, kinds)
     found = np.zeros((1 << CELL_BITS) // PIECE * PIECE, np.int64).reshape(-1, PIECE)
     n = 0
-    for r in summed.collect():  # one piece of the sketch each, 8 MB together
-        found[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    for r in summed.toLocalIterator():  # one piece of the sketch each, 8 MB together
+        found[r["piece"]] = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
         n += r["n_docs"]
     return found.reshape(-1), n
 
 
-def inverse_frequencies(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """Of each cell, damped by a second logarithm: 1 for a shingle of all documents, below 4 in any corpus.
+def frequencies(docs: DataFrame) -> Frequencies:
+    """The exact counts of all shingles that more than one document in CEILING has."""
+    prepare(docs.sparkSession)
+    cells, n = _sketch(docs)
+    least = (n + 1) / CEILING - 1  # more documents than this
+    near = cells > least
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(near))
+    schema = pa.schema([("value", pa.int64()), ("n", pa.int64())])
 
-    Damped, the similarity of two texts of a large group of near copies, whose common shingles are
-    frequent for that reason alone, stays close to their plain Jaccard similarity.
-    """
-    rare = np.log((n_docs + 1) / np.minimum(counts + 1.0, n_docs + 1))
-    return np.log(np.e + rare).astype(np.float32)
+    def count(batches):
+        open_ = np.unpackbits(wanted.value).astype(bool)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            value, at = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([k for _, k in held])).astype(np.int64)
+            for k in range(0, len(value), 100_000):
+                yield batch(schema, value=value[k : k + 100_000].view(np.int64), n=total[k : k + 100_000])
+
+        for whole in batches:
+            for part in tk.slices(whole, "text"):
+                _, value, _ = tk.elements(*tk.shingles(*tk.buffers(part.column("text"))))
+                own, k = np.unique(value[open_[_cell(value)]], return_counts=True)
+                held.append((own, k))
+                size += len(own)
+                if size > 2_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    if not near.any():
+        return Frequencies(n, np.empty(0, np.uint64), np.empty(0, np.int64))
+    counted = docs.select("text").mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    found = counted.toPandas()  # at most CEILING times the shingles of an average document
+    value, k = found["value"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(value)
+    return Frequencies(n, value[order], k[order])
 
 
 def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,10 +204,10 @@ def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int) -
     return out
 
 
-def weighted(column, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def weighted(column, idf: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, times, inverse frequency) of the distinct shingles of each text."""
     row, value, times = tk.elements(*tk.shingles(*tk.buffers(column)))
-    return row, value, times, idf[_cell(value)]
+    return row, value, times, idf.inverse(value)
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
@@ -171,15 +232,45 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
 
 
 def _meetings(representatives: DataFrame) -> DataFrame:
-    """(meeting, copy, block, n_blocks): the texts that agree in a band, each set of texts once."""
+    """(meeting, copy, h, n): the texts that agree in a band, each set of texts once."""
     band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.substring("signature", 8 * k + 1, 8).alias("key")) for k in range(BANDS)])).alias("b")
     met = representatives.where(F.col("signature").isNotNull()).select("copy", F.xxhash64("copy").alias("h"), band)
     met = met.select("copy", "h", F.xxhash64("b.band", "b.key").alias("meeting"))
     sets = met.groupBy("meeting").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1")
     once = sets.groupBy("n", "x", "low", "high").agg(F.min("meeting").alias("meeting")).select("meeting", "n")
-    joined = met.join(once, "meeting")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    return joined.select("meeting", "copy", "n", blocks.alias("n_blocks"), F.pmod(F.xxhash64("h", F.lit(5)), blocks).cast("int").alias("block"))
+    return met.join(once, "meeting").select("meeting", "copy", "h", "n")
+
+
+def _blocks(n: Column | str) -> Column:
+    return F.ceil((F.col(n) if isinstance(n, str) else n) / BLOCK).cast("int")
+
+
+def _in_blocks(met: DataFrame) -> DataFrame:
+    """(meeting, i, j, copy): each text in its block, and the hubs of a meeting in every block of it."""
+    own = F.pmod(F.xxhash64("h", F.lit(5)), _blocks("n")).cast("int")
+    alone = met.select("meeting", "copy", own.alias("i"))
+    # the least of a few hashes of the texts, found by aggregates and not by a window over the meeting
+    large = met.where(F.col("n") > BLOCK)
+    picks = [F.min(F.struct(F.xxhash64("h", F.lit(100 + k)).alias("by"), "copy"))["copy"].alias(f"c{k}") for k in range(HUBS)]
+    hubs = large.groupBy("meeting").agg(F.max("n").alias("n"), *picks)
+    hubs = hubs.select("meeting", "n", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(HUBS)]))).alias("copy"))
+    hubs = hubs.select("meeting", "copy", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("i"))
+    return alone.unionByName(hubs).select("meeting", "i", F.col("i").alias("j"), "copy")
+
+
+def _between_blocks(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(meeting, i, j, copy): texts of large meetings for every pair of blocks that isn't of one class."""
+    large = met.where(F.col("n") > BLOCK).join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    sizes = large.groupBy("meeting", "root").agg(F.count("*").alias("k"))
+    several = sizes.groupBy("meeting").agg(F.count("*").alias("classes"), F.sum(F.when(F.col("k") < BLOCK, F.col("k")).otherwise(0)).alias("rest")).where("classes > 1")
+    sizes = sizes.join(several.select("meeting", "rest"), "meeting")
+    pure = F.col("k") >= BLOCK
+    sizes = sizes.select("meeting", "root", F.when(pure, F.col("root")).otherwise("").alias("of"), _blocks(F.when(pure, F.col("k")).otherwise(F.col("rest"))).alias("m"))
+    every = sizes.select("meeting", "of", "m").distinct().select("meeting", "of", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("nth"))
+    every = every.select("meeting", F.col("of").alias("of_b"), F.xxhash64("of", "nth").alias("b"))
+    placed = large.join(sizes, ["meeting", "root"]).select("meeting", "copy", "of", F.xxhash64("of", F.pmod(F.xxhash64("h", F.lit(7)), F.col("m")).cast("int")).alias("a"))
+    pairs = placed.join(every, "meeting").where((F.col("of") != F.col("of_b")) | (F.col("of") == ""))
+    return pairs.select("meeting", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "copy")
 
 
 def _verify(rows: DataFrame, idf, least: float) -> DataFrame:
@@ -277,25 +368,29 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, copy, root, class_id, class_size) of each row: ``root``, the least digest of the class's texts, tells classes apart whose ``class_id`` is null or equal."""
     spark = docs.sparkSession
     prepare(spark)
-    counts, n = document_frequencies(docs)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(counts, n))
+    idf = spark.sparkContext.broadcast(frequencies(docs))
     signed = materialize(_signed(docs, idf), "signatures")
     texts = materialize(signed.groupBy("copy").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.max("signature").alias("signature")), "texts")
     met = materialize(_meetings(texts), "meetings")
 
-    pairs = met.select("meeting", "copy", "block", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    pairs = pairs.select("meeting", "copy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # one row of docs for each text that meets another
-    where = pairs.join(texts.select("copy", "least_id"), "copy")
+    # one row of docs for each text that meets another, by id or, for texts whose ids are all null, by digest
+    needed = met.select("copy").distinct().join(texts.select("copy", "least_id"), "copy")
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     bodies = docs.select(F.col("doc_id").cast("long").alias("least_id"), "text")
-    by_id = where.join(bodies, "least_id").where(digest == F.col("copy")).select("meeting", "i", "j", "copy", "text")
-    # texts whose ids are all null
-    nameless = bodies.where(F.col("least_id").isNull()).select(digest.alias("copy"), "text").dropDuplicates(["copy"])
-    by_text = where.where(F.col("least_id").isNull()).select("meeting", "i", "j", "copy").join(nameless, "copy").select("meeting", "i", "j", "copy", "text")
+    by_id = needed.join(bodies, "least_id").where(digest == F.col("copy")).select("copy", "text")
+    nameless = bodies.where(F.col("least_id").isNull()).select(digest.alias("copy"), "text")
+    by_text = nameless.join(needed.where(F.col("least_id").isNull()).select("copy"), "copy", "left_semi").dropDuplicates(["copy"])
+    bodies = materialize(by_id.unionByName(by_text), "bodies", "zstd")
     parts = partitions(docs)
-    grouped = by_id.unionByName(by_text).repartition(parts, "meeting", "i", "j").sortWithinPartitions("meeting", "i", "j", "copy")
-    links = _verify(grouped, idf, least)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        grouped = pairs.join(bodies, "copy").select("meeting", "i", "j", "copy", "text").repartition(parts, "meeting", "i", "j").sortWithinPartitions("meeting", "i", "j", "copy")
+        return materialize(_verify(grouped, idf, least), name)
+
+    links = verified(_in_blocks(met), "links-in")
+    between = _between_blocks(met, components(links)) if not met.where(F.col("n") > BLOCK).isEmpty() else None
+    if between is not None:
+        links = links.unionByName(verified(between, "links-between"))
     roots = components(links)
 
     linked = texts.join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))

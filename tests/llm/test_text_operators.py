@@ -380,17 +380,83 @@ def copies(spark):
     return rows
 
 
-@pytest.mark.parametrize("block", [128, 2])
+@pytest.mark.parametrize("block", [128, 2, 5])
 def test_near_duplicate_classes(spark, copies, monkeypatch, block):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
     docs = documents(spark, copies)
-    counts, n = near_duplicates.document_frequencies(docs)
-    assert n == len(copies)
-    idf = near_duplicates.inverse_frequencies(counts, n)
+    idf = near_duplicates.frequencies(docs)
     got = sorted((r["doc_id"], r["class_id"]) for r in near_duplicates.query(docs).collect())
     assert got == brute_classes([r[:2] for r in copies], idf, 0.8)
 
 
+@pytest.mark.parametrize("ceiling", [64, 3])
+def test_frequencies_are_exact_up_to_the_ceiling(spark, copies, monkeypatch, ceiling):
+    monkeypatch.setattr(near_duplicates, "CEILING", ceiling)
+    got = near_duplicates.frequencies(documents(spark, copies).repartition(7))
+    count = {}
+    for r in copies:
+        for v in set(tk.shingles(*tk.buffers(pa.array([r[1] or ""])))[1].tolist()):
+            count[v] = count.get(v, 0) + 1
+    n = len(copies)
+    assert got.n_docs == n
+    assert dict(zip(got.values.tolist(), got.counts.tolist(), strict=True)) == {v: k for v, k in count.items() if k + 1 > (n + 1) / ceiling}
+    value = np.array([*count], np.uint64)
+    want = [1 + np.log(min((n + 1) / (k + 1), ceiling)) for k in count.values()]
+    assert got.inverse(value) == pytest.approx(np.array(want, np.float32))
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Two groups in one band with a bridge between them and texts of no group, over many blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(200)]
+    far = [*base[:150], *[rng.choice(words) for _ in range(50)]]
+    rows = []
+    for k in range(60):
+        own = list(base if k % 2 else far)
+        own[rng.randrange(150)] = rng.choice(words)
+        rows.append((k, " ".join(own), "en", "a"))
+    rows += [(100 + k, " ".join([*base[:120], *[rng.choice(words) for _ in range(80)]]), "en", "a") for k in range(12)]
+    docs = documents(spark, rows)
+    idf = near_duplicates.frequencies(docs)
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_duplicates.query(docs).collect())
+    assert got == brute_classes([r[:2] for r in rows], idf, 0.8)
+    members = spark.createDataFrame([(1, str(k), k) for k in range(60)] , "meeting long, copy string, h long").withColumn("n", F.lit(60).cast("long"))
+    one = members.select("copy", F.lit("0").alias("root"))
+    assert near_duplicates._between_blocks(members, one).count() == 0
+    two = members.select("copy", F.when(F.col("h") < 58, "0").otherwise(F.col("copy")).alias("root"))
+    pairs = near_duplicates._between_blocks(members, two).collect()
+    together = {}
+    for r in pairs:
+        together.setdefault((r["i"], r["j"]), set()).add(int(r["copy"]))
+    assert all(any({a, b} <= t for t in together.values()) for a in range(60) for b in (58, 59) if a != b)
+    assert len(pairs) < 60 * 3  # about a row a text
+
+
+def test_recall_on_a_driver_table(spark):
+    """Every link of the documents whose id is divisible by 100, by brute force over all rows, is within a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    idf = near_duplicates.frequencies(docs)
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    _, value, times, own = (np.concatenate(x) for x in zip(*[(a + k, *more) for k in range(0, len(rows), 500) for a, *more in [near_duplicates.weighted(pa.array([t for _, t in rows[k : k + 500]]), idf)]], strict=True))
+    at = np.cumsum([0, *[len(near_duplicates.weighted(pa.array([t]), idf)[1]) for _, t in rows]])
+    weight = times * own
+    total = np.add.reduceat(np.append(weight, 0), at[:-1]) * (np.diff(at) > 0)
+    row = np.repeat(np.arange(len(rows)), np.diff(at))
+    links = []
+    for q in [k for k, (i, _) in enumerate(rows) if i % 100 == 0]:
+        mine = dict(zip(value[at[q] : at[q + 1]].tolist(), weight[at[q] : at[q + 1]].tolist(), strict=True))
+        keys = np.array(sorted(mine), np.uint64)
+        hit = np.isin(value, keys)
+        low = np.bincount(row[hit], weights=np.minimum(weight[hit], [mine[v] for v in value[hit].tolist()]), minlength=len(rows))
+        near = np.flatnonzero(low >= 0.8 * (total + total[q] - low) * (1 - 1e-6))
+        links += [(rows[q][0], rows[k][0]) for k in near.tolist() if k != q and total[k] > 0]
+    root = {r["doc_id"]: r["class_root"] for r in near_duplicates.query(docs).collect()}
+    assert len(links) >= 20
+    assert np.mean([root[a] == root[b] for a, b in links]) >= 0.99
+
+
 def test_similar_pairs_span_all_links():
     v = np.arange(10, dtype=np.uint64)
     one = np.ones(10, np.int64)
