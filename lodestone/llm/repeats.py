@@ -545,22 +545,31 @@ def _text_task(dealing: Dealing, whole_text: bool):
 def _sort_task(dealing: Dealing):
     """Orders the window suffixes of the dictionary strings of each part; notes of those that are repeated."""
 
+    def sent(notes: list[Columns]):
+        c = _merge(notes, NOTES)
+        yield from _dealt(TO_TEXTS, NOTES, c, dealing.first(c["doc"].view(np.uint64)))
+
     def run(batches):
+        notes: list[Columns] = []
+        held = 0
         for _, rows in _by_part(batches, ("payload",)):
             c, data, begin, _ = _opened([r[0] for r in rows])
             order = np.lexsort((c["at"], c["tie"], c["doc"], c["key"]))
             windows = np.cumsum(c["more"][order].astype(np.int64) + 1)
+            key = c["key"][order]
             at = 0
             while at < len(order):  # whole triggers at a time
                 to = int(np.searchsorted(windows, (windows[at - 1] if at else 0) + 150_000, "right"))
-                to = max(to, at + 1)
-                key = c["key"][order]
-                to = int(np.searchsorted(key, key[to - 1], "right"))
+                to = int(np.searchsorted(key, key[max(to, at + 1) - 1], "right"))
                 own = order[at:to]
-                again = corpus_order(take(c, own), data, begin[own])
-                if len(again["doc"]):
-                    yield from _dealt(TO_TEXTS, NOTES, again, dealing.first(again["doc"].view(np.uint64)))
+                notes.append(corpus_order(take(c, own), data, begin[own]))
+                held += len(notes[-1]["doc"])
+                if held >= HELD:
+                    yield from sent(notes)
+                    notes, held = [], 0
                 at = to
+        if held:
+            yield from sent(notes)
 
     return run
 
