@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_of_id
 
 
+#: Partitions of the bounded sample while a model is fit: so few that each step of an optimiser is one stage.
+FIT_PARTITIONS = 4
+
+
 def held_out() -> Column:
     """The contract's fold: crc32 of the id as text is divisible by 5."""
     return F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
@@ -16,7 +20,8 @@ def held_out() -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(text, label, weight) of about ``per_class`` labelled documents of each class, outside the fold.
 
-    Which documents are taken depends on a hash of their ids only. The weight of a class is the number
+    Labels other than 0 and 1 are left out; of several labels of a document the greatest counts, once. Which
+    documents are taken depends on a hash of their ids only. The weight of a class is the number
     of labelled documents that each taken one stands for. Only the labels taken are sent to all tasks,
     so their number is bounded by ``per_class``.
     """

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
 from lodestone.llm.common import batch, prepare
-from lodestone.llm.labelled import held_out, sample
+from lodestone.llm.labelled import FIT_PARTITIONS, held_out, sample
 from lodestone.session import materialize
 
 STATISTICS = ("n_bytes", "n_words", "word_length", "upper", "digit", "point", "mark", "bar", "blank", "wide", "line_length", "same_lines", "same_words", "same_shingles", "short_words")
@@ -144,13 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, trees: int =
     size = {r["label"]: r["w"] for r in train.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     if len(size) < 2:
         return RuleModel(0.0 if not size else 30.0 if 1 in size else -30.0, [])
-    rows = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(train)
+    rows = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(train.repartition(FIT_PARTITIONS))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", minInstancesPerNode=10, weightCol="weight", seed=11).fit(rows)
     rules = sorted(set().union(*(tree_rules(t.toDebugString) for t in forest.trees)))
     if not rules:
         return RuleModel(math.log(size[1] / size[0]), [])
     marked = train.select("label", "weight", F.array(*[holds(r).cast("double") for r in rules]).alias("held"))
-    marked = marked.select("label", "weight", array_to_vector("held").alias("features")).cache()
+    marked = marked.select("label", "weight", array_to_vector("held").alias("features")).repartition(FIT_PARTITIONS).cache()
     lasso = LogisticRegression(maxIter=80, regParam=penalty, elasticNetParam=1.0, standardization=False, weightCol="weight").fit(marked)
     marked.unpersist()
     weights = lasso.coefficients.toArray()

@@ -18,13 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textkit as tk
 from lodestone.llm.common import batch, prepare
-from lodestone.llm.labelled import held_out, sample
+from lodestone.llm.labelled import FIT_PARTITIONS, held_out, sample
 from lodestone.session import materialize
 
 GRAMS = (3, 4, 5)
@@ -120,9 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
                 has = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(place[c][order]))
                 yield batch(schema, label=part.column("label"), weight=part.column("weight"), has=has)
 
-    scaled = F.udf(lambda has: Vectors.sparse(len(r), has, r[has]), VectorUDT())
-    data = train.mapInArrow(vectors, "label int, weight double, has array<int>")
-    data = data.select("label", "weight", scaled("has").alias("features")).cache()
+    data = train.mapInArrow(vectors, "label int, weight double, has array<int>").withColumn("has", F.col("has").cast("array<string>"))
+    marks = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(r))], "has", "marks", binary=True).transform(data)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(r), inputCol="marks", outputCol="features").transform(marks)
+    data = scaled.select("label", "weight", "features").repartition(FIT_PARTITIONS).cache()
     model = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False, weightCol="weight").fit(data)
     data.unpersist()
     weights = np.zeros(1 << CELL_BITS, np.float32)
