@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import statistics as A
 from lodestone.operators import surfaces as G
+from lodestone.plans.ranking import dedup_sql
 from lodestone.plans.registry import query
 from lodestone.session import working_path
 from lodestone.sources import entities as E
@@ -39,13 +40,20 @@ def _blocks(spark, sf):
     return G.blocks([("now", _section(spark, sf, ["status", "focus"], match="any", limit=20)), ("who", _section(spark, sf, ["identity", "focus"], match="any", limit=20))], AS_OF)
 
 
-@query()
+def _limited(section: int, dims: str, order: str) -> str:
+    found = f"SELECT * FROM memories WHERE {LIVE} AND memory_id IN (SELECT memory_id FROM memory_tags WHERE dimension_id IN ({dims})) ORDER BY {order} DESC, memory_id LIMIT 20"
+    return f"SELECT {section} AS section, row_number() OVER (ORDER BY updated_at DESC, memory_id) AS rank, memory_id, content, {DAYS_AGO} AS relative_time FROM ({found})"
+
+
+BLOCKS = f"""WITH RECURSIVE {dedup_sql(_limited(0, "'status', 'focus'", "updated_at") + " UNION ALL " + _limited(1, "'identity', 'focus'", "priority"))}"""
+
+
+@query("memories memory_tags", f"{BLOCKS} SELECT section, rank, memory_id, relative_time FROM kept")
 def g02_blocks(spark, sf):
-    """Deduplication across sections is sequential, so no SQL; tests compare it with a loop."""
     return _blocks(spark, sf).select("section", "rank", "memory_id", "relative_time")
 
 
-@query()
+@query("memories memory_tags", f"{BLOCKS} SELECT 2 AS queries, count(*) * 30 AS tokens_est FROM kept")
 def g03_inject_stats(spark, sf):
     return G.block_stats(_blocks(spark, sf), 2)
 
@@ -90,7 +98,7 @@ def g05_graph_links(spark, sf):
     return _graph(spark, sf)[1]
 
 
-@query()
+@query("memories memory_tags", f"{BLOCKS} SELECT string_agg(concat('- ', substr(content, 1, 80)), chr(10) ORDER BY section, rank) AS profile FROM kept")
 def g06_role_profile(spark, sf):
     return G.profile_text(_blocks(spark, sf))
 
