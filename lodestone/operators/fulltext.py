@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENTER = "words-v1"
+SEGMENTER = "words-v2"
 WORD_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
 
 
+def _marked() -> dict[str, str]:
+    """Latin letters with marks by the letter without them, and the combining marks by nothing."""
+    out = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base.isascii() and all(map(unicodedata.combining, marks)):
+            out[c] = base
+    return out | {chr(c): "" for c in range(0x300, 0x370)}
+
+
+MARKED = _marked()
+
+
+def folded(text: Column) -> Column:
+    """In lower case and without marks, as full-text search compares words."""
+    return F.translate(F.lower(text), "".join(MARKED), "".join(MARKED.values()))  # what has no counterpart goes, and the marks are last
+
+
 def words(text: Column | str) -> Column:
-    """Lower-case runs of letters and digits."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: t != "")
+    """Lower-case runs of letters and digits, without marks."""
+    return F.filter(F.split(folded(F.col(text) if isinstance(text, str) else text), WORD_BREAK), lambda t: t != "")
 
 
 def bigrams(text: Column | str) -> Column:
@@ -27,9 +46,8 @@ def bigrams(text: Column | str) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """F-04. The distinct terms of a query, in order."""
-    import re
-
-    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
+    plain = query.lower().translate({ord(k): v for k, v in MARKED.items()})
+    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", plain) if t))
 
 
 def postings(docs: DataFrame, key: str, *texts: str) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestone.plans.registry import query
 from lodestone.sources import entities as E
 
 TERMS = ("stupid", "clown")
-TOKENS = r"list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 SHOWN = "SELECT * FROM memories WHERE status <> 'rejected'"
 
 

@@ -20,14 +20,14 @@ def f02_bigrams(spark, sf):
     return E.table(spark, sf, "benchmark").select("item_id", F.array_join(fulltext.bigrams("text"), " ").alias("grams"))
 
 
-@query("", "SELECT 'words-v1' AS segmenter")
+@query("", "SELECT 'words-v2' AS segmenter")
 def f03_segmenter(spark, sf):
     return spark.createDataFrame([(fulltext.SEGMENTER,)], "segmenter string")
 
 
-@query("", "SELECT unnest(['the', 'and', 'x1']) AS term")
+@query("", "SELECT unnest(['the', 'and', 'x1', 'grosse', 'uber']) AS term")
 def f04_query_terms(spark, sf):
-    return spark.createDataFrame([(t,) for t in fulltext.query_terms("The AND, x1 the!")], "term string")
+    return spark.createDataFrame([(t,) for t in fulltext.query_terms("The AND, x1 the! grosse über ÜBER")], "term string")
 
 
 @query("", r"""SELECT p_partkey, CASE WHEN q <> p_name THEN q ELSE p_name END AS query FROM (SELECT *, CASE WHEN regexp_matches(r, '\bred\b', 'i') OR NOT regexp_matches(r, '\bpink\b', 'i') THEN r ELSE regexp_replace(r, '\b(pink)\b', '\1 red', 'gi') END AS q

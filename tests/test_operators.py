@@ -73,17 +73,19 @@ def test_bad_limits(raw):
         selection.parse_limit(raw)
 
 
-def test_bm25_equals_fts5(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'")
+@pytest.mark.parametrize("query", ["stupid clown the", "größe año está", "AÑO esta über"])
+def test_bm25_equals_fts5(spark, sf, query):
+    """Over texts of all languages: words are compared without case and marks."""
+    more = [(1_000_001, "Año nuevo, esta GRÖSSE Größe groesse über ubér", None, None, 0), (1_000_002, "año n\u0303 u\u0308ber ÉSTÁ", None, None, 0)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
     con = sqlite3.connect(":memory:")
-    con.execute("CREATE VIRTUAL TABLE f USING fts5(id, text)")
-    con.executemany("INSERT INTO f(id, text) VALUES ('', ?)", [])
-    rows = docs.select("doc_id", "text").collect()
     con.execute("CREATE VIRTUAL TABLE g USING fts5(text)")
-    con.executemany("INSERT INTO g(rowid, text) VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in rows])
-    want = dict(con.execute("SELECT rowid, bm25(g) FROM g WHERE g MATCH '\"stupid\" OR \"clown\" OR \"the\"'"))
-    got = {r["doc_id"]: r["score"] for r in fulltext.bm25(docs, "doc_id", "stupid clown the", "text").collect()}
-    assert got.keys() == want.keys()
+    con.executemany("INSERT INTO g(rowid, text) VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    wanted = " OR ".join(f'"{t}"' for t in query.split())
+    want = dict(con.execute("SELECT rowid, bm25(g) FROM g WHERE g MATCH ?", (wanted,)))
+    got = {r["doc_id"]: r["score"] for r in fulltext.bm25(docs, "doc_id", query, "text").collect()}
+    assert got.keys() == want.keys() and want
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
