@@ -39,8 +39,9 @@ ORDER = 3
 GROUP = 8
 #: Tasks that count the strings of the sample, which is bounded: fewer tasks give fewer counts to add up.
 SAMPLE_TASKS = 8
-#: Costs that are held at once while a text is scored.
-HELD = 4_000_000
+#: Bytes of texts that are scored at once, and costs that are held at once meanwhile.
+SLICE = 750_000
+HELD = 1_500_000
 #: Bits that the uniform code is behind by, as a rival of the languages.
 RIVAL = 16.0
 
@@ -103,7 +104,7 @@ def _gram_counts(batches):
         langs = np.array(b.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
             rows = b.filter(pa.array(langs == lang))
-            for part in tk.slices(rows, "text"):
+            for part in tk.slices(rows, "text", SLICE):
                 data, offs = tk.buffers(part.column("text"))
                 codes = FOLD[data].astype(np.int64)
                 age = np.arange(len(codes)) - offs[np.searchsorted(offs, np.arange(len(codes)), "right") - 1]
@@ -210,7 +211,7 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
         m = held.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for whole in batches:
-            for part in tk.slices(whole, "text"):
+            for part in tk.slices(whole, "text", SLICE):
                 data, offs = tk.buffers(part.column("text"))
                 bits = code_lengths(m, data, offs)
                 letter = part.column("letter").to_numpy(zero_copy_only=False)
@@ -243,7 +244,7 @@ def gate(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def keep(batches):
         m = held.value
         for whole in batches:
-            for part in tk.slices(whole, "text"):
+            for part in tk.slices(whole, "text", SLICE):
                 data, offs = tk.buffers(part.column("text"))
                 yield part.filter(pa.array(posterior(code_lengths(m, data, offs), np.diff(offs)) >= least))
 

@@ -90,7 +90,7 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         n, docs_ = np.zeros(1 << CELL_BITS, np.int64), 0
         for whole in batches:
-            for part in tk.slices(whole, "text"):
+            for part in tk.slices(whole, "text", 1_000_000):
                 _, value, _ = tk.elements(*tk.shingles(*tk.buffers(part.column("text"))))
                 n += np.bincount(_cell(value), minlength=1 << CELL_BITS)
                 docs_ += part.num_rows
@@ -139,12 +139,12 @@ def frequencies(docs: DataFrame) -> Frequencies:
                 yield batch(schema, value=value[k : k + 100_000].view(np.int64), n=total[k : k + 100_000])
 
         for whole in batches:
-            for part in tk.slices(whole, "text"):
+            for part in tk.slices(whole, "text", 1_000_000):
                 _, value, _ = tk.elements(*tk.shingles(*tk.buffers(part.column("text"))))
                 own, k = np.unique(value[open_[_cell(value)]], return_counts=True)
                 held.append((own, k))
                 size += len(own)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield from flush()
                     held, size = [], 0
         if size:
