@@ -22,7 +22,10 @@ def t01_suppression_stream(spark, sf):
 
 @query("signal_events", "SELECT event_id, type FROM signal_events")
 def t02_unique_stream(spark, sf):
-    return S.drained(S.unique_events(_stream(spark, sf)).select("event_id", "type"), "unique")
+    """Every third event comes three times."""
+    times = F.sequence(F.lit(1), F.when(F.col("event_id") % 3 == 0, 3).otherwise(1))
+    again = _stream(spark, sf).withColumn("_time", F.explode(times)).drop("_time")
+    return S.drained(S.unique_events(again).select("event_id", "type"), "unique")
 
 
 CURSORS = [("a", "2024-01-10 00:00:00", 100), ("b", "2024-01-29 12:00:00", 0), ("c", "2024-12-01 00:00:00", 5)]

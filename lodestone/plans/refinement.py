@@ -15,20 +15,22 @@ DYNAMIC = [d[0] for d in E.DIMENSIONS if d[2] == "dynamic"]
 
 
 def echo(prompts: pd.Series) -> pd.Series:
-    """A stand-in for a model: one item with the prompt's first words."""
-    first = prompts.str.replace('"', "", regex=False).str.replace("\n", " ", regex=False).str.slice(0, 30)
+    """A stand-in for a model: one item with the prompt's length and first words."""
+    first = prompts.str.len().astype(str) + ":" + prompts.str.replace('"', "", regex=False).str.replace("\n", " ", regex=False).str.slice(0, 30)
     return '```json\n[{"content": "' + first + '", "memory_type": "fact", "priority": 150, "dimensions": ["focus"], "source_message_ids": [1, 2]}, {"content": " "}]\n```'
 
 
 def _items(spark, sf):
-    prompts = E.messages(spark, sf).where("seq = 1").select("file_id", F.col("content").alias("prompt"))
+    said = F.sort_array(F.collect_list(F.struct("seq", "content")))["content"]  # a conversation
+    prompts = E.messages(spark, sf).groupBy("file_id").agg(F.array_join(said, "\n").alias("prompt"))
     return L.extracted(L.answers(prompts, echo), DYNAMIC)
 
 
-FIRST = "trim(substr(replace(replace(content, '\"', ''), chr(10), ' '), 1, 30))"
+FIRST = "trim(concat(length(prompt), ':', substr(replace(replace(prompt, '\"', ''), chr(10), ' '), 1, 30)))"
+PROMPTS = "(SELECT file_id, string_agg(content, chr(10) ORDER BY seq) AS prompt FROM messages GROUP BY 1)"
 
 
-@query("messages", f"SELECT file_id, {FIRST} AS content, 'episodic' AS memory_type, 100 AS priority, 'dynamic' AS time_velocity FROM messages WHERE seq = 1")
+@query("messages", f"SELECT file_id, {FIRST} AS content, 'episodic' AS memory_type, 100 AS priority, 'dynamic' AS time_velocity FROM {PROMPTS}")
 def l01_extract(spark, sf):
     return _items(spark, sf).select("file_id", "content", "memory_type", "priority", "time_velocity")
 
@@ -44,7 +46,7 @@ def l03_batch(spark, sf):
     return L.to_refine(E.messages(spark, sf), files).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-@query("messages memories", f"SELECT count(DISTINCT {FIRST}) AS stored FROM messages WHERE seq = 1 AND {FIRST} NOT IN (SELECT content FROM memories)")
+@query("messages memories", f"SELECT count(DISTINCT {FIRST}) AS stored FROM {PROMPTS} WHERE {FIRST} NOT IN (SELECT content FROM memories)")
 def l04_persist(spark, sf):
     items = _items(spark, sf).select(F.concat_ws("#", F.lit("n"), "file_id").alias("memory_id"), "content", "priority")
     once = ranking.first_of_content(items, F.col("memory_id"))
@@ -83,7 +85,7 @@ def l12_ingest_extract_validate(spark, sf):
     return got.where((F.size(failed) == 0) & (F.trim("title") != "")).agg(F.count("*").alias("pages"))
 
 
-@query("messages", f"SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(CASE WHEN CAST(file_id AS INT) % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hard FROM messages WHERE seq = 1")
+@query("messages", f"SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(CASE WHEN CAST(file_id AS INT) % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hard FROM {PROMPTS}")
 def l13_mock_model(spark, sf):
     items = _items(spark, sf)
     return items.agg(F.count("*").alias("items"), F.sum(F.when(F.col("file_id").cast("int") % 3 == 0, 1).otherwise(0)).alias("hard"))
