@@ -97,3 +97,33 @@ def profile_text(items: DataFrame) -> DataFrame:
     """G-06. A role's profile: its items' contents as lines, by section and rank."""
     line = F.struct("section", "rank", F.concat(F.lit("- "), F.substring("content", 1, 80)).alias("line"))
     return items.agg(F.array_join(F.sort_array(F.collect_list(line))["line"], "\n").alias("profile"))  # a template's items
+
+
+#: The keys of a role card, and those of its data that must or may be there.
+CARD_KEYS = ("spec", "spec_version", "data")
+CARD_REQUIRED = ("name", "description")
+CARD_OPTIONAL = ("personality", "scenario", "first_mes", "mes_example", "system_prompt", "post_history_instructions", "character_book", "extensions")
+POLICY_KEYS = ("greeting_templates", "trigger_rules", "frequency")
+
+
+def role_errors(card: object, policy: str = "care") -> list[str]:
+    """F-42. What is wrong with a role card; ``policy`` is the extension that holds how often and when it speaks."""
+    if not isinstance(card, dict):
+        return ["card is no object"]
+    out = [f"unknown key {k}" for k in sorted(card.keys() - set(CARD_KEYS))]
+    data = card.get("data")
+    if not isinstance(data, dict):
+        return [*out, "data is no object"]
+    out += [f"missing {k}" for k in CARD_REQUIRED if not (isinstance(data.get(k), str) and data[k].strip())]
+    known = {*CARD_REQUIRED, *CARD_OPTIONAL}
+    out += [f"unknown field {k}" for k in sorted(data.keys() - known)]
+    out += [f"type of {k}" for k in sorted(data.keys() & known) if not isinstance(data[k], str | dict | list | None)]
+    extensions = data.get("extensions")
+    if extensions is None:
+        return out
+    if not isinstance(extensions, dict):
+        return [*out, "extensions is no object"]
+    rules = extensions.get(policy)
+    if rules is not None and not isinstance(rules, dict):
+        return [*out, f"{policy} is no object"]
+    return out + [f"unknown {policy} key {k}" for k in sorted((rules or {}).keys() - set(POLICY_KEYS))]

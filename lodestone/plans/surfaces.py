@@ -103,6 +103,18 @@ def g06_role_profile(spark, sf):
     return G.profile_text(_blocks(spark, sf))
 
 
+CARDS = {
+    "good": {"spec": "v2", "data": {"name": "n", "description": "d", "extensions": {"care": {"frequency": 1}}}},
+    "bad": {"more": 1, "data": {"name": " ", "scenario": 5, "age": 3, "extensions": {"care": {"often": 1}}}},
+    "none": {"data": []},
+}
+
+
+@query("", "SELECT * FROM (VALUES ('bad', 'unknown key more'), ('bad', 'missing name'), ('bad', 'missing description'), ('bad', 'unknown field age'), ('bad', 'type of scenario'), ('bad', 'unknown care key often'), ('none', 'data is no object')) AS t(card, error)")
+def f42_role_errors(spark, sf):
+    return spark.createDataFrame([(name, e) for name, card in CARDS.items() for e in G.role_errors(card)], "card string, error string")
+
+
 @query("memories memory_tags memory_sources", "SELECT memory_id, status, (SELECT string_agg(dimension_id, ',' ORDER BY dimension_id) FROM memory_tags t WHERE t.memory_id = m.memory_id) AS dimensions, (SELECT min(source_ref) FROM memory_sources s WHERE s.memory_id = m.memory_id) AS sources FROM memories m WHERE memory_id = '17'")
 def g07_memory_detail(spark, sf):
     one = G.detail(E.memories(spark, sf), E.memory_tags(spark, sf), E.memory_sources(spark, sf), "17")
