@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +39,79 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return similarities(vectors, query).orderBy(F.desc("similarity"), "memory_id").limit(k)
 
 
+#: Vectors that stand for their neighbourhoods, and bytes that they may have together, as every task gets them.
+PIVOTS = 256
+PIVOT_BYTES = 16 << 20
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    x = np.stack(rows.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def neighbourhoods(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``vectors`` with the nearest pivot and its angle; -1 for vectors of another size than the pivots'."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            pivot, angle = np.full(len(f), -1), np.zeros(len(f))
+            fits = (f["embedding"].map(len) == pivots.shape[1]).to_numpy()
+            if fits.any():
+                cosines = _unit(f["embedding"][fits]) @ pivots.T
+                pivot[fits] = cosines.argmax(1)
+                angle[fits] = np.arccos(np.clip(cosines.max(1), -1, 1))
+            yield f.assign(pivot=pivot, angle=angle)
+
+    return vectors.mapInPandas(near, f"{kinds}, pivot int, angle double")
+
+
+def comparable(pivots: np.ndarray, radius: dict[int, float], least: float) -> list[tuple[int, int]]:
+    """Pairs of neighbourhoods that may hold vectors of at least that similarity, both ways round.
+
+    Two vectors are at least as far apart as their pivots less what each is away from its own.
+    """
+    held = np.array(sorted(k for k in radius if k >= 0), np.int64)
+    reach = np.array([radius[k] for k in held])
+    apart = np.arccos(np.clip(pivots[held] @ pivots[held].T, -1, 1)) - reach[:, None] - reach[None, :]
+    a, b = np.nonzero(apart <= np.arccos(np.clip(least, -1, 1)) + 1e-6)
+    return [*zip(held[a].tolist(), held[b].tolist(), strict=True), *([(-1, -1)] if -1 in radius else [])]
+
+
 def similar_pairs(vectors: DataFrame, least: float, block: int = 256) -> DataFrame:
     """J-21, V-24. (a, b, similarity) of all pairs of at least that similarity, a < b.
 
-    Vectors are dealt into blocks and every pair of blocks is one matrix product in a task of its own;
-    only the pairs that pass leave a task.
+    Vectors are dealt to the nearest of some pivots, and neighbourhoods that are too far apart for any pair are not
+    compared. Those left are split into blocks, and every pair of blocks is one matrix product in a task of its own;
+    only the pairs that pass leave a task. The result is exact: what is left out can't pass.
     """
-    import numpy as np
-    import pandas as pd
-
-    n_blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("memory_id", "embedding", F.pmod(F.xxhash64("memory_id"), F.lit(n_blocks)).alias("own"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = pairs.select("memory_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spark = vectors.sparkSession
+    whole = vectors.select("memory_id", "embedding").where(dot("embedding", "embedding") > 0)
+    most = max(1, min(PIVOTS, whole.count() // block))  # neighbourhoods are at least about a block
+    first = whole.orderBy(F.xxhash64("memory_id"), "memory_id").limit(most).toPandas()
+    if not len(first):
+        return whole.select(F.col("memory_id").alias("a"), F.col("memory_id").alias("b"), F.lit(0.0).alias("similarity"))
+    size = len(first["embedding"].iloc[0])
+    same = first["embedding"][first["embedding"].map(len) == size]
+    pivots = _unit(same.iloc[: max(1, PIVOT_BYTES // (8 * size))])
+    placed = neighbourhoods(whole, pivots)
+    sizes = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row a pivot
+    parts = {k: max(1, -(-r["n"] // block)) for k, r in sizes.items()}
+    near = comparable(pivots, {k: r["radius"] for k, r in sizes.items()}, least)
+    meets = spark.createDataFrame([(a, b, parts[a], parts[b]) for a, b in near], "pivot int, other int, own_parts long, other_parts long")
+
+    def name(pivot: str, part: Column) -> Column:
+        return F.shiftleft(F.col(pivot).cast("long") + 1, 32) + part
+
+    joined = placed.join(meets, "pivot").withColumn("own", name("pivot", F.pmod(F.xxhash64("memory_id"), F.col("own_parts"))))
+    joined = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_parts") - 1))).withColumn("to", name("other", F.col("part")))
+    pairs = joined.select("memory_id", "embedding", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         out = []
-        for _, same in pdf.groupby(pdf["embedding"].map(len)):
-            x = np.stack(same["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            ids, own = same["memory_id"].to_numpy()[norm > 0], same["own"].to_numpy()[norm > 0]
-            x = x[norm > 0] / norm[norm > 0, None]
+        for _, alike in pdf.groupby(pdf["embedding"].map(len)):
+            x, ids, own = _unit(alike["embedding"]), alike["memory_id"].to_numpy(), alike["own"].to_numpy()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             sim = x[left] @ x[right].T
             a, b = np.nonzero(sim >= least)

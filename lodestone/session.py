@@ -30,9 +30,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
+#: Python workers live through many stages: large arrays that they free go back to the system at once.
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started from another folder import this package."""
+    """Let Python workers started from another folder import this package, and keep them small."""
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENVIRONMENT.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])

@@ -2,6 +2,7 @@
 
 import datetime
 import difflib
+import itertools
 import math
 import random
 import sqlite3
@@ -9,6 +10,7 @@ import time
 import unicodedata
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,24 @@ def test_similar_pairs_over_blocks(spark):
     assert pairs(7) == pairs(1000) != []
 
 
+@pytest.mark.parametrize(("pivots", "least"), [(256, 0.9), (7, 0.9), (7, 0.2), (40, 0.995)])
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch, pivots, least):
+    """Clusters of vectors, some of another size, some without length."""
+    monkeypatch.setattr(vectors, "PIVOTS", pivots)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 16))
+    rows = [(f"v{k:03}", (centres[k % 9] + rng.normal(size=16) * 0.25).tolist()) for k in range(300)] + [(f"s{k}", rng.normal(size=3).tolist()) for k in range(20)] + [("z", [0.0] * 16), ("y", [0.0] * 3)]
+    x = {i: np.float32(v).astype(float) for i, v in rows}
+    want = sorted((a, b) for a, b in itertools.combinations(sorted(x), 2) if len(x[a]) == len(x[b]) and x[a].any() and x[b].any() and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= least)
+    got = vectors.similar_pairs(spark.createDataFrame(rows, "memory_id string, embedding array<float>"), least, 20).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == want and want
+
+
+def test_far_neighbourhoods_are_not_compared():
+    pivots = np.eye(4)
+    assert vectors.comparable(pivots, {0: 0.1, 1: 0.1, 3: 1.2, -1: 0.0}, np.cos(0.3)) == [(0, 0), (0, 3), (1, 1), (1, 3), (3, 0), (3, 1), (3, 3), (-1, -1)]
+
+
 def test_fusion_ties_keep_the_first_route(spark):
     a = spark.createDataFrame([("x", 0), ("y", 1)], "id string, place int")
     b = spark.createDataFrame([("z", 0), ("w", 1)], "id string, place int")
