@@ -167,23 +167,24 @@ def code_lengths(model: PpmModel, data: np.ndarray, offs: np.ndarray) -> np.ndar
     out = np.zeros((len(offs) - 1, len(model.languages)))
     if not len(data):
         return out
-    string = FOLD[data].astype(np.int64)
-    codes, starts = string.copy(), offs[:-1][np.diff(offs) > 0]
-    for k in range(1, ORDER + 1):
-        old = np.full_like(codes, 32)
-        old[k:] = codes[: len(codes) - k]
-        for j in range(k):
-            near = starts + j
-            old[near[near < len(codes)]] = 32
-        string |= old << (8 * k)
+    codes, starts = FOLD[data], offs[:-1][np.diff(offs) > 0]
     step = HELD // min(GROUP, len(model.languages))
     for lo in range(0, len(data), step):
         hi = min(lo + step, len(data))
+        string = codes[lo:hi].astype(np.int64)
+        first = starts[np.searchsorted(starts, lo - ORDER) : np.searchsorted(starts, hi)]  # of texts that start here or just before
+        for k in range(1, ORDER + 1):
+            old = np.full(hi - lo, 32, np.int64)
+            old[max(0, k - lo) :] = codes[max(0, lo - k) : max(0, hi - k)]
+            for j in range(k):
+                near = first + j - lo
+                old[near[(near >= 0) & (near < hi - lo)]] = 32
+            string |= old << (8 * k)
         row = np.arange(np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left"))
         row = row[offs[row + 1] > offs[row]]
         at = np.maximum(offs[row], lo) - lo
         for k, trees in enumerate(model.groups):
-            out[row, k * GROUP : k * GROUP + GROUP] += np.add.reduceat(trees.spent(string[lo:hi]), at, axis=0)
+            out[row, k * GROUP : k * GROUP + GROUP] += np.add.reduceat(trees.spent(string), at, axis=0)
     return out
 
 

@@ -30,14 +30,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers that a worker keeps; those of longer texts are made anew.
+KEPT_POWERS = 1 << 20
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """POLY**i and its inverse modulo 2**64 for i below n."""
+
+    def made(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps, out=steps)
+
+    bases = POLY, pow(POLY, -1, 1 << 64)
+    if n > KEPT_POWERS:
+        return made(bases[0], n), made(bases[1], n)
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((POLY, pow(POLY, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
+        _powers[:] = [made(b, KEPT_POWERS) for b in bases]
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -56,7 +65,10 @@ class Spans:
         up, self.down = powers(len(data) + 1)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        self.sums[1:] = data
+        self.sums[1:] += np.uint64(1)
+        self.sums[1:] *= up[:-1]
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
