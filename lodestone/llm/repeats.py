@@ -238,6 +238,9 @@ PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.b
 PACKED_SQL = "kind int, part int, payload binary"
 #: What packed rows hold: phrases, notes, or strings with their bytes.
 TO_PHRASES, TO_TEXTS, STRING = 0, 1, 2
+#: Bytes of strings that are sent at once, and asked phrases of a text that are taken at once.
+SENT_BYTES = 8_000_000
+PIECE = 512
 #: Packed bytes that are dealt again at once.
 AGAIN_BYTES = 8 << 20
 
@@ -421,9 +424,9 @@ class _Notes:
         return {k: v[a:b] for k, v in self.c.items()}
 
 
-def _strings(raw: bytes, asked: Columns) -> tuple[Columns, bytes]:
+def _strings(raw: bytes, asked: Columns, spans: tk.Spans | None = None) -> tuple[Columns, bytes]:
     """The phrases that are asked for, or (kind 2) their windows under the windows' own hashes."""
-    spans = tk.Spans(np.frombuffer(raw, np.uint8))
+    spans = spans or tk.Spans(np.frombuffer(raw, np.uint8))
     at, end = asked["start"].astype(np.int64), asked["end"].astype(np.int64)
     place = at + asked["ahead"]
     key = spans(place, place + TRIGGER) & BITS_48
@@ -478,7 +481,7 @@ def _send(strings: list[tuple[Columns, bytes]], row_type: pa.DataType, dealing:
         yield _result(b.num_rows, row_type, kind=[kind] * b.num_rows, part=b.column("part"), payload=b.column("payload"))
 
 
-def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, strings: list, row_type: pa.DataType):
+def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, strings: _Held, row_type: pa.DataType):
     """Texts of which nothing is asked are done; of the others the strings are taken and they stay open."""
     doc, tie = _ids(texts)
     raw = [x.encode() if x else b"" for x in texts.column("text").to_pylist()]
@@ -499,7 +502,9 @@ def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, s
             for column, x in zip(done, (k, left, len(raw[k]), len(raw[k]) - len(kept), len(start), hashlib.sha256(kept).hexdigest()), strict=True):
                 column.append(x)
         else:
-            strings.append(_strings(raw[k], take(c, np.flatnonzero(~again))))
+            asked, spans = np.flatnonzero(~again), tk.Spans(np.frombuffer(raw[k], np.uint8))
+            for at in range(0, len(asked), PIECE):  # a window of each byte may be asked for, a hundred times the text
+                yield from strings.add(_strings(raw[k], take(c, asked[at : at + PIECE]), spans))
             open_[0].append(k)
             open_[1].append(np.stack([start, end]).astype("<i8").tobytes())
     for kind, (rows, *more) in ((DONE, done), (OPEN, open_)):
@@ -510,15 +515,35 @@ def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, s
             yield _result(len(at), row_type, **own)
 
 
+class _Held:
+    """Strings that a task holds until there are enough to send."""
+
+    def __init__(self, row_type: pa.DataType, dealing: Dealing):
+        self.row_type, self.dealing = row_type, dealing
+        self.strings: list[tuple[Columns, bytes]] = []
+        self.size = 0
+
+    def add(self, more: tuple[Columns, bytes]):
+        self.strings.append(more)
+        self.size += len(more[1])
+        if self.size > SENT_BYTES:
+            yield from self.flush()
+
+    def flush(self):
+        held, self.strings, self.size = self.strings, [], 0
+        if held:
+            yield from _send(held, self.row_type, self.dealing)
+
+
 def _text_task(dealing: Dealing, whole_text: bool):
     """Texts meet the notes of their part, which come before them."""
 
     def run(batches):
         notes, payloads, current = None, [], None
-        strings: list[tuple[Columns, bytes]] = []
-        row_type = None
+        strings, row_type = None, None
         for whole in batches:
             row_type = whole.schema.field("row").type
+            strings = strings or _Held(row_type, dealing)
             for b in tk.slices(whole, "text", 2_000_000):
                 part_of = b.column("part").to_numpy(zero_copy_only=False)
                 edge = np.flatnonzero(np.append(True, part_of[1:] != part_of[:-1])).tolist()
@@ -533,11 +558,8 @@ def _text_task(dealing: Dealing, whole_text: bool):
                         if notes is None:
                             notes, payloads = _Notes(payloads), []
                         yield from _settle(texts, notes, part, whole_text, strings, row_type)
-                        if sum(len(x[1]) for x in strings) > 8_000_000:
-                            yield from _send(strings, row_type, dealing)
-                            strings.clear()
         if strings:
-            yield from _send(strings, row_type, dealing)
+            yield from strings.flush()
 
     return run
 
