@@ -23,13 +23,15 @@ Scale. Phrases are dealt to tasks by trigger hash as packed arrays, about 28 byt
 text; each task first settles repeats inside its own part of the corpus, so a passage that stands in
 a third of all texts reaches a reducer once from each task. A task packs for at most ``LEVEL`` parts; where there
 are more, packed rows go to groups of parts first and are dealt again inside them (``Dealing``), so
-their number grows with the parts times ``LEVEL`` and not with the square of the parts. A trigger of
-which more than ``hot`` distinct phrases are asked for sends all of them as single windows, dealt by their own
-hash, instead of phrases; of equal windows in about 8 MB a task sends the earliest only and notes the
-others. If a side of a trigger has more than ``hot / 8`` phrases among those that a task holds, it asks for that
-trigger's phrases by window at once and sends a mark in their place, which makes all others of the
-trigger go by window too. Texts are shuffled once to meet their notes, and only those with shared
-triggers a second time.
+their number grows with the parts times ``LEVEL`` and not with the square of the parts. A trigger that one
+task finds in more phrases than its share of ``hot`` is hot: its phrases go on by (trigger, side) instead, twice if
+they have both sides, as phrases without a side in common share no window; a mark in their place makes the
+trigger's part send all others on in the same way, so an unmarked trigger has at most ``hot`` phrases, or one a task,
+and a line that many texts have between text of their own is dealt by what stands beside it. A side with more than
+its share is hot in turn: its phrases are asked for as single windows, dealt by their own hash, and a
+mark makes all others of the side go so too; of equal windows in about 8 MB a task sends the earliest only and
+notes the others. Strings are compared by whole triggers or sides, of about ``OPENED`` bytes at a time. Texts are
+shuffled once to meet their notes, and only those with shared triggers a second time.
 
 Defined results: null text is empty; texts are compared as UTF-8 bytes; rows that repeat a
 ``doc_id`` are ordered by a hash of their text, and rows equal in both are judged as if each were
@@ -55,10 +57,12 @@ from lodestone.session import materialize
 
 LENGTH = 100
 TRIGGER = 32
-#: Distinct phrases of one trigger that are compared in one task.
+#: Distinct phrases of one trigger, or of one of its sides, that are compared in one task.
 HOT = 4096
-#: A side with more than hot / LOCAL distinct phrases among those that a task holds makes its trigger hot.
-LOCAL = 8
+#: What a task asks for by window at once is a side with more than hot / ASKED of its phrases, or its share, if that is more.
+ASKED = 64
+#: Bytes of strings that are compared at once, beyond those of one trigger or side.
+OPENED = 48 << 20
 #: Phrases that a task holds before it sends them on.
 HELD = 1 << 20
 #: Parts that a task packs rows for.
@@ -73,7 +77,8 @@ BITS_48 = np.uint64((1 << 48) - 1)
 #: bytes on that side, 0 if no window of the phrase has them; at: its start; ahead, more: bytes from there to the trigger
 #: and to the last window's start.
 PHRASES = (("key", "<u8"), ("name", "<u8"), ("name_low", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("ahead", "u1"), ("more", "u1"))
-#: kind 0: bytes from start to end are repeated. 1, 2: the phrase there is asked for, as one or (2) by window.
+#: kind 0: bytes from start to end are repeated. Others: the phrase there is asked for.
+REPEATED, BY_TRIGGER, BY_WINDOW, BY_LEFT, BY_RIGHT = range(5)
 NOTES = (("doc", "<i8"), ("tie", "<i4"), ("start", "<u4"), ("end", "<u4"), ("ahead", "u1"), ("kind", "u1"))
 STRINGS = (("key", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("at", "<u4"), ("more", "u1"))
 
@@ -157,6 +162,11 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
+def _side(spans: tk.Spans, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 16-bit name of each range, not 0."""
+    return 1 + spans(start, end) % np.uint64(65535)
+
+
 def parse(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Columns, tk.Spans]:
     """(row, phrases without doc and tie) of a batch of texts; ``at`` counts from the batch's start."""
     spans = tk.Spans(data)
@@ -193,8 +203,8 @@ def parse(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Columns, tk.S
     name, name_low = name_phrases(data, at, at + more + LENGTH)
     row = np.searchsorted(offs, at, "right") - 1
     ahead = place - at
-    left = np.where(ahead >= SIDE, 1 + spans(np.maximum(place - SIDE, 0), place + TRIGGER) % np.uint64(65535), np.uint64(0))
-    right = np.where(ahead - more <= SIDE, 1 + spans(place, np.minimum(place + TRIGGER + SIDE, len(data))) % np.uint64(65535), np.uint64(0))
+    left = np.where(ahead >= SIDE, _side(spans, np.maximum(place - SIDE, 0), place + TRIGGER), np.uint64(0))
+    right = np.where(ahead - more <= SIDE, _side(spans, place, np.minimum(place + TRIGGER + SIDE, len(data))), np.uint64(0))
     return row, {"key": x[place] & BITS_48, "name": name, "name_low": name_low, "left": left, "right": right, "at": at, "ahead": ahead, "more": more}, spans
 
 
@@ -220,24 +230,46 @@ def _asked(c: Columns, kind) -> Columns:
     return {"doc": c["doc"], "tie": c["tie"], "start": c["at"], "end": c["at"].astype(np.int64) + c["more"] + LENGTH, "ahead": c["ahead"], "kind": np.broadcast_to(kind, len(c["doc"]))}
 
 
+def _counts(keys: np.ndarray) -> np.ndarray:
+    """How often each key is there."""
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def _alike(c: Columns) -> np.ndarray:
     """For each phrase, how many have its trigger and a side of it; phrases that share a window share a side."""
     n = np.zeros(len(c["key"]), np.int64)
     for side in ("left", "right"):
-        _, at, own = np.unique((c["key"] << np.uint64(16)) | c[side].astype(np.uint64), return_inverse=True, return_counts=True)
-        n = np.maximum(n, np.where(c[side] > 0, own[at], 0))
+        n = np.maximum(n, np.where(c[side] > 0, _counts((c["key"] << np.uint64(16)) | c[side].astype(np.uint64)), 0))
     return n
 
 
 def _marks(keys: np.ndarray) -> Columns:
-    """Rows among the phrases that say that a trigger is hot: those without both sides, of which a phrase has one."""
+    """Rows among the phrases that say that a trigger or side is hot: those without both sides, of which a phrase has one."""
     return {name: keys if name == "key" else np.zeros(len(keys), kind) for name, kind in PHRASES}
 
 
+def _is_mark(c: Columns) -> np.ndarray:
+    return (c["left"] == 0) & (c["right"] == 0)
+
+
+def side_key(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    return tk.mix((key << np.uint64(16)) | side.astype(np.uint64)) & BITS_48
+
+
+def _sides(c: Columns) -> Columns:
+    """Phrases under the keys of their sides: of the two columns of sides, the one meant is 1 and the other 0."""
+    out = []
+    for side, other in (("left", "right"), ("right", "left")):
+        own = take(c, np.flatnonzero(c[side] > 0))
+        out.append(own | {"key": side_key(own["key"], own[side]), side: np.ones(len(own["key"]), np.uint16), other: np.zeros(len(own["key"]), np.uint16)})
+    return _merge(out, PHRASES)
+
+
 PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 PACKED_SQL = "kind int, part int, payload binary"
-#: What packed rows hold: phrases, notes, or strings with their bytes.
-TO_PHRASES, TO_TEXTS, STRING = 0, 1, 2
+#: What packed rows hold: phrases by trigger, notes, strings with their bytes, or phrases by side.
+TO_PHRASES, TO_TEXTS, STRING, TO_SIDES = range(4)
 #: Bytes of strings that are sent at once, and asked phrases of a text that are taken at once.
 SENT_BYTES = 8_000_000
 PIECE = 512
@@ -269,7 +301,7 @@ def _deal_again(dealing: Dealing):
             c, data, begin, size = _opened(held)
             yield from _dealt(kind, STRINGS, c, dealing.part(c["key"]), (data, begin, size))
         else:
-            kinds, by = (PHRASES, "key") if kind == TO_PHRASES else (NOTES, "doc")
+            kinds, by = (NOTES, "doc") if kind == TO_TEXTS else (PHRASES, "key")
             c = gather(kinds, held)
             yield from _dealt(kind, kinds, c, dealing.part(c[by].view(np.uint64)))
 
@@ -297,7 +329,7 @@ def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column("doc").fill_null(NO_ID).to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
 
 
-def _parse_task(dealing: Dealing, hot: int):
+def _parse_task(dealing: Dealing, share: int, side_share: int):
     def run(batches):
         held: list[Columns] = []
         count = 0
@@ -307,11 +339,14 @@ def _parse_task(dealing: Dealing, hot: int):
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
             c = take(c, np.lexsort((c["at"], c["tie"], c["doc"])))
-            marks = np.unique(c["key"][_alike(c) > max(hot // LOCAL, 1)])
-            if len(marks):
-                marked = np.isin(c["key"], marks)
-                again = _merge([again, _asked(take(c, np.flatnonzero(marked)), 2)], NOTES)
-                c = _merge([take(c, np.flatnonzero(~marked)), _marks(marks)], PHRASES)
+            hot = _counts(c["key"]) > share
+            if hot.any():
+                marks = _marks(np.unique(c["key"][hot]))
+                sides, c = _sides(take(c, np.flatnonzero(hot))), _merge([take(c, np.flatnonzero(~hot)), marks], PHRASES)
+                hot = _counts(sides["key"]) > side_share
+                again = _merge([again, _asked(take(sides, np.flatnonzero(hot)), BY_WINDOW)], NOTES)
+                sides = _merge([take(sides, np.flatnonzero(~hot)), _marks(np.unique(sides["key"][hot]))], PHRASES)
+                yield from _dealt(TO_SIDES, PHRASES, sides, dealing.first(sides["key"]))
             yield from _dealt(TO_PHRASES, PHRASES, c, dealing.first(c["key"]))
             yield from _dealt(TO_TEXTS, NOTES, again, dealing.first(again["doc"].view(np.uint64)))
 
@@ -320,13 +355,16 @@ def _parse_task(dealing: Dealing, hot: int):
                 data, offs = tk.buffers(part.column("text"))
                 row, c, _ = parse(data, offs)
                 doc, tie = _ids(part)
-                held.append(c | {"doc": doc[row], "tie": tie[row], "at": c["at"] - offs[row]})
+                c = c | {"doc": doc[row], "tie": tie[row], "at": c["at"] - offs[row]}
+                held.append({name: c[name].astype(kind) for name, kind in PHRASES})
                 count += len(row)
                 if count >= HELD:
                     yield from flush()
                     held, count = [], 0
         if count:
             yield from flush()
+        held = []
+        tk.release()
 
     return run
 
@@ -345,31 +383,60 @@ def _by_part(batches, columns: tuple[str, ...]):
         yield current, rows
 
 
+def _packed(kind: int, part: int, payloads: list[bytes]) -> pa.RecordBatch:
+    n = len(payloads)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(payloads, pa.binary())], schema=PACKED)
+
+
 def _meet_task(dealing: Dealing, hot: int):
-    """Equal phrases: notes of repeats, and requests for the phrases whose triggers have several.
+    """Equal phrases: notes of repeats, requests for the phrases whose triggers have several, and phrases of hot triggers by side.
 
-    Notes that the parse made already pass through, so the parse is shuffled and not written.
+    What the parse has made for texts and sides passes through, so the parse is shuffled and not written.
     """
 
     def run(batches):
         for part, rows in _by_part(batches, ("kind", "payload")):
-            passing = [p for kind, p in rows if kind == TO_TEXTS]
-            if passing:
-                yield pa.RecordBatch.from_arrays([pa.array([TO_TEXTS] * len(passing), pa.int32()), pa.array([part] * len(passing), pa.int32()), pa.array(passing, pa.binary())], schema=PACKED)
+            for kind in (TO_TEXTS, TO_SIDES):
+                if passing := [p for k, p in rows if k == kind]:
+                    yield _packed(kind, part, passing)
             phrases = [p for kind, p in rows if kind == TO_PHRASES]
             if not phrases:
                 continue
             c, first = parse_suffixes(gather(PHRASES, phrases))
+            notes = [_repeated(take(c, np.flatnonzero(~first)))]
+            c = take(c, np.flatnonzero(first))
+            mark = _is_mark(c)
+            by_side = (_counts(c["key"]) > hot) | np.isin(c["key"], c["key"][mark])
+            sides = _sides(take(c, np.flatnonzero(by_side & ~mark)))
+            yield from _dealt(TO_SIDES, PHRASES, sides, dealing.first(sides["key"]))
+            c = take(c, np.flatnonzero(~by_side))
+            notes = _merge([*notes, _asked(take(c, np.flatnonzero(_alike(c) > 1)), BY_TRIGGER)], NOTES)
+            yield from _dealt(TO_TEXTS, NOTES, notes, dealing.first(notes["doc"].view(np.uint64)))
+        tk.release()
+
+    return run
+
+
+def _sides_task(dealing: Dealing, hot: int):
+    """The same for phrases by side: notes of repeats, and requests for those that share a side; other notes pass through."""
+
+    def run(batches):
+        for part, rows in _by_part(batches, ("kind", "payload")):
+            if passing := [p for kind, p in rows if kind == TO_TEXTS]:
+                yield _packed(TO_TEXTS, part, passing)
+            phrases = [p for kind, p in rows if kind == TO_SIDES]
+            if not phrases:
+                continue
+            c, first = parse_suffixes(gather(PHRASES, phrases))
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
-            mark = (c["left"] == 0) & (c["right"] == 0)
-            marked = np.isin(c["key"], c["key"][mark])
-            asked = take(c, np.flatnonzero(~mark & (marked | (_alike(c) > 1))))
-            # one kind for all phrases of a trigger, or those that share a window would not meet
-            _, at, own = np.unique(asked["key"], return_inverse=True, return_counts=True)
-            by_window = (own[at] > hot) | np.isin(asked["key"], c["key"][mark])
-            notes = _merge([again, _asked(asked, np.where(by_window, 2, 1))], NOTES)
+            mark, n = _is_mark(c), _counts(c["key"])
+            by_window = (n > hot) | np.isin(c["key"], c["key"][mark])
+            asked = np.flatnonzero(~mark & (by_window | (n > 1)))
+            kind = np.where(by_window[asked], BY_WINDOW, np.where(c["left"][asked] > 0, BY_LEFT, BY_RIGHT))
+            notes = _merge([again, _asked(take(c, asked), kind)], NOTES)
             yield from _dealt(TO_TEXTS, NOTES, notes, dealing.first(notes["doc"].view(np.uint64)))
+        tk.release()
 
     return run
 
@@ -424,14 +491,23 @@ class _Notes:
         return {k: v[a:b] for k, v in self.c.items()}
 
 
+def _distinct(asked: Columns) -> Columns:
+    """Requests of one text, once each: a phrase can be asked for by window for both of its sides."""
+    _, at = np.unique((asked["start"].astype(np.int64) << 3) | asked["kind"], return_index=True)
+    return take(asked, at)
+
+
 def _strings(raw: bytes, asked: Columns, spans: tk.Spans | None = None) -> tuple[Columns, bytes]:
-    """The phrases that are asked for, or (kind 2) their windows under the windows' own hashes."""
-    spans = spans or tk.Spans(np.frombuffer(raw, np.uint8))
+    """The phrases that are asked for under the hash of their trigger or side, or their windows under their own hashes."""
+    spans, asked = spans or tk.Spans(np.frombuffer(raw, np.uint8)), _distinct(asked)
     at, end = asked["start"].astype(np.int64), asked["end"].astype(np.int64)
     place = at + asked["ahead"]
     key = spans(place, place + TRIGGER) & BITS_48
+    for kind, a, b in ((BY_LEFT, -SIDE, TRIGGER), (BY_RIGHT, 0, TRIGGER + SIDE)):
+        own = asked["kind"] == kind
+        key[own] = side_key(key[own], _side(spans, place[own] + a, place[own] + b))
     more = end - at - LENGTH
-    single = asked["kind"] == 2
+    single = asked["kind"] == BY_WINDOW
     if single.any():
         n = more[single] + 1
         starts = np.repeat(at[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -456,12 +532,20 @@ def _later(c: Columns, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _opened(payloads: list[bytes]) -> tuple[Columns, np.ndarray, np.ndarray, np.ndarray]:
-    """(strings, their bytes, where each begins, its size) of packed rows."""
-    parts = [unpack(STRINGS, p) for p in payloads]
-    c = {name: np.concatenate([p[0][name] for p in parts]) for name, _ in STRINGS}
+def _opened(payloads: list[bytes], least: int = 0, most: int = int(BITS_48)) -> tuple[Columns, np.ndarray, np.ndarray, np.ndarray]:
+    """(strings, their bytes, where each begins, its size) of packed rows, of keys from ``least`` to ``most``."""
+    heads, bodies = [], []
+    for p in payloads:
+        c, data = unpack(STRINGS, p)
+        own = (c["key"] >= np.uint64(least)) & (c["key"] <= np.uint64(most))
+        if not own.all():
+            data = data[np.repeat(own, c["more"].astype(np.int64) + LENGTH)]
+            c = take(c, np.flatnonzero(own))
+        heads.append(c)
+        bodies.append(data)
+    c = {name: np.concatenate([h[name] for h in heads]) for name, _ in STRINGS}
     size = c["more"].astype(np.int64) + LENGTH
-    return c, np.concatenate([p[1] for p in parts]), np.cumsum(size) - size, size
+    return c, np.concatenate(bodies), np.cumsum(size) - size, size
 
 
 def _send(strings: list[tuple[Columns, bytes]], row_type: pa.DataType, dealing: Dealing):
@@ -490,7 +574,7 @@ def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, s
     open_: tuple[list, ...] = ([], [])
     for k, (d, t) in enumerate(zip(doc.tolist(), tie.tolist(), strict=True)):
         c = notes.of(d, t)
-        again = c["kind"] == 0
+        again = c["kind"] == REPEATED
         start, end = c["start"][again].astype(np.int64), c["end"][again].astype(np.int64)
         if earlier[k] is not None:
             known = np.frombuffer(earlier[k], "<i8").reshape(2, -1)
@@ -502,9 +586,9 @@ def _settle(texts: pa.RecordBatch, notes: _Notes, part: int, whole_text: bool, s
             for column, x in zip(done, (k, left, len(raw[k]), len(raw[k]) - len(kept), len(start), hashlib.sha256(kept).hexdigest()), strict=True):
                 column.append(x)
         else:
-            asked, spans = np.flatnonzero(~again), tk.Spans(np.frombuffer(raw[k], np.uint8))
-            for at in range(0, len(asked), PIECE):  # a window of each byte may be asked for, a hundred times the text
-                yield from strings.add(_strings(raw[k], take(c, asked[at : at + PIECE]), spans))
+            asked, spans = _distinct(take(c, np.flatnonzero(~again))), tk.Spans(np.frombuffer(raw[k], np.uint8))
+            for at in range(0, len(asked["start"]), PIECE):  # a window of each byte may be asked for, a hundred times the text
+                yield from strings.add(_strings(raw[k], take(asked, np.arange(at, min(at + PIECE, len(asked["start"])))), spans))
             open_[0].append(k)
             open_[1].append(np.stack([start, end]).astype("<i8").tobytes())
     for kind, (rows, *more) in ((DONE, done), (OPEN, open_)):
@@ -560,6 +644,7 @@ def _text_task(dealing: Dealing, whole_text: bool):
                         yield from _settle(texts, notes, part, whole_text, strings, row_type)
         if strings:
             yield from strings.flush()
+        tk.release()
 
     return run
 
@@ -575,27 +660,45 @@ def _sort_task(dealing: Dealing):
         notes: list[Columns] = []
         held = 0
         for _, rows in _by_part(batches, ("payload",)):
-            c, data, begin, _ = _opened([r[0] for r in rows])
-            order = np.lexsort((c["at"], c["tie"], c["doc"], c["key"]))
-            windows = np.cumsum(c["more"][order].astype(np.int64) + 1)
-            key = c["key"][order]
-            at = 0
-            while at < len(order):  # whole triggers at a time
-                to = int(np.searchsorted(windows, (windows[at - 1] if at else 0) + 150_000, "right"))
-                to = int(np.searchsorted(key, key[max(to, at + 1) - 1], "right"))
-                own = order[at:to]
-                notes.append(corpus_order(take(c, own), data, begin[own]))
-                held += len(notes[-1]["doc"])
-                if held >= HELD:
-                    yield from sent(notes)
-                    notes, held = [], 0
-                at = to
+            for c, data, begin in _in_turn([r[0] for r in rows]):
+                order = np.lexsort((c["at"], c["tie"], c["doc"], c["key"]))
+                windows = np.cumsum(c["more"][order].astype(np.int64) + 1)
+                key = c["key"][order]
+                at = 0
+                while at < len(order):  # whole keys at a time
+                    to = int(np.searchsorted(windows, (windows[at - 1] if at else 0) + 150_000, "right"))
+                    to = int(np.searchsorted(key, key[max(to, at + 1) - 1], "right"))
+                    own = order[at:to]
+                    notes.append(corpus_order(take(c, own), data, begin[own]))
+                    held += len(notes[-1]["doc"])
+                    if held >= HELD:
+                        yield from sent(notes)
+                        notes, held = [], 0
+                    at = to
         if held:
             yield from sent(notes)
+        tk.release()
 
     return run
 
 
+def _in_turn(payloads: list[bytes]):
+    """(strings, their bytes, where each begins) of a part, by ranges of keys of about OPENED bytes."""
+    if sum(zstandard.frame_content_size(p) for p in payloads) <= OPENED:
+        yield _opened(payloads)[:3]
+        return
+    heads = gather(STRINGS, payloads)
+    order = np.argsort(heads["key"])
+    key, size = heads["key"][order], np.cumsum(heads["more"][order].astype(np.int64) + LENGTH)
+    del heads, order
+    at = 0
+    while at < len(key):
+        to = int(np.searchsorted(size, (size[at - 1] if at else 0) + OPENED, "right"))
+        to = int(np.searchsorted(key, key[max(to, at + 1) - 1], "right"))
+        yield _opened(payloads, int(key[at]), int(key[to - 1]))[:3]
+        at = to
+
+
 def dictionary_suffixes(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of strings that begin at ``begin`` and have ``n`` windows each: (string, offset, rank), equal windows under one rank."""
     string = np.repeat(np.arange(len(n)), n)
@@ -652,8 +755,10 @@ def removal(docs: DataFrame, whole_text: bool, hot: int = HOT, level: int = LEVE
         both = to_parts(both).sortWithinPartitions("part", "kind")
         return materialize(both.mapInArrow(_text_task(dealing, whole_text), result_sql), name, "zstd")
 
-    parsed = dealt(texts.select("doc", "tie", "text").mapInArrow(_parse_task(dealing, hot), PACKED_SQL))
-    notes = to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(dealing, hot), PACKED_SQL).select("part", "payload")
+    share = max(1, hot // docs.rdd.getNumPartitions())
+    parsed = dealt(texts.select("doc", "tie", "text").mapInArrow(_parse_task(dealing, share, max(share, hot // ASKED)), PACKED_SQL))
+    met = dealt(to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(dealing, hot), PACKED_SQL))
+    notes = to_parts(met).sortWithinPartitions("part").mapInArrow(_sides_task(dealing, hot), PACKED_SQL).select("part", "payload")
     first = with_notes(texts.withColumn("part", held_at("doc")).withColumn("payload", F.lit(None).cast("binary")), notes, "texts")
     strings = dealt(first.where(F.col("kind") == STRING).select("kind", "part", "payload"))
     again = to_parts(strings.select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(dealing), PACKED_SQL)

@@ -6,6 +6,8 @@ vectorised over the whole batch, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,6 +22,16 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_libc: list = []
+
+
+def release() -> None:
+    """Give memory that was freed back to the system: Python workers live through many tasks."""
+    if not _libc:
+        _libc.append(getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0))
+    _libc[0](0)
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

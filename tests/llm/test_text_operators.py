@@ -592,9 +592,10 @@ def test_hot_windows_are_sent_once_a_task():
     passage = some(300)
     texts = [some(120) + passage + some(120) for _ in range(200)]
     rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(200), pa.int64()), "tie": pa.array([0] * 200, pa.int32()), "text": texts})
-    out = [r for b in repeats._parse_task(repeats.Dealing.of(1), 64)([rows]) for r in b.to_pylist()]
-    phrases = repeats.gather(repeats.PHRASES, [r["payload"] for r in out if r["kind"] == repeats.TO_PHRASES])
-    assert max(repeats._alike(phrases)[(phrases["left"] > 0) | (phrases["right"] > 0)]) <= 8
+    out = [r for b in repeats._parse_task(repeats.Dealing.of(1), 8, 8)([rows]) for r in b.to_pylist()]
+    for kind in (repeats.TO_PHRASES, repeats.TO_SIDES):
+        phrases = repeats.gather(repeats.PHRASES, [r["payload"] for r in out if r["kind"] == kind])
+        assert max(repeats._counts(phrases["key"][~repeats._is_mark(phrases)])) <= 8
     notes = repeats.gather(repeats.NOTES, [r["payload"] for r in out if r["kind"] == repeats.TO_TEXTS])
     strings = []
     for k, x in enumerate(texts):
@@ -616,6 +617,73 @@ def test_hot_windows_are_sent_once_a_task():
     assert set(zip(later["doc"].tolist(), later["start"].tolist(), strict=True)) == set(held) - set(earliest.values())
 
 
+LINE = "This line of sixty-four bytes stands between text of their own!!"
+
+
+def framed(n, some):
+    """Texts that share one short line and nothing beside it, but for a few that share one side or both."""
+    texts = [some(90) + LINE + some(90) for _ in range(n)]
+    for k in range(0, n - 3, 50):
+        texts[k + 1] = texts[k][:90] + LINE + some(90)
+        texts[k + 2] = some(90) + LINE + texts[k][-90:]
+    return texts
+
+
+@pytest.mark.parametrize(("hot", "spread"), [(4, 3), (4, 64), (4096, 3)])
+def test_trigger_with_many_sides(spark, hot, spread):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = [(k, x, "en", "a") for k, x in enumerate(framed(400, some))]
+    docs = documents(spark, rows).repartition(spread, "doc_id")
+    got = repeats.removal(docs.select("doc_id", "text"), False, hot).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute_repeats([r[:2] for r in rows])
+
+
+def test_trigger_with_many_sides_is_dealt_by_side():
+    """Of ten thousand texts with one line, no key has more than a few rows at any step."""
+    rng = random.Random(9)
+    some = lambda n: "".join(chr(rng.randint(33, 122)) for _ in range(n))
+    texts, dealing = framed(10_000, some), repeats.Dealing.of(8)
+    lots = [pa.RecordBatch.from_pydict({"doc": pa.array(range(a, a + 500), pa.int64()), "tie": pa.array([0] * 500, pa.int32()), "text": texts[a : a + 500]}) for a in range(0, 10_000, 500)]
+
+    def met(task, batches):
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])
+        return list(task(dealing, 400)([pa.RecordBatch.from_pylist(rows, schema=repeats.PACKED)]))
+
+    def most(batches, kind):
+        c = repeats.gather(repeats.PHRASES, [r["payload"] for b in batches for r in b.to_pylist() if r["kind"] == kind])
+        return max(repeats._counts(c["key"])[~repeats._is_mark(c)])
+
+    parsed = [b for x in lots for b in repeats._parse_task(dealing, 20, 20)([x])]
+    assert most(parsed, repeats.TO_PHRASES) <= 400
+    passed = met(repeats._meet_task, parsed)
+    assert most(passed, repeats.TO_SIDES) <= 20
+    notes = repeats.gather(repeats.NOTES, [r["payload"] for b in met(repeats._sides_task, passed) for r in b.to_pylist()])
+    asked = notes["kind"] != repeats.REPEATED
+    assert set(notes["kind"][asked].tolist()) <= {repeats.BY_TRIGGER, repeats.BY_LEFT, repeats.BY_RIGHT}
+    strings = [repeats._strings(texts[k].encode(), repeats.take(notes, np.flatnonzero((notes["doc"] == k) & asked))) for k in sorted(set(notes["doc"][asked].tolist()))]
+    assert max(repeats._counts(np.concatenate([c["key"] for c, _ in strings]))) <= 20
+    assert len(strings) < 2_000  # texts with sides of their own aren't asked
+
+
+def test_strings_in_turn(monkeypatch):
+    rng = np.random.default_rng(3)
+    payloads, want = [], []
+    for _ in range(4):
+        n = 200
+        c = {"key": rng.integers(0, 9, n).astype(np.uint64), "doc": rng.integers(0, 9, n), "tie": np.zeros(n, np.int64), "at": np.arange(n), "more": rng.integers(0, 60, n)}
+        bodies = [rng.integers(0, 256, int(m) + 100).astype(np.uint8).tobytes() for m in c["more"]]
+        payloads.append(repeats.pack(repeats.STRINGS, c, b"".join(bodies)))
+        want += list(zip(c["key"].tolist(), bodies, strict=True))
+    for opened in (1, 20_000, 1 << 30):
+        monkeypatch.setattr(repeats, "OPENED", opened)
+        turns = list(repeats._in_turn(payloads))
+        got = [(int(k), data[a : a + m + 100].tobytes()) for c, data, begin in turns for k, a, m in zip(c["key"], begin, c["more"].astype(int), strict=True)]
+        assert sorted(got) == sorted(want)
+        keys = [set(c["key"].tolist()) for c, _, _ in turns]
+        assert sum(map(len, keys)) == len(set().union(*keys))  # a key is whole in one turn
+
+
 def test_removal_keeps_columns_and_rows(odd, empty):
     got = repeats.remove(odd)
     assert got.columns == odd.columns
