@@ -388,17 +388,17 @@ def _packed(kind: int, part: int, payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(payloads, pa.binary())], schema=PACKED)
 
 
-def _meet_task(dealing: Dealing, hot: int):
+def _meet_task(dealing: Dealing, hot: int, wanted: int):
     """Equal phrases: notes of repeats, requests for the phrases whose triggers have several, and phrases of hot triggers by side.
 
-    What the parse has made for texts and sides passes through, so the parse is shuffled and not written.
+    What the parse has made for texts and sides passes through, so the parse is shuffled and not written. Of what comes
+    out only the kind ``wanted`` is sent on.
     """
 
     def run(batches):
         for part, rows in _by_part(batches, ("kind", "payload")):
-            for kind in (TO_TEXTS, TO_SIDES):
-                if passing := [p for k, p in rows if k == kind]:
-                    yield _packed(kind, part, passing)
+            if passing := [p for k, p in rows if k == wanted]:
+                yield _packed(wanted, part, passing)
             phrases = [p for kind, p in rows if kind == TO_PHRASES]
             if not phrases:
                 continue
@@ -407,8 +407,10 @@ def _meet_task(dealing: Dealing, hot: int):
             c = take(c, np.flatnonzero(first))
             mark = _is_mark(c)
             by_side = (_counts(c["key"]) > hot) | np.isin(c["key"], c["key"][mark])
-            sides = _sides(take(c, np.flatnonzero(by_side & ~mark)))
-            yield from _dealt(TO_SIDES, PHRASES, sides, dealing.first(sides["key"]))
+            if wanted == TO_SIDES:
+                sides = _sides(take(c, np.flatnonzero(by_side & ~mark)))
+                yield from _dealt(TO_SIDES, PHRASES, sides, dealing.first(sides["key"]))
+                continue
             c = take(c, np.flatnonzero(~by_side))
             notes = _merge([*notes, _asked(take(c, np.flatnonzero(_alike(c) > 1)), BY_TRIGGER)], NOTES)
             yield from _dealt(TO_TEXTS, NOTES, notes, dealing.first(notes["doc"].view(np.uint64)))
@@ -418,16 +420,11 @@ def _meet_task(dealing: Dealing, hot: int):
 
 
 def _sides_task(dealing: Dealing, hot: int):
-    """The same for phrases by side: notes of repeats, and requests for those that share a side; other notes pass through."""
+    """The same for phrases by side: notes of repeats, and requests for those that share a side."""
 
     def run(batches):
-        for part, rows in _by_part(batches, ("kind", "payload")):
-            if passing := [p for kind, p in rows if kind == TO_TEXTS]:
-                yield _packed(TO_TEXTS, part, passing)
-            phrases = [p for kind, p in rows if kind == TO_SIDES]
-            if not phrases:
-                continue
-            c, first = parse_suffixes(gather(PHRASES, phrases))
+        for _, rows in _by_part(batches, ("payload",)):
+            c, first = parse_suffixes(gather(PHRASES, [r[0] for r in rows]))
             again = _repeated(take(c, np.flatnonzero(~first)))
             c = take(c, np.flatnonzero(first))
             mark, n = _is_mark(c), _counts(c["key"])
@@ -755,10 +752,13 @@ def removal(docs: DataFrame, whole_text: bool, hot: int = HOT, level: int = LEVE
         both = to_parts(both).sortWithinPartitions("part", "kind")
         return materialize(both.mapInArrow(_text_task(dealing, whole_text), result_sql), name, "zstd")
 
-    share = max(1, hot // docs.rdd.getNumPartitions())
+    share = max(1, hot // max(1, docs.rdd.getNumPartitions()))
     parsed = dealt(texts.select("doc", "tie", "text").mapInArrow(_parse_task(dealing, share, max(share, hot // ASKED)), PACKED_SQL))
-    met = dealt(to_parts(parsed).sortWithinPartitions("part").mapInArrow(_meet_task(dealing, hot), PACKED_SQL))
-    notes = to_parts(met).sortWithinPartitions("part").mapInArrow(_sides_task(dealing, hot), PACKED_SQL).select("part", "payload")
+    # one exchange that both ways read: phrases by side are few, and notes needn't be shuffled with them
+    met = to_parts(parsed).sortWithinPartitions("part")
+    notes, sides = (met.mapInArrow(_meet_task(dealing, hot, kind), PACKED_SQL) for kind in (TO_TEXTS, TO_SIDES))
+    of_sides = to_parts(dealt(sides).select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sides_task(dealing, hot), PACKED_SQL)
+    notes = notes.unionByName(of_sides).select("part", "payload")
     first = with_notes(texts.withColumn("part", held_at("doc")).withColumn("payload", F.lit(None).cast("binary")), notes, "texts")
     strings = dealt(first.where(F.col("kind") == STRING).select("kind", "part", "payload"))
     again = to_parts(strings.select("part", "payload")).sortWithinPartitions("part").mapInArrow(_sort_task(dealing), PACKED_SQL)
