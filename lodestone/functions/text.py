@@ -148,24 +148,47 @@ def json_object(text: Column | str, fields: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), f"struct<{fields}>")
 
 
+#: What nearly right JSON is made of: strings, structure, and other values.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^\s"{}\[\]:,\x00-\x1f]+', re.DOTALL)
+_JSON_FAULT = re.compile(r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])|\\|[\x00-\x1f]')
+
+
+def _sound_string(token: str) -> str:
+    """A string with its lone backslashes and control characters escaped."""
+    return _JSON_FAULT.sub(lambda m: m[0] if m[1] else "\\\\" if m[0] == "\\" else json.dumps(m[0])[1:-1], token)
+
+
 def repair_json(text: str | None) -> str | None:
-    """F-21. A parseable form of nearly right JSON, null if there is none."""
-    if not text:
-        return None
-    tries = [text, re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)]
-    tries.append(re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", tries[-1]))
-    tries.append(re.sub(r",\s*([\]}])", r"\1", tries[-1]))
-    tries.append(re.sub(r'([\]}"\d])\s*\n\s*(["{\[])', r"\1,\2", tries[-1]))
-    for t in tries:
-        try:
-            return json.dumps(json.loads(t, strict=False), ensure_ascii=False)
-        except ValueError:
+    """F-21. A parseable form of nearly right JSON, null if there is none.
+
+    One pass over its tokens, so what stands inside a string is text, whatever it looks like: lone backslashes and
+    control characters are escaped there. Outside, a comma is set between values that have none, is left out
+    before a closing bracket, and control characters go.
+    """
+    out: list[str] = []
+    complete = False  # a value ends here, and another would need a comma
+    for m in _JSON_TOKEN.finditer(text or ""):
+        token = m[0]
+        if token in "}]":
+            complete = True
+        elif token == ",":
             continue
-    return None
+        elif token == ":":
+            complete = False
+        else:
+            if complete:
+                out.append(",")
+            complete = token not in "{["
+            token = _sound_string(token) if token[0] == '"' else token
+        out.append(token)
+    try:
+        return json.dumps(json.loads("".join(out)), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
 
 
 def repaired_json(text: Column | str) -> Column:
-    return F.pandas_udf(lambda s: s.map(repair_json), "string")(text)
+    return F.pandas_udf(lambda s: pd.Series([repair_json(x) for x in s]), "string")(text)
 
 
 def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.containment import mentions
+from lodestone.session import materialize
 
 
 def tagged(memories: DataFrame, tags: DataFrame, dimensions: Sequence[str], match: str = "any") -> DataFrame:
@@ -125,13 +126,23 @@ def links_between(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def archive_chain(archive: DataFrame, start: str) -> DataFrame:
-    """J-23. What a memory superseded, directly or through others, oldest first."""
-    chain = """
-        WITH RECURSIVE chain AS (
-          SELECT memory_id, superseded_by, archived_at FROM {archive} WHERE superseded_by = {start}
-          UNION ALL SELECT a.memory_id, a.superseded_by, a.archived_at FROM {archive} a JOIN chain c ON a.superseded_by = c.memory_id)
-        SELECT * FROM chain ORDER BY archived_at, memory_id"""
-    return archive.sparkSession.sql(chain, archive=archive, start=start)
+    """J-23. What a memory superseded, directly or through others, oldest first.
+
+    Pointer doubling: every round each row looks twice as far along its chain, so chains of n links take about log2 n
+    rounds of one equi-join each. Rows whose chain has met ``start`` or has ended look no further; a cycle
+    that never meets it ends with the rounds. ``memory_id`` is the archive's key; rows without one are left out.
+    """
+    met = F.coalesce(F.col("superseded_by") == start, F.lit(False))
+    ahead = archive.where("memory_id IS NOT NULL").select("memory_id", F.when(~met, F.col("superseded_by")).alias("to"), met.alias("met"))
+    ahead = materialize(ahead, "chain")
+    for _ in range(ahead.count().bit_length() + 1):
+        looking = F.col("to").isNotNull()
+        if ahead.where(looking).isEmpty():
+            break
+        beyond = ahead.select(F.col("memory_id").alias("to"), F.col("to").alias("_to"), F.col("met").alias("_met"))
+        further = ahead.where(looking).join(beyond, "to", "left").select("memory_id", F.col("_to").alias("to"), F.coalesce("_met", F.lit(False)).alias("met"))
+        ahead = materialize(further.unionByName(ahead.where(~looking)), "chain")
+    return archive.join(ahead.where("met").select("memory_id"), "memory_id", "left_semi").orderBy("archived_at", "memory_id")
 
 
 def after(events: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def old_files_archived(files: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def appended_once(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """D-18. Page contents with entries appended, each marked by its hash and never twice."""
+    """D-18. Page contents with entries appended, each marked by its hash and never twice; null content is empty."""
+    pages = pages.withColumn("content", F.coalesce("content", F.lit("")))
     mark = F.concat(F.lit("<!-- "), F.substring(F.sha2("entry", 256), 1, 12), F.lit(" -->"))
     new = entries.select("page_id", mark.alias("mark"), F.concat(F.lit("\n"), mark, F.lit("\n"), F.col("entry")).alias("block")).dropDuplicates(["page_id", "mark"])
     fresh = pages.select("page_id", "content").join(new, "page_id").where(~F.contains("content", "mark"))
@@ -133,7 +134,11 @@ def appended_once(pages: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def pages_superseded(pages: DataFrame) -> DataFrame:
-    """D-17, D-19. Of active pages of one title and category only the newest stays active, and names the one before."""
+    """D-17, D-19. Of active pages of one title and category only the newest stays active, and names the one before.
+
+    A page without a status is active, and is written so.
+    """
+    pages = pages.withColumn("status", F.coalesce("status", F.lit("active")))
     w = Window.partitionBy("title", "category").orderBy(F.desc("updated_at"), F.desc("page_id"))
     active = pages.where("status = 'active'").withColumn("_n", F.row_number().over(w)).withColumn("supersedes", F.when(F.col("_n") == 1, F.lead("page_id").over(w)))
     done = active.withColumn("status", F.when(F.col("_n") == 1, "active").otherwise("superseded")).drop("_n")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import yaml
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import relative_time
@@ -99,31 +99,49 @@ def profile_text(items: DataFrame) -> DataFrame:
     return items.agg(F.array_join(F.sort_array(F.collect_list(line))["line"], "\n").alias("profile"))  # a template's items
 
 
-#: The keys of a role card, and those of its data that must or may be there.
-CARD_KEYS = ("spec", "spec_version", "data")
-CARD_REQUIRED = ("name", "description")
-CARD_OPTIONAL = ("personality", "scenario", "first_mes", "mes_example", "system_prompt", "post_history_instructions", "character_book", "extensions")
-POLICY_KEYS = ("greeting_templates", "trigger_rules", "frequency")
-
-
-def role_errors(card: object, policy: str = "care") -> list[str]:
-    """F-42. What is wrong with a role card; ``policy`` is the extension that holds how often and when it speaks."""
-    if not isinstance(card, dict):
-        return ["card is no object"]
-    out = [f"unknown key {k}" for k in sorted(card.keys() - set(CARD_KEYS))]
-    data = card.get("data")
-    if not isinstance(data, dict):
-        return [*out, "data is no object"]
-    out += [f"missing {k}" for k in CARD_REQUIRED if not (isinstance(data.get(k), str) and data[k].strip())]
-    known = {*CARD_REQUIRED, *CARD_OPTIONAL}
-    out += [f"unknown field {k}" for k in sorted(data.keys() - known)]
-    out += [f"type of {k}" for k in sorted(data.keys() & known) if not isinstance(data[k], str | dict | list | None)]
-    extensions = data.get("extensions")
-    if extensions is None:
-        return out
-    if not isinstance(extensions, dict):
-        return [*out, "extensions is no object"]
-    rules = extensions.get(policy)
-    if rules is not None and not isinstance(rules, dict):
-        return [*out, f"{policy} is no object"]
-    return out + [f"unknown {policy} key {k}" for k in sorted((rules or {}).keys() - set(POLICY_KEYS))]
+TEXT, OBJECT, LIST, ANY = "STRING", "OBJECT", "ARRAY", ""
+#: What each object of a role card may hold, by its path: the kinds of a field, and ! if it must be there.
+ROLE_CARD = {
+    "$": {"spec": (ANY,), "spec_version": (ANY,), "data": (OBJECT, "!")},
+    "$.data": {
+        "name": (TEXT, "!"), "description": (TEXT, "!"), "personality": (TEXT, OBJECT, LIST), "scenario": (TEXT, OBJECT, LIST), "first_mes": (TEXT, OBJECT, LIST), "mes_example": (TEXT, OBJECT, LIST),
+        "system_prompt": (TEXT, OBJECT, LIST), "post_history_instructions": (TEXT, OBJECT, LIST), "character_book": (TEXT, OBJECT, LIST), "extensions": (OBJECT,),
+    },
+    "$.data.extensions": {"care": (OBJECT,), "*": (ANY,)},
+    "$.data.extensions.care": {"greeting_templates": (ANY,), "trigger_rules": (ANY,), "frequency": (ANY,)},
+}
+
+
+def _unknown(path: str) -> Callable[[Column], Column]:
+    return lambda key: F.concat(F.lit(f"{path}."), key, F.lit(": unknown"))
+
+
+def schema_faults(text: Column | str, schema: dict[str, dict[str, tuple[str, ...]]]) -> Column:
+    """F-42, P-28. Sorted faults of JSON objects under a declared schema of fields by the path of their object.
+
+    ``path: unknown``, ``path: missing`` or ``path: wrong kind``. A field that must be there may be neither null nor a
+    blank text; null counts as any kind elsewhere. An object that isn't there has no faults inside. Text that is no
+    JSON object has the fault ``$: wrong kind``. Everything is a column expression.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    value = F.try_parse_json(text)
+    found = [F.when(F.coalesce(F.json_object_keys(text).isNull(), F.lit(True)), F.array(F.lit("$: wrong kind")))]
+    for path, fields in schema.items():
+        keys = F.json_object_keys(F.get_json_object(text, path))
+        if "*" not in fields:
+            known = F.array(*[F.lit(k) for k in fields])
+            found.append(F.transform(F.array_except(keys, known), _unknown(path)))
+        for name, rules in fields.items():
+            at, kinds = f"{path}.{name}", [k for k in rules if k != "!"]
+            own = F.try_variant_get(value, at, "variant")
+            kind = F.coalesce(F.schema_of_variant(own), F.lit("VOID"))
+            blank = (kind == "VOID") | ((kind == TEXT) & (F.trim(F.try_variant_get(value, at, "string")) == ""))
+            wrong = (kind != "VOID") & ~F.lit(ANY in kinds)
+            for k in kinds:
+                wrong &= ~kind.startswith(k)
+            fault = F.when(wrong, F.lit(f"{at}: wrong kind"))
+            if "!" in rules:
+                fault = F.when(blank & keys.isNotNull(), F.lit(f"{at}: missing")).otherwise(fault)
+            if name != "*":
+                found.append(F.array(fault))
+    return F.array_sort(F.array_compact(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in found]))))

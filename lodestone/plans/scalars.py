@@ -136,6 +136,15 @@ def f21_repaired_json(spark, sf):
     return E.table(spark, sf, "events").select("event_id", F.get_json_object(T.repaired_json(broken), "$.k").cast("long").alias("k"))
 
 
+@query("", "SELECT item_id, concat(text, ', ] {\\q ') AS t, item_id + 1 AS n FROM benchmark")
+def f21_repaired_texts(spark, sf):
+    """Texts that look like structure, with lone backslashes, in objects without commas and with too many."""
+    text = F.to_json(F.struct(F.concat("text", F.lit(", ] {")).alias("t")))
+    broken = F.concat(F.lit("[["), F.col("item_id").cast("string"), F.lit(" "), (F.col("item_id") + 1).cast("string"), F.lit(",,] "), F.substr(text, F.lit(1), F.length(text) - 2), F.lit('\\q ",}\n,]'))
+    good = T.repaired_json(broken)
+    return E.table(spark, sf, "benchmark").select("item_id", F.get_json_object(good, "$[1].t").alias("t"), F.get_json_object(good, "$[0][1]").cast("long").alias("n"))
+
+
 @query("", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def f22_json_object(spark, sf):
     return E.table(spark, sf, "events").select("event_id", T.json_object(F.concat(F.lit("answer: "), F.col("props")), "k:bigint")["k"].alias("k"))

@@ -103,16 +103,22 @@ def g06_role_profile(spark, sf):
     return G.profile_text(_blocks(spark, sf))
 
 
-CARDS = {
-    "good": {"spec": "v2", "data": {"name": "n", "description": "d", "extensions": {"care": {"frequency": 1}}}},
-    "bad": {"more": 1, "data": {"name": " ", "scenario": 5, "age": 3, "extensions": {"care": {"often": 1}}}},
-    "none": {"data": []},
-}
-
-
-@query("", "SELECT * FROM (VALUES ('bad', 'unknown key more'), ('bad', 'missing name'), ('bad', 'missing description'), ('bad', 'unknown field age'), ('bad', 'type of scenario'), ('bad', 'unknown care key often'), ('none', 'data is no object')) AS t(card, error)")
+@query("", """
+    SELECT item_id, unnest(CASE item_id % 6
+        WHEN 0 THEN [] WHEN 1 THEN ['$.data.name: missing', '$.more: unknown'] WHEN 2 THEN ['$.data.age: unknown', '$.data.description: missing', '$.data.scenario: wrong kind']
+        WHEN 3 THEN ['$.data.extensions.care.often: unknown'] WHEN 4 THEN ['$.data: wrong kind'] ELSE ['$: wrong kind'] END) AS fault FROM benchmark""")
 def f42_role_errors(spark, sf):
-    return spark.createDataFrame([(name, e) for name, card in CARDS.items() for e in G.role_errors(card)], "card string, error string")
+    """A role card is made of each item, most of them with some fault."""
+    k, text = F.col("item_id") % 6, F.to_json(F.struct("text"))
+    said = F.substr(text, F.lit(9), F.length(text) - 9)  # the text as JSON has it
+    data = (
+        F.when(k == 1, F.concat(F.lit('{"name": " ", "description": '), said, F.lit("}")))
+        .when(k == 2, F.concat(F.lit('{"name": '), said, F.lit(', "scenario": 5, "age": 3, "first_mes": null}')))
+        .when(k == 4, F.lit("[1]"))
+        .otherwise(F.concat(F.lit('{"name": "n", "description": '), said, F.lit(', "character_book": {"a": 1}, "extensions": {"other": 1, "care": {"'), F.when(k == 3, "often").otherwise("frequency"), F.lit('": 2}}}')))
+    )
+    card = F.when(k == 5, said).otherwise(F.concat(F.lit("{"), F.when(k == 1, '"more": 1, ').otherwise('"spec": "v2", '), F.lit('"data": '), data, F.lit("}")))
+    return E.table(spark, sf, "benchmark").select("item_id", F.explode(G.schema_faults(card, G.ROLE_CARD)).alias("fault"))
 
 
 @query("memories memory_tags memory_sources", "SELECT memory_id, status, (SELECT string_agg(dimension_id, ',' ORDER BY dimension_id) FROM memory_tags t WHERE t.memory_id = m.memory_id) AS dimensions, (SELECT min(source_ref) FROM memory_sources s WHERE s.memory_id = m.memory_id) AS sources FROM memories m WHERE memory_id = '17'")
@@ -178,10 +184,22 @@ def s04_parse_body(spark, sf):
 
 @query("messages", "SELECT source_type, count(*) AS n FROM messages, (VALUES ('session'), ('upload')) AS t(source_type) GROUP BY 1")
 def s05_write_and_append(spark, sf):
+    """Messages of two kinds are written as files, each session's in its kind's folder."""
     folder = _folder(spark, "l0")
     for kind in ("session", "upload"):
-        S.write_sessions(E.messages(spark, sf), folder, kind)
-    return spark.read.parquet(folder).groupBy("source_type").agg(F.count("*").alias("n"))
+        S.write_sessions(E.messages(spark, sf).withColumn("timestamp", F.lit("2024-03-01T00:00:00Z")), folder, f"all-{kind}", kind)
+    kinds = S.read_sessions(spark, folder).groupBy("folder").agg(F.count("*").alias("n"))
+    return kinds.select(F.when(F.col("folder") == "sessions", "session").when(F.col("folder") == "uploads", "upload").alias("source_type"), "n")
+
+
+@query("messages", PARSED.replace("AS tool_name FROM", "AS tool_name, CASE CAST(file_id AS BIGINT) % 3 WHEN 0 THEN 'sessions' WHEN 1 THEN 'uploads' ELSE 'external' END AS folder FROM"))
+def s06_append_messages(spark, sf):
+    """Files are written with their first two messages, and the rest is appended, twice under one name."""
+    folder, kind = _folder(spark, "l0"), F.array(F.lit("session"), F.lit("upload"), F.lit("external"))[(F.col("file_id").cast("long") % 3).cast("int")]
+    said = _sessions(spark, sf).withColumn("source_type", kind)
+    for name, part in (("first", said.where("seq <= 2")), ("rest", said.where("seq > 2")), ("rest", said.where("seq > 2"))):
+        S.write_sessions(part, folder, name)
+    return S.read_sessions(spark, folder).drop("session_key")
 
 
 @query("messages", """SELECT file_id, CASE CAST(file_id AS INT) % 5 WHEN 0 THEN 'no front matter' WHEN 1 THEN 'front matter isn''t closed' WHEN 2 THEN 'no file_id or session_key'

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import html_title, to_markdown
+from lodestone.sources.session_files import SessionFiles
 
 #: Fixed values of session files: the version of their format, a message's head, and the line that names a tool.
 FORMAT_VERSION = 1
@@ -72,40 +73,57 @@ def front_matter(text: Column | str, name: str) -> Column:
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """S-03, S-14. (file_id, session_key, seq, timestamp, role, content, tool_name) of a folder of session files.
+    """S-03, S-14. (file_id, session_key, folder, seq, timestamp, role, content, tool_name) of a folder of session files.
 
-    Files that ``session_fault`` finds fault with are left out.
+    Files that ``session_fault`` finds fault with are left out, and so are names that begin with _ or a dot.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"))
     files = files.where(session_fault("value").isNull())
-    return files.select(front_matter("value", "file_id").alias("file_id"), front_matter("value", "session_key").alias("session_key"), F.inline(parse_session("value")))
+    return files.select(front_matter("value", "file_id").alias("file_id"), front_matter("value", "session_key").alias("session_key"), "folder", F.inline(parse_session("value")))
 
 
 def message_block(first: Column) -> Column:
-    """S-06. A message as a block; the first of a file has one #."""
+    """S-06. A message as a block; the first of a file has one #. Null content is empty."""
+    content = F.coalesce("content", F.lit(""))
     tool = F.when(F.col("tool_name").isNotNull() & (F.col("role") == "tool"), F.concat(F.lit("**tool**: "), "tool_name", F.lit("\n\n"))).otherwise("")
-    end = F.when((F.col("content") == "") | F.endswith("content", F.lit("\n\n")), "").when(F.endswith("content", F.lit("\n")), "\n").otherwise("\n\n")
-    return F.concat(F.when(first, "# ").otherwise("## "), "timestamp", F.lit(" "), "role", F.lit("\n"), tool, "content", end)
+    end = F.when((content == "") | F.endswith(content, F.lit("\n\n")), "").when(F.endswith(content, F.lit("\n")), "\n").otherwise("\n\n")
+    return F.concat(F.when(first, "# ").otherwise("## "), "timestamp", F.lit(" "), "role", F.lit("\n"), tool, content, end)
 
 
-def session_text(messages: DataFrame) -> DataFrame:
-    """S-05, S-06. (file_id, text): each session's messages as a file.
+def session_parts(messages: DataFrame) -> DataFrame:
+    """(file_id, source_type, head, first, blocks): the front matter of each session, and its messages as text.
 
-    ``session_key``, ``tool_name`` and ``started_at`` are taken where ``messages`` has them.
+    ``blocks`` are to be appended to a file; a new file has ``first`` instead, whose first message has one #.
+    ``session_key``, ``tool_name``, ``source_type`` and ``started_at`` are taken where ``messages`` has them and not null;
+    messages without a ``file_id`` belong to no file and are left out.
     """
-    for name, other in (("tool_name", F.lit(None).cast("string")), ("session_key", F.col("file_id")), ("started_at", F.col("timestamp"))):
+    messages = messages.where("file_id IS NOT NULL")
+    for name, other in (("tool_name", F.lit(None).cast("string")), ("session_key", F.col("file_id")), ("source_type", F.lit("session")), ("started_at", F.col("timestamp"))):
         if name not in messages.columns:
             messages = messages.withColumn(name, other)
-    first = F.col("seq") == F.min("seq").over(Window.partitionBy("file_id"))
-    blocks = messages.withColumn("block", F.struct("seq", message_block(first).alias("text")))
-    files = blocks.groupBy("file_id").agg(F.sort_array(F.collect_list("block"))["text"].alias("blocks"), F.min("session_key").alias("key"), F.min("started_at").cast("string").alias("at"))
-    head = F.concat(F.lit(f"---\nformat_version: {FORMAT_VERSION}\nfile_id: '"), "file_id", F.lit("'\nsession_key: '"), "key", F.lit("'\nsource_type: session\nstarted_at: '"), "at", F.lit("'\n---\n"))
-    return files.select("file_id", F.concat(head, F.array_join("blocks", "")).alias("text"))
+    blocks = messages.withColumn("block", F.struct("seq", message_block(F.lit(False)).alias("text"), message_block(F.lit(True)).alias("first")))
+    files = blocks.groupBy("file_id", "source_type").agg(F.sort_array(F.collect_list("block")).alias("b"), F.coalesce(F.min("session_key"), "file_id").alias("key"), F.coalesce(F.min("started_at").cast("string"), F.lit("")).alias("at"))
+    files = files.withColumn("source_type", F.coalesce("source_type", F.lit("session")))
+    head = F.concat(F.lit(f"---\nformat_version: {FORMAT_VERSION}\nfile_id: '"), "file_id", F.lit("'\nsession_key: '"), "key", F.lit("'\nsource_type: "), "source_type", F.lit("\nstarted_at: '"), "at", F.lit("'\n---\n"))
+    blocks = F.array_join("b.text", "")
+    first = F.concat(F.col("b")[0]["first"], F.substr(blocks, F.length(F.col("b")[0]["text"]) + 1))
+    return files.select("file_id", "source_type", head.alias("head"), first.alias("first"), blocks.alias("blocks"))
+
+
+def session_text(messages: DataFrame) -> DataFrame:
+    """S-05. (file_id, text): each session's messages as a file."""
+    return session_parts(messages).select("file_id", F.concat("head", "first").alias("text"))
+
 
+def write_sessions(messages: DataFrame, path: str, batch: str, source_type: str | None = None) -> None:
+    """S-05 … S-07. Messages into session files, one a session, in the folder of its kind of source; files that exist grow.
 
-def write_sessions(messages: DataFrame, path: str, source_type: str = "session") -> None:
-    """S-05 … S-07. Messages by kind of source; appended, so files grow by parts."""
-    messages.withColumn("source_type", F.lit(source_type)).write.mode("append").partitionBy("source_type").parquet(path)
+    All files of a batch change or none, and a ``batch`` that has been written before changes nothing
+    (``session_files``).
+    """
+    parts = session_parts(messages.withColumn("source_type", F.lit(source_type)) if source_type else messages)
+    messages.sparkSession.dataSource.register(SessionFiles)
+    parts.write.format(SessionFiles.name()).mode("append").option("batch", batch).save(path)
 
 
 def session_fault(text: Column | str) -> Column:

@@ -3,15 +3,21 @@
 import datetime
 import difflib
 import itertools
+import json
 import math
 import random
 import sqlite3
+import subprocess
+import sys
 import time
 import unicodedata
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import session
@@ -19,7 +25,7 @@ from lodestone.functions import text as T
 from lodestone.operators import containment, evaluation, fulltext, ranking, relations, retrieval, selection, surfaces, vectors
 from lodestone.operators import paging as O
 from lodestone.operators import state as D
-from lodestone.sources import stores
+from lodestone.sources import session_files, stores
 from lodestone.streaming import signals
 
 AS_OF = "2024-03-15 00:00:00"
@@ -511,3 +517,125 @@ def test_empty_inputs(spark, memories):
 def test_alias_terms(spark, query, want):
     aliases = {"daemon": "gateway", "OLD  proxy": "gateway", "c++": "cpp$1", "x": "y", "y": "z", "": "q", "q": " "}
     assert spark.createDataFrame([(query,)], "q string").select(T.with_canonical_terms("q", aliases).alias("q")).first()["q"] == want
+
+
+# session files
+
+
+def _said(spark, rows):
+    return spark.createDataFrame([(f, n, f"2024-01-01T00:00:{n:02d}Z", role, text, kind) for f, n, role, text, kind in rows], "file_id string, seq int, timestamp string, role string, content string, source_type string")
+
+
+def _files(path):
+    return {p.relative_to(path).as_posix(): p.read_text() for p in path.rglob("*.md") if "_batches" not in p.parts}
+
+
+def test_session_files_grow_by_whole_batches_once(spark, tmp_path):
+    one = _said(spark, [("a", 1, "user", "hi", "session"), ("b/..", 1, "user", "é\n\n# not a head", "upload"), ("c", 1, "tool", "", "other"), (None, 1, "user", "lost", "session")])
+    more = _said(spark, [("a", 2, "assistant", "ho", "session"), ("d", 1, "user", None, "external")])
+    path = str(tmp_path / "l0")
+    stores.write_sessions(one, path, "1")
+    assert set(_files(tmp_path / "l0")) == {"sessions/a.md", "uploads/b%2F...md", "sessions/c.md"}
+    for _ in range(2):
+        stores.write_sessions(more, path, "2")
+    got = sorted((r["file_id"], r["folder"], r["seq"], r["role"], r["content"]) for r in stores.read_sessions(spark, path).collect())
+    assert got == [("a", "sessions", 1, "user", "hi"), ("a", "sessions", 2, "assistant", "ho"), ("b/..", "uploads", 1, "user", "é\n\n# not a head"), ("c", "sessions", 1, "tool", ""), ("d", "external", 1, "user", "")]
+    left = [p for p in (tmp_path / "l0" / "_batches").rglob("*.md")]
+    assert left == []
+
+
+def test_aborted_batch_leaves_files_as_they_were(spark, tmp_path):
+    path = str(tmp_path / "l0")
+    stores.write_sessions(_said(spark, [("a", 1, "user", "hi", "session")]), path, "1")
+    before = _files(tmp_path / "l0")
+    bad = _said(spark, [("a", 2, "user", "ho", "session"), ("b", 1, "user", "x", "session")]).withColumn("content", F.when(F.col("file_id") == "b", F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        stores.write_sessions(bad, path, "2")
+    assert _files(tmp_path / "l0") == before
+
+
+def test_batch_that_ends_between_its_moves_is_finished_and_not_repeated(tmp_path, monkeypatch):
+    path = str(tmp_path)
+    row = lambda f, text: {"file_id": f, "source_type": "session", "head": "H", "first": text, "blocks": text}
+    first = session_files.SessionWriter(path, "1")
+    first.commit([first.write(iter([row("a", "1"), row("b", "1")]))])
+    again = session_files.SessionWriter(path, "2")
+    staged = again.write(iter([row("a", "2"), row("b", "2")]))
+    move, moved = session_files.Folder.move, []
+
+    def breaks(self, name, to):
+        if len(moved) == 2:  # the list and one file
+            raise OSError("driver lost")
+        moved.append(to)
+        move(self, name, to)
+
+    monkeypatch.setattr(session_files.Folder, "move", breaks)
+    with pytest.raises(OSError, match="driver lost"):
+        again.commit([staged])
+    monkeypatch.setattr(session_files.Folder, "move", move)
+    assert sorted(_files(tmp_path).values()) == ["H1", "H12"]
+    for _ in range(2):
+        retry = session_files.SessionWriter(path, "2")
+        retry.commit([retry.write(iter([row("a", "2"), row("b", "2")]))])
+        assert _files(tmp_path) == {"sessions/a.md": "H12", "sessions/b.md": "H12"}
+
+
+# chains, repair, chunks, cards
+
+
+@pytest.mark.parametrize("n", [1, 5, 3000])
+def test_archive_chain_of_any_length(spark, n):
+    rows = [(str(k), str(k - 1), k) for k in range(1, n + 1)] + [("x", "y", 0), ("y", "x", 0), ("z", None, 0), (None, "0", 0), ("p", "q", 0)]
+    archive = spark.createDataFrame(rows, "memory_id string, superseded_by string, archived_at int")
+    assert [r["memory_id"] for r in relations.archive_chain(archive, "0").collect()] == [str(k) for k in range(1, n + 1)]
+    assert sorted(r["memory_id"] for r in relations.archive_chain(archive, "x").collect()) == ["x", "y"]
+    assert relations.archive_chain(archive.where("false"), "0").count() == 0
+
+
+@pytest.mark.parametrize(("raw", "good"), [('{"a": "b, ] c",}', '{"a": "b, ] c"}'), ('[{"a":1} {"a":2}]', '[{"a": 1}, {"a": 2}]'), ('{"a":1 "b":[1 2,,3,] , "c":{"d":null,}}', '{"a": 1, "b": [1, 2, 3], "c": {"d": null}}'), ('{"a": "b\nc" "d": -1.5e3}', '{"a": "b\\nc", "d": -1500.0}'), ('{"k": "say \\"hi\\", ok"}', '{"k": "say \\"hi\\", ok"}'), ('{"a": "\\u00e9 \\u12"}', '{"a": "é \\\\u12"}'), ('\x00{"a":\x011}', '{"a": 1}'), ('{"a": "open', None), ("[" * 100_000, None)])
+def test_json_repair_knows_strings(raw, good):
+    assert T.repair_json(raw) == good
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=12))
+def test_json_repair_leaves_right_json(value):
+    assert json.loads(T.repair_json(json.dumps(value, indent=1))) == value
+    assert json.loads(T.repair_json(json.dumps(value, ensure_ascii=False))) == value
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 60)), max_size=12), st.integers(5, 80), st.integers(0, 40))
+def test_text_chunks_end_at_heads_and_lose_nothing(parts, most, overlap):
+    text = "".join(("# t user\n" if head else "") + "y" * n + "\n" for head, n in parts)
+    found, at, starts = ranking.chunk_text(text, most, overlap), 0, {m.start() for m in ranking.HEADER.finditer(text)}
+    covered = 0
+    for k, c in enumerate(found):
+        at = text.index(c, at) if k == 0 else next(a for a in range(at + 1, covered + 1) if text.startswith(c, a) and (a == covered or a in starts))
+        assert at <= covered
+        assert covered - at <= overlap or covered - at <= most
+        covered = at + len(c)
+        assert len(c) <= most or at in starts
+    assert covered == len(text)
+
+
+def test_schema_faults(spark):
+    cards = [None, "", "no json", "[]", "{}", '{"data": {"name": "n", "description": "d"}}', '{"data": {"name": 3, "description": " ", "extensions": []}}', '{"data": null, "a": 1, "b": 2}', '{"data": {"name": "n", "description": "d", "extensions": {"x": 1, "care": {"frequency": null, "z": 1}}}}']
+    df = spark.createDataFrame(list(enumerate(cards)), "k int, card string")
+    got = {r["k"]: r["f"] for r in df.select("k", surfaces.schema_faults("card", surfaces.ROLE_CARD).alias("f")).collect()}
+    no = ["$: wrong kind"]
+    assert [got[k] for k in range(9)] == [no, no, no, no, ["$.data: missing"], [], ["$.data.description: missing", "$.data.extensions: wrong kind", "$.data.name: wrong kind"], ["$.a: unknown", "$.b: unknown", "$.data: missing"], ["$.data.extensions.care.z: unknown"]]
+
+
+def test_pages_without_status_are_active(spark):
+    pages = spark.createDataFrame([("a", "t", "c", None, "2024-01-01", None), ("b", "t", "c", "active", "2024-01-02", "x"), ("d", "t", "c", "deleted", "2024-01-03", "x")], "page_id string, title string, category string, status string, updated_at string, content string")
+    assert {(r["page_id"], r["status"], r["supersedes"]) for r in D.pages_superseded(pages).collect()} == {("a", "superseded", None), ("b", "active", "a"), ("d", "deleted", None)}
+    entries = spark.createDataFrame([("a", "new")], "page_id string, entry string")
+    once = D.appended_once(pages, entries)
+    assert [r["content"].count("new") for r in D.appended_once(once, entries).where("page_id = 'a'").collect()] == [1]
+
+
+def test_entry_without_optional_modules():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert int(out.stdout.split()[0]) > 300 and out.stdout.split()[1] == "False", out.stderr
