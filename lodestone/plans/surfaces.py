@@ -219,15 +219,27 @@ def s09_ingest(spark, sf):
     return S.ingest(sources.unionByName(files).unionByName(texts)).groupBy("kind", "fault").agg(F.count("*").alias("n"))
 
 
-@query("messages", "SELECT file_id AS session, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role, count(*) AS n FROM messages WHERE content <> '' GROUP BY 1, 2")
-def s12_event_log(spark, sf):
-    """A log of JSON lines, compressed, is written, read and flattened."""
-    folder = _folder(spark, "log")
+def _logs(spark, sf):
+    """Compressed logs of all conversations, some of them of tests, with an event of no message and a broken line in each."""
+    folder = _folder(spark, "logs")
     part = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")))
     kind = F.when(F.col("role") == "system", "tool_result").otherwise(F.col("role"))
-    E.messages(spark, sf).select(F.col("file_id").alias("session"), F.col("seq").cast("long").alias("ms"), kind.alias("type"), part.alias("content")).write.option("compression", "gzip").json(folder)
-    log = spark.read.schema("session string, ms long, type string, content array<struct<type:string,text:string>>").json(folder)
-    return S.event_messages(log).groupBy("session", "role").agg(F.count("*").alias("n"))
+    event = F.to_json(F.struct(F.col("seq").cast("long").alias("ms"), kind.alias("type"), part.alias("content")))
+    own = E.messages(spark, sf).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", event.alias("e"))))["e"].alias("events"))
+    workspace = F.when(F.col("file_id").cast("long") % 5 == 0, "x-cli-test").otherwise("home")
+    S.write_logs(own.select(workspace.alias("workspace"), F.col("file_id").alias("session"), F.concat(F.array(F.lit('{"type": "turn/begin"}'), F.lit("{broken")), "events").alias("events")), folder)
+    return S.read_logs(spark, folder)
+
+
+@query("messages", "SELECT file_id AS session, seq AS ms, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role, content FROM messages WHERE content <> '' AND CAST(file_id AS BIGINT) % 5 <> 0")
+def s12_event_log(spark, sf):
+    """Logs are written, found, read and flattened."""
+    return S.event_messages(S.logged_events(_logs(spark, sf)))
+
+
+@query("messages", "SELECT 'home' AS workspace, file_id AS session, count(*) + 2 AS n FROM messages WHERE CAST(file_id AS BIGINT) % 5 <> 0 GROUP BY 2")
+def s14_discovered_logs(spark, sf):
+    return _logs(spark, sf).groupBy("workspace", "session").agg(F.count("event").alias("n"))
 
 
 @query("raw_files", "SELECT file_id FROM raw_files WHERE CAST(file_id AS INT) % 3 = 0 ORDER BY 1")
@@ -238,9 +250,18 @@ def s15_not_imported(spark, sf):
     return S.not_imported(sessions, existing).select("file_id").orderBy("file_id")
 
 
-@query("messages raw_files", "SELECT session_key, agent_id, count(*) AS n FROM messages JOIN raw_files USING (file_id) GROUP BY 1, 2")
+@query("messages raw_files", """SELECT session_key, agent_id, count(*) AS n, sum(length(content)) AS chars FROM messages JOIN raw_files USING (file_id)
+    WHERE role <> 'system' AND trim(content) <> '' GROUP BY 1, 2""")
 def s16_foreign_sessions(spark, sf):
-    return E.messages(spark, sf).join(E.raw_files(spark, sf).select("file_id", "session_key", "agent_id"), "file_id").groupBy("session_key", "agent_id").agg(F.count("*").alias("n"))
+    """Sessions and messages lie in other programs' SQLite files, several of each."""
+    folder = _folder(spark, "foreign")
+    S.write_foreign(E.raw_files(spark, sf).select(F.col("file_id").alias("id"), F.unix_timestamp("started_at").cast("double").alias("started_at"), "session_key", "agent_id").repartition(3, "id"), f"{folder}/sessions", "sessions")
+    said = E.messages(spark, sf).select(F.col("seq").cast("long").alias("id"), F.col("file_id").alias("session_id"), "role", "content", F.lit(0.0).alias("timestamp"))
+    S.write_foreign(said.repartition(5, "session_id"), f"{folder}/messages", "messages")
+    sessions = S.read_foreign(spark, f"{folder}/sessions", "sessions", "id string, started_at double, session_key string, agent_id string")
+    messages = S.read_foreign(spark, f"{folder}/messages", "messages", "id long, session_id string, role string, content string, timestamp double").where(F.col("role").isin("user", "assistant"))
+    found = S.foreign_messages(sessions.select("id", "started_at"), messages)
+    return found.join(sessions.select(F.col("id").alias("file_id"), "session_key", "agent_id"), "file_id").groupBy("session_key", "agent_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 CASES = """

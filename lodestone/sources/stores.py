@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import html_title, to_markdown
+from lodestone.sources.foreign import EventLogs, SqliteRows
 from lodestone.sources.session_files import SessionFiles
 
 #: Fixed values of session files: the version of their format, a message's head, and the line that names a tool.
@@ -152,8 +153,53 @@ def ingest(sources: DataFrame) -> DataFrame:
     return sources.select("source", kind.alias("kind"), F.when(web, html_title("body")).alias("title"), F.when(fault.isNull(), content).alias("content"), fault.alias("fault"))
 
 
+#: Fixed value: names of workspaces that tests leave behind.
+TEST_WORKSPACE = "Temp|cli-test"
+EVENT = "ms long, type string, content array<struct<type:string,text:string>>"
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """S-12, S-14. (workspace, session, line, event, fault) of the event logs under a path, without test workspaces."""
+    spark.dataSource.register(EventLogs)
+    return spark.read.format(EventLogs.name()).load(path).where(~F.col("workspace").rlike(TEST_WORKSPACE))
+
+
+def write_logs(logs: DataFrame, path: str) -> None:
+    """Logs of (workspace, session, events), one file each."""
+    logs.sparkSession.dataSource.register(EventLogs)
+    logs.select("workspace", "session", "events").write.format(EventLogs.name()).mode("append").save(path)
+
+
+def logged_events(lines: DataFrame) -> DataFrame:
+    """(session, ms, type, content) of a log's lines; lines that are no JSON object, and faults, are left out."""
+    return lines.where("event IS NOT NULL").select("session", F.from_json("event", EVENT).alias("e")).select("session", "e.*").where("type IS NOT NULL")
+
+
+def read_foreign(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """S-16. A table of the SQLite files under a path; simple filters are made there."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SqliteRows)
+    return spark.read.format(SqliteRows.name()).schema(schema).option("table", table).load(path)
+
+
+def write_foreign(df: DataFrame, path: str, table: str) -> None:
+    df.sparkSession.dataSource.register(SqliteRows)
+    df.write.format(SqliteRows.name()).option("table", table).mode("append").save(path)
+
+
+def foreign_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """S-16. (file_id, seq, timestamp, role, content): another store's messages as ours.
+
+    ``sessions`` have id and started_at, ``messages`` id, session_id, role, content and timestamp, in seconds. Blank
+    messages are left out, and so are those of unknown sessions; a missing time is the session's.
+    """
+    at = F.coalesce(F.nullif(messages["timestamp"], F.lit(0.0)), sessions["started_at"])
+    said = messages.where(F.trim("content") != "").join(sessions, messages["session_id"] == sessions["id"]).select(sessions["id"].alias("file_id"), messages["id"].alias("_id"), F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "role", "content")
+    return said.withColumn("seq", F.row_number().over(Window.partitionBy("file_id").orderBy("_id"))).drop("_id")
+
+
 def event_messages(events: DataFrame) -> DataFrame:
-    """S-12, S-13. Messages from an event log: user and assistant text parts and tool results."""
+    """S-13. Messages from an event log: user and assistant text parts and tool results."""
     texts = F.filter("content", lambda c: c["type"] == "text")
     said = F.array_join(F.transform(texts, lambda c: c["text"]), "\n")
     role = F.when(F.col("type") == "user", "user").when(F.col("type") == "assistant", "assistant").when(F.col("type") == "tool_result", "tool")

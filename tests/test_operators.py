@@ -16,8 +16,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from lodestone import session
@@ -25,7 +27,7 @@ from lodestone.functions import text as T
 from lodestone.operators import containment, evaluation, fulltext, ranking, relations, retrieval, selection, surfaces, vectors
 from lodestone.operators import paging as O
 from lodestone.operators import state as D
-from lodestone.sources import session_files, stores
+from lodestone.sources import foreign, session_files, stores
 from lodestone.streaming import signals
 
 AS_OF = "2024-03-15 00:00:00"
@@ -639,3 +641,60 @@ def test_entry_without_optional_modules():
     code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
     assert int(out.stdout.split()[0]) > 300 and out.stdout.split()[1] == "False", out.stderr
+
+
+# other programs' stores
+
+
+def _log(folder, workspace, session, raw):
+    at = folder / workspace / session / "session.jsonl.zstd"
+    at.parent.mkdir(parents=True)
+    at.write_bytes(raw)
+
+
+def test_logs_that_others_wrote(spark, tmp_path):
+    events = ['{"type": "user", "ms": 1, "content": [{"type": "text", "text": "é"}]}', "no json", '{"type": "turn/end"}', '{"type": "assistant", "ms": 2, "content": []}']
+    one = zstandard.compress("\n".join(events[:2]).encode() + b"\n") + zstandard.compress("\n".join(events[2:]).encode())  # two frames, no end of line
+    large = "".join(f'{{"type": "user", "ms": {k}, "content": [{{"type": "text", "text": "{random.Random(k).random()}"}}]}}\n' for k in range(5000)).encode()
+    _log(tmp_path, "home", "a", one)
+    _log(tmp_path, "home", "cut", zstandard.compress(large)[:-2000])
+    _log(tmp_path, "home", "bad", b"no zstd at all")
+    _log(tmp_path, "home", "empty", b"")
+    _log(tmp_path, "Temp-x", "b", one)
+    (tmp_path / "home" / "a" / "other.txt").write_text("x")
+    lines = stores.read_logs(spark, str(tmp_path)).cache()
+    assert [r["event"] for r in lines.where("session = 'a'").orderBy("line").collect()] == events
+    faults = {r["session"]: r["fault"] for r in lines.where("fault IS NOT NULL").collect()}
+    assert faults == {"cut": "truncated", "bad": "damaged"}
+    whole = [r["event"] for r in lines.where("session = 'cut' AND event IS NOT NULL").orderBy("line").collect()]
+    assert 0 < len(whole) < 5000 and whole == large.decode().split("\n")[: len(whole)]
+    assert {r["session"] for r in lines.collect()} == {"a", "cut", "bad"}
+    assert [(r["role"], r["content"]) for r in stores.event_messages(stores.logged_events(lines.where("session = 'a'"))).collect()] == [("user", "é")]
+
+
+def test_sqlite_rows_by_ranges_and_filters(spark, tmp_path, monkeypatch):
+    for k in range(2):
+        con = sqlite3.connect(tmp_path / f"s{k}.db")
+        con.execute("CREATE TABLE m (id INTEGER, who, said)")
+        con.executemany("INSERT INTO m VALUES (?, ?, ?)", [(n, "u" if n % 3 else None, f"t{n}" if n % 2 else n) for n in range(k * 50, k * 50 + 50)])
+        con.execute("DELETE FROM m WHERE id % 7 = 0")
+        con.commit()
+        con.close()
+    want = [(n, "u" if n % 3 else None, f"t{n}" if n % 2 else str(n)) for n in range(100) if n % 7]
+    df = stores.read_foreign(spark, str(tmp_path), "m", "id long, who string, said string")
+    assert sorted(map(tuple, df.collect())) == want
+    got = df.where("id >= 20 AND who IS NOT NULL AND said IN ('t23', '26', '4') AND id % 2 = 1")
+    assert list(map(tuple, got.collect())) == [(23, "u", "t23")]
+    reader = foreign.SqliteReader(str(tmp_path), "m", df.schema)
+    monkeypatch.setattr(foreign, "SQLITE_ROWS", 20)
+    parts = reader.partitions()
+    assert len(parts) == 6
+    assert list(reader.pushFilters([ds.GreaterThan(("id",), 60), ds.StringContains(("said",), "t")])) == [ds.StringContains(("said",), "t")]
+    assert sorted(x["id"] for p in parts for b in reader.read(p) for x in b.to_pylist()) == [n for n, *_ in want if n > 60]
+
+
+def test_foreign_messages(spark):
+    sessions = spark.createDataFrame([("a", 60.0), ("b", None)], "id string, started_at double")
+    messages = spark.createDataFrame([(5, "a", "user", "late", 120.0), (2, "a", "user", " ", 1.0), (1, "a", "user", "first", None), (1, "b", "tool", "x", 0.0), (1, "none", "user", "lost", 1.0), (2, "b", "user", None, 1.0)], "id long, session_id string, role string, content string, timestamp double")
+    got = sorted(tuple(r[c] for c in ("file_id", "seq", "timestamp", "content")) for r in stores.foreign_messages(sessions, messages).collect())
+    assert got == [("a", 1, "1970-01-01T00:01:00Z", "first"), ("a", 2, "1970-01-01T00:02:00Z", "late"), ("b", 1, None, "x")]
