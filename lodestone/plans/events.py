@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import state as D
 from lodestone.plans.registry import query
+from lodestone.session import working_path
 from lodestone.sources import entities as E
 from lodestone.sources.entities import AS_OF, EVENTS_AS_OF
 from lodestone.streaming import signals as S
+from lodestone.streaming.cursor import dealt_with, past_cursor
 
 HINT = "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY type, source ORDER BY ts, event_id) <= INTERVAL 1800 SECOND, false) AS suppress_hint FROM signal_events"
 
@@ -66,6 +68,21 @@ def t06_windowed_stream(spark, sf):
     return counts.groupBy(F.to_date("start").alias("day"), "type").agg(F.max("n").alias("n"))
 
 
+@query("signal_events", "SELECT event_id, type AS event_type, value, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 1000 AS INTEGER) AS batch FROM signal_events")
+def t06_events_past_cursor(spark, sf):
+    """All events by batches of a thousand; the stream is stopped after three and goes on from its cursor."""
+    events, base = f"{sf}/events.parquet", working_path(spark, "cursor")
+    dealt_with(past_cursor(spark, events, 1000), base, 3)
+    return dealt_with(past_cursor(spark, events, 1000), base).select("event_id", "event_type", "value", "batch")
+
+
+@query("signal_events", """SELECT event_id FROM signal_events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM signal_events WHERE event_id = 77)""")
+def t07_last_event_id(spark, sf):
+    """A stream that begins after the event whose id a subscriber names."""
+    one = E.signal_events(spark, sf).where("event_id = 77").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).first()
+    return dealt_with(past_cursor(spark, f"{sf}/events.parquet", 5000, (one["us"], 77))).select("event_id")
+
+
 @query("signal_events", "SELECT event_id AS last_id, CAST(epoch_us(ts) AS BIGINT) AS last_us FROM signal_events WHERE event_id = 77")
 def t07_cursor_of_event(spark, sf):
     return S.cursor_of(E.signal_events(spark, sf), 77).select("last_id", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))

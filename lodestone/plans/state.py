@@ -210,6 +210,27 @@ def d30_ab_split(spark, sf):
     return E.raw_files(spark, sf).groupBy((T.variant("agent_id", 0.3) == "a").alias("a")).agg(F.count("*").alias("n"))
 
 
+SETTINGS = """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'l1' WHEN 1 THEN 'l15' WHEN 2 THEN 'l2' ELSE 'tier0' END AS name, o_orderdate AS moment, o_orderkey AS seq,
+    CASE o_custkey % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'unsplit' ELSE 'activate' END AS action, concat('v', o_orderkey) AS version, concat('w', o_orderkey) AS other, 0.3 AS share
+    FROM orders WHERE o_orderkey % 23 = 0"""
+RUNS = """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'l1' WHEN 1 THEN 'l15' WHEN 2 THEN 'l2' ELSE 'tier0' END AS name, CAST(o_orderkey AS {text}) AS key, o_orderdate AS moment,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'pinned' END AS override FROM orders"""
+
+
+@query("", f"""WITH log AS ({SETTINGS}), runs AS ({RUNS.format(text="VARCHAR")}), seen AS (
+    SELECT key, override, arg_max(version, seq_at) FILTER (action = 'activate') AS active, arg_max(action, seq_at) FILTER (action <> 'activate') AS ab,
+      arg_max(version, seq_at) FILTER (action <> 'activate') AS a, arg_max(other, seq_at) FILTER (action <> 'activate') AS b
+    FROM runs LEFT JOIN (SELECT *, (moment, seq) AS seq_at FROM log) l ON l.name = runs.name AND l.moment <= runs.moment GROUP BY 1, 2)
+    SELECT key, CASE WHEN override IS NOT NULL THEN override WHEN ab = 'split' THEN CASE WHEN CAST(concat('0x', substr(sha256(key), 1, 16)) AS UBIGINT) % 100 < 30 THEN a ELSE b END ELSE active END AS version FROM seen""")
+def d30_version_of_runs(spark, sf):
+    """Each order is a run, and some are changes of the settings: which version did each run use?"""
+    from lodestone.operators import versions
+
+    orders = E.table(spark, sf, "orders")
+    runs, log = (spark.sql(text.replace("FROM orders", "FROM {orders}"), orders=orders).withColumnRenamed("moment", "at") for text in (RUNS.format(text="STRING"), SETTINGS))
+    return versions.versions_at(runs, log).select("key", "version")
+
+
 @query("dimensions", "SELECT id, display_name, true AS active FROM dimensions")
 def d31_registry_import(spark, sf):
     from lodestone.sources import stores

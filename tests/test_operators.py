@@ -1,7 +1,9 @@
 """Edge cases and sequential operators against plain loops."""
 
+import collections
 import datetime
 import difflib
+import hashlib
 import itertools
 import json
 import math
@@ -15,6 +17,8 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -24,11 +28,11 @@ from pyspark.sql import functions as F
 
 from lodestone import session
 from lodestone.functions import text as T
-from lodestone.operators import containment, evaluation, fulltext, ranking, relations, retrieval, selection, surfaces, vectors
+from lodestone.operators import containment, evaluation, fulltext, ranking, relations, retrieval, selection, surfaces, vectors, versions
 from lodestone.operators import paging as O
 from lodestone.operators import state as D
 from lodestone.sources import foreign, session_files, stores
-from lodestone.streaming import signals
+from lodestone.streaming import cursor, signals
 
 AS_OF = "2024-03-15 00:00:00"
 
@@ -698,3 +702,70 @@ def test_foreign_messages(spark):
     messages = spark.createDataFrame([(5, "a", "user", "late", 120.0), (2, "a", "user", " ", 1.0), (1, "a", "user", "first", None), (1, "b", "tool", "x", 0.0), (1, "none", "user", "lost", 1.0), (2, "b", "user", None, 1.0)], "id long, session_id string, role string, content string, timestamp double")
     got = sorted(tuple(r[c] for c in ("file_id", "seq", "timestamp", "content")) for r in stores.foreign_messages(sessions, messages).collect())
     assert got == [("a", 1, "1970-01-01T00:01:00Z", "first"), ("a", 2, "1970-01-01T00:02:00Z", "late"), ("b", 1, None, "x")]
+
+
+# events past a cursor
+
+
+def _events(path, rows):
+    at = [None if us is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=us) for us, _ in rows]
+    pq.write_table(pa.table({"event_id": pa.array([i for _, i in rows], pa.int64()), "ts": pa.array(at, pa.timestamp("us")), "batch_": [str(i) for _, i in rows]}), path, row_group_size=4)
+
+
+def test_cursor_stream_deals_each_event_once_in_order(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), k) for k in range(40)] + [(None, 90), (5, None)]
+    rng.shuffle(rows)
+    folder, base = tmp_path / "events", str(tmp_path / "base")
+    folder.mkdir()
+    for k in range(3):
+        _events(folder / f"{k}.parquet", rows[k::3])
+    want = [i for us, i in sorted(r for r in rows if None not in r)]
+
+    def dealt():
+        got = spark.read.parquet(f"{base}/out").collect()
+        assert max(collections.Counter(r["batch"] for r in got).values()) <= 7
+        return [r["event_id"] for r in sorted(got, key=lambda r: (r["batch"], r["ts"], r["event_id"]))]
+
+    cursor.dealt_with(cursor.past_cursor(spark, str(folder), 7), base, 2)
+    assert dealt() == want[:14]
+    cursor.dealt_with(cursor.past_cursor(spark, str(folder), 7), base)
+    assert dealt() == want
+    _events(folder / "later.parquet", [(20, 200), (13, 201)])
+    cursor.dealt_with(cursor.past_cursor(spark, str(folder), 7), base)
+    assert dealt() == [*want, 201, 200]
+
+
+def test_cursor_reads_few_row_groups(tmp_path, monkeypatch):
+    _events(tmp_path / "e.parquet", [(k, k) for k in range(400)])
+    reader, read = cursor.CursorReader(str(tmp_path), 10, cursor.BEGIN), []
+    table = reader._table
+    monkeypatch.setattr(reader, "_table", lambda place, k: (read.append(k), table(place, k))[1])
+    at = {"us": (datetime.datetime(2024, 1, 1) - cursor.EPOCH) // datetime.timedelta(microseconds=1) + 201, "id": 201}
+    rows, end = reader.read(at)
+    assert [r[0] for r in rows] == list(range(202, 212)) and end["id"] == 211
+    assert read == [50, 51, 52]
+    assert [r[0] for r in reader.readBetweenOffsets(at, end)] == list(range(202, 212))
+    assert reader.read(end | {"us": end["us"] + 10**9})[1]["us"] == end["us"] + 10**9
+
+
+def test_versions_as_of_each_run(spark):
+    rng = random.Random(2)
+    moment = lambda k: None if k is None else f"2024-01-{1 + k // 24:02d} {k % 24:02d}:00:00"
+    log = [(rng.choice(["p", "q", None]), rng.choice([None, *range(0, 300)]), n, rng.choice(["activate", "split", "unsplit", "publish"]), f"v{n}", f"w{n}", 0.5) for n in range(80)]
+    runs = [(rng.choice(["p", "q", "r", None]), f"k{n}", rng.choice([None, *range(0, 320)]), "own" if n % 9 == 0 else None) for n in range(300)]
+    want = {}
+    for name, key, at, override in runs:
+        active = split = None
+        for x in sorted((x for x in log if x[1] is not None), key=lambda x: x[1:3]):
+            if name is not None and at is not None and x[0] == name and x[1] <= at:
+                active = x[4] if x[3] == "activate" else active
+                split = x[4:7] if x[3] == "split" else None if x[3] == "unsplit" else split
+        side = split and (split[0] if int(hashlib.sha256(key.encode()).hexdigest()[:16], 16) % 100 < 50 else split[1])
+        want[key] = override or side or active
+    log_df = spark.createDataFrame([(a, moment(b), *x) for a, b, *x in log], "name string, t string, seq int, action string, version string, other string, share double").withColumn("at", F.col("t").cast("timestamp_ntz"))
+    runs_df = spark.createDataFrame([(a, k, moment(b), o) for a, k, b, o in runs], "name string, key string, t string, override string").withColumn("at", F.col("t").cast("timestamp_ntz")).withColumn("active", F.lit("clash"))
+    got = versions.versions_at(runs_df, log_df)
+    assert got.columns == [*runs_df.columns, "version"]
+    assert {r["key"]: r["version"] for r in got.collect()} == want
+    assert versions.versions_at(runs_df, log_df.where("false")).where("version <> 'own'").count() == 0
