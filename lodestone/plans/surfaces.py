@@ -1,6 +1,8 @@
 """Queries of sections G, S and X."""
 
+import functools
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import statistics as A
@@ -11,6 +13,7 @@ from lodestone.session import working_path
 from lodestone.sources import entities as E
 from lodestone.sources import stores as S
 from lodestone.sources.entities import AS_OF
+from lodestone.sources.versions import VersionStore
 
 VELOCITY = {d[0]: d[2] for d in E.DIMENSIONS}
 LIVE = f"status <> 'rejected' AND (ttl_days IS NULL OR updated_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY * ttl_days)"
@@ -264,6 +267,46 @@ def s16_foreign_sessions(spark, sf):
     return found.join(sessions.select(F.col("id").alias("file_id"), "session_key", "agent_id"), "file_id").groupBy("session_key", "agent_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
+FILES = """SELECT 'd' || doc_id || '.md' AS name, CASE WHEN {changed} THEN concat(text, '!') ELSE text END AS text FROM documents WHERE text IS NOT NULL"""
+
+
+def _file_versions(spark, sf):
+    """Two snapshots, the second with what changed since, an archive of old files, and a restored first version."""
+    store = VersionStore(spark, _folder(spark, "versions"))
+    docs = E.table(spark, sf, "documents").where("text IS NOT NULL")
+    old = F.when(F.col("doc_id") % 4 == 0, F.lit("2023-10-01")).otherwise(F.lit("2024-03-01")).cast("timestamp_ntz")
+    changed = F.col("doc_id") % 10 == 1
+    one = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.encode("text", "UTF-8").alias("content"), old.alias("modified"), changed.alias("changed"))
+    two = one.withColumn("content", F.when(F.col("changed"), F.concat("content", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("content")))
+    two = two.withColumn("modified", F.when(F.col("changed"), F.lit("2024-03-14").cast("timestamp_ntz")).otherwise(F.col("modified")))
+    store.snapshot(one, "v1")
+    store.snapshot(two, "v2", since="2024-03-10 00:00:00")
+    store.archive("v3", AS_OF)
+    store.restore("v1", store.files(), "safe")
+    return store
+
+
+@query("", f"""WITH one AS ({FILES.format(changed="false")}), two AS ({FILES.format(changed="doc_id % 10 = 1")}), v3 AS (SELECT * FROM two WHERE NOT (CAST(substr(name, 2, length(name) - 4) AS BIGINT) % 4 = 0 AND CAST(substr(name, 2, length(name) - 4) AS BIGINT) % 10 <> 1))
+    SELECT v AS version, name, sha256(text) AS digest FROM (SELECT 'v1' AS v, * FROM one UNION ALL SELECT 'v2', * FROM two UNION ALL SELECT 'v3', * FROM v3 UNION ALL SELECT 'safe', * FROM v3 UNION ALL SELECT 'live', * FROM one)""")
+def s21_file_versions(spark, sf):
+    """Each version's files, read back, and those of the live one."""
+    store = _file_versions(spark, sf)
+    parts = [store.files(v).select(F.lit(v or "live").alias("version"), "name", F.sha2("content", 256).alias("digest")) for v in ("v1", "v2", "v3", "safe", None)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("", "SELECT count(*) AS objects, count(DISTINCT text) AS contents, sum(octet_length(encode(text))) AS bytes FROM (SELECT DISTINCT text FROM (SELECT text FROM documents WHERE text IS NOT NULL UNION ALL SELECT concat(text, '!') FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 1))")
+def s21_stored_once(spark, sf):
+    """What several versions hold, or several files, is stored once."""
+    stored = spark.read.parquet(f"{_file_versions(spark, sf).path}/objects")
+    return stored.agg(F.count("*").alias("objects"), F.count_distinct("digest").alias("contents"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("", "SELECT 'd' || doc_id || '.md' AS name FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 0 AND doc_id % 10 <> 1")
+def s24_archived_files(spark, sf):
+    return _file_versions(spark, sf).archived().select("name")
+
+
 CASES = """
 cases:
   - {case_id: c1, difficulty: easy, conversation: "hi", expected_l1: [{content: "a", dimensions: [focus, goals]}, {content: "b"}]}

@@ -32,6 +32,7 @@ from lodestone.operators import containment, evaluation, fulltext, ranking, rela
 from lodestone.operators import paging as O
 from lodestone.operators import state as D
 from lodestone.sources import foreign, session_files, stores
+from lodestone.sources.versions import VersionStore
 from lodestone.streaming import cursor, signals
 
 AS_OF = "2024-03-15 00:00:00"
@@ -769,3 +770,30 @@ def test_versions_as_of_each_run(spark):
     assert got.columns == [*runs_df.columns, "version"]
     assert {r["key"]: r["version"] for r in got.collect()} == want
     assert versions.versions_at(runs_df, log_df.where("false")).where("version <> 'own'").count() == 0
+
+
+# versions of files
+
+
+def test_versions_of_files(spark, tmp_path):
+    def files(**held):
+        rows = [(n, None if t is None else t.encode(), d) for n, (t, d) in held.items()]
+        return spark.createDataFrame(rows, "name string, content binary, d string").select("name", "content", F.col("d").cast("timestamp_ntz").alias("modified"))
+
+    def read(version=None):
+        return {r["name"]: bytes(r["content"]).decode() for r in store.files(version).collect()}
+
+    store = VersionStore(spark, str(tmp_path / "s"))
+    assert store.current() is None and read() == {}
+    store.snapshot(files(a=("x", "2024-01-01"), b=("x", "2024-03-01"), c=(None, None), gone=("g", "2024-01-01")), "1")
+    store.snapshot(files(a=("unseen", "2024-01-01"), b=("y", "2024-03-02"), c=(None, None), d=("late", "2024-01-01")), "2", since="2024-03-02 00:00:00")
+    assert read("1") == {"a": "x", "b": "x", "c": "", "gone": "g"}
+    assert read() == {"a": "x", "b": "y", "c": "", "d": "late"}  # a wasn't modified, d is new whatever its time
+    store.snapshot(files(a=("x", "2024-01-01"), b=("y", "2024-03-02"), c=(None, None), d=("late", "2024-01-01")), "2")  # again
+    assert read("2") == read() and spark.read.parquet(f"{store.path}/objects").groupBy("digest").count().where("count > 1").count() == 0
+    store.archive("3", "2024-03-15 00:00:00", 30)
+    assert read() == {"b": "y", "c": ""} and ids(store.archived(), "name") == ["a", "d"]
+    with pytest.raises(ValueError, match="no version"):
+        store.restore("9", store.files(), "safe")
+    store.restore("1", files(z=("new", "2024-03-15")), "safe")
+    assert read() == read("1") and read("safe") == {"z": "new"} and store.current() == "1"
