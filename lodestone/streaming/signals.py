@@ -31,11 +31,32 @@ def since(events: DataFrame, ts: str | None = None, after_id: int | None = None,
 def pulled(events: DataFrame, cursors: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """T-03. (events of each subscriber, its next cursor): the predicate comes before the limit.
 
-    The cursor is a result to be stored once the events have been dealt with, so nothing is lost.
+    The cursor is a result to be stored once the events have been dealt with, so nothing is lost. Of days after a
+    cursor's own, a subscriber meets the first ``limit`` events each, and only of as many days as it takes to have
+    ``limit`` events, so what is joined grows with the subscribers and not with what lies ahead of them. The days
+    and their sizes are one row, sent to all tasks.
     """
-    from lodestone.operators.relations import after, top_per_group
-
-    found = top_per_group(after(events, cursors), "subscriber_id", [F.asc("ts"), F.asc("event_id")], limit)
+    from lodestone.operators.relations import top_per_group
+
+    order = [F.asc("ts"), F.asc("event_id")]
+    dated = events.where("ts IS NOT NULL").withColumn("_day", F.to_date("ts"))
+    sizes = dated.groupBy("_day").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("_day", "n"))).alias("_days"))
+    own = F.to_date("last_ts")
+    ahead = F.when(own.isNull(), F.col("_days")).otherwise(F.filter("_days", lambda d: d["_day"] > own))
+    # the days ahead that begin before ``limit`` events of other days ahead have passed
+    taken = F.aggregate(
+        ahead,
+        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<date>").alias("days")),
+        lambda a, d: F.struct((a["n"] + d["n"]).alias("n"), F.when(a["n"] < limit, F.concat(a["days"], F.array(d["_day"]))).otherwise(a["days"]).alias("days")),
+        lambda a: a["days"],
+    )
+    asked = cursors.select("subscriber_id", "last_ts", "last_id").crossJoin(F.broadcast(sizes))
+    later = asked.select("subscriber_id", F.explode(taken).alias("_day"))
+    firsts = top_per_group(dated, "_day", order, limit).join(later, "_day")
+    past = (F.col("ts") > F.col("last_ts")) | ((F.col("ts") == F.col("last_ts")) & (F.col("event_id") > F.col("last_id")))
+    same_day = dated.join(asked.select("subscriber_id", "last_ts", "last_id", own.alias("_day")), "_day").where(past)
+    columns = [*events.columns, "subscriber_id"]
+    found = top_per_group(firsts.select(*columns).unionByName(same_day.select(*columns)), "subscriber_id", order, limit)
     moved = found.groupBy("subscriber_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
     kept = cursors.join(moved, "subscriber_id", "left")
     return found, kept.select("subscriber_id", F.coalesce("last.ts", "last_ts").alias("last_ts"), F.coalesce("last.event_id", "last_id").alias("last_id"))

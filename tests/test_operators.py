@@ -797,3 +797,24 @@ def test_versions_of_files(spark, tmp_path):
         store.restore("9", store.files(), "safe")
     store.restore("1", files(z=("new", "2024-03-15")), "safe")
     assert read() == read("1") and read("safe") == {"z": "new"} and store.current() == "1"
+
+
+@pytest.mark.parametrize("limit", [1, 4, 100])
+def test_pulled_equals_a_loop(spark, limit):
+    rng = random.Random(limit)
+    moment = lambda h: None if h is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    events = [(k, moment(rng.choice([None, *range(0, 240, 3)]))) for k in range(120)]
+    cursors = [(f"s{k}", moment(rng.choice([None, *range(-30, 300, 3)])), rng.randrange(120)) for k in range(25)]
+    want = {}
+    for name, ts, last in cursors:
+        past = sorted((t, i) for i, t in events if t is not None and (ts is None or (t, i) > (ts, last)))[:limit]
+        want[name] = [i for _, i in past], *((past[-1][0], past[-1][1]) if past else (ts, last))
+    e = spark.createDataFrame(events, "event_id long, ts timestamp_ntz").withColumn("_days", F.lit(1))
+    c = spark.createDataFrame(cursors, "subscriber_id string, last_ts timestamp_ntz, last_id long")
+    found, moved = signals.pulled(e, c, limit)
+    got = {name: [] for name, *_ in cursors}
+    for r in found.orderBy("ts", "event_id").collect():
+        got[r["subscriber_id"]].append(r["event_id"])
+    assert got == {k: v[0] for k, v in want.items()}
+    assert {r["subscriber_id"]: (r["last_ts"], r["last_id"]) for r in moved.collect()} == {k: v[1:] for k, v in want.items()}
+    assert signals.pulled(e.where("false"), c, limit)[0].count() == 0
