@@ -145,3 +145,57 @@ def schema_faults(text: Column | str, schema: dict[str, dict[str, tuple[str, ...
             if name != "*":
                 found.append(F.array(fault))
     return F.array_sort(F.array_compact(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in found]))))
+
+
+#: What ends a line, and a line that begins or ends a block of code.
+LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+FENCE = r"(?U)\n[^\S\n]*```([^\n]*)"
+
+
+def escaped(text: Column | str) -> Column:
+    """Text as HTML, in elements and in quoted attributes."""
+    out = F.col(text) if isinstance(text, str) else text
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def rendered(text: Column | str) -> Column:
+    """S-27. Markdown as HTML: blocks of code, headings of three levels, and a paragraph for each other line; null is empty.
+
+    A text that is split at its fences is outside and inside of code by turns, so the parity of a part says what it is, whatever
+    lines are in it; a last block without its closing fence is code too. Linear, without a shuffle.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), LINE_END, "\n"), r"\n\z", "")
+    whole = F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(F.lit("\n"), lines))
+    languages = F.transform(F.regexp_extract_all(whole, F.lit(FENCE), F.lit(1)), lambda x: escaped(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+
+    def line(raw: Column) -> Column:
+        safe = escaped(raw)
+        out = F.when(F.regexp_like(raw, F.lit(r"(?U)^\s*$")), "<p></p>")
+        for level in (1, 2, 3):
+            tag = f"h{level}"
+            out = out.when(F.startswith(raw, F.lit("#" * level + " ")), F.concat(F.lit(f"<{tag}>"), F.substring(safe, level + 2, 2**31 - 1), F.lit(f"</{tag}>")))
+        return out.otherwise(F.concat(F.lit("<p>"), safe, F.lit("</p>")))
+
+    def part(piece: Column, place: Column) -> Column:
+        body, language = piece["0"], piece["1"]
+        inner = F.substring(body, 2, 2**31 - 1)
+        code = F.concat(F.lit('<pre><code class="language-'), language, F.lit('">'), escaped(inner), F.lit("</code></pre>"))
+        return F.when(place % 2 == 1, code).when(body == "", "").otherwise(F.array_join(F.transform(F.split(inner, "\n"), line), ""))
+
+    pieces = F.arrays_zip(F.split(whole, FENCE), F.concat(F.array(F.lit("")), languages))
+    return F.array_join(F.transform(pieces, part), "")
+
+
+def page_document(title: Column, content: Column, category: Column, tags: Column, updated_at: Column) -> Column:
+    """S-27. A page as a document of its own; nulls are empty."""
+    none = F.lit("")
+    labels = F.array_join(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.concat(F.lit("<li>"), escaped(F.coalesce(t, none)), F.lit("</li>"))), "")
+    name = escaped(F.coalesce(title, none))
+    return F.concat(
+        F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), name, F.lit("</title></head>\n<body><header><h1>"), name,
+        F.lit("</h1><dl><dt>category</dt><dd>"), escaped(F.coalesce(category, none)), F.lit("</dd><dt>updated</dt><dd>"), escaped(F.coalesce(updated_at.cast("string"), none)),
+        F.lit("</dd></dl><ul>"), labels, F.lit("</ul></header>\n<main>"), rendered(content), F.lit("</main></body></html>"),
+    )

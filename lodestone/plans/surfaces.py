@@ -367,6 +367,24 @@ def s27_html_export(spark, sf):
     return E.wiki_pages(spark, sf).select("page_id", F.concat(F.lit("<h1>"), F.col("title"), F.lit("</h1>")).alias("html"))
 
 
+@query("wiki_pages", r"""
+    WITH texts AS (SELECT *, concat('# ', title, chr(10), CASE WHEN CAST(page_id AS INT) % 2 = 0 THEN concat('  ```html"', chr(10), html, chr(10), '```', chr(10), '### a & b', chr(10)) ELSE html END, CASE WHEN CAST(page_id AS INT) % 5 = 0 THEN concat(chr(10), '``` ', chr(10), '# open') ELSE '' END) AS content FROM wiki_pages),
+    lines AS (SELECT page_id, unnest(string_split(regexp_replace(content, '\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(content, '\n$', ''), chr(10)), 1) AS pos FROM texts),
+    marked AS (SELECT *, starts_with(trim(line), '```') AS fence, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS safe FROM lines),
+    blocks AS (SELECT *, CAST(sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS block FROM marked),
+    parts AS (
+      SELECT page_id, block, concat('<pre><code class="language-', trim(substr(trim(any_value(safe) FILTER (fence)), 4)), '">', coalesce(string_agg(safe, chr(10) ORDER BY pos) FILTER (NOT fence), ''), '</code></pre>') AS part FROM blocks WHERE block % 2 = 1 GROUP BY 1, 2
+      UNION ALL
+      SELECT page_id, block, coalesce(string_agg(CASE WHEN starts_with(line, '### ') THEN concat('<h3>', substr(safe, 5), '</h3>') WHEN starts_with(line, '## ') THEN concat('<h2>', substr(safe, 4), '</h2>') WHEN starts_with(line, '# ') THEN concat('<h1>', substr(safe, 3), '</h1>') WHEN trim(line) = '' THEN '<p></p>' ELSE concat('<p>', safe, '</p>') END, '' ORDER BY pos) FILTER (NOT fence), '') FROM blocks WHERE block % 2 = 0 GROUP BY 1, 2)
+    SELECT page_id, string_agg(part, '' ORDER BY block) AS html FROM parts GROUP BY 1""")
+def s27_rendered(spark, sf):
+    """Pages whose source is their content, in a block of code or as it is, some with a block that is never closed."""
+    k = F.col("page_id").cast("int")
+    block = F.concat(F.lit('  ```html"\n'), "html", F.lit("\n```\n### a & b\n"))
+    content = F.concat(F.lit("# "), "title", F.lit("\n"), F.when(k % 2 == 0, block).otherwise(F.col("html")), F.when(k % 5 == 0, "\n``` \n# open").otherwise(""))
+    return E.wiki_pages(spark, sf).select("page_id", G.rendered(content).alias("html"))
+
+
 @query("scenes", "SELECT scene_id, heat FROM scenes ORDER BY heat DESC, updated_at DESC")
 def s28_export_scenes(spark, sf):
     folder = _folder(spark, "scenes")
