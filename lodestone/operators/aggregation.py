@@ -26,8 +26,9 @@ from lodestone.session import materialize, working_path
 ACTIONS = "array<struct<action:string,target_scene_id:string,merged_content:string,merged_from:array<string>,memory_ids:array<string>>>"
 KINDS = ("update", "merge", "create")
 STATE = "file_id string, scene_id string, title string, content string, heat long, status string, updated_at timestamp_ntz, vector array<double>"
-VERSIONS = "file_id string, scene_id string, content string, reason string, version_at timestamp_ntz"
-OUTCOMES = "file_id string, place int, outcome string, scene_id string, memory_ids array<string>"
+OUTCOMES = "file_id string, place int, outcome string, scene_id string, memory_ids array<string>, before string"
+ANSWERS = f"file_id string, prompt string, answer string, actions {ACTIONS}, turn int"
+BAD = "actions IS NULL AND answer IS NOT NULL"
 AGAIN = "\n\nThe last answer was no JSON array of actions. Answer with the array alone."
 
 
@@ -83,22 +84,42 @@ def candidates(scenes: DataFrame, batch: DataFrame, embed: Model, vector_top: in
     return paging.first_seen("scene_id", near.select(*shown), warm.select(*shown), by="file_id")
 
 
-def decided(prompts: DataFrame, model: Model) -> DataFrame:
-    """(file_id, answer, actions) of each prompt. An answer without sound actions is asked for once more; null is no answer."""
-    first = materialize(answers(prompts, model).withColumn("actions", parsed_actions("answer")), "scene-answers")
-    bad = F.col("actions").isNull() & F.col("answer").isNotNull()
-    again = first.where(bad).select("file_id", F.concat("prompt", F.lit(AGAIN)).alias("prompt"))
-    second = answers(again, model).withColumn("actions", parsed_actions("answer"))
-    return first.where(~bad).unionByName(second).select("file_id", "answer", "actions")
+class Answers:
+    """The answers of all turns, written as they come; one without sound actions is asked for once more, and null is no answer."""
 
+    def __init__(self, prompts: DataFrame, model: Model, path: str):
+        self.spark, self.model, self.path = prompts.sparkSession, model, path
+        self.kinds: set[str] = set()
 
-def applied(scenes: DataFrame, actions: DataFrame, as_of: str, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """D-11. (scenes, versions, outcomes) after the ``actions`` (file_id, place, a, ids) of one batch of each file, in their order.
+    def _write(self, prompts: DataFrame, kind: str, turn: int) -> None:
+        asked = answers(prompts, self.model).withColumn("actions", parsed_actions("answer"))
+        asked.write.parquet(f"{self.path}/{kind}/turn={turn}")
+        self.kinds.add(kind)
+
+    def _read(self, kind: str) -> DataFrame:
+        if kind not in self.kinds:
+            return self.spark.createDataFrame([], ANSWERS)
+        return self.spark.read.schema(ANSWERS).parquet(f"{self.path}/{kind}")
+
+    def ask(self, prompts: DataFrame, turn: int) -> DataFrame:
+        self._write(prompts, "first", turn)
+        wrong = self._read("first").where(F.col("turn") == turn).where(BAD)
+        if not wrong.isEmpty():
+            self._write(wrong.select("file_id", F.concat("prompt", F.lit(AGAIN)).alias("prompt")), "second", turn)
+        return self.all().where(F.col("turn") == turn)
+
+    def all(self) -> DataFrame:
+        """(file_id, answer, actions, turn)."""
+        return self._read("first").where(f"NOT ({BAD})").unionByName(self._read("second")).drop("prompt")
+
+
+def applied(scenes: DataFrame, actions: DataFrame, as_of: str, turn: int) -> tuple[DataFrame, DataFrame]:
+    """D-11. (scenes, outcomes) after the ``actions`` (file_id, place, a, ids) of one batch of each file, in their order.
 
     An update sets the content and warms by one; a merge archives its sources and makes a scene of their heat and one
     more; a merge of nothing creates. An update of a scene that isn't active, or not any more because an earlier action of the
-    batch merged it, does nothing, and a source counts in the first merge that names it. Each content that is
-    replaced or archived becomes a version. New ids follow from file, turn and place, so a repeated round makes the same ones.
+    batch merged it, does nothing, and a source counts in the first merge that names it. An outcome has what the scene
+    held ``before``. New ids follow from file, turn and place, so a repeated round makes the same ones.
     """
     key = ["file_id", "scene_id"]
     active = scenes.where("status = 'active'").select(*key, F.col("content").alias("_old"), F.col("heat").alias("_heat"))
@@ -123,15 +144,13 @@ def applied(scenes: DataFrame, actions: DataFrame, as_of: str, turn: int) -> tup
     named = F.concat(F.when(F.col("_merged"), "merged_").otherwise("scene_"), F.substring("scene_id", 1, 8))
     fresh = made.select(*key, F.when(heading != "", heading).otherwise(named).alias("title"), "content", (F.coalesce("_sum", F.lit(0)) + 1).alias("heat"), F.lit("active").alias("status"), now.alias("updated_at"), F.lit(None).cast("array<double>").alias("vector"))
 
-    archived = gone.select(*key, F.col("_gone").alias("place"), F.lit(None).cast("string").alias("content"), "_old", F.lit("merge").alias("reason"))
-    replaced = updates.select(*key, "place", "content", "_old", F.lit("update").alias("reason")).unionByName(archived)
+    none = F.array().cast("array<string>").alias("ids")
+    archived = gone.select(*key, F.col("_gone").alias("place"), F.lit(None).cast("string").alias("content"), "_old", none, F.lit("archived").alias("outcome"))
+    touched = updates.select(*key, "place", "content", "_old", "ids", F.lit("updated").alias("outcome")).unionByName(archived)
     before = F.coalesce(F.lag("content").over(Window.partitionBy(*key).orderBy("place")), "_old")
-    versions = replaced.select(*key, before.alias("content"), "reason", now.alias("version_at"))
-    none = F.array().cast("array<string>").alias("memory_ids")
-    outcomes = updates.select("file_id", "place", F.lit("updated").alias("outcome"), "scene_id", F.col("ids").alias("memory_ids"))
-    outcomes = outcomes.unionByName(archived.select("file_id", "place", F.lit("archived").alias("outcome"), "scene_id", none))
-    outcomes = outcomes.unionByName(made.select("file_id", "place", F.when(F.col("_merged"), "merged").otherwise("created").alias("outcome"), "scene_id", F.col("ids").alias("memory_ids")))
-    return after.unionByName(fresh), versions, outcomes
+    born = made.select("file_id", "place", F.when(F.col("_merged"), "merged").otherwise("created").alias("outcome"), "scene_id", F.col("ids").alias("memory_ids"), F.lit(None).cast("string").alias("before"))
+    outcomes = touched.select("file_id", "place", "outcome", "scene_id", F.col("ids").alias("memory_ids"), before.alias("before")).unionByName(born)
+    return after.unionByName(fresh), outcomes
 
 
 def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str, size: int, embed: Model | None = None, vector_top: int = 30, heat_top: int = 20, newest: int = 50) -> Aggregated:
@@ -152,31 +171,29 @@ def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str,
     start = state
     listing = None if embed else _first(start.where("status = 'active'"), newest, F.desc("updated_at"), F.asc("scene_id")).select("file_id", "scene_id", "title", "content", "rank", F.lit(0).alias("part"))
     path = working_path(spark, "scene-rounds")
-    halted = None
+    said = Answers(batches, model, path)
+    last_turn = -1
     for turn in range(batches.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]):
         live = state.join(turns.where(F.col("turns") > turn), "file_id", "left_semi")
         batch = batches.where(F.col("batch") == turn).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("memory_id", "content"))).alias("memories"))
-        asked = batch if halted is None else batch.join(halted, "file_id", "left_anti")
+        silent = said.all().where((F.col("turn") < turn) & F.col("answer").isNull())
+        asked = batch.join(silent, "file_id", "left_anti")
         found = listing if embed is None else candidates(live, asked, embed, vector_top, heat_top)
         lists = found.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("part", "rank", "scene_id", "title", "content"))).alias("_found"))
         shown = F.transform(F.coalesce("_found", F.array()), lambda s: F.struct(s["scene_id"].alias("scene_id"), s["title"].alias("title"), s["content"].alias("content")))
         prompts = asked.join(lists, "file_id", "left").select("file_id", F.to_json(F.struct("memories", shown.alias("scenes"))).alias("prompt"))
-        answered = materialize(decided(prompts, model), "scene-decisions")
-        status = F.when(F.col("answer").isNull(), "unavailable").when(F.col("actions").isNull(), "error").otherwise("ok")
-        answered.select("file_id", status.alias("status"), *[_count("actions", kind).alias(kind) for kind in KINDS]).write.parquet(f"{path}/runs/turn={turn}")
+        answered = said.ask(prompts, turn)
         named = F.filter(F.coalesce("a.memory_ids", F.array().cast("array<string>")), lambda m: F.coalesce(m != "", F.lit(False)))
         whole = F.transform("memories", lambda m: m["memory_id"])
         actions = answered.select("file_id", F.posexplode("actions").alias("place", "a")).join(batch, "file_id").select("file_id", "place", "a", F.when(F.size(named) > 0, named).otherwise(whole).alias("ids"))
-        after, versions, outcomes = applied(live, actions, as_of, turn)
+        after, outcomes = applied(live, actions, as_of, turn)
         _embedded(after, embed).write.parquet(f"{path}/scenes/turn={turn}")
-        versions.write.parquet(f"{path}/versions/turn={turn}")
         outcomes.write.parquet(f"{path}/outcomes/turn={turn}")
         state = spark.read.schema(STATE).parquet(f"{path}/scenes/turn={turn}")
-        silent = answered.where("answer IS NULL").select("file_id")
-        halted = silent if halted is None else materialize(halted.unionByName(silent), "scene-halted")
+        last_turn = turn
 
     def written(part: str, schema: str) -> DataFrame:
-        if halted is None:  # no batch at all
+        if last_turn < 0:
             return spark.createDataFrame([], f"{schema}, turn int")
         return spark.read.schema(f"{schema}, turn int").parquet(f"{path}/{part}")
 
@@ -184,8 +201,11 @@ def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str,
     untouched = start.join(turns, "file_id", "left_anti")
     outcomes = written("outcomes", OUTCOMES)
     links = outcomes.select("file_id", "scene_id", F.explode("memory_ids").alias("memory_id")).distinct()
-    runs = written("runs", "file_id string, status string, update int, merge int, create int").withColumnRenamed("turn", "batch")
-    return Aggregated(last.select(*untouched.columns).unionByName(untouched).drop("vector"), written("versions", VERSIONS), links, outcomes.drop("memory_ids"), runs)
+    reason = F.when(F.col("outcome") == "updated", "update").when(F.col("outcome") == "archived", "merge")
+    versions = outcomes.where(reason.isNotNull()).select("file_id", "scene_id", F.col("before").alias("content"), reason.alias("reason"), moment(as_of).alias("version_at"))
+    status = F.when(F.col("answer").isNull(), "unavailable").when(F.col("actions").isNull(), "error").otherwise("ok")
+    runs = said.all().select("file_id", status.alias("status"), *[_count("actions", kind).alias(kind) for kind in KINDS], F.col("turn").alias("batch"))
+    return Aggregated(last.select(*untouched.columns).unionByName(untouched).drop("vector"), versions, links, outcomes.drop("memory_ids", "before"), runs)
 
 
 def finalised(done: Aggregated, memories: DataFrame, as_of: str, yellow: int = 150, orange: int = 180, red: int = 200) -> tuple[DataFrame, DataFrame]:
