@@ -26,8 +26,8 @@ from lodestone.session import materialize, working_path
 ACTIONS = "array<struct<action:string,target_scene_id:string,merged_content:string,merged_from:array<string>,memory_ids:array<string>>>"
 KINDS = ("update", "merge", "create")
 STATE = "file_id string, scene_id string, title string, content string, heat long, status string, updated_at timestamp_ntz, vector array<double>"
-OUTCOMES = "file_id string, place int, outcome string, scene_id string, memory_ids array<string>, before string"
-ANSWERS = f"file_id string, prompt string, answer string, actions {ACTIONS}, turn int"
+OUTCOMES = "file_id string, place int, outcome string, scene_id string, memory_ids array<string>, before string, title string, content string, heat long"
+ANSWERS = f"file_id string, ids array<string>, answer string, actions {ACTIONS}, turn int"
 BAD = "actions IS NULL AND answer IS NOT NULL"
 AGAIN = "\n\nThe last answer was no JSON array of actions. Answer with the array alone."
 
@@ -92,8 +92,8 @@ class Answers:
         self.kinds: set[str] = set()
 
     def _write(self, prompts: DataFrame, kind: str, turn: int) -> None:
-        asked = answers(prompts, self.model).withColumn("actions", parsed_actions("answer"))
-        asked.write.parquet(f"{self.path}/{kind}/turn={turn}")
+        asked = answers(prompts, self.model).withColumn("actions", parsed_actions("answer")).drop("prompt")
+        asked.write.option("compression", "zstd").parquet(f"{self.path}/{kind}/turn={turn}")
         self.kinds.add(kind)
 
     def _read(self, kind: str) -> DataFrame:
@@ -105,52 +105,58 @@ class Answers:
         self._write(prompts, "first", turn)
         wrong = self._read("first").where(F.col("turn") == turn).where(BAD)
         if not wrong.isEmpty():
-            self._write(wrong.select("file_id", F.concat("prompt", F.lit(AGAIN)).alias("prompt")), "second", turn)
+            again = prompts.join(wrong.select("file_id"), "file_id", "left_semi")
+            self._write(again.withColumn("prompt", F.concat("prompt", F.lit(AGAIN))), "second", turn)
         return self.all().where(F.col("turn") == turn)
 
     def all(self) -> DataFrame:
-        """(file_id, answer, actions, turn)."""
-        return self._read("first").where(f"NOT ({BAD})").unionByName(self._read("second")).drop("prompt")
+        """(file_id, ids, answer, actions, turn)."""
+        return self._read("first").where(f"NOT ({BAD})").unionByName(self._read("second"))
 
 
-def applied(scenes: DataFrame, actions: DataFrame, as_of: str, turn: int) -> tuple[DataFrame, DataFrame]:
-    """D-11. (scenes, outcomes) after the ``actions`` (file_id, place, a, ids) of one batch of each file, in their order.
+def decisions_made(scenes: DataFrame, actions: DataFrame, turn: int) -> DataFrame:
+    """D-11. What comes of the ``actions`` (file_id, place, a, ids) of one batch of each file, in their order.
 
     An update sets the content and warms by one; a merge archives its sources and makes a scene of their heat and one
     more; a merge of nothing creates. An update of a scene that isn't active, or not any more because an earlier action of the
-    batch merged it, does nothing, and a source counts in the first merge that names it. An outcome has what the scene
+    batch merged it, does nothing, and a source counts in the first merge that names it. An outcome has what its scene
     held ``before``. New ids follow from file, turn and place, so a repeated round makes the same ones.
     """
     key = ["file_id", "scene_id"]
     active = scenes.where("status = 'active'").select(*key, F.col("content").alias("_old"), F.col("heat").alias("_heat"))
     merges = (F.col("a.action") == "merge") & (F.coalesce(F.size("a.merged_from"), F.lit(0)) > 0)
-    sources = actions.where(merges).select("file_id", "place", F.explode(F.array_distinct("a.merged_from")).alias("scene_id"))
-    gone = sources.groupBy(*key).agg(F.min("place").alias("_gone")).join(active, key)
-    updates = actions.where("a.action = 'update'").select("file_id", F.col("a.target_scene_id").alias("scene_id"), "place", F.col("a.merged_content").alias("content"), "ids")
-    updates = updates.join(active, key).join(gone.select(*key, "_gone"), key, "left").where("_gone IS NULL OR place < _gone")
-    changed = updates.groupBy(*key).agg(F.count("*").alias("_more"), F.max_by("content", "place").alias("_new"))
-
-    now = moment(as_of)
-    both = scenes.join(changed, key, "left").join(gone.select(*key, "_gone"), key, "left")
-    new = F.col("_new").isNotNull()
-    after = both.select(
-        *key, "title", F.coalesce("_new", "content").alias("content"), (F.col("heat") + F.coalesce("_more", F.lit(0))).alias("heat"), F.when(F.col("_gone").isNotNull(), "archived").otherwise(F.col("status")).alias("status"),
-        F.when(new | F.col("_gone").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"), F.when(~new, F.col("vector")).alias("vector"),
-    )
-    warmth = gone.join(changed, key, "left").groupBy("file_id", F.col("_gone").alias("place")).agg(F.sum(F.col("_heat") + F.coalesce("_more", F.lit(0))).alias("_sum"))
+    sources = F.when(F.col("a.action") == "update", F.array("a.target_scene_id")).when(merges, F.array_distinct("a.merged_from"))
+    touches = actions.select("file_id", "place", F.explode(sources).alias("scene_id"), F.when(F.col("a.action") == "update", F.col("a.merged_content")).alias("content"), "ids", (F.col("a.action") == "update").alias("_update"))
+    w = Window.partitionBy(*key)
+    past = w.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    seen = touches.join(active, key).withColumn("_gone", F.min(F.when(~F.col("_update"), F.col("place"))).over(w)).where("place <= _gone OR _gone IS NULL")
+    seen = seen.withColumn("before", F.coalesce(F.last("content", True).over(past), "_old")).withColumn("heat", F.col("_heat") + F.coalesce(F.count_if(F.col("_update")).over(past), F.lit(0)))
+    none = F.array().cast("array<string>")
+    touched = seen.select("file_id", "place", F.when(F.col("_update"), "updated").otherwise("archived").alias("outcome"), "scene_id", F.when(F.col("_update"), F.col("ids")).otherwise(none).alias("memory_ids"), "before", F.lit(None).cast("string").alias("title"), "content", "heat")
+
+    made = actions.where("a.action <> 'update'").select("file_id", "place", F.col("a.merged_content").alias("content"), merges.alias("_merged"), "ids")
+    warmth = seen.where("NOT _update").groupBy("file_id", "place").agg(F.sum("heat").alias("_sum"))
     scene_id = F.substring(F.sha2(F.concat_ws("|", "file_id", F.lit(turn).cast("string"), F.col("place").cast("string")), 256), 1, 32)
-    made = actions.where("a.action <> 'update'").select("file_id", "place", scene_id.alias("scene_id"), F.col("a.merged_content").alias("content"), merges.alias("_merged"), "ids").join(warmth, ["file_id", "place"], "left")
     heading = F.trim(F.regexp_extract("content", r"(?m)^[^\S\n]*#[^\S\n]+(.*)$", 1))
     named = F.concat(F.when(F.col("_merged"), "merged_").otherwise("scene_"), F.substring("scene_id", 1, 8))
-    fresh = made.select(*key, F.when(heading != "", heading).otherwise(named).alias("title"), "content", (F.coalesce("_sum", F.lit(0)) + 1).alias("heat"), F.lit("active").alias("status"), now.alias("updated_at"), F.lit(None).cast("array<double>").alias("vector"))
+    born = made.join(warmth, ["file_id", "place"], "left").withColumn("scene_id", scene_id).select(
+        "file_id", "place", F.when(F.col("_merged"), "merged").otherwise("created").alias("outcome"), "scene_id", F.col("ids").alias("memory_ids"), F.lit(None).cast("string").alias("before"),
+        F.when(heading != "", heading).otherwise(named).alias("title"), "content", (F.coalesce("_sum", F.lit(0)) + 1).alias("heat"),
+    )
+    return touched.unionByName(born)
 
-    none = F.array().cast("array<string>").alias("ids")
-    archived = gone.select(*key, F.col("_gone").alias("place"), F.lit(None).cast("string").alias("content"), "_old", none, F.lit("archived").alias("outcome"))
-    touched = updates.select(*key, "place", "content", "_old", "ids", F.lit("updated").alias("outcome")).unionByName(archived)
-    before = F.coalesce(F.lag("content").over(Window.partitionBy(*key).orderBy("place")), "_old")
-    born = made.select("file_id", "place", F.when(F.col("_merged"), "merged").otherwise("created").alias("outcome"), "scene_id", F.col("ids").alias("memory_ids"), F.lit(None).cast("string").alias("before"))
-    outcomes = touched.select("file_id", "place", "outcome", "scene_id", F.col("ids").alias("memory_ids"), before.alias("before")).unionByName(born)
-    return after.unionByName(fresh), outcomes
+
+def applied(scenes: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
+    """The scenes after the outcomes of a batch; those whose content is new have no vector."""
+    key, now, null = ["file_id", "scene_id"], moment(as_of), F.lit(None).cast("array<double>").alias("vector")
+    updated = F.col("outcome") == "updated"
+    changes = outcomes.where("outcome IN ('updated', 'archived')").groupBy(*key).agg(F.count_if(updated).alias("_more"), F.max_by(F.when(updated, F.col("content")), F.when(updated, F.col("place"))).alias("_new"), F.bool_or(~updated).alias("_gone"))
+    after = scenes.join(changes, key, "left").select(
+        *key, "title", F.coalesce("_new", "content").alias("content"), (F.col("heat") + F.coalesce("_more", F.lit(0))).alias("heat"), F.when(F.col("_gone"), "archived").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("_gone").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"), F.when(F.col("_new").isNull(), F.col("vector")).alias("vector"),
+    )
+    born = outcomes.where("outcome IN ('created', 'merged')").select(*key, "title", "content", "heat", F.lit("active").alias("status"), now.alias("updated_at"), null)
+    return after.unionByName(born)
 
 
 def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str, size: int, embed: Model | None = None, vector_top: int = 30, heat_top: int = 20, newest: int = 50) -> Aggregated:
@@ -165,7 +171,8 @@ def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str,
     spark = memories.sparkSession
     given = scenes.select(F.coalesce("file_id", F.lit("unknown")).alias("file_id"), "scene_id", "title", "content", F.col("heat").cast("long").alias("heat"), "status", "updated_at", F.lit(None).cast("array<double>").alias("vector"))
     rows = memories.where("memory_id IS NOT NULL").select(F.coalesce("file_id", F.lit("unknown")).alias("file_id"), "memory_id", F.coalesce("content", F.lit("")).alias("content"))
-    batches = materialize(scene_batches(rows.groupBy("file_id", "memory_id").agg(F.min("content").alias("content")), "file_id", size), "scene-batches")
+    rows = rows.repartition("file_id").groupBy("file_id", "memory_id").agg(F.min("content").alias("content"))  # one shuffle, also for the window
+    batches = materialize(scene_batches(rows, "file_id", size), "scene-batches", "zstd")
     turns = batches.groupBy("file_id").agg((F.max("batch") + 1).alias("turns"))
     state = materialize(_embedded(given, embed), "scenes")
     start = state
@@ -181,14 +188,13 @@ def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str,
         found = listing if embed is None else candidates(live, asked, embed, vector_top, heat_top)
         lists = found.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("part", "rank", "scene_id", "title", "content"))).alias("_found"))
         shown = F.transform(F.coalesce("_found", F.array()), lambda s: F.struct(s["scene_id"].alias("scene_id"), s["title"].alias("title"), s["content"].alias("content")))
-        prompts = asked.join(lists, "file_id", "left").select("file_id", F.to_json(F.struct("memories", shown.alias("scenes"))).alias("prompt"))
+        prompts = asked.join(lists, "file_id", "left").select("file_id", F.transform("memories", lambda m: m["memory_id"]).alias("ids"), F.to_json(F.struct("memories", shown.alias("scenes"))).alias("prompt"))
         answered = said.ask(prompts, turn)
         named = F.filter(F.coalesce("a.memory_ids", F.array().cast("array<string>")), lambda m: F.coalesce(m != "", F.lit(False)))
-        whole = F.transform("memories", lambda m: m["memory_id"])
-        actions = answered.select("file_id", F.posexplode("actions").alias("place", "a")).join(batch, "file_id").select("file_id", "place", "a", F.when(F.size(named) > 0, named).otherwise(whole).alias("ids"))
-        after, outcomes = applied(live, actions, as_of, turn)
-        _embedded(after, embed).write.parquet(f"{path}/scenes/turn={turn}")
-        outcomes.write.parquet(f"{path}/outcomes/turn={turn}")
+        actions = answered.select("file_id", "ids", F.posexplode("actions").alias("place", "a")).select("file_id", "place", "a", F.when(F.size(named) > 0, named).otherwise(F.col("ids")).alias("ids"))
+        decisions_made(live, actions, turn).write.parquet(f"{path}/outcomes/turn={turn}")
+        outcomes = spark.read.schema(OUTCOMES).parquet(f"{path}/outcomes/turn={turn}")
+        _embedded(applied(live, outcomes, as_of), embed).write.parquet(f"{path}/scenes/turn={turn}")
         state = spark.read.schema(STATE).parquet(f"{path}/scenes/turn={turn}")
         last_turn = turn
 
@@ -205,7 +211,7 @@ def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str,
     versions = outcomes.where(reason.isNotNull()).select("file_id", "scene_id", F.col("before").alias("content"), reason.alias("reason"), moment(as_of).alias("version_at"))
     status = F.when(F.col("answer").isNull(), "unavailable").when(F.col("actions").isNull(), "error").otherwise("ok")
     runs = said.all().select("file_id", status.alias("status"), *[_count("actions", kind).alias(kind) for kind in KINDS], F.col("turn").alias("batch"))
-    return Aggregated(last.select(*untouched.columns).unionByName(untouched).drop("vector"), versions, links, outcomes.drop("memory_ids", "before"), runs)
+    return Aggregated(last.select(*untouched.columns).unionByName(untouched).drop("vector"), versions, links, outcomes.select("file_id", "turn", "place", "outcome", "scene_id"), runs)
 
 
 def finalised(done: Aggregated, memories: DataFrame, as_of: str, yellow: int = 150, orange: int = 180, red: int = 200) -> tuple[DataFrame, DataFrame]:
