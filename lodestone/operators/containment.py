@@ -66,3 +66,42 @@ def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
     found = near.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle").distinct()
     everywhere = needles.where("needle = ''").select("needle")  # one row at most
     return found.unionByName(texts.where("text IS NOT NULL").select("text_id").distinct().crossJoin(F.broadcast(everywhere)))
+
+
+#: Strings that are sent to every task instead of being shuffled, at most.
+FEW = 10_000
+
+
+def _overlapping(word: Column | str, n: int) -> Column:
+    """Like ``_pieces``, in one scan, so that a word of any length costs linear time."""
+    return F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def tokens(text: Column | str, blanks: bool = False) -> Column:
+    """The distinct runs of characters other than white space in a text, and those of white space if ``blanks``."""
+    return F.array_distinct(_words(text, r"\S+|\s+") if blanks else F.split(text, r"\s+"))
+
+
+def within_tokens(known: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
+    """(part, token, n) of the ``known`` tokens (token, n) that contain one of ``parts`` (part), by an equi-join on the part's first letters.
+
+    ``few`` says that the caller has counted the parts and found at most ``FEW``.
+    """
+    wanted = parts.select("part").distinct().withColumn("gram", F.substring("part", 1, GRAM))
+    pieces = F.array_distinct(F.concat(*[_overlapping("token", n) for n in range(1, GRAM + 1)]))
+    grams = known.select("token", "n", F.explode(pieces).alias("gram"))
+    return grams.join(F.broadcast(wanted) if few else wanted, "gram").where(F.contains("token", "part")).select("part", "token", "n")
+
+
+def rarest_tokens(needles: DataFrame, known: DataFrame, few: bool, blanks: bool) -> DataFrame:
+    """(needle, token) for strings of several tokens: every text with ``needle`` has one of its ``token`` rows.
+
+    Each token of such a string lies within a token of the texts that contain it. Of these the one is taken whose tokens are
+    in the fewest texts, so that a common word is not looked for where a rare one stands beside it. A string with a
+    part that is in no token is in no text.
+    """
+    parts = needles.select("needle", F.explode(tokens("needle", blanks)).alias("part")).where("part <> ''")
+    hits = within_tokens(known, parts, few)
+    costs = hits.groupBy("part").agg(F.sum("n").alias("cost"))
+    best = parts.join(costs, "part", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "part")).alias("best"))
+    return best.select("needle", F.col("best.part").alias("part")).join(hits.select("part", "token"), "part").select("needle", "token")

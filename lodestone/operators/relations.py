@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import containment
 from lodestone.operators.containment import mentions
 from lodestone.session import materialize
 
@@ -74,16 +76,50 @@ def dangling(sources: DataFrame, files: DataFrame) -> DataFrame:
 def superseded(new: DataFrame, old: DataFrame, tags: DataFrame) -> DataFrame:
     """J-17. (old_id, new_id): old memories that share a dimension with a new one and mention its subject.
 
-    Which old memories mention which subject is found first, by equi-joins on words; the dimension then
-    picks among the new memories of that subject, of which the least id of each dimension is enough.
-    None of the new ones is superseded.
+    A subject of one token (no white space, or nothing else) is in a text if it is in one of the text's tokens. So the least new
+    id of each token and dimension is worked out on the vocabulary, and a text meets only its own tokens: its rows don't grow
+    with the subjects that it holds. A subject of several tokens is looked for by its rarest one, and ``contains`` decides.
+    The empty subject is in every text; null subjects and contents are in none and hold none. None of the new ones is superseded.
+
+    The distinct subjects are written first, as their kinds and their number decide which joins there are. They are written in the
+    order of their new ids and numbered so, and the least number stands for the least id until the end.
     """
-    fresh = new.select(F.col("memory_id").alias("new_id"), F.lower("subject").alias("needle"))
+    fresh = new.select(F.col("memory_id").alias("new_id"), F.lower("subject").alias("needle")).where("needle IS NOT NULL")
     least = fresh.join(tags.withColumnRenamed("memory_id", "new_id"), "new_id").groupBy("dimension_id", "needle").agg(F.min("new_id").alias("new_id"))
-    texts = old.join(new.select("memory_id"), "memory_id", "left_anti").select(F.col("memory_id").alias("text_id"), F.lower("content").alias("text"))
-    said = mentions(texts, fresh.select("needle")).withColumnRenamed("text_id", "old_id")
-    hit = said.join(tags.withColumnRenamed("memory_id", "old_id"), "old_id").join(least, ["dimension_id", "needle"])
-    return hit.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    blank = F.col("needle").rlike(r"\A\s+\z")
+    kind = F.when(F.col("needle") == "", "empty").when(blank | ~F.col("needle").rlike(r"\s"), "one").otherwise("several")
+    least = materialize(least.withColumn("kind", kind).orderBy("new_id").withColumn("rank", F.monotonically_increasing_id()), "subjects")
+    counts = {r["kind"]: r for r in least.groupBy("kind").agg(F.countDistinct("needle").alias("n"), F.max(blank).alias("blank"), F.max(F.size(F.split("needle", r"\s+"))).alias("parts")).collect()}
+    blanks = "one" in counts and counts["one"]["blank"]
+
+    def few(of: str) -> bool:
+        return counts[of]["n"] * (2 * counts[of]["parts"] + 1) <= containment.FEW
+
+    texts = old.where("content IS NOT NULL").select(F.col("memory_id").alias("old_id"), F.lower("content").alias("text"))
+    dims = tags.join(new.select("memory_id"), "memory_id", "left_anti").groupBy(F.col("memory_id").alias("old_id")).agg(F.collect_set("dimension_id").alias("dims"))
+    held = texts.join(dims, "old_id").select("old_id", "dims", F.explode(containment.tokens("text", blanks)).alias("token"))
+    known = texts.select(F.explode(containment.tokens("text", blanks)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    known = materialize(known, "vocabulary") if "several" in counts else known  # both kinds of subjects, and its counts, read it
+
+    found = []
+    if "one" in counts:
+        subjects = least.where("kind = 'one'").select(F.col("needle").alias("part"), "dimension_id", "rank")
+        hits = containment.within_tokens(known, subjects, few("one"))
+        of_token = hits.join(F.broadcast(subjects) if few("one") else subjects, "part").groupBy("token", "dimension_id").agg(F.min("rank").alias("rank"))
+        of_token = of_token.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("dimension_id", "rank"))).alias("of"))
+        found.append(held.join(of_token, "token").select("old_id", F.array_min(F.transform("dims", lambda d: F.element_at("of", d))).alias("rank")))
+    if "several" in counts:
+        subjects = least.where("kind = 'several'").drop("kind")
+        near = held.join(containment.rarest_tokens(subjects.select("needle").distinct(), known, few("several"), blanks), "token")
+        said = near.select("old_id", "needle", "dims").dropDuplicates(["old_id", "needle"]).join(texts, "old_id").where(F.contains("text", "needle"))
+        found.append(said.select("old_id", "needle", F.explode("dims").alias("dimension_id")).join(subjects, ["needle", "dimension_id"]).select("old_id", "rank"))
+    if "empty" in counts:
+        everywhere = texts.join(dims, "old_id").select("old_id", F.explode("dims").alias("dimension_id"))
+        found.append(everywhere.join(least.where("kind = 'empty'"), "dimension_id").select("old_id", "rank"))
+    if not found:
+        return texts.select("old_id", F.col("old_id").alias("new_id")).limit(0)
+    first = reduce(DataFrame.unionByName, found).where("rank IS NOT NULL").groupBy("old_id").agg(F.min("rank").alias("rank"))
+    return first.join(least.select("rank", "new_id"), "rank").select("old_id", "new_id")
 
 
 def candidates(new: DataFrame, old: DataFrame, tags: DataFrame, k: int = 50) -> DataFrame:

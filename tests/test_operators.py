@@ -388,6 +388,36 @@ def test_session_files_are_read_as_written(spark):
     assert [(r["seq"], r["timestamp"], r["role"], r["content"], r["tool_name"]) for r in got] == [(1, "t1", "user", "x", None), (2, "t2", "tool", "  y", "sh"), (3, "t3", "system", "", None)]
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_supersession_equals_a_nested_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(containment, "FEW", few)
+    rng = random.Random(4)
+    letters = ["a", "b", "ab", "É", "ß", "...", "\n", "\t", " ", " ", "x y", "🙂🙂", "the", "other", "%_"]
+    text = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    old = [(f"o{i}", None if i % 17 == 0 else text(30)) for i in range(80)] + [("long", "z" * 50_000 + "ab"), ("n0", "a subject"), (None, "a")]
+    new = [(f"n{i}", s) for i, s in enumerate(["", " ", "\n", None, "a", "ab", "AB", "É", "é\n", "the other", "other the", "a b", "x  y", "nowhere", "a nowhere", "🙂", "...", "%", " a", "a "] + [text(4) for _ in range(20)])]
+    dims = [(m, d) for m, _ in [*old, *new] for d in {f"d{rng.randrange(6)}" for _ in range(3)} if m != "o5"]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    fresh = frame(new, "memory_id string, subject string")
+    tags = frame([*dims, *dims[:30]], "memory_id string, dimension_id string")
+
+    def brute(new):
+        ids, out = {m for m, _ in new}, {}
+        for o, content in old:
+            hit = [n for n, s in new if None not in (o, content, s) and o not in ids and s.lower() in content.lower() and {d for m, d in dims if m == n} & {d for m, d in dims if m == o}]
+            out |= {o: min(hit)} if hit else {}
+        return out
+
+    got = relations.superseded(fresh, frame([*old, *old[:9]], "memory_id string, content string"), tags).collect()
+    assert len(got) == len({r["old_id"] for r in got}) > 40
+    assert {r["old_id"]: r["new_id"] for r in got} == brute(new)
+    some = [(m, s) for m, s in new if s in ("ab", "the other")]
+    got = relations.superseded(frame(some, "memory_id string, subject string"), frame(old, "memory_id string, content string"), tags).collect()
+    assert {r["old_id"]: r["new_id"] for r in got} == brute(some)
+    none = relations.superseded(fresh.where("subject IS NULL"), frame(old, "memory_id string, content string"), tags)
+    assert none.collect() == [] and none.columns == ["old_id", "new_id"]
+
+
 def test_mentions_equal_a_nested_loop(spark):
     rng = random.Random(3)
     parts = ["ab", "abc", "b", "cab", "é", "世界", "-", "--", "?!", " ", "  ", ".", "x1"]
