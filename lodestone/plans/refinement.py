@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import aggregation, evolution, ranking, selection
+from lodestone.operators import aggregation, evolution, ranking, selection, summaries
 from lodestone.operators import refinement as L
 from lodestone.operators import state as D
 from lodestone.plans.registry import query
@@ -74,6 +74,31 @@ def l10_summary_basis(spark, sf):
     return L.summary_basis(E.memories(spark, sf), 70, 100).select("memory_id")
 
 
+def _profile_model(prompts: pd.Series) -> pd.Series:
+    """A stand-in for a model: the prompt's length and first letters, and no answer where every third letter count ends."""
+    n = prompts.str.len()
+    return (n.astype(str) + ":" + prompts.str.slice(0, 60)).where(n % 3 != 0, None)
+
+
+@query("memories memory_tags", """
+    WITH moments(asked, most) AS (VALUES (TIMESTAMP '2024-03-12 00:00:00', 20), (TIMESTAMP '2024-03-14 00:00:00', 20), (TIMESTAMP '2024-03-15 00:00:00', 10)),
+    ranked AS (SELECT asked, most, agent_tag AS owner, priority, content, row_number() OVER (PARTITION BY asked, agent_tag ORDER BY updated_at DESC, memory_id) AS n FROM memories, moments
+      WHERE status <> 'rejected' AND (ttl_days IS NULL OR updated_at > asked - INTERVAL 1 DAY * ttl_days) AND memory_id IN (SELECT memory_id FROM memory_tags WHERE dimension_id IN ('identity', 'family', 'social', 'values'))),
+    chosen AS (SELECT asked, owner, content, n FROM ranked WHERE n <= most AND priority >= 70),
+    lines AS (SELECT asked, owner, string_agg(concat('- ', coalesce(content, '')), chr(10) ORDER BY n) AS lines FROM chosen GROUP BY 1, 2),
+    prompts AS (SELECT asked, owner, concat('Who is this?', chr(10), coalesce(lines, '（暂无静态维度高优先级记忆）')) AS prompt FROM (SELECT DISTINCT agent_tag AS owner FROM memories) CROSS JOIN moments LEFT JOIN lines USING (asked, owner) WHERE most = 20),
+    stored AS (SELECT owner, max(asked) AS asked, arg_max(concat(length(prompt), ':', substr(prompt, 1, 60)), asked) AS summary FROM prompts WHERE length(prompt) % 3 <> 0 GROUP BY 1),
+    held AS (SELECT * FROM stored WHERE asked >= TIMESTAMP '2024-03-13 00:00:00')
+    SELECT owner, 'summary' AS kind, 0 AS nth, summary AS text FROM held
+    UNION ALL SELECT owner, 'static', CAST(row_number() OVER (PARTITION BY owner ORDER BY n) AS INT), content FROM chosen WHERE asked = TIMESTAMP '2024-03-15 00:00:00' AND owner NOT IN (SELECT owner FROM held)""")
+def l10_profiles(spark, sf):
+    memories, tags = E.memories(spark, sf).withColumnRenamed("agent_tag", "owner"), E.memory_tags(spark, sf)
+    store = TableSet(spark, working_path(spark, "profiles"))
+    for day in ("2024-03-12", "2024-03-14"):
+        summaries.refresh(store, day, memories, tags, "Who is this?\n{{memories}}", _profile_model, f"{day} 00:00:00")
+    return summaries.served(store.read("summaries", summaries.SUMMARIES), memories, tags, AS_OF)
+
+
 @query("messages raw_files", "SELECT file_id, count(*) AS rounds FROM messages WHERE role = 'user' AND file_id NOT IN (SELECT file_id FROM raw_files WHERE status = 'archived') GROUP BY 1 HAVING count(*) >= 3")
 def l11_sessions_to_evolve(spark, sf):
     done = E.raw_files(spark, sf).where("status = 'archived'").select("file_id")
