@@ -104,7 +104,8 @@ def superseded(new: DataFrame, old: DataFrame, tags: DataFrame) -> DataFrame:
     found = []
     if "one" in counts:
         subjects = least.where("kind = 'one'").select(F.col("needle").alias("part"), "dimension_id", "rank")
-        hits = containment.within_tokens(known, subjects, few("one"))
+        # dealt by token before each hit gets its dimensions: both aggregates then take place where the token is
+        hits = containment.within_tokens(known, subjects, few("one")).repartition("token")
         of_token = hits.join(F.broadcast(subjects) if few("one") else subjects, "part").groupBy("token", "dimension_id").agg(F.min("rank").alias("rank"))
         of_token = of_token.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("dimension_id", "rank"))).alias("of"))
         found.append(held.join(of_token, "token").select("old_id", F.array_min(F.transform("dims", lambda d: F.element_at("of", d))).alias("rank")))
