@@ -70,10 +70,10 @@ def t06_windowed_stream(spark, sf):
 
 @query("signal_events", "SELECT event_id, type AS event_type, value, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 1000 AS INTEGER) AS batch FROM signal_events")
 def t06_events_past_cursor(spark, sf):
-    """All events by batches of a thousand; the stream is stopped after three and goes on from its cursor."""
+    """All events by batches of a thousand; the stream is stopped after three and goes on from its cursor, with what is left in one trigger."""
     events, base = f"{sf}/events.parquet", working_path(spark, "cursor")
     dealt_with(past_cursor(spark, events, 1000), base, 3)
-    return dealt_with(past_cursor(spark, events, 1000), base).select("event_id", "event_type", "value", "batch")
+    return dealt_with(past_cursor(spark, events, 1000, ahead=True), base, size=1000).select("event_id", "event_type", "value", "batch")
 
 
 @query("signal_events", """SELECT event_id FROM signal_events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM signal_events WHERE event_id = 77)""")

@@ -767,6 +767,24 @@ def test_cursor_stream_deals_each_event_once_in_order(spark, tmp_path):
     assert dealt() == [*want, 201, 200]
 
 
+def test_cursor_deals_a_long_log_in_few_triggers(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.randrange(60), k) for k in range(150)] + [(None, 990), (5, None)]
+    rng.shuffle(rows)
+    folder, base = tmp_path / "events", str(tmp_path / "base")
+    folder.mkdir()
+    for k in range(3):
+        _events(folder / f"{k}.parquet", rows[k::3])
+    want = [i for _, i in sorted(r for r in rows if None not in r)]
+    cursor.dealt_with(cursor.past_cursor(spark, str(folder), 7), base, 2)
+    got = cursor.dealt_with(cursor.past_cursor(spark, str(folder), ahead=True), base, size=7).collect()
+    assert {r["event_id"]: r["batch"] for r in got} == {i: k // 7 for k, i in enumerate(want)} and len(got) == len(want)
+    assert len(list((tmp_path / "base" / "out").glob("trigger=*"))) <= 4  # one was begun and not committed, and comes again
+    _events(folder / "later.parquet", [(400, 2000), (399, 2001), (400, 1999)])
+    got = cursor.dealt_with(cursor.past_cursor(spark, str(folder), ahead=True), base, size=2).collect()
+    assert sorted((r["batch"], r["event_id"]) for r in got)[-3:] == [(22, 1999), (22, 2001), (23, 2000)] and len(got) == 153
+
+
 def test_cursor_reads_few_row_groups(tmp_path, monkeypatch):
     _events(tmp_path / "e.parquet", [(k, k) for k in range(400)])
     reader, read = cursor.CursorReader(str(tmp_path), 10, cursor.BEGIN), []
