@@ -80,7 +80,7 @@ def t06_events_past_cursor(spark, sf):
 def t07_last_event_id(spark, sf):
     """A stream that begins after the event whose id a subscriber names."""
     one = E.signal_events(spark, sf).where("event_id = 77").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).first()
-    return dealt_with(past_cursor(spark, f"{sf}/events.parquet", 5000, (one["us"], 77))).select("event_id")
+    return dealt_with(past_cursor(spark, f"{sf}/events.parquet", after=(one["us"], 77), ahead=True), size=5000).select("event_id")
 
 
 @query("signal_events", "SELECT event_id AS last_id, CAST(epoch_us(ts) AS BIGINT) AS last_us FROM signal_events WHERE event_id = 77")
