@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize
+
 WORD = r"[\p{L}\p{N}]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: Inner words of a long string that are looked for together.
 RUN = 3
 #: Letters by which a short string's longest word is looked for in the vocabulary.
 GRAM = 3
+#: Keys of runs that are sent to every task, at most; with more of them the texts' runs are shuffled.
+SENT = 1 << 20
 
 
 def _words(text: Column | str, pattern: str = WORD) -> Column:
@@ -23,6 +29,14 @@ def _runs(hashes: Column | str, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i, n)))).otherwise(F.array().cast("array<long>"))
 
 
+def _edged(words: Column | str, n: int) -> Column:
+    """A hash of each ``n`` consecutive words between two others, with the last letter of the one and the first letter of the other."""
+    at = F.sequence(F.lit(1), F.size(words) - n - 1)
+    word = lambda i: F.element_at(words, i)
+    one = lambda i: F.xxhash64(F.right(word(i), F.lit(1)), F.slice(words, i + 1, n), F.left(word(i + n + 1), F.lit(1)))
+    return F.when(F.size(words) >= n + 2, F.transform(at, one)).otherwise(F.array().cast("array<long>"))
+
+
 def _pieces(word: Column | str, n: int) -> Column:
     at = F.sequence(F.lit(1), F.length(word) - n + 1)
     return F.when(F.length(word) >= n, F.transform(at, lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -33,39 +47,59 @@ def _grams(word: Column | str) -> Column:
     return F.array_distinct(F.concat(*[_pieces(word, n) for n in range(1, GRAM + 1)]))
 
 
+def _by_runs(texts: DataFrame, needles: DataFrame, kinds: list[int]) -> DataFrame:
+    """(text_id, needle) of texts that hold the rarest run of a needle (needle, w) of three words or more, of the ``kinds`` that there are."""
+    hashes = lambda words_: F.transform(words_, lambda x: F.xxhash64(x))
+    inner = F.slice("w", 2, F.size("w") - 2)
+    own = F.when(F.size("w") == 3, _edged("w", 1)).when(F.size("w") == 4, _edged("w", 2)).otherwise(_runs("wh", RUN))
+    asked = needles.where(F.size("w") > 2).withColumn("wh", hashes(inner)).select("needle", F.least(F.size("w"), F.lit(RUN + 2)).alias("n"), F.explode(F.array_distinct(own)).alias("key"))
+    asked = materialize(asked, "asked-runs")
+    hits, said = [], texts.select("text_id", _words("text").alias("w")).withColumn("wh", hashes("w"))
+    for n, k in ((3, _edged("w", 1)), (4, _edged("w", 2)), (RUN + 2, _runs("wh", RUN))):
+        if n in kinds:
+            keys = asked.where(F.col("n") == n).select("key").distinct()
+            keyed = said.select("text_id", F.explode(F.array_distinct(k)).alias("key"))
+            hits.append(keyed.join(F.broadcast(keys) if keys.count() <= SENT else keys, "key", "left_semi"))
+    hits = materialize(reduce(DataFrame.unionByName, hits), "runs")
+    counts = hits.groupBy("key").agg(F.count("*").alias("texts"))
+    best = asked.join(counts, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "key")).alias("best"))
+    return hits.join(best.select("needle", F.col("best.key").alias("key")), "key").select("text_id", "needle")
+
+
 def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(text_id, needle) of the ``texts`` (text_id, text) that contain a needle as a substring, each pair once.
 
     A string's inner words are whole words of every text that contains it, as only its first and last word
-    may be parts of longer ones. So a string of five words or more is looked for by a run of inner words and one of
-    three or four by its longest inner word, in equi-joins with the words of the texts. For a shorter one the words
+    may be parts of longer ones. So a string of five words or more is looked for by a run of inner words, of its runs the
+    one that the fewest texts have, and one of three or four by its inner words with the letters beside
+    them, in equi-joins with the runs of the texts. Texts keep those of their runs that some string has, so these rows grow
+    with the texts and not with the strings. For a shorter string the words
     that contain its longest word are looked up in the vocabulary of all texts first, which grows far less than the
     texts; one without words is looked up likewise in what stands between words. ``contains`` then
     decides on the pairs that are left. The empty string is in every text, null in none.
     """
     needles = needles.select("needle").where("needle IS NOT NULL").distinct().withColumn("w", _words("needle"))
-    sizes = needles.agg(F.max(F.size("w")).alias("most"), F.min(F.when(F.col("needle") != "", F.size("w"))).alias("least"), F.max((F.size("w").isin(1, 2)).cast("int")).alias("short")).first()
-    words = _words("text") if sizes["least"] is None or sizes["least"] > 0 else F.concat(_words("text"), _words("text", BETWEEN))
-    hashed = texts.select("text_id", F.transform(words, lambda x: F.xxhash64(x)).alias("h"), F.transform(_words("text"), lambda x: F.xxhash64(x)).alias("wh"))
-    keys = F.col("h")
-    if (sizes["most"] or 0) >= RUN + 2:
-        keys = F.concat(keys, _runs("wh", RUN))
-    keyed = hashed.select("text_id", F.explode(F.array_distinct(keys)).alias("key"))
-
-    inner = F.slice("w", 2, F.size("w") - 2)
+    has = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    of_size = {n: F.size("w") == n for n in (0, 3, 4)} | {RUN + 2: F.size("w") >= RUN + 2, 1: F.size("w").isin(1, 2)}
+    sizes = needles.where("needle <> ''").agg(*[has(c).alias(f"n{n}") for n, c in of_size.items()]).first()
     longest = lambda words_: F.array_max(F.transform(words_, lambda x: F.struct(F.length(x), x.alias("word"))))["word"]
-    by_run = F.xxhash64(F.slice(F.transform(inner, lambda x: F.xxhash64(x)), 1, RUN))
-    probes = needles.where(F.size("w") > 2).select("needle", F.when(F.size("w") >= RUN + 2, by_run).otherwise(F.xxhash64(longest(inner))).alias("key"))
-    if sizes["short"] or sizes["least"] == 0:
+    near = []
+    if sizes["n3"] or sizes["n4"] or sizes[f"n{RUN + 2}"]:
+        near.append(_by_runs(texts, needles, [n for n in (3, 4, RUN + 2) if sizes[f"n{n}"]]))
+    if sizes["n0"] or sizes["n1"]:
+        words = F.concat(_words("text"), _words("text", BETWEEN)) if sizes["n0"] else _words("text")
         short = needles.where((F.size("w") <= 2) & (F.col("needle") != "")).select("needle", F.when(F.size("w") > 0, longest(F.col("w"))).otherwise(F.col("needle")).alias("part"))
         short = short.withColumn("gram", F.substring("part", 1, GRAM))
         vocabulary = texts.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
         known = vocabulary.select("word", F.explode(_grams("word")).alias("gram")).join(short, "gram").where(F.contains("word", "part"))
-        probes = probes.unionByName(known.select("needle", F.xxhash64("word").alias("key")))
-    near = keyed.join(probes, "key").select("text_id", "needle").distinct()
-    found = near.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle").distinct()
+        probes = known.select("needle", F.xxhash64("word").alias("key"))
+        near.append(texts.select("text_id", F.explode(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))).alias("key")).join(probes, "key").select("text_id", "needle"))
     everywhere = needles.where("needle = ''").select("needle")  # one row at most
-    return found.unionByName(texts.where("text IS NOT NULL").select("text_id").distinct().crossJoin(F.broadcast(everywhere)))
+    found = texts.where("text IS NOT NULL").select("text_id").distinct().crossJoin(F.broadcast(everywhere))
+    if near:
+        pairs = reduce(DataFrame.unionByName, near).distinct()
+        found = pairs.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle").distinct().unionByName(found)
+    return found
 
 
 #: Strings that are sent to every task instead of being shuffled, at most.

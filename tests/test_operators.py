@@ -431,6 +431,17 @@ def test_mentions_equal_a_nested_loop(spark):
     assert containment.mentions(spark.createDataFrame(texts, "text_id int, text string"), none).count() == 0
 
 
+def test_runs_of_titles_are_looked_for_by_their_rarest(spark):
+    n = 40
+    texts = spark.createDataFrame([(k, f"so xp commonword q{k} zz, of the in a b{k} yes, xl middle r{k % 7}") for k in range(n)], "text_id int, text string")
+    needles = [f"p commonword q{k} z" for k in range(n)] + [f"of the in a b{k} y" for k in range(n)] + [f"l middle r{k}" for k in range(7)]
+    df = spark.createDataFrame([(x,) for x in needles], "needle string")
+    want = {(k, x) for k in range(n) for x in (f"p commonword q{k} z", f"of the in a b{k} y", f"l middle r{k % 7}")}
+    assert {tuple(r) for r in containment.mentions(texts, df).collect()} == want
+    near = containment._by_runs(texts, df.where("needle NOT LIKE 'l %'").withColumn("w", containment._words("needle")), [4, 5])
+    assert near.count() == 2 * n  # a needle meets the texts of its rarest run, not those of its first
+
+
 def test_events_after_cursors(spark):
     events = spark.createDataFrame([(k, f"2024-01-{1 + k // 5:02} 0{k % 5}:00:00") for k in range(40)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     rows = [("none", None, None), ("early", "2020-01-01 00:00:00", 5), ("mid", "2024-01-03 02:00:00", 11), ("tie", "2024-01-03 02:00:00", 12), ("late", "2024-02-01 00:00:00", 0), ("last", "2024-01-08 04:00:00", 39)]
