@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,36 +156,50 @@ def kept_times(times: list[int], width: int) -> list[int]:
     return out
 
 
-def with_suppression(stream: DataFrame, seconds: int = 1800, late: str = "1 day") -> DataFrame:
+def with_suppression(stream: DataFrame, seconds: int = 1800, late: str = "1 day", buckets: int = 1024) -> DataFrame:
     """T-01 as a stream: whether an event follows one of its type and source within the time, across batches.
 
     An event is judged by what has come by then, in order of time within a batch. One that comes late is judged by
     the events before its own time, and doesn't change hints that were given; later than ``late`` behind the
     latest it is left out by the watermark. A key's state is a few times, and goes when the watermark has passed them.
+    Keys share the state of their bucket, as there may be as many keys as events and a call for each would take most of the time.
     """
     width = seconds * 1_000_000
+    key = ["type", "source"]
 
-    def mark(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def mark(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        hints = []
-        for t in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
-            at = bisect.bisect_right(known, t)
-            hints.append(at > 0 and t - known[at - 1] <= width)
-            known.insert(at, t)
-            if len(known) > 64:
-                known = kept_times(known, width)
+        rows = pd.concat(list(frames), ignore_index=True)
+        timed = rows["ts"].notna().to_numpy()
+        fresh = rows[timed].assign(us=rows["ts"][timed].astype("datetime64[us]").astype("int64"), fresh=True)
+        if state.exists:
+            types, sources, times = state.get
+            known = pd.DataFrame({"type": list(types), "source": list(sources), "us": list(times)})
+            every = pd.concat([known.assign(event_id=0, fresh=False), fresh[[*key, "us", "event_id", "fresh"]]], ignore_index=True)
+        else:
+            every = fresh
+        every = every.assign(key=every.groupby(key, dropna=False, sort=False).ngroup()).sort_values(["key", "us", "fresh", "event_id"])  # what is known before what comes
+        own, us, new = every["key"].to_numpy(), every["us"].to_numpy(), every["fresh"].to_numpy(dtype=bool)
+        hints = np.zeros(len(every), bool)
+        hints[1:] = (own[1:] == own[:-1]) & (us[1:] - us[:-1] <= width)
         passed = state.getCurrentWatermarkMs()
-        known = [t for t in kept_times(known, width) if t + width >= passed * 1000] or known[-1:]
-        state.update((known,))
-        state.setTimeoutTimestamp(max(known[-1] // 1000 + seconds * 1000, passed) + 1)
-        yield pd.DataFrame({"event_id": rows["event_id"], "suppress_hint": hints})
+        held = np.flatnonzero(us + width >= passed * 1000)
+        kept: list[int] = []
+        for part in np.split(held, np.flatnonzero(np.diff(own[held])) + 1):
+            kept.extend(part if len(part) < 3 else part[np.searchsorted(us[part], kept_times(us[part].tolist(), width))])
+        if kept:
+            left = every.iloc[kept]
+            plain = lambda c: [None if pd.isna(x) else x for x in left[c]]
+            state.update((plain("type"), plain("source"), left["us"].tolist()))
+            state.setTimeoutTimestamp(max(int(left["us"].max()) // 1000 + seconds * 1000, passed) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.concat([pd.DataFrame({"event_id": every["event_id"].to_numpy()[new], "suppress_hint": hints[new]}), pd.DataFrame({"event_id": rows["event_id"].to_numpy()[~timed], "suppress_hint": False})])
 
-    keyed = stream.withWatermark("ts", late).groupBy("type", "source")
-    return keyed.applyInPandasWithState(mark, "event_id long, suppress_hint boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = stream.withWatermark("ts", late).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).groupBy("_bucket")
+    return keyed.applyInPandasWithState(mark, "event_id long, suppress_hint boolean", "types array<string>, sources array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def messages_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:

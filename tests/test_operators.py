@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import sqlite3
 import subprocess
@@ -473,6 +474,23 @@ def test_templates():
             surfaces.load_template(good | {"t": text}, "t", ["a", "b"])
 
 
+def test_suppression_of_many_keys_shares_few_states(spark, tmp_path):
+    """Keys of one state, null ones among them, don't see each other over batches."""
+    rng, want, last = random.Random(3), {}, {}
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        rows = sorted((n * 4000 + rng.randrange(4000), n * 1000 + k, rng.choice(["a", "b", None]), rng.choice([1, 2, None, *range(3, 40)])) for k in range(200))
+        for t, k, kind, user in rows:
+            want[k] = (kind, user) in last and t - last[kind, user] <= 1800
+            last[kind, user] = t
+        at = [datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t) for t, *_ in rows]
+        users = pa.array([u for *_, u in rows], pa.int64())
+        pq.write_table(pa.table({"event_id": [k for _, k, *_ in rows], "event_type": [x[2] for x in rows], "user_id": users, "ts": pa.array(at, pa.timestamp("us")), "value": [0.0] * 200}), tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = signals.with_suppression(signals.events_stream(spark, str(tmp_path / "in"), 1), buckets=2)
+    assert {r["event_id"]: r["suppress_hint"] for r in signals.drained(stream, "shared").collect()} == want
+
+
 def test_kept_times_answer_alike():
     rng = random.Random(5)
     for _ in range(50):
