@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.containment import mentions
+from lodestone.session import materialize
 
 
 def containments(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id") -> DataFrame:
@@ -18,14 +20,19 @@ def containments(items: DataFrame, docs: DataFrame, item: str = "item_id", doc:
     return found.join(items.select(item, F.col("text").alias("needle")), "needle").select(item, F.col("text_id").alias(doc))
 
 
+def _normalised(k: int) -> Column:
+    """``dcg`` over the best that ``n`` relevant ids can give."""
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    return F.round(F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal), 4)
+
+
 def ndcg(rankings: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """V-19. (query, ndcg) of rankings (query, id, rank from 1) against (query, id); 1 with nothing relevant."""
     hits = rankings.where(F.col("rank") <= k).join(relevant, ["query", "id"]).groupBy("query").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     n = relevant.groupBy("query").agg(F.count_distinct("id").alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     queries = rankings.select("query").union(relevant.select("query")).distinct()
     both = queries.join(n, "query", "left").join(hits, "query", "left")
-    return both.select("query", F.round(F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal), 4).alias("ndcg"))
+    return both.select("query", _normalised(k).alias("ndcg"))
 
 
 def evaluated(query_fn: Callable[[DataFrame], DataFrame], queries: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -43,12 +50,18 @@ def evaluated(query_fn: Callable[[DataFrame], DataFrame], queries: DataFrame, re
 
 
 def best_constant(rankings_of, relevant: DataFrame, grid: Sequence[int], k: int = 10) -> DataFrame:
-    """V-20, U-10. (k, mean ndcg) of each constant of fusion, the best first, ties to the smaller."""
-    parts = [ndcg(rankings_of(c), relevant, k).agg(F.avg("ndcg").alias("mean")).select(F.lit(c).alias("k"), "mean") for c in grid]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy(F.desc("mean"), "k")
+    """V-20, U-10. (k, mean ndcg) of each constant of fusion, the best first, ties to the smaller.
+
+    The first ``k`` of each ranking are written once, and what is relevant is read for all constants together.
+    """
+    top = reduce(DataFrame.unionByName, [rankings_of(c).where(F.col("rank") <= k).select(F.lit(c).alias("k"), "query", "id", "rank") for c in grid])
+    top = materialize(top, "rankings")
+    hits = top.join(relevant, ["query", "id"]).groupBy("k", "query").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    n = relevant.groupBy("query").agg(F.count_distinct("id").alias("n"))
+    constants = top.sparkSession.createDataFrame([(c,) for c in grid], "k int")
+    queries = top.select("k", "query").union(n.select("query").crossJoin(F.broadcast(constants)).select("k", "query")).distinct()
+    scores = queries.join(n, "query", "left").join(hits, ["k", "query"], "left").select("k", _normalised(k).alias("ndcg"))
+    return constants.join(scores, "k", "left").groupBy("k").agg(F.avg("ndcg").alias("mean")).orderBy(F.desc("mean"), "k")
 
 
 def diagnosis(n_queries: Column, spread: Column, recall: Column) -> Column:

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evaluation, fulltext, ranking, relations, vectors
 from lodestone.operators.selection import any_term, visible
+from lodestone.session import materialize
 
 
 def text_route(docs: DataFrame, key: str, query: str, k: int, *texts: str) -> DataFrame:
     """(key, place from 0, score): the k best by BM25, or where that finds nothing the first k that hold a term."""
-    scores = fulltext.bm25(docs, key, query, *texts)
-    best = fulltext.best(scores, key, k)
-    held = docs.where(any_term(texts[0], query)).select(key, F.lit(0.0).alias("score")).orderBy(key).limit(min(k, 20))
-    none = scores.limit(1).agg(F.count("*").alias("_n")).where("_n = 0").select("_n")
-    fallback = held.crossJoin(F.broadcast(none)).drop("_n")  # empty unless the first route is
-    return _placed(best.unionByName(fallback), F.col("score"), key)
+    best = materialize(fulltext.best(fulltext.bm25(docs, key, query, *texts), key, k), "text-route")  # k rows, which are read more than once
+    if best.isEmpty():
+        best = docs.where(any_term(texts[0], query)).select(key, F.lit(0.0).alias("score")).orderBy(key).limit(min(k, 20))
+    return _placed(best, F.col("score"), key)
 
 
 def vector_route(found: DataFrame, key: str, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import selection as P
 from lodestone.operators import vectors as V
 from lodestone.plans.registry import query
+from lodestone.session import materialize
 from lodestone.sources import entities as E
 
 TERMS = ("stupid", "clown")
@@ -220,7 +221,7 @@ POINTS = " UNION ALL ".join(
 @query("memories memory_vectors", f"WITH {routes_sql(30)} {POINTS}")
 def v20_fusion_grid(spark, sf):
     """The mean NDCG of fused rankings for each constant of fusion."""
-    routes = _routes(spark, sf, 30)
+    routes = {name: materialize(route, "route") for name, route in _routes(spark, sf, 30).items()}  # 30 rows each, fused once for each constant
     relevant = E.memories(spark, sf).where("priority >= 50").select(F.lit("q").alias("query"), F.col("memory_id").alias("id"))
 
     def rankings(c: int):

@@ -474,6 +474,23 @@ def test_templates():
             surfaces.load_template(good | {"t": text}, "t", ["a", "b"])
 
 
+def test_constants_of_fusion_share_what_is_relevant(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    note_udf = F.udf(note, "string").asNondeterministic()
+    relevant = spark.createDataFrame([("q", "a"), ("q", "c"), ("r", "b")], "query string, id string").select("query", note_udf("id").alias("id"))
+    rankings = lambda c: spark.createDataFrame([("q", x, n + 1) for n, x in enumerate("abc" if c == 1 else "bca")] + [("s", "z", 1)], "query string, id string, rank int")
+    got = [tuple(r) for r in evaluation.best_constant(rankings, relevant, (1, 2, 3, 4)).collect()]
+    first = lambda *ranks: round(sum(1 / math.log2(r + 1) for r in ranks) / (1 + 1 / math.log2(3)), 4)
+    assert [k for k, _ in got] == [1, 2, 3, 4]
+    assert got[0][1] == pytest.approx((first(1, 3) + 0 + 1) / 3) and got[1][1] == pytest.approx((first(2, 3) + 0 + 1) / 3)
+    assert seen.value <= 6  # twice, whatever the number of constants
+
+
 def test_suppression_of_many_keys_shares_few_states(spark, tmp_path):
     """Keys of one state, null ones among them, don't see each other over batches."""
     rng, want, last = random.Random(3), {}, {}
