@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,19 +78,47 @@ def comparable(pivots: np.ndarray, radius: dict[int, float], least: float) -> li
     return [*zip(held[a].tolist(), held[b].tolist(), strict=True), *([(-1, -1)] if -1 in radius else [])]
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = 256) -> DataFrame:
+#: Vectors of a block, at least and at most, and about how many blocks there are before they grow to the most.
+BLOCK, LARGEST_BLOCK, BLOCKS = 256, 4096, 64
+#: Similarities that a task holds at once.
+AT_ONCE = 1 << 20
+
+
+def similar_pairs(vectors: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """J-21, V-24. (a, b, similarity) of all pairs of at least that similarity, a < b.
 
     Vectors are dealt to the nearest of some pivots, and neighbourhoods that are too far apart for any pair are not
-    compared. Those left are split into blocks, and every pair of blocks is one matrix product in a task of its own;
-    only the pairs that pass leave a task. The result is exact: what is left out can't pass.
+    compared. Those left are split into blocks, and every pair of blocks is one matrix product in a task of its own, made and
+    sent on by slices; only the pairs that pass leave a task. The result is exact: what is left out can't pass. A vector is sent
+    to as many tasks as there are blocks, so blocks grow with the vectors, up to ``LARGEST_BLOCK``.
     """
+
+    def pairs(low: np.ndarray, high: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": low, "b": high, "similarity": sim})
+
+    return _compared(vectors, least, block, pairs, "a string, b string, similarity double")
+
+
+def similarity_bins(vectors: DataFrame, least: float, per_unit: int = 10, block: int | None = None) -> DataFrame:
+    """A-26. (bin, n): how many pairs there are by similarity, in steps of 1 / ``per_unit``; tasks send counts on, no pairs."""
+
+    def count(low: np.ndarray, high: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
+        bins, n = np.unique(np.floor(sim * per_unit + 1e-9).astype(np.int32), return_counts=True)
+        return pd.DataFrame({"bin": bins, "n": n})
+
+    return _compared(vectors, least, block, count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], kinds: str) -> DataFrame:
+    """What ``emit`` makes of slices of the pairs (lower ids, greater ids, similarities) that pass."""
     spark = vectors.sparkSession
     whole = vectors.select("memory_id", "embedding").where(dot("embedding", "embedding") > 0)
-    most = max(1, min(PIVOTS, whole.count() // block))  # neighbourhoods are at least about a block
+    n_rows = whole.count()
+    block = block or min(LARGEST_BLOCK, max(BLOCK, n_rows // BLOCKS))
+    most = max(1, min(PIVOTS, n_rows // block))  # neighbourhoods are at least about a block
     first = whole.orderBy(F.xxhash64("memory_id"), "memory_id").limit(most).toPandas()
     if not len(first):
-        return whole.select(F.col("memory_id").alias("a"), F.col("memory_id").alias("b"), F.lit(0.0).alias("similarity"))
+        return spark.createDataFrame([], kinds)
     size = len(first["embedding"].iloc[0])
     same = first["embedding"][first["embedding"].map(len) == size]
     pivots = _unit(same.iloc[: max(1, PIVOT_BYTES // (8 * size))])
@@ -107,18 +135,22 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = 256) -> DataFra
     joined = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_parts") - 1))).withColumn("to", name("other", F.col("part")))
     pairs = joined.select("memory_id", "embedding", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+    def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames), ignore_index=True)
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        out = []
         for _, alike in pdf.groupby(pdf["embedding"].map(len)):
             x, ids, own = _unit(alike["embedding"]), alike["memory_id"].to_numpy(), alike["own"].to_numpy()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            sim = x[left] @ x[right].T
-            a, b = np.nonzero(sim >= least)
-            one, two = ids[left[a]], ids[right[b]]
-            keep = one < two if i == j else one != two
-            low, high = np.where(one < two, one, two), np.where(one < two, two, one)
-            out.append(pd.DataFrame({"a": low[keep], "b": high[keep], "similarity": sim[a, b][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
-
-    return pairs.groupBy("i", "j").applyInPandas(product, "a string, b string, similarity double")
+            step = max(1, AT_ONCE // max(1, len(right)))
+            for at in range(0, len(left), step):
+                rows = left[at : at + step]
+                sim = x[rows] @ x[right].T
+                a, b = np.nonzero(sim >= least)
+                one, two = ids[rows[a]], ids[right[b]]
+                keep = one < two if i == j else one != two
+                if keep.any():
+                    one, two = one[keep], two[keep]
+                    first = one < two
+                    yield emit(np.where(first, one, two), np.where(first, two, one), sim[a, b][keep])
+
+    return pairs.groupBy("i", "j").applyInPandas(product, kinds)

@@ -474,6 +474,21 @@ def test_templates():
             surfaces.load_template(good | {"t": text}, "t", ["a", "b"])
 
 
+def test_blocks_of_vectors_grow_and_bins_need_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 6))
+    df = spark.createDataFrame([(str(k), [float(c) for c in v]) for k, v in enumerate(x)], "memory_id string, embedding array<float>")
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sims = (unit @ unit.T)[np.triu_indices(600, 1)]
+    want = collections.Counter(np.floor(sims[sims >= 0.2] * 10 + 1e-9).astype(int).tolist())
+    monkeypatch.setattr(vectors, "AT_ONCE", 1000)
+    for blocks in (2, 64):
+        monkeypatch.setattr(vectors, "BLOCKS", blocks)
+        assert {r["bin"]: r["n"] for r in vectors.similarity_bins(df, 0.2).collect()} == want
+        assert vectors.similar_pairs(df, 0.7).count() == (sims >= 0.7).sum()
+
+
 def test_constants_of_fusion_share_what_is_relevant(spark):
     seen = spark.sparkContext.accumulator(0)
 
