@@ -160,7 +160,7 @@ def a25_heat_buckets(spark, sf):
 
 @query("memory_vectors", "SELECT CAST(floor(list_cosine_similarity(a.embedding, b.embedding) * 10 + 1e-9) AS INT) AS bin, count(*) AS n FROM memory_vectors a JOIN memory_vectors b ON a.memory_id < b.memory_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.2 GROUP BY 1")
 def a26_similarity_bins(spark, sf):
-    return A.histogram(V.similar_pairs(E.memory_vectors(spark, sf), 0.2), F.floor(F.col("similarity") * 10 + 1e-9).cast("int"), "bin")
+    return V.similarity_bins(E.memory_vectors(spark, sf), 0.2)
 
 
 CASES = "SELECT *, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS tp, CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END AS fp, CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END AS fn FROM labels"
