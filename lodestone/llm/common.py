@@ -8,17 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
-
-#: Rows in one Arrow batch: texts are long, and a worker holds one batch at a time.
-BATCH_ROWS = 500
-
+from lodestone.session import small_batches
 
 def prepare(spark: SparkSession) -> None:
     """Session settings that the operators rely on."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    small_batches(spark)
 
 
 def crc_of_id(doc_id: str = "doc_id") -> Column:

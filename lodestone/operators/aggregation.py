@@ -21,7 +21,7 @@ from lodestone.operators.refinement import Model, answers, scene_batches
 from lodestone.operators.selection import moment
 from lodestone.operators.statistics import scene_alarm
 from lodestone.operators.vectors import cosine
-from lodestone.session import materialize, working_path
+from lodestone.session import materialize, small_batches, working_path
 
 ACTIONS = "array<struct<action:string,target_scene_id:string,merged_content:string,merged_from:array<string>,memory_ids:array<string>>>"
 KINDS = ("update", "merge", "create")
@@ -169,6 +169,7 @@ def aggregate(memories: DataFrame, scenes: DataFrame, model: Model, as_of: str,
     empty, and repeated memory ids of a file count once. Files without memories keep their scenes.
     """
     spark = memories.sparkSession
+    small_batches(spark)
     given = scenes.select(F.coalesce("file_id", F.lit("unknown")).alias("file_id"), "scene_id", "title", "content", F.col("heat").cast("long").alias("heat"), "status", "updated_at", F.lit(None).cast("array<double>").alias("vector"))
     rows = memories.where("memory_id IS NOT NULL").select(F.coalesce("file_id", F.lit("unknown")).alias("file_id"), "memory_id", F.coalesce("content", F.lit("")).alias("content"))
     rows = rows.repartition("file_id").groupBy("file_id", "memory_id").agg(F.min("content").alias("content"))  # one shuffle, also for the window

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clamped_priority, json_array, velocity
+from lodestone.session import small_batches
 
 ITEM = "struct<content:string,memory_type:string,priority:int,dimensions:array<string>,source_message_ids:array<int>>"
 TYPES = ("persona", "episodic", "instruction")
@@ -24,6 +25,7 @@ def answers(prompts: DataFrame, model: Model, prompt: str = "prompt") -> DataFra
         for f in frames:
             yield f.assign(answer=model(f[prompt]))
 
+    small_batches(prompts.sparkSession)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema)
     return prompts.mapInPandas(ask, f"{kinds}, answer string")
 

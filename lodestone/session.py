@@ -44,6 +44,17 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+#: Rows and bytes of one Arrow batch: texts are long, and a worker holds a batch in several forms at once.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Session settings of operators that send texts to Python: a worker's memory doesn't grow with its partition."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

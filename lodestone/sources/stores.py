@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import html_title, to_markdown
+from lodestone.session import small_batches
 from lodestone.sources.foreign import EventLogs, SqliteRows
 from lodestone.sources.session_files import SessionFiles
 
@@ -144,6 +145,7 @@ def ingest(sources: DataFrame) -> DataFrame:
 
     ``body`` is what was read at the source: nothing is fetched here.
     """
+    small_batches(sources.sparkSession)
     web = F.col("source").rlike("^https?://")
     suffix = F.lower(F.regexp_extract("source", r"\.([A-Za-z0-9]+)$", 1))
     file = ~web & F.col("source").rlike(r"^[^\n]+\.[A-Za-z0-9]{1,8}$")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone import session
 from lodestone.functions import text as T
-from lodestone.operators import containment, evaluation, fulltext, ranking, relations, retrieval, selection, surfaces, vectors, versions
+from lodestone.operators import containment, evaluation, fulltext, ranking, refinement, relations, retrieval, selection, surfaces, vectors, versions
 from lodestone.operators import paging as O
 from lodestone.operators import state as D
 from lodestone.sources import foreign, session_files, stores
@@ -489,6 +489,18 @@ def test_blocks_of_vectors_grow_and_bins_need_no_pairs(spark, monkeypatch):
         assert vectors.similar_pairs(df, 0.7).count() == (sims >= 0.7).sum()
 
 
+def test_texts_reach_models_by_small_batches(spark):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    prompts = spark.range(1200).coalesce(1).selectExpr("id", "'x' AS prompt")
+    got = refinement.answers(prompts, lambda p: p.map(lambda _, n=len(p): str(n))).select(F.col("answer").cast("int").alias("n"))
+    assert got.count() == 1200 and got.agg(F.max("n")).first()[0] <= 500
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    stores.ingest(spark.createDataFrame([("https://a", "<p>b</p>")], "source string, body string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
 def test_constants_of_fusion_share_what_is_relevant(spark):
     seen = spark.sparkContext.accumulator(0)
 
