@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -80,6 +81,44 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+def _matched(predicted: Sequence, pred_texts: Sequence[str], truth: Sequence, true_texts: Sequence[str], least: float) -> list[tuple[int, float]]:
+    """(row, similarity) of the pairs that are taken, the most similar first, ties by ``predicted``, ``truth`` and row.
+
+    A pair stands at a bound of its similarity, first that of the lengths, then that of the letters, and is worked out only when it comes
+    to the front and neither of its sides is taken: no pair that could be taken before it is left behind. Texts that are equal are at 1 from the start.
+    """
+    a, b = [x.strip() for x in pred_texts], [x.strip() for x in true_texts]
+    last = lambda x: (x is None or x != x, 0 if x is None or x != x else x)
+    heap = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        bound = 1.0 if x == y else 2.0 * min(len(x), len(y)) / (len(x) + len(y))
+        if bound >= least:
+            heap.append((-bound, last(predicted[k]), last(truth[k]), k, EXACT if x == y or not x or not y else 0))
+    heapq.heapify(heap)
+    used_p, used_t, taken = set(), set(), []
+    matcher = difflib.SequenceMatcher(None)
+    while heap:
+        bound, p, t, k, level = heapq.heappop(heap)
+        if p in used_p or t in used_t:
+            continue
+        if level == EXACT:
+            taken.append((k, -bound))
+            used_p.update(() if p[0] else (p,))  # null ids are no one's
+            used_t.update(() if t[0] else (t,))
+            continue
+        if matcher.b is not b[k]:
+            matcher.set_seq2(b[k])
+        matcher.set_seq1(a[k])
+        tighter = matcher.ratio() if level else matcher.quick_ratio()
+        if tighter >= least:
+            heapq.heappush(heap, (-tighter, p, t, k, level + 1))
+    return taken
+
+
+#: The level of a similarity that is no bound any more.
+EXACT = 2
+
+
 def greedy_matches(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """J-26. (case_id, predicted, truth, similarity): one-to-one, the most similar first.
 
@@ -88,16 +127,11 @@ def greedy_matches(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        sims = [similarity(a or "", b or "") for a, b in zip(pdf["pred_text"], pdf["true_text"], strict=True)]
-        rows = pdf.assign(similarity=sims)
-        rows = rows[rows["similarity"] >= least].sort_values(["similarity", "predicted", "truth"], ascending=[False, True, True])
-        used_p, used_t, keep = set(), set(), []
-        for k, p, t in zip(rows.index, rows["predicted"], rows["truth"], strict=True):
-            if p not in used_p and t not in used_t:
-                used_p.add(p)
-                used_t.add(t)
-                keep.append(k)
-        return rows.loc[keep, ["case_id", "predicted", "truth", "similarity"]]
+        sides = [pdf[c].tolist() for c in ("predicted", "truth")]
+        texts = [[x or "" for x in pdf[c]] for c in ("pred_text", "true_text")]
+        taken = _matched(sides[0], texts[0], sides[1], texts[1], least)
+        rows = pdf.iloc[[k for k, _ in taken]].assign(similarity=[s for _, s in taken])
+        return rows[["case_id", "predicted", "truth", "similarity"]]
 
     return pairs.groupBy("case_id").applyInPandas(match, "case_id long, predicted long, truth long, similarity double")
 

@@ -213,6 +213,28 @@ def test_greedy_matches(spark):
     assert got == {(0, 1): pytest.approx(difflib.SequenceMatcher(None, a[0], b[1]).ratio()), (1, 0): pytest.approx(difflib.SequenceMatcher(None, a[1], b[0]).ratio())}
 
 
+def test_greedy_matches_work_out_only_what_may_be_taken(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda: rng.choice(["", " ", "".join(rng.choice("abc ") for _ in range(rng.randrange(12)))])
+    for least in (0.0, 0.5, 0.8):
+        p, t = [text() for _ in range(9)], [text() for _ in range(9)]
+        rows = [(i, x, j, y) for i, x in enumerate(p) for j, y in enumerate(t)]
+        used_p, used_t, want = set(), set(), []
+        for s, i, j in sorted(((evaluation.similarity(x, y), i, j) for i, x, j, y in rows), key=lambda r: (-r[0], r[1], r[2])):
+            if s >= least and i not in used_p and j not in used_t:
+                used_p.add(i)
+                used_t.add(j)
+                want.append((i, j, s))
+        rng.shuffle(rows)
+        taken = evaluation._matched([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], least)
+        assert [(rows[k][0], rows[k][2], s) for k, s in taken] == want
+    ratio, worked_out = difflib.SequenceMatcher.ratio, []
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: worked_out.append(1) or ratio(self))
+    turns = ["one two three", "one two four", "another"]
+    assert len(evaluation._matched([0, 0, 0, 1, 1, 1, 2, 2, 2], [x for x in turns for _ in turns], [0, 1, 2] * 3, turns * 3, 0.1)) == 3
+    assert not worked_out  # each turn meets itself, so nothing else can be taken
+
+
 def test_content_similarity_of_whole_texts_by_case(spark, sf):
     from lodestone.plans import registry
 
