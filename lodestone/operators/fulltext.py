@@ -28,13 +28,15 @@ MARKED = _marked()
 
 
 def folded(text: Column) -> Column:
-    """In lower case and without marks, as full-text search compares words."""
-    return F.translate(F.lower(text), "".join(MARKED), "".join(MARKED.values()))  # what has no counterpart goes, and the marks are last
+    """In lower case and without marks, as full-text search compares words; ASCII has none."""
+    low = F.lower(text)
+    plain = F.translate(low, "".join(MARKED), "".join(MARKED.values()))  # what has no counterpart goes, and the marks are last
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(plain)
 
 
 def words(text: Column | str) -> Column:
     """Lower-case runs of letters and digits, without marks."""
-    return F.filter(F.split(folded(F.col(text) if isinstance(text, str) else text), WORD_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(folded(F.col(text) if isinstance(text, str) else text), WORD_BREAK), "")
 
 
 def bigrams(text: Column | str) -> Column:
@@ -50,10 +52,21 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[\W_]+", plain) if t))
 
 
+#: Parts that the texts of one partition are dealt to, at least, before their tokens are counted.
+PER_READ = 8
+
+
 def postings(docs: DataFrame, key: str, *texts: str) -> DataFrame:
-    """V-01. (term, key, tf, size): size is the number of tokens over all text columns."""
-    each = docs.select(key, words(F.concat_ws(" ", *texts)).alias("tokens"))
-    return each.select(key, F.size("tokens").alias("size"), F.explode("tokens").alias("term")).groupBy("term", key, "size").agg(F.count("*").alias("tf"))
+    """V-01. (term, key, tf, size): size is the number of tokens over all text columns.
+
+    Documents are dealt by key and size, as one string of tokens each, before their tokens are counted, so that no row a token is shuffled.
+    """
+    spark = docs.sparkSession
+    # a number, as small texts make many rows, and one that keeps a task's counts in memory
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PER_READ * docs.rdd.getNumPartitions())
+    each = docs.select(key, words(F.concat_ws(" ", *texts)).alias("tokens")).select(key, F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("said"))
+    dealt = each.repartition(parts, key, "size").select(key, "size", F.explode(F.split("said", " ")).alias("term")).where("term <> ''")
+    return dealt.groupBy("term", key, "size").agg(F.count("*").alias("tf"))
 
 
 def updated(index: DataFrame, changed: DataFrame, key: str, *texts: str) -> DataFrame:

@@ -9,6 +9,7 @@ import json
 import math
 import os
 import random
+import re
 import sqlite3
 import subprocess
 import sys
@@ -113,6 +114,25 @@ def test_stored_index_gives_the_same_scores(spark, sf):
     assert a == {r["doc_id"]: round(r["score"], 9) for r in fulltext.bm25(docs, "doc_id", "stupid clown", "text").collect()}
 
 
+def test_postings_are_counted_where_their_texts_are_dealt_to(spark):
+    """Repeated keys, null keys and texts, marks, and no shuffle of a row a token."""
+    rows = [("a", "É e\u0301 e", "x"), ("a", "e e e", "y"), ("a", None, "e x"), ("b", "  ", None), ("c", "", ""), (None, "one one", "два"), (None, "one", "две дома"), ("d", "İi K", "x_y")]
+    docs = spark.createDataFrame(rows, "key string, title string, body string")
+    want = {}
+    for key, *texts in rows:
+        plain = "".join(fulltext.MARKED.get(c, c) for c in " ".join(t for t in texts if t is not None).lower())
+        found = [t for t in re.split(r"[\W_]+", plain) if t]
+        for t in found:
+            want[t, key, len(found)] = want.get((t, key, len(found)), 0) + 1
+    got = fulltext.postings(docs, "key", "title", "body")
+    assert got.columns == ["term", "key", "size", "tf"]
+    assert {(r["term"], r["key"], r["size"]): r["tf"] for r in got.collect()} == want and got.count() == len(want)
+    changed = docs.where("key = 'a'").limit(1).select("key", F.lit("new").alias("title"), F.lit(None).cast("string").alias("body"))
+    after = {(r["term"], r["key"], r["size"]): r["tf"] for r in fulltext.updated(got, changed, "key", "title", "body").collect()}
+    assert after == {k: n for k, n in want.items() if k[1] != "a"} | {("new", "a", 1): 1}
+    assert "hashpartitioning(term" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_query_finds_nothing(spark, memories):
     assert fulltext.bm25(memories, "memory_id", " ?", "content").count() == 0
 
