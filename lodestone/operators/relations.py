@@ -73,6 +73,16 @@ def dangling(sources: DataFrame, files: DataFrame) -> DataFrame:
     return sources.withColumn("file_id", F.split_part("source_ref", F.lit(":"), F.lit(1))).join(files.select("file_id"), "file_id", "left_anti")
 
 
+def _first_in_all(subjects: DataFrame) -> DataFrame:
+    """The ``subjects`` (dimension_id, needle, rank) that hold no other one of their dimension with a lesser rank."""
+    names = materialize(subjects.select("needle").distinct(), "needles")
+    few = names.limit(containment.FEW + 1).count() <= containment.FEW
+    inside = containment.within_tokens(names.select(F.col("needle").alias("token"), F.lit(1).alias("n")), names.select(F.col("needle").alias("part")), few).where("part <> token")
+    other = subjects.select(F.col("needle").alias("part"), "dimension_id", F.col("rank").alias("_other"))
+    held = inside.join(other, "part").groupBy(F.col("token").alias("needle"), "dimension_id").agg(F.min("_other").alias("_other"))
+    return subjects.join(held, ["needle", "dimension_id"], "left").where("_other IS NULL OR rank < _other").drop("_other")
+
+
 def superseded(new: DataFrame, old: DataFrame, tags: DataFrame) -> DataFrame:
     """J-17. (old_id, new_id): old memories that share a dimension with a new one and mention its subject.
 
@@ -82,13 +92,15 @@ def superseded(new: DataFrame, old: DataFrame, tags: DataFrame) -> DataFrame:
     The empty subject is in every text; null subjects and contents are in none and hold none. None of the new ones is superseded.
 
     The distinct subjects are written first, as their kinds and their number decide which joins there are. They are written in the
-    order of their new ids and numbered so, and the least number stands for the least id until the end.
+    order of their new ids and numbered so, and the least number stands for the least id until the end. A subject that holds another of
+    its dimension with a lesser number is left out: wherever it is, the other one is too, and comes first.
     """
     fresh = new.select(F.col("memory_id").alias("new_id"), F.lower("subject").alias("needle")).where("needle IS NOT NULL")
     least = fresh.join(tags.withColumnRenamed("memory_id", "new_id"), "new_id").groupBy("dimension_id", "needle").agg(F.min("new_id").alias("new_id"))
     blank = F.col("needle").rlike(r"\A\s+\z")
     kind = F.when(F.col("needle") == "", "empty").when(blank | ~F.col("needle").rlike(r"\s"), "one").otherwise("several")
     least = materialize(least.withColumn("kind", kind).orderBy("new_id").withColumn("rank", F.monotonically_increasing_id()), "subjects")
+    least = materialize(_first_in_all(least), "first-subjects")
     counts = {r["kind"]: r for r in least.groupBy("kind").agg(F.countDistinct("needle").alias("n"), F.max(blank).alias("blank"), F.max(F.size(F.split("needle", r"\s+"))).alias("parts")).collect()}
     blanks = "one" in counts and counts["one"]["blank"]
 

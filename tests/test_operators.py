@@ -431,6 +431,12 @@ def test_session_files_are_read_as_written(spark):
     assert [(r["seq"], r["timestamp"], r["role"], r["content"], r["tool_name"]) for r in got] == [(1, "t1", "user", "x", None), (2, "t2", "tool", "  y", "sh"), (3, "t3", "system", "", None)]
 
 
+def test_subjects_that_hold_an_earlier_one_are_left_out(spark):
+    rows = [("d", "a", 5), ("d", "ab", 3), ("d", "cab", 4), ("d", "b", 9), ("d", "xa y", 6), ("d", "", 0), ("e", "ab", 7), ("e", "a", 8), ("e", "zz", 1)]
+    got = relations._first_in_all(spark.createDataFrame(rows, "dimension_id string, needle string, rank long"))
+    assert {(r["dimension_id"], r["needle"]) for r in got.collect()} == {("d", ""), ("d", "a"), ("d", "ab"), ("d", "b"), ("e", "ab"), ("e", "a"), ("e", "zz")}
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_supersession_equals_a_nested_loop(spark, monkeypatch, few):
     monkeypatch.setattr(containment, "FEW", few)
