@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import ship
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -78,43 +82,93 @@ def comparable(pivots: np.ndarray, radius: dict[int, float], least: float) -> li
     return [*zip(held[a].tolist(), held[b].tolist(), strict=True), *([(-1, -1)] if -1 in radius else [])]
 
 
-#: Vectors of a block, at least and at most, and about how many blocks there are before they grow to the most.
-BLOCK, LARGEST_BLOCK, BLOCKS = 256, 4096, 64
-#: Similarities that a task holds at once.
-AT_ONCE = 1 << 20
+#: Vectors of a block, at least and at most, about how many blocks there are before they grow to the most, and bytes of a block.
+BLOCK, LARGEST_BLOCK, BLOCKS, BLOCK_BYTES = 256, 32768, 32, 16 << 20
+#: Vectors that travel as one row.
+PACKED = 1024
+#: Vectors of each side of a matrix product, and pairs that a task holds at once.
+TILE, AT_ONCE = 512, 1 << 16
 
 
 def similar_pairs(vectors: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """J-21, V-24. (a, b, similarity) of all pairs of at least that similarity, a < b.
 
     Vectors are dealt to the nearest of some pivots, and neighbourhoods that are too far apart for any pair are not
-    compared. Those left are split into blocks, and every pair of blocks is one matrix product in a task of its own, made and
-    sent on by slices; only the pairs that pass leave a task. The result is exact: what is left out can't pass. A vector is sent
-    to as many tasks as there are blocks, so blocks grow with the vectors, up to ``LARGEST_BLOCK``.
+    compared. Those left are split into blocks, and every pair of blocks is compared in a task of its own, by small matrix
+    products in single precision with room for its rounding; what passes is worked out in double precision, so the result is
+    exact. Only the pairs that pass leave a task. A vector is sent to as many tasks as there are blocks, in rows of ``PACKED``
+    vectors, so blocks grow with the vectors, up to ``LARGEST_BLOCK`` and ``BLOCK_BYTES``. Vectors with a component that is null
+    or not finite are like none.
     """
+    kinds = pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())])
 
-    def pairs(low: np.ndarray, high: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"a": low, "b": high, "similarity": sim})
+    def pairs(low: pa.Array, high: pa.Array, sim: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([low, high, pa.array(sim)], schema=kinds)
 
     return _compared(vectors, least, block, pairs, "a string, b string, similarity double")
 
 
 def similarity_bins(vectors: DataFrame, least: float, per_unit: int = 10, block: int | None = None) -> DataFrame:
     """A-26. (bin, n): how many pairs there are by similarity, in steps of 1 / ``per_unit``; tasks send counts on, no pairs."""
+    kinds = pa.schema([("bin", pa.int32()), ("n", pa.int64())])
 
-    def count(low: np.ndarray, high: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
+    def count(low: pa.Array, high: pa.Array, sim: np.ndarray) -> pa.RecordBatch:
         bins, n = np.unique(np.floor(sim * per_unit + 1e-9).astype(np.int32), return_counts=True)
-        return pd.DataFrame({"bin": bins, "n": n})
+        return pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], schema=kinds)
 
     return _compared(vectors, least, block, count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], kinds: str) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ``PACKED`` vectors of one size: their ids, and their components as one string of bytes."""
+    for b in batches:
+        lengths = pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False)
+        for length in np.unique(lengths):
+            same = b.filter(pa.array(lengths == length))
+            for at in range(0, same.num_rows, PACKED):
+                few = same.slice(at, PACKED)
+                ids, components = few.column("memory_id"), few.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([few.column("own").slice(0, 1), pa.array([length], pa.int32()), one, pa.array([components.astype(np.float64 if components.dtype == np.float64 else np.float32).tobytes()])], names=["own", "length", "ids", "components"])
+
+
+def passing(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of y, similarity) of unit vectors of at least that similarity; without ``y`` each pair in x once."""
+    room = (x.shape[1] + 8) * float(np.finfo(np.float32).eps)  # of a product in single precision
+    left, right = x.astype(np.float32), (x if y is None else y).astype(np.float32)
+    exact = x if y is None else y
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def settled() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        i, j = (np.concatenate(k) for k in zip(*held, strict=True))
+        step = max(1, (1 << 21) // x.shape[1])
+        sim = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], exact[j[k : k + step]]) for k in range(0, len(i), step)])
+        keep = sim >= least
+        yield i[keep], j[keep], sim[keep]
+
+    for r in range(0, len(left), TILE):
+        for c in range(0 if y is not None else r, len(right), TILE):
+            close = left[r : r + TILE] @ right[c : c + TILE].T >= least - room
+            if y is None and r == c:
+                close = np.triu(close, 1)
+            i, j = np.divmod(np.flatnonzero(close), close.shape[1])
+            held.append((i + r, j + c))
+            size += len(i)
+            if size >= AT_ONCE:
+                yield from settled()
+                held, size = [], 0
+    if size:
+        yield from settled()
+
+
+def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callable[[pa.Array, pa.Array, np.ndarray], pa.RecordBatch], kinds: str) -> DataFrame:
     """What ``emit`` makes of slices of the pairs (lower ids, greater ids, similarities) that pass."""
     spark = vectors.sparkSession
-    whole = vectors.select("memory_id", "embedding").where(dot("embedding", "embedding") > 0)
-    n_rows = whole.count()
-    block = block or min(LARGEST_BLOCK, max(BLOCK, n_rows // BLOCKS))
+    ship(spark)
+    whole = vectors.select("memory_id", "embedding").withColumn("_length", dot("embedding", "embedding")).where("_length > 0 AND _length < double('infinity')").drop("_length")
+    n_rows, widest = whole.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    block = block or min(LARGEST_BLOCK, max(BLOCK, n_rows // BLOCKS), max(1, BLOCK_BYTES // (4 * widest)))
     most = max(1, min(PIVOTS, n_rows // block))  # neighbourhoods are at least about a block
     first = whole.orderBy(F.xxhash64("memory_id"), "memory_id").limit(most).toPandas()
     if not len(first):
@@ -127,30 +181,39 @@ def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callabl
     parts = {k: max(1, -(-r["n"] // block)) for k, r in sizes.items()}
     near = comparable(pivots, {k: r["radius"] for k, r in sizes.items()}, least)
     meets = spark.createDataFrame([(a, b, parts[a], parts[b]) for a, b in near], "pivot int, other int, own_parts long, other_parts long")
+    shares = spark.createDataFrame(list(parts.items()), "pivot int, own_parts long")
 
     def name(pivot: str, part: Column) -> Column:
         return F.shiftleft(F.col(pivot).cast("long") + 1, 32) + part
 
-    joined = placed.join(meets, "pivot").withColumn("own", name("pivot", F.pmod(F.xxhash64("memory_id"), F.col("own_parts"))))
+    own = name("pivot", F.pmod(F.xxhash64("memory_id"), F.col("own_parts"))).alias("own")
+    components = vectors.schema["embedding"].dataType.simpleString()
+    packed = placed.join(F.broadcast(shares), "pivot").select("memory_id", "embedding", own).groupBy("own").applyInArrow(_packed, "own long, length int, ids array<string>, components binary")
+    joined = packed.withColumn("pivot", (F.shiftright("own", 32) - 1).cast("int")).join(F.broadcast(meets), "pivot")
     joined = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_parts") - 1))).withColumn("to", name("other", F.col("part")))
-    pairs = joined.select("memory_id", "embedding", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
-
-    def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True)
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        for _, alike in pdf.groupby(pdf["embedding"].map(len)):
-            x, ids, own = _unit(alike["embedding"]), alike["memory_id"].to_numpy(), alike["own"].to_numpy()
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            step = max(1, AT_ONCE // max(1, len(right)))
-            for at in range(0, len(left), step):
-                rows = left[at : at + step]
-                sim = x[rows] @ x[right].T
-                a, b = np.nonzero(sim >= least)
-                one, two = ids[rows[a]], ids[right[b]]
-                keep = one < two if i == j else one != two
-                if keep.any():
-                    one, two = one[keep], two[keep]
-                    first = one < two
-                    yield emit(np.where(first, one, two), np.where(first, two, one), sim[a, b][keep])
-
-    return pairs.groupBy("i", "j").applyInPandas(product, kinds)
+    pairs = joined.select("length", "ids", "components", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
+    kind = np.float64 if components == "array<double>" else np.float32
+
+    def side(rows: list[dict], length: int, own: int) -> tuple[pa.Array, np.ndarray]:
+        mine = [r for r in rows if r["length"] == length and r["own"] == own]
+        ids = pa.concat_arrays([r["ids"] for r in mine]) if mine else pa.array([], pa.string())
+        x = np.frombuffer(b"".join(r["components"] for r in mine), kind).reshape(-1, length).astype(np.float64)
+        return ids, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            plain = {c: b.column(c).to_pylist() for c in ("length", "own", "i", "j")}
+            rows += [{c: v[k] for c, v in plain.items()} | {"ids": b.column("ids")[k].values, "components": b.column("components")[k].as_buffer()} for k in range(b.num_rows)]
+        i, j = rows[0]["i"], rows[0]["j"]
+        for length in sorted({r["length"] for r in rows}):
+            left, x = side(rows, length, i)
+            right, y = (left, None) if i == j else side(rows, length, j)
+            for a, b, sim in passing(x, y, least):
+                one, two = left.take(pa.array(a)), right.take(pa.array(b))
+                differ = pc.not_equal(one, two)  # a repeated id is no pair
+                if len(sim) and pc.any(differ).as_py():
+                    one, two, sim = one.filter(differ), two.filter(differ), sim[differ.to_numpy(zero_copy_only=False)]
+                    yield emit(pc.min_element_wise(one, two), pc.max_element_wise(one, two), sim)
+
+    return pairs.groupBy("i", "j").applyInArrow(product, kinds)

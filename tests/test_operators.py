@@ -167,6 +167,37 @@ def test_similar_pairs_equal_all_pairs(spark, monkeypatch, pivots, least):
     assert sorted((r["a"], r["b"]) for r in got) == want and want
 
 
+def test_vectors_that_are_not_finite_hide_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(k), (rng.normal(size=4) * 0.1 + 1).tolist()) for k in range(12)]
+    odd = [(f"n{k}", [float("nan" if k % 2 else "inf"), 1.0, 1.0, 1.0]) for k in range(60)]  # so one would be a pivot
+    got = vectors.similar_pairs(spark.createDataFrame(rows + odd, "memory_id string, embedding array<float>"), 0.5)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(itertools.combinations(sorted(r[0] for r in rows), 2))
+
+
+def test_products_in_single_precision_lose_no_pair():
+    """Vectors whose similarity is the threshold, or one step of a double away from it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.einsum("ij,kj->ik", x[:40], x)
+    for least in (sims[3, 90], np.nextafter(sims[3, 90], 2)):
+        want = {(i, j) for i, j in zip(*np.nonzero(sims >= least), strict=True)}
+        assert {(i, j) for a, b, _ in vectors.passing(x[:40], x, least) for i, j in zip(a, b, strict=True)} == want
+    alone = [(i, j) for a, b, _ in vectors.passing(x, None, 0.3) for i, j in zip(a, b, strict=True)]
+    assert sorted(alone) == sorted(zip(*np.nonzero(np.triu(np.einsum("ij,kj->ik", x, x) >= 0.3, 1)), strict=True))
+
+
+def test_vectors_travel_by_packed_rows():
+    own = pa.RecordBatch.from_pydict({"memory_id": [str(k) for k in range(2500)], "embedding": pa.array([[float(k), 1.0] if k % 5 else [1.0] for k in range(2500)], pa.list_(pa.float32())), "own": [7] * 2500})
+    got = [r for b in vectors._packed(iter([own])) for r in b.to_pylist()]
+    assert [(r["length"], len(r["ids"])) for r in got] == [(1, 500), (2, 1024), (2, 976)]
+    ids = [i for r in got for i in r["ids"]]
+    assert sorted(ids, key=int) == [str(k) for k in range(2500)]
+    back = np.frombuffer(got[2]["components"], np.float32).reshape(-1, 2)
+    assert back[:, 0].tolist() == [float(i) for i in got[2]["ids"]]
+
+
 def test_far_neighbourhoods_are_not_compared():
     pivots = np.eye(4)
     assert vectors.comparable(pivots, {0: 0.1, 1: 0.1, 3: 1.2, -1: 0.0}, np.cos(0.3)) == [(0, 0), (0, 3), (1, 1), (1, 3), (3, 0), (3, 1), (3, 3), (-1, -1)]
