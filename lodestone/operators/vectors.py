@@ -88,6 +88,8 @@ BLOCK, LARGEST_BLOCK, BLOCKS, BLOCK_BYTES = 256, 32768, 32, 16 << 20
 PACKED = 1024
 #: Vectors of each side of a matrix product, and pairs that a task holds at once.
 TILE, AT_ONCE = 512, 1 << 16
+#: Where more than one pair in so many is close, the whole product is made in double precision.
+DENSE = 64
 
 
 def similar_pairs(vectors: DataFrame, least: float, block: int | None = None) -> DataFrame:
@@ -102,8 +104,9 @@ def similar_pairs(vectors: DataFrame, least: float, block: int | None = None) ->
     """
     kinds = pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())])
 
-    def pairs(low: pa.Array, high: pa.Array, sim: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([low, high, pa.array(sim)], schema=kinds)
+    def pairs(left: pa.Array, right: pa.Array, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+        one, two = left.take(pa.array(i)), right.take(pa.array(j))
+        return pa.RecordBatch.from_arrays([pc.min_element_wise(one, two), pc.max_element_wise(one, two), pa.array(sim)], schema=kinds)
 
     return _compared(vectors, least, block, pairs, "a string, b string, similarity double")
 
@@ -112,7 +115,7 @@ def similarity_bins(vectors: DataFrame, least: float, per_unit: int = 10, block:
     """A-26. (bin, n): how many pairs there are by similarity, in steps of 1 / ``per_unit``; tasks send counts on, no pairs."""
     kinds = pa.schema([("bin", pa.int32()), ("n", pa.int64())])
 
-    def count(low: pa.Array, high: pa.Array, sim: np.ndarray) -> pa.RecordBatch:
+    def count(left: pa.Array, right: pa.Array, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
         bins, n = np.unique(np.floor(sim * per_unit + 1e-9).astype(np.int32), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], schema=kinds)
 
@@ -137,13 +140,11 @@ def passing(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple
     room = (x.shape[1] + 8) * float(np.finfo(np.float32).eps)  # of a product in single precision
     left, right = x.astype(np.float32), (x if y is None else y).astype(np.float32)
     exact = x if y is None else y
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def settled() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        i, j = (np.concatenate(k) for k in zip(*held, strict=True))
-        step = max(1, (1 << 21) // x.shape[1])
-        sim = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], exact[j[k : k + step]]) for k in range(0, len(i), step)])
+        i, j, sim = (np.concatenate(k) for k in zip(*held, strict=True))
         keep = sim >= least
         yield i[keep], j[keep], sim[keep]
 
@@ -153,7 +154,13 @@ def passing(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple
             if y is None and r == c:
                 close = np.triu(close, 1)
             i, j = np.divmod(np.flatnonzero(close), close.shape[1])
-            held.append((i + r, j + c))
+            if len(i) > close.size // DENSE:
+                sim = (x[r : r + TILE] @ exact[c : c + TILE].T)[i, j]
+                edge = np.abs(sim - least) < 1e-12  # sums in another order: what decides is the same in both ways
+                sim[edge] = np.einsum("ij,ij->i", x[i[edge] + r], exact[j[edge] + c])
+            else:
+                sim = np.einsum("ij,ij->i", x[i + r], exact[j + c])
+            held.append((i + r, j + c, sim))
             size += len(i)
             if size >= AT_ONCE:
                 yield from settled()
@@ -162,8 +169,8 @@ def passing(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple
         yield from settled()
 
 
-def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callable[[pa.Array, pa.Array, np.ndarray], pa.RecordBatch], kinds: str) -> DataFrame:
-    """What ``emit`` makes of slices of the pairs (lower ids, greater ids, similarities) that pass."""
+def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], kinds: str) -> DataFrame:
+    """What ``emit`` makes of slices of the pairs that pass: ids of both sides, places in them and similarities."""
     spark = vectors.sparkSession
     ship(spark)
     whole = vectors.select("memory_id", "embedding").withColumn("_length", dot("embedding", "embedding")).where("_length > 0 AND _length < double('infinity')").drop("_length")
@@ -209,11 +216,13 @@ def _compared(vectors: DataFrame, least: float, block: int | None, emit: Callabl
         for length in sorted({r["length"] for r in rows}):
             left, x = side(rows, length, i)
             right, y = (left, None) if i == j else side(rows, length, j)
+            ids = left if y is None else pa.concat_arrays([left, right])
+            repeated = pc.count_distinct(ids).as_py() < len(ids)
             for a, b, sim in passing(x, y, least):
-                one, two = left.take(pa.array(a)), right.take(pa.array(b))
-                differ = pc.not_equal(one, two)  # a repeated id is no pair
-                if len(sim) and pc.any(differ).as_py():
-                    one, two, sim = one.filter(differ), two.filter(differ), sim[differ.to_numpy(zero_copy_only=False)]
-                    yield emit(pc.min_element_wise(one, two), pc.max_element_wise(one, two), sim)
+                if repeated:  # a repeated id is no pair
+                    differ = pc.fill_null(pc.not_equal(left.take(pa.array(a)), right.take(pa.array(b))), False).to_numpy(zero_copy_only=False)
+                    a, b, sim = a[differ], b[differ], sim[differ]
+                if len(sim):
+                    yield emit(left, right, a, b, sim)
 
     return pairs.groupBy("i", "j").applyInArrow(product, kinds)

@@ -188,6 +188,23 @@ def test_products_in_single_precision_lose_no_pair():
     assert sorted(alone) == sorted(zip(*np.nonzero(np.triu(np.einsum("ij,kj->ik", x, x) >= 0.3, 1)), strict=True))
 
 
+def test_repeated_vector_ids_are_no_pair(spark):
+    rows = [("a", [1.0, 0.1]), ("a", [1.0, 0.2]), ("b", [1.0, 0.3]), (None, [1.0, 0.4])]
+    got = vectors.similar_pairs(spark.createDataFrame(rows, "memory_id string, embedding array<float>"), 0.5).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [("a", "b"), ("a", "b")]
+
+
+@pytest.mark.parametrize("dense", [1, 10**9])
+def test_dense_and_sparse_tiles_agree(monkeypatch, dense):
+    monkeypatch.setattr(vectors, "DENSE", dense)
+    x = np.random.default_rng(7).normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(i, j): s for a, b, sim in vectors.passing(x, None, 0.2) for i, j, s in zip(a.tolist(), b.tolist(), sim.tolist(), strict=True)}
+    want = np.triu(x @ x.T, 1)
+    assert sorted(found) == sorted(zip(*(k.tolist() for k in np.nonzero(want >= 0.2)), strict=True))
+    assert all(abs(s - want[k]) < 1e-12 for k, s in found.items())
+
+
 def test_vectors_travel_by_packed_rows():
     own = pa.RecordBatch.from_pydict({"memory_id": [str(k) for k in range(2500)], "embedding": pa.array([[float(k), 1.0] if k % 5 else [1.0] for k in range(2500)], pa.list_(pa.float32())), "own": [7] * 2500})
     got = [r for b in vectors._packed(iter([own])) for r in b.to_pylist()]
