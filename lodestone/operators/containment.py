@@ -15,26 +15,32 @@ BETWEEN = r"[^\p{L}\p{N}]+"
 RUN = 3
 #: Letters by which a short string's longest word is looked for in the vocabulary.
 GRAM = 3
-#: Keys of runs that are sent to every task, at most; with more of them the texts' runs are shuffled.
+#: Keys that are sent to every task, at most; with more of them rows are shuffled, but for those that a filter drops.
 SENT = 1 << 20
+#: Rows of that filter, a power of two, each of 64 bits. It is as large for any number of keys.
+FILTER = 1 << 20
 
 
 def _words(text: Column | str, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _runs(hashes: Column | str, n: int) -> Column:
-    """A hash of each ``n`` consecutive values."""
-    at = F.sequence(F.lit(1), F.size(hashes) - n + 1)
-    return F.when(F.size(hashes) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i, n)))).otherwise(F.array().cast("array<long>"))
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with hashes of its words ``w`` (wh), their last letters (ends) and their first letters (starts)."""
+    of = lambda f: F.transform("w", lambda x: F.xxhash64(f(x)))
+    return df.withColumns({"wh": of(lambda x: x), "ends": of(lambda x: F.right(x, F.lit(1))), "starts": of(lambda x: F.left(x, F.lit(1)))})
 
 
-def _edged(words: Column | str, n: int) -> Column:
+def _runs(hashes: str, n: int) -> Column:
+    """A hash of each ``n`` consecutive values of the column ``hashes``."""
+    one = lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, n)])
+    return F.slice(F.transform(hashes, one), 1, F.greatest(F.size(hashes) - n + 1, F.lit(0)))
+
+
+def _edged(n: int) -> Column:
     """A hash of each ``n`` consecutive words between two others, with the last letter of the one and the first letter of the other."""
-    at = F.sequence(F.lit(1), F.size(words) - n - 1)
-    word = lambda i: F.element_at(words, i)
-    one = lambda i: F.xxhash64(F.right(word(i), F.lit(1)), F.slice(words, i + 1, n), F.left(word(i + n + 1), F.lit(1)))
-    return F.when(F.size(words) >= n + 2, F.transform(at, one)).otherwise(F.array().cast("array<long>"))
+    one = lambda x, i: F.xxhash64(x, *[F.get("wh", i + k) for k in range(1, n + 1)], F.get("starts", i + n + 1))
+    return F.slice(F.transform("ends", one), 1, F.greatest(F.size("ends") - n - 1, F.lit(0)))
 
 
 def _pieces(word: Column | str, n: int) -> Column:
@@ -47,20 +53,32 @@ def _grams(word: Column | str) -> Column:
     return F.array_distinct(F.concat(*[_pieces(word, n) for n in range(1, GRAM + 1)]))
 
 
+def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` is one of the distinct ``keys`` (key).
+
+    Texts have far more runs and words than strings ask for, so what no string asks for is dropped before any row is
+    shuffled: few keys are sent to every task; many set two bits each in a filter, which is sent instead.
+    Rows that find their bits set then meet the keys themselves.
+    """
+    if keys.count() <= SENT:
+        return rows.join(F.broadcast(keys), "key", "left_semi")
+    one, key = F.lit(1).cast("long"), F.col("key")
+    bit = lambda by: F.call_function("shiftleft", one, F.shiftrightunsigned(key, by).bitwiseAND(F.lit(63)).cast("int"))
+    of, own = key.bitwiseAND(F.lit(FILTER - 1)), bit(32).bitwiseOR(bit(48))
+    bits = keys.groupBy(of.alias("_of")).agg(F.bit_or(own).alias("_bits"))
+    maybe = rows.withColumn("_of", of).join(F.broadcast(bits), "_of").where(F.col("_bits").bitwiseAND(own) == own).drop("_of", "_bits")
+    return maybe.join(keys, "key")  # a semi-join would be pushed below the filter
+
+
 def _by_runs(texts: DataFrame, needles: DataFrame, kinds: list[int]) -> DataFrame:
     """(text_id, needle) of texts that hold the rarest run of a needle (needle, w) of three words or more, of the ``kinds`` that there are."""
-    hashes = lambda words_: F.transform(words_, lambda x: F.xxhash64(x))
-    inner = F.slice("w", 2, F.size("w") - 2)
-    own = F.when(F.size("w") == 3, _edged("w", 1)).when(F.size("w") == 4, _edged("w", 2)).otherwise(_runs("wh", RUN))
-    asked = needles.where(F.size("w") > 2).withColumn("wh", hashes(inner)).select("needle", F.least(F.size("w"), F.lit(RUN + 2)).alias("n"), F.explode(F.array_distinct(own)).alias("key"))
-    asked = materialize(asked, "asked-runs")
-    hits, said = [], texts.select("text_id", _words("text").alias("w")).withColumn("wh", hashes("w"))
-    for n, k in ((3, _edged("w", 1)), (4, _edged("w", 2)), (RUN + 2, _runs("wh", RUN))):
-        if n in kinds:
-            keys = asked.where(F.col("n") == n).select("key").distinct()
-            keyed = said.select("text_id", F.explode(F.array_distinct(k)).alias("key"))
-            hits.append(keyed.join(F.broadcast(keys) if keys.count() <= SENT else keys, "key", "left_semi"))
-    hits = materialize(reduce(DataFrame.unionByName, hits), "runs")
+    own = F.when(F.size("w") == 3, _edged(1)).when(F.size("w") == 4, _edged(2)).otherwise(_runs("inner", RUN))
+    asked = _hashed(needles.where(F.size("w") > 2)).withColumn("inner", F.slice("wh", 2, F.size("w") - 2))
+    asked = materialize(asked.select("needle", F.explode(F.array_distinct(own)).alias("key")), "asked-runs")
+    runs = {3: _edged(1), 4: _edged(2), RUN + 2: _runs("wh", RUN)}
+    said = _hashed(texts.select("text_id", _words("text").alias("w")))
+    keyed = said.select("text_id", F.explode(F.array_distinct(F.concat(*[runs[n] for n in kinds]))).alias("key"))
+    hits = materialize(_kept(keyed, asked.select("key").distinct()), "runs")
     counts = hits.groupBy("key").agg(F.count("*").alias("texts"))
     best = asked.join(counts, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "key")).alias("best"))
     return hits.join(best.select("needle", F.col("best.key").alias("key")), "key").select("text_id", "needle")
@@ -80,8 +98,8 @@ def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """
     needles = needles.select("needle").where("needle IS NOT NULL").distinct().withColumn("w", _words("needle"))
     has = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    of_size = {n: F.size("w") == n for n in (0, 3, 4)} | {RUN + 2: F.size("w") >= RUN + 2, 1: F.size("w").isin(1, 2)}
-    sizes = needles.where("needle <> ''").agg(*[has(c).alias(f"n{n}") for n, c in of_size.items()]).first()
+    of_size = {n: F.size("w") == n for n in (3, 4)} | {RUN + 2: F.size("w") >= RUN + 2, 1: F.size("w").isin(1, 2), 0: (F.size("w") == 0) & (F.col("needle") != "")}
+    sizes = needles.agg(*[has(c).alias(f"n{n}") for n, c in of_size.items()], has(F.col("needle") == "").alias("empty")).first()
     longest = lambda words_: F.array_max(F.transform(words_, lambda x: F.struct(F.length(x), x.alias("word"))))["word"]
     near = []
     if sizes["n3"] or sizes["n4"] or sizes[f"n{RUN + 2}"]:
@@ -91,15 +109,19 @@ def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
         short = needles.where((F.size("w") <= 2) & (F.col("needle") != "")).select("needle", F.when(F.size("w") > 0, longest(F.col("w"))).otherwise(F.col("needle")).alias("part"))
         short = short.withColumn("gram", F.substring("part", 1, GRAM))
         vocabulary = texts.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
-        known = vocabulary.select("word", F.explode(_grams("word")).alias("gram")).join(short, "gram").where(F.contains("word", "part"))
-        probes = known.select("needle", F.xxhash64("word").alias("key"))
-        near.append(texts.select("text_id", F.explode(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))).alias("key")).join(probes, "key").select("text_id", "needle"))
-    everywhere = needles.where("needle = ''").select("needle")  # one row at most
-    found = texts.where("text IS NOT NULL").select("text_id").distinct().crossJoin(F.broadcast(everywhere))
+        grams = vocabulary.select("word", F.explode(_grams("word")).alias("gram")).withColumn("key", F.xxhash64("gram"))
+        known = _kept(grams, short.select(F.xxhash64("gram").alias("key")).distinct()).join(short, "gram").where(F.contains("word", "part"))
+        probes = materialize(known.select("needle", F.xxhash64("word").alias("key")).distinct(), "probes")
+        said = texts.select("text_id", F.explode(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))).alias("key"))
+        near.append(_kept(said, probes.select("key").distinct()).join(probes, "key").select("text_id", "needle"))
+    found = []
     if near:
-        pairs = reduce(DataFrame.unionByName, near).distinct()
-        found = pairs.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle").distinct().unionByName(found)
-    return found
+        pairs = reduce(DataFrame.unionByName, near).repartition("text_id").distinct()  # dealt as the texts are, so once
+        found.append(pairs.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle").distinct())
+    if sizes["empty"] or not near:
+        everywhere = needles.where("needle = ''").select("needle")  # one row at most
+        found.append(texts.where("text IS NOT NULL").select("text_id").distinct().crossJoin(F.broadcast(everywhere)))
+    return reduce(DataFrame.unionByName, found)
 
 
 #: Strings that are sent to every task instead of being shuffled, at most.

@@ -151,9 +151,11 @@ def candidates(new: DataFrame, old: DataFrame, tags: DataFrame, k: int = 50) ->
 def titles_mentioned(pages: DataFrame, shortest: int = 4) -> DataFrame:
     """J-19. (source_id, target_id): pages whose text has another page's title, whatever the case.
 
-    No page is compared with all titles (``mentions``). A title counts for its first page.
+    No page is compared with all titles (``mentions``). A title counts for its first page. Titles are written
+    once, as they are read for each step.
     """
     titles = pages.where(F.length("title") >= shortest).groupBy("title").agg(F.min("page_id").alias("target_id")).withColumn("needle", F.lower("title"))
+    titles = materialize(titles, "titles")
     texts = pages.select(F.col("page_id").alias("text_id"), F.lower("content").alias("text"))
     found = mentions(texts, titles.select("needle")).join(titles, "needle").where("text_id <> target_id")
     return found.select(F.col("text_id").alias("source_id"), "target_id")

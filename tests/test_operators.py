@@ -539,6 +539,29 @@ def test_runs_of_titles_are_looked_for_by_their_rarest(spark):
     assert near.count() == 2 * n  # a needle meets the texts of its rarest run, not those of its first
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_what_no_string_asks_for_is_not_shuffled(spark, monkeypatch, sent):
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}{c}" for a in "qwrtz" for b in "aeiou" for c in "bcdfghkl"]
+    texts = [(k, " ".join(rng.choice(vocabulary) for _ in range(400))) for k in range(150)]
+    cut = lambda k, n: " ".join(texts[k][1].split(" ")[3 : 3 + n])[1:-1]
+    needles = sorted({cut(k, n) for k in range(60) for n in (3, 4, 5, 7, 9)} | {cut(k, 2) for k in range(5)} | {"aq", "zz z", ". "})
+    monkeypatch.setattr(containment, "SENT", sent)
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, -1)  # as if no side were small
+    try:
+        store, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = lambda: [(x.stageId(), x.shuffleWriteRecords()) for found in [store.stageList(None, False, False, doubles, None)] for x in map(found.apply, range(found.size()))]
+        last = max((i for i, _ in stages()), default=-1)
+        got = containment.mentions(spark.createDataFrame(texts, "text_id int, text string").repartition(4).persist(), spark.createDataFrame([(n,) for n in needles], "needle string"))
+        assert sorted(map(tuple, got.collect())) == sorted((k, n) for k, t in texts for n in needles if n in t)
+        shuffled = sum(n for i, n in stages() if i > last)
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    assert shuffled < 150 * 400 / 2  # of 60 000 words, and nearly as many runs of each kind
+
+
 def test_events_after_cursors(spark):
     events = spark.createDataFrame([(k, f"2024-01-{1 + k // 5:02} 0{k % 5}:00:00") for k in range(40)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     rows = [("none", None, None), ("early", "2020-01-01 00:00:00", 5), ("mid", "2024-01-03 02:00:00", 11), ("tie", "2024-01-03 02:00:00", 12), ("late", "2024-02-01 00:00:00", 0), ("last", "2024-01-08 04:00:00", 39)]
