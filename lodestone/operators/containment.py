@@ -70,18 +70,22 @@ def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return maybe.join(keys, "key")  # a semi-join would be pushed below the filter
 
 
-def _by_runs(texts: DataFrame, needles: DataFrame, kinds: list[int]) -> DataFrame:
-    """(text_id, needle) of texts that hold the rarest run of a needle (needle, w) of three words or more, of the ``kinds`` that there are."""
+def _by_runs(texts: DataFrame, needles: DataFrame, kinds: list[int], probes: DataFrame | None = None) -> DataFrame:
+    """(text_id, needle) of texts that hold the rarest run of a needle (needle, w) of three words or more, or a word of ``probes`` (needle, key).
+
+    The ``kinds`` that there are tell what texts are cut into, in one pass: runs (3, 4 and more words), words (1), what is between words (0).
+    """
+    parts = {3: _edged(1), 4: _edged(2), RUN + 2: _runs("wh", RUN), 1: F.col("wh"), 0: F.transform(_words("text", BETWEEN), lambda x: F.xxhash64(x))}
+    keyed = _hashed(texts.select("text_id", "text", _words("text").alias("w"))).select("text_id", F.explode(F.array_distinct(F.concat(*[parts[n] for n in kinds]))).alias("key"))
     own = F.when(F.size("w") == 3, _edged(1)).when(F.size("w") == 4, _edged(2)).otherwise(_runs("inner", RUN))
     asked = _hashed(needles.where(F.size("w") > 2)).withColumn("inner", F.slice("wh", 2, F.size("w") - 2))
     asked = materialize(asked.select("needle", F.explode(F.array_distinct(own)).alias("key")), "asked-runs")
-    runs = {3: _edged(1), 4: _edged(2), RUN + 2: _runs("wh", RUN)}
-    said = _hashed(texts.select("text_id", _words("text").alias("w")))
-    keyed = said.select("text_id", F.explode(F.array_distinct(F.concat(*[runs[n] for n in kinds]))).alias("key"))
-    hits = materialize(_kept(keyed, asked.select("key").distinct()), "runs")
+    keys = asked.select("key") if probes is None else asked.select("key").unionByName(probes.select("key"))
+    hits = materialize(_kept(keyed, keys.distinct()), "runs")
     counts = hits.groupBy("key").agg(F.count("*").alias("texts"))
     best = asked.join(counts, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "key")).alias("best"))
-    return hits.join(best.select("needle", F.col("best.key").alias("key")), "key").select("text_id", "needle")
+    best = best.select("needle", F.col("best.key").alias("key"))
+    return hits.join(best if probes is None else best.unionByName(probes), "key").select("text_id", "needle")
 
 
 def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -101,10 +105,9 @@ def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
     of_size = {n: F.size("w") == n for n in (3, 4)} | {RUN + 2: F.size("w") >= RUN + 2, 1: F.size("w").isin(1, 2), 0: (F.size("w") == 0) & (F.col("needle") != "")}
     sizes = needles.agg(*[has(c).alias(f"n{n}") for n, c in of_size.items()], has(F.col("needle") == "").alias("empty")).first()
     longest = lambda words_: F.array_max(F.transform(words_, lambda x: F.struct(F.length(x), x.alias("word"))))["word"]
-    near = []
-    if sizes["n3"] or sizes["n4"] or sizes[f"n{RUN + 2}"]:
-        near.append(_by_runs(texts, needles, [n for n in (3, 4, RUN + 2) if sizes[f"n{n}"]]))
+    kinds, probes = [n for n in of_size if sizes[f"n{n}"]], None
     if sizes["n0"] or sizes["n1"]:
+        kinds = sorted({*kinds, 1})
         words = F.concat(_words("text"), _words("text", BETWEEN)) if sizes["n0"] else _words("text")
         short = needles.where((F.size("w") <= 2) & (F.col("needle") != "")).select("needle", F.when(F.size("w") > 0, longest(F.col("w"))).otherwise(F.col("needle")).alias("part"))
         short = short.withColumn("gram", F.substring("part", 1, GRAM))
@@ -112,13 +115,11 @@ def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
         grams = vocabulary.select("word", F.explode(_grams("word")).alias("gram")).withColumn("key", F.xxhash64("gram"))
         known = _kept(grams, short.select(F.xxhash64("gram").alias("key")).distinct()).join(short, "gram").where(F.contains("word", "part"))
         probes = materialize(known.select("needle", F.xxhash64("word").alias("key")).distinct(), "probes")
-        said = texts.select("text_id", F.explode(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))).alias("key"))
-        near.append(_kept(said, probes.select("key").distinct()).join(probes, "key").select("text_id", "needle"))
     found = []
-    if near:
-        pairs = reduce(DataFrame.unionByName, near).repartition("text_id").distinct()  # dealt as the texts are, so once
+    if kinds:
+        pairs = _by_runs(texts, needles, kinds, probes).repartition("text_id").distinct()  # dealt as the texts are, so once
         found.append(pairs.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle").distinct())
-    if sizes["empty"] or not near:
+    if sizes["empty"] or not kinds:
         everywhere = needles.where("needle = ''").select("needle")  # one row at most
         found.append(texts.where("text IS NOT NULL").select("text_id").distinct().crossJoin(F.broadcast(everywhere)))
     return reduce(DataFrame.unionByName, found)
