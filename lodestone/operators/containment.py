@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lodestone.session import materialize
 
-WORD = r"[\p{L}\p{N}]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: Inner words of a long string that are looked for together.
 RUN = 3
@@ -21,10 +21,14 @@ SENT = 1 << 20
 FILTER = 1 << 20
 
 
-def _words(text: Column | str, pattern: str = WORD) -> Column:
+def _all(text: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _words(text: Column | str) -> Column:
+    return F.array_remove(F.split(text, BETWEEN), "")
+
+
 def _hashed(df: DataFrame) -> DataFrame:
     """``df`` with hashes of its words ``w`` (wh), their last letters (ends) and their first letters (starts)."""
     of = lambda f: F.transform("w", lambda x: F.xxhash64(f(x)))
@@ -48,9 +52,9 @@ def _pieces(word: Column | str, n: int) -> Column:
     return F.when(F.length(word) >= n, F.transform(at, lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def _grams(word: Column | str) -> Column:
-    """The distinct pieces of one to ``GRAM`` letters of a word."""
-    return F.array_distinct(F.concat(*[_pieces(word, n) for n in range(1, GRAM + 1)]))
+def _grams(word: Column | str, sizes: Iterable[int]) -> Column:
+    """The distinct pieces of a word, of so many letters each."""
+    return F.array_distinct(F.concat(*[_pieces(word, n) for n in sizes]))
 
 
 def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def _by_runs(texts: DataFrame, needles: DataFrame, kinds: list[int], probes: Dat
 
     The ``kinds`` that there are tell what texts are cut into, in one pass: runs (3, 4 and more words), words (1), what is between words (0).
     """
-    parts = {3: _edged(1), 4: _edged(2), RUN + 2: _runs("wh", RUN), 1: F.col("wh"), 0: F.transform(_words("text", BETWEEN), lambda x: F.xxhash64(x))}
+    parts = {3: _edged(1), 4: _edged(2), RUN + 2: _runs("wh", RUN), 1: F.col("wh"), 0: F.transform(_all("text", BETWEEN), lambda x: F.xxhash64(x))}
     keyed = _hashed(texts.select("text_id", "text", _words("text").alias("w"))).select("text_id", F.explode(F.array_distinct(F.concat(*[parts[n] for n in kinds]))).alias("key"))
     own = F.when(F.size("w") == 3, _edged(1)).when(F.size("w") == 4, _edged(2)).otherwise(_runs("inner", RUN))
     asked = _hashed(needles.where(F.size("w") > 2)).withColumn("inner", F.slice("wh", 2, F.size("w") - 2))
@@ -108,11 +112,12 @@ def mentions(texts: DataFrame, needles: DataFrame) -> DataFrame:
     kinds, probes = [n for n in of_size if sizes[f"n{n}"]], None
     if sizes["n0"] or sizes["n1"]:
         kinds = sorted({*kinds, 1})
-        words = F.concat(_words("text"), _words("text", BETWEEN)) if sizes["n0"] else _words("text")
+        words = F.concat(_words("text"), _all("text", BETWEEN)) if sizes["n0"] else _words("text")
         short = needles.where((F.size("w") <= 2) & (F.col("needle") != "")).select("needle", F.when(F.size("w") > 0, longest(F.col("w"))).otherwise(F.col("needle")).alias("part"))
         short = short.withColumn("gram", F.substring("part", 1, GRAM))
         vocabulary = texts.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
-        grams = vocabulary.select("word", F.explode(_grams("word")).alias("gram")).withColumn("key", F.xxhash64("gram"))
+        letters = sorted(r["n"] for r in short.select(F.length("gram").alias("n")).distinct().collect())  # at most GRAM
+        grams = vocabulary.select("word", F.explode(_grams("word", letters)).alias("gram")).withColumn("key", F.xxhash64("gram"))
         known = _kept(grams, short.select(F.xxhash64("gram").alias("key")).distinct()).join(short, "gram").where(F.contains("word", "part"))
         probes = materialize(known.select("needle", F.xxhash64("word").alias("key")).distinct(), "probes")
     found = []
@@ -136,7 +141,7 @@ def _overlapping(word: Column | str, n: int) -> Column:
 
 def tokens(text: Column | str, blanks: bool = False) -> Column:
     """The distinct runs of characters other than white space in a text, and those of white space if ``blanks``."""
-    return F.array_distinct(_words(text, r"\S+|\s+") if blanks else F.split(text, r"\s+"))
+    return F.array_distinct(_all(text, r"\S+|\s+") if blanks else F.split(text, r"\s+"))
 
 
 def within_tokens(known: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
